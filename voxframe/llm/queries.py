@@ -48,7 +48,18 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(lost)::bigint AS
 FROM s
 """
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_chat_format": op9_chat_format}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxframe.llm.common import id_bucket
+    from voxframe.llm.quality import fit_quality, score_quality, training_labels
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = fit_quality(docs, training_labels(table(spark, sf_dir, "labels"), "quality", 4, 2))
+    return score_quality(docs, forest, cut=0.7).select(
+        "doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted")
+    )
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_quality": op7_quality, "op9_chat_format": op9_chat_format}
 _ORACLES = {"op9_chat_format": OP9_SQL}
 
 
