@@ -59,7 +59,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_quality": op7_quality, "op9_chat_format": op9_chat_format}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from voxframe.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_quality": op7_quality, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing}
 _ORACLES = {"op9_chat_format": OP9_SQL}
 
 
