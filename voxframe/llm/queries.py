@@ -48,6 +48,18 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(lost)::bigint AS
 FROM s
 """
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from voxframe.llm.common import id_bucket
+    from voxframe.llm.langid import fit_languages, predict_languages, vocabulary
+
+    docs = table(spark, sf_dir, "documents")
+    fold = id_bucket("doc_id", 4) == 2
+    model = fit_languages(docs.where(~fold).select("doc_id", "text", "lang"), vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    return predict_languages(docs.select("doc_id", "text"), model).select("doc_id", fold.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxframe.llm.common import id_bucket
     from voxframe.llm.quality import fit_quality, score_quality, training_labels
@@ -67,7 +79,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_quality": op7_quality, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_language_id": op6_language_id, "op7_quality": op7_quality, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing}
 _ORACLES = {"op9_chat_format": OP9_SQL}
 
 
