@@ -48,6 +48,18 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(lost)::bigint AS
 FROM s
 """
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxframe.llm.common import id_bucket
+    from voxframe.llm.quality import training_labels
+    from voxframe.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, training_labels(table(spark, sf_dir, "labels"), "toxic", 5, 0))
+    return score_toxicity(docs, model, cut=0.5).select(
+        "doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted")
+    )
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,7 +91,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_language_id": op6_language_id, "op7_quality": op7_quality, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_toxicity": op2_toxicity, "op6_language_id": op6_language_id, "op7_quality": op7_quality, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing}
 _ORACLES = {"op9_chat_format": OP9_SQL}
 
 
