@@ -60,6 +60,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxframe.llm.common import id_bucket, written
+    from voxframe.llm.lm import corpus_counts, fit_lm, score_lm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = id_bucket("doc_id", 7) == 2
+    counts = written(corpus_counts(docs.where(~fold)), "lm-counts")
+    return score_lm(docs, counts, fit_lm(counts)).withColumn("held_out", fold)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -91,7 +101,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_toxicity": op2_toxicity, "op6_language_id": op6_language_id, "op7_quality": op7_quality, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_toxicity": op2_toxicity, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op7_quality": op7_quality, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing}
 _ORACLES = {"op9_chat_format": OP9_SQL}
 
 
