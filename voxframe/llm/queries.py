@@ -48,6 +48,12 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(lost)::bigint AS
 FROM s
 """
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxframe.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), 24)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxframe.llm.common import id_bucket
     from voxframe.llm.quality import training_labels
@@ -101,7 +107,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_toxicity": op2_toxicity, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op7_quality": op7_quality, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op7_quality": op7_quality, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing}
 _ORACLES = {"op9_chat_format": OP9_SQL}
 
 
