@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -17,37 +18,77 @@ from voxframe.llm.common import blocks_for, written
 _ODD = re.compile(r"<\||[\x1c-\x1f]")
 
 
+_BEYOND_LATIN = re.compile("[^\x00-\xff]")
+_TAIL = ".,"
+_SPECIAL = "<|endoftext|>"
+
+
 class WordIds:
     """Token ids of whole texts as little-endian uint32 bytes, cached per run of non-space characters.
 
-    The vocabulary's rules never join characters across white space, so a text's ids are those of its
-    space-free runs, one after another. Texts with the opener of a special token, or with the control
-    characters on which white space rules differ, go to the tokenizer whole. The cache is emptied when full.
+    The vocabulary's rules never join characters across white space, nor a run of letters with the full stop or comma
+    after it, so a text's ids are those of such pieces, one after another. New pieces are encoded together,
+    with a special token between them. Texts with the opener of a special token, or with the control characters on
+    which white space rules differ, go to the tokenizer whole. The cache is emptied when full.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.cache = Tokenizer.from_file(path), most, {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.special = self.tokenizer.token_to_id(_SPECIAL)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, runs: Iterable[str]) -> None:
+        cache, whole, cut = self.cache, {}, []
+        for r in runs:
+            core = r.rstrip(_TAIL)
+            if core != r and core.isalpha():
+                cut.append((r, core, r[len(core) :]))
+                if core not in cache:
+                    whole[core] = None
+                if r[len(core) :] not in cache:
+                    whole[r[len(core) :]] = None
+            else:
+                whole[r] = None
+        pieces = list(whole)
+        if pieces:
+            ids = self._ids(_SPECIAL.join(pieces))
+            at = np.flatnonzero(ids == self.special)
+            raw = ids.tobytes()
+            starts, ends = [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)]
+            for p, a, b in zip(pieces, starts, ends, strict=True):
+                cache[p] = raw[a:b]
+        for r, core, tail in cut:
+            cache[r] = cache[core] + cache[tail]
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _ODD.search(text):
-            return self._encode(text)
-        words, cache = text.split(), self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
+            return self._ids(text).tobytes()
+        if not _BEYOND_LATIN.search(text):
+            text = text.lower()  # as the vocabulary's own rules do, letter for letter
+        runs, cache = text.split(), self.cache
+        new = set(runs).difference(cache)
+        if new:
             if len(cache) > self.most:
                 cache.clear()
-            new = [w for w in dict.fromkeys(words) if w not in cache]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([cache[w] for w in words])
+                new = set(runs)
+            self._learn(new)
+        return b"".join(map(cache.__getitem__, runs))
+
+
+_HELD: dict[str, WordIds] = {}
+
+
+def _word_ids(path: str) -> WordIds:
+    """One for each file and worker process, so the cache outlives a task."""
+    if path not in _HELD:
+        _HELD[path] = WordIds(path)
+    return _HELD[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -60,7 +101,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        ids_of = WordIds(tokenizer_path)
+        ids_of = _word_ids(tokenizer_path)
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
