@@ -17,12 +17,21 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], oracle:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    from voxframe import queries_raster
+
+    return queries_raster.flagship(spark, sf_dir)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from voxframe import queries_raster  # noqa: F401
