@@ -83,11 +83,11 @@ def with_next(docs: DataFrame, columns: list[str], per_block: int = 4_096) -> Da
     place = lambda r, halo: F.struct(r.cast("int").alias("range"), F.lit(halo).alias("halo"))
     here = place(F.col("_range"), False)
     before = place(F.pmod(F.col("_range") - 1, F.lit(len(bounds))), True)
-    dealt = own.withColumn("_place", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here)))).drop("_range")
-    line = Window.partitionBy("_place.range").orderBy("_place.halo", "_key", F.xxhash64("text"))
-    for c in columns:
-        dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(line))
-    return dealt.where("not _place.halo").drop("_place", "_key")
+    placed = own.withColumn("_place", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here)))).drop("_range")
+    dealt = placed.select("*", F.col("_place.range").alias("_in"), F.col("_place.halo").alias("_halo"), F.xxhash64("text").alias("_tie")).drop("_place")
+    line = Window.partitionBy("_in").orderBy("_halo", "_key", "_tie")
+    led = dealt.select("*", *[F.lead(c).over(line).alias(f"next_{c}") for c in columns])  # one window, one shuffle
+    return led.where("not _halo").drop("_in", "_halo", "_key", "_tie")
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
