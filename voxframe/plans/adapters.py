@@ -20,8 +20,8 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(
         (F.year("l_shipdate") - 1995).cast("int").alias("t"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
-        F.col("l_orderkey").alias("branch"),
-        F.col("o_custkey").alias("organelle"),
+        (F.col("l_orderkey") + 1).alias("branch"),
+        (F.col("o_custkey") + 1).alias("organelle"),
         F.col("l_extendedprice").alias("intensity"),
         F.col("l_discount").alias("structure"),
         F.col("l_quantity").alias("x"),
@@ -38,7 +38,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as timed series: user_id, id, s (seconds), value."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("event_id").alias("id"), F.unix_seconds("ts").cast("double").alias("s"), "value")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("event_id").alias("id"), F.expr("cast(timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz)) AS double)").alias("s"), "value")
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RASTER = "r AS (SELECT vec_id AS t, ((p - 1) // 8)::int AS y, ((p - 1) % 8)::int AS x, embedding[p]::double AS v FROM embeddings, range(1, 65) pp(p))"
 HIERARCHY = (
-    "h AS (SELECT (year(l_shipdate) - 1995)::int AS t, l_orderkey * 8 + l_linenumber AS id, l_orderkey AS branch, o_custkey AS organelle, "
+    "h AS (SELECT (year(l_shipdate) - 1995)::int AS t, l_orderkey * 8 + l_linenumber AS id, l_orderkey + 1 AS branch, o_custkey + 1 AS organelle, "
     "l_extendedprice AS intensity, l_discount AS structure, l_quantity AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 )
 POINTS = (
