@@ -34,4 +34,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from voxframe import queries_points, queries_raster, queries_tables  # noqa: F401
+    from voxframe import queries_points, queries_raster, queries_tables, queries_verbs  # noqa: F401
