@@ -57,16 +57,17 @@ def propagate(groups: DataFrame, targets: list[int], rounds: int = 16) -> DataFr
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
         free = [t - load.get(s, 0) for s, t in enumerate(targets)]
         room = F.get(F.array(*[F.lit(x > 0) for x in free]), F.col("shard"))
+        # a tie is broken by a hash of group and shard, so wishes go both ways between shards and can be swapped
+        own = F.struct("n", F.xxhash64("g", "shard").alias("tie"), "shard")
         best = state.groupBy("g").agg(
             F.count("*").alias("parts"),
             F.sum("n").alias("members"),
-            F.max(F.when(room, F.struct("n", -F.col("shard")))).alias("open"),
-            F.max(F.struct("n", -F.col("shard"))).alias("most"),
+            F.max(F.when(room, own)).alias("open"),
+            F.max(own).alias("most"),
         )
-        # from fewer members to more (a tie goes to the lower shard), or all to a shard with room for the whole group
-        own = F.struct("n", -F.col("shard"))
+        # from fewer members to more, or all to a shard with room for the whole group
         goal = F.coalesce("open", "most")
-        wishes = state.join(best.where("parts > 1"), "g").withColumn("to", -goal["col2"])
+        wishes = state.join(best.where("parts > 1"), "g").withColumn("to", goal["shard"])
         space = F.get(F.array(*[F.lit(x) for x in free]), F.col("to"))
         wishes = wishes.where("`to` != shard").where((own < goal) | (F.col("members") <= space))
         wishes = written(wishes.select("g", "shard", "to", "n"), "shard-wishes")
