@@ -84,3 +84,10 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
 
 def blocks_for(n: int, per_block: int) -> int:
     return max(1, math.ceil(n / per_block))
+
+
+def slices(batches, rows: int = 512):
+    """The record batches in pieces of so many rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

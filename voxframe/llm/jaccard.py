@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import drop, written
+from voxframe.llm.common import drop, slices, written
 
 SHINGLE = 5
 #: Similarity of at least NUMERATOR / DENOMINATOR.
@@ -30,7 +30,12 @@ BITMAP_WORDS = 32
 #: A cell of at most so many groups gives all its pairs at once.
 SHORT_CELL = 6
 #: A shingle that so many documents of one task share counts as frequent; at most MOST_FREQUENT are told to all tasks.
-FREQUENT, MOST_FREQUENT = 4, 1_000_000
+FREQUENT, MOST_FREQUENT = 2, 300_000
+#: Rounds in which PIVOTS members of each long cell meet all its other members, before what is left is paired;
+#: for cells where one component already has a twentieth of the members, as in large families of copies.
+ROUNDS, PIVOTS = 1, 8
+#: Wanted classes are broadcast only if a count finds at most so many.
+MOST_BROADCAST = 300_000
 
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -43,7 +48,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -73,9 +78,9 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         words, held = _WordHash(), []
-        for b in batches:
+        for b in slices(batches):
             held += [shingles(t, words) for t in b.column(0).to_pylist()]
-            if sum(map(len, held)) > 8_000_000:
+            if sum(map(len, held)) > 2_000_000:
                 yield from count(held)
                 held = []
         yield from count(held)
@@ -111,7 +116,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         words = _WordHash()
         token, often = frequent.value
-        for b in batches:
+        for b in slices(batches):
             n, d1, d2, prefix, bits = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, words)
@@ -148,10 +153,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
@@ -190,86 +195,111 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     part but is no one's least id. Other columns are ignored; an empty table gives no rows; texts are read whole.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(document_sets(docs), "sets")
-    full = rows.where("n > 0")
-    classes = full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits"))
+    whole = written(document_sets(docs), "sets")
+    classes = whole.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits"))
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    rows = written(whole.select("doc_id", "n", "d1", "d2"), "rows")
+    drop(whole)
+    facts = classes.select("c", "n", "bits")
 
-    # groups: one prefix and size; a group some member of which isn't linked with the head is dissolved
-    keyed = classes.select("c", "rep", "n", "bits", F.xxhash64("prefix", "n").alias("k1"), F.xxhash64(F.lit(1), "prefix").alias("k2"))
-    heads = keyed.groupBy("k1", "k2", "n").agg(F.min("c").alias("g"), F.count("*").alias("members")).where("members > 1")
-    inside = written(keyed.join(heads.drop("members"), ["k1", "k2", "n"]).where("c != g").select(F.col("g").alias("a"), F.col("c").alias("b"), "rep"), "inside")
-    prefixes = classes.select(F.explode("prefix").alias("token"), "c")
-    if not inside.isEmpty():
-        prefixes = prefixes.join(inside.select(F.col("b").alias("c")), "c", "left_anti")
+    # groups: one prefix and size; the head is the least class
+    keyed = classes.select("c", "n", F.xxhash64("prefix", "n").alias("k1"), F.xxhash64(F.lit(1), "prefix").alias("k2"))
+    heads = keyed.groupBy("k1", "k2", "n").agg(F.min("c").alias("g"), F.count("*").alias("members")).where("members > 1").drop("members")
+    members = written(keyed.join(heads, ["k1", "k2", "n"]).where("c != g").select("g", "c"), "members")
+    prefixes = classes.select(F.explode("prefix").alias("token"), "c").join(members.select("c"), "c", "left_anti")
     shared = prefixes.groupBy("token").agg(F.count("*").alias("m"), F.min("c").alias("pivot")).where("m > 1")
     cells = written(prefixes.join(shared, "token"), "cells")
 
-    wanted = cells.select("c").unionByName(inside.select(F.col("a").alias("c"))).unionByName(inside.select(F.col("b").alias("c"))).distinct()
-    wanted = classes.join(wanted, "c", "left_semi").select("c", F.col("rep").alias("doc_id"), "d1", "d2", "n")
-    sets = written(_class_sets(docs, wanted), "class-sets")
-    facts = classes.select("c", "n", "bits")
-
-    linked_inside = written(_verified(inside, sets), "links")
-    loose = inside.join(linked_inside.select("a", "b"), ["a", "b"], "left_anti")
-    broken = written(loose.select("a").distinct(), "broken")
-    members = inside.select(F.col("a").alias("g"), F.col("b").alias("c"))
-    if not broken.isEmpty():
-        whole = members.join(broken.select(F.col("a").alias("g")), "g", "left_anti")
-        prefixes = classes.select(F.explode("prefix").alias("token"), "c").join(whole.select("c"), "c", "left_anti")
-        shared = prefixes.groupBy("token").agg(F.count("*").alias("m"), F.min("c").alias("pivot")).where("m > 1")
-        drop(cells)
-        cells = written(prefixes.join(shared, "token"), "cells")
-        missing = cells.select("c").distinct().join(sets.select("c"), "c", "left_anti")
-        extra = classes.join(missing, "c", "left_semi").select("c", F.col("rep").alias("doc_id"), "d1", "d2", "n")
-        sets = sets.unionByName(written(_class_sets(docs, extra), "class-sets"))
-        members = whole
-
-    # heads of short cells with one another, heads of long cells with the least
+    # members with their head, heads of short cells with one another, heads of long cells with the least
     one, two = cells.select("token", F.col("c").alias("a"), "m"), cells.select("token", F.col("c").alias("b"))
     short = one.where(F.col("m") <= SHORT_CELL).join(two, "token").where("a < b").select("a", "b")
     star = cells.where((F.col("m") > SHORT_CELL) & (F.col("c") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("c").alias("b"))
-    pairs = short.unionByName(star).distinct()
-    near = _bounded(pairs, facts)
-    links = linked_inside.unionByName(written(_verified(near, sets), "links"))
+    pairs = short.unionByName(star).unionByName(members.select(F.col("g").alias("a"), F.col("c").alias("b"))).distinct()
+    near = written(_bounded(pairs, facts), "near")
+    sets = _class_sets(docs, near, classes, None)
+    links = written(_verified(near, sets), "links")
     roots = written(connected(links), "roots")
 
-    # members of cells that still hold several components, those of different ones with each other
-    placed = cells.select("token", "c").join(roots, F.col("c") == F.col("node"), "left").select("token", "c", F.coalesce("root", "c").alias("root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
-    of_group = members.select("g", F.col("c").alias("member"))
-    opened = placed.join(mixed, "token")
-    opened = opened.unionByName(opened.join(of_group, opened["c"] == of_group["g"]).select("token", F.col("member").alias("c"), "root"))
-    opened = written(opened.join(facts, "c"), "opened")
-    x, y = (opened.select("token", *[F.col(k).alias(f"{k}{i}") for k in ("c", "root", "n", "bits")]) for i in (1, 2))
-    across = x.join(y, "token").where(F.col("root1") != F.col("root2")).where(F.col("c1") < F.col("c2")).where(may_reach(F.col("n1"), F.col("n2"), F.col("bits1"), F.col("bits2")))
-    across = written(across.select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct(), "across")
-    if not across.isEmpty():
-        more = _verified(across, sets)
+    # what still has several components within a cell or a group: members of different ones meet
+    by_head = cells.select("token", F.col("c").alias("g")).join(members, "g").select("token", "c")
+    own_group = members.select(F.xxhash64(F.lit("group"), "g").alias("token"), F.explode(F.array("g", "c")).alias("c")).distinct()
+    opened = cells.select("token", "c").unionByName(by_head).unionByName(own_group)
+    mixed = written(_mixed(opened, roots), "mixed")
+    drop(cells)
+    for k in range(ROUNDS + 1):
+        last = k == ROUNDS
+        across = written(_across(mixed, facts) if last else _bounded(_with_pivots(mixed, k).distinct(), facts), "across")
+        if across.isEmpty():
+            continue
+        sets = _class_sets(docs, across, classes, sets)
+        more = written(_verified(across, sets), "more")
         roots = written(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "roots")
-
-    whole = classes.join(roots, F.col("c") == F.col("node"), "left").select("d1", "d2", "n", "rep", F.coalesce("root", "c").alias("root"))
-    least = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = written(whole.join(least, "root").select("d1", "d2", "n", "component_id"), "named")
-    out = rows.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+        if not last:
+            fresh = written(_mixed(mixed.select("token", "c"), roots), "mixed")
+            drop(mixed)
+            mixed = fresh
+    drop(mixed)
+
+    rooted = classes.join(roots, F.col("c") == F.col("node"), "left").select("d1", "d2", "n", "rep", F.coalesce("root", "c").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = written(rooted.join(least, "root").select("d1", "d2", "n", "component_id"), "named")
+    drop(classes)
+    out = rows.join(named, ["d1", "d2", "n"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _mixed(cells: DataFrame, roots: DataFrame) -> DataFrame:
+    """token, c, root, n (members of the cell), major (the root most of them have), k (how many): cells of several roots only."""
+    placed = cells.join(roots, F.col("c") == F.col("node"), "left").select("token", "c", F.coalesce("root", "c").alias("root"))
+    share = placed.groupBy("token", "root").agg(F.count("*").alias("k"))
+    whole = share.groupBy("token").agg(F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots"))
+    return placed.join(whole.where("roots > 1").select("token", "n", F.col("top.root").alias("major"), F.col("top.k").alias("k")), "token")
+
+
+def _with_pivots(mixed: DataFrame, k: int) -> DataFrame:
+    """Pairs of each long cell's pivots, members of least hash, with its members of other roots."""
+    long = mixed.where((F.col("n") > 4 * SHORT_CELL) & (20 * F.col("k") >= F.col("n")))
+    low = [F.min(F.struct(F.xxhash64(F.lit(k * PIVOTS + i), "c").alias("h"), "c", "root")).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = long.groupBy("token").agg(*low).select("token", F.array(*[F.struct(f"p{i}.c", f"p{i}.root") for i in range(PIVOTS)]).alias("pivots"))
+    other = F.array_distinct(F.filter("pivots", lambda p: p["root"] != F.col("root")))
+    met = long.join(pivots, "token").select("c", F.explode(other).alias("p"))
+    return met.select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b"))
+
+
+def _across(mixed: DataFrame, facts: DataFrame) -> DataFrame:
+    """All pairs of different roots within a cell that the bound allows; those of the major root never meet each other."""
+    rows = written(mixed.drop("n").join(facts, "c"), "opened")
+    x, y = (rows.select("token", *[F.col(k).alias(f"{k}{i}") for k in ("c", "root", "n", "bits")], F.col("major").alias(f"major{i}")) for i in (1, 2))
+    rows = x.where("root1 != major1").join(y.withColumn("is_major", F.col("root2") == F.col("major2")).drop("major2"), "token")
+    rows = rows.where((F.col("root1") != F.col("root2")) & (F.col("is_major") | (F.col("c1") < F.col("c2"))))
+    rows = rows.where(may_reach(F.col("n1"), F.col("n2"), F.col("bits1"), F.col("bits2")))
+    return rows.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
+
+
 def _bounded(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     left, right = (facts.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b")
     return both.where(may_reach(F.col("na"), F.col("nb"), F.col("bitsa"), F.col("bitsb"))).select("a", "b")
 
 
-def _class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """c, tokens of each wanted class (c, doc_id of a member, d1, d2, n)."""
+def _class_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, held: DataFrame | None) -> DataFrame:
+    """held and c, tokens (sorted shingle hashes as bytes) of each other class in pairs (a, b), from a member's text."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    if held is not None:
+        wanted = wanted.join(held.select("c"), "c", "left_anti")
+    wanted = written(classes.join(wanted, "c", "left_semi").select("c", F.col("rep").alias("doc_id"), "d1"), "wanted")
+    n = wanted.count()
+    if held is not None and n == 0:
+        return held
+    if n <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)  # 24 bytes a row
 
     def run(batches):
         words = _WordHash()
-        for b in batches:
-            sets = [shingles(t, words) for t in b.column(3).to_pylist()]
+        for b in slices(batches):
+            sets = [shingles(t, words) for t in b.column(2).to_pylist()]
             keep = pa.array([int(_mix(s).sum().view(np.int64)) == d for s, d in zip(sets, b.column(1).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), pa.array([s.tobytes() for s in sets], pa.binary()).filter(keep)], names=["c", "tokens"])
 
-    rows = _texts(docs.join(wanted, "doc_id"), "c", "d1", "d2")
-    return rows.mapInArrow(run, "c long, tokens binary").dropDuplicates(["c"])
+    got = written(_texts(docs.join(wanted, "doc_id"), "c", "d1").mapInArrow(run, "c long, tokens binary").dropDuplicates(["c"]), "class-sets")
+    return got if held is None else held.unionByName(got)
