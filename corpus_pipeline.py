@@ -32,11 +32,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component of near duplicates, once."""
+    """The document with the least id of each component of near duplicates, once; texts without an id stay, one of each."""
     found = near_duplicates(docs)
     heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     first = docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
-    line = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
+    line = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
     return first.withColumn("_copy", F.row_number().over(line)).where("_copy = 1").select(*docs.columns)
 
 

@@ -91,7 +91,11 @@ def with_next(docs: DataFrame, columns: list[str], per_block: int = 4_096) -> Da
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row (doc_id, text)."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row (doc_id, text).
+
+    A null text is empty; a null doc_id comes before all others; rows of one id stand next to each other, so a repeated row's next
+    is its copy; a single row's next is itself. Other columns are ignored; an empty table gives no rows; texts are read whole.
+    """
     rows = with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     rows = with_next(rows, ["text", "fingerprint"])
     n = F.length("text")

@@ -191,8 +191,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) of every row of docs (doc_id, text).
 
     A-Z count as a-z; words are runs without blank or 0x09 to 0x0D. Null and empty texts have no shingle and link with
-    nothing: each is a component of its own. Equal sets link; rows that are repeated share their component. A null doc_id takes
-    part but is no one's least id. Other columns are ignored; an empty table gives no rows; texts are read whole.
+    nothing: each is a component of its own. Equal sets link; rows that are repeated share their component. A null doc_id is no
+    one's least id, and a text that occurs only without an id links with its equals alone (component null). Other
+    columns are ignored; an empty table gives no rows; texts are read whole.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     whole = written(document_sets(docs), "sets")
