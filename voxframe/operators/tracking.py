@@ -193,5 +193,5 @@ def label_hits(tracks: DataFrame, labelled: DataFrame, axes: tuple[str, ...]) ->
 def numbered_tracks(tracks: DataFrame) -> DataFrame:
     """track rows with gapless ids over frames: by first frame and seed."""
     first = tracks.groupBy("track_id").agg(F.min("t").alias("_t"))
-    ids = first.withColumn("number", F.row_number().over(Window.orderBy("_t", "track_id")) - 1)
+    ids = first.withColumn("number", (F.row_number().over(Window.orderBy("_t", "track_id")) - 1).cast("long"))
     return tracks.join(ids.drop("_t"), "track_id")
