@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.llm.common import bounded_sample, id_bucket
+from voxframe.llm.common import bounded_sample, id_bucket, slices
 
 #: Names of the statistics, in the order of their columns.
 STATISTICS = (
@@ -136,7 +136,7 @@ def _with_statistics(df: DataFrame, keep: list[str]) -> DataFrame:
     schema = T.StructType([*fields, T.StructField("stats", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.num_columns - 1).to_pylist()
             stats = [document_statistics(x) for x in texts]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(stats, pa.list_(pa.float64()))], names=[*keep, "stats"])
@@ -170,7 +170,7 @@ def score_quality(docs: DataFrame, forest: Forest, cut: float = 0.7) -> DataFram
     model = docs.sparkSession.sparkContext.broadcast(forest)  # trees * 2**depth numbers
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
             x = np.vstack([document_statistics(t) for t in texts]) if texts else np.zeros((0, len(STATISTICS)))
             p = model.value.probability(x)
