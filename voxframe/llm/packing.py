@@ -21,6 +21,7 @@ _ODD = re.compile(r"<\||[\x1c-\x1f]")
 _BEYOND_LATIN = re.compile("[^\x00-\xff]")
 _TAIL = ".,"
 _SPECIAL = "<|endoftext|>"
+_WORD_END = "</w>"
 
 
 class WordIds:
@@ -37,10 +38,20 @@ class WordIds:
 
         self.tokenizer, self.most, self.cache = Tokenizer.from_file(path), most, {}
         self.special = self.tokenizer.token_to_id(_SPECIAL)
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(1 + max(vocabulary.values()), bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _cut(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        """Hold the ids of each piece, those before its end and after the one before; gap ids stand between."""
+        raw, at, cache = ids.tobytes(), 0, self.cache
+        for p, end in zip(pieces, (4 * ends).tolist(), strict=True):
+            cache[p] = raw[at:end]
+            at = end + 4 * gap
+
     def _learn(self, runs: Iterable[str]) -> None:
         cache, whole, cut = self.cache, {}, []
         for r in runs:
@@ -53,14 +64,14 @@ class WordIds:
                     whole[r[len(core) :]] = None
             else:
                 whole[r] = None
-        pieces = list(whole)
-        if pieces:
-            ids = self._ids(_SPECIAL.join(pieces))
-            at = np.flatnonzero(ids == self.special)
-            raw = ids.tobytes()
-            starts, ends = [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)]
-            for p, a, b in zip(pieces, starts, ends, strict=True):
-                cache[p] = raw[a:b]
+        plain = [p for p in whole if p.isalpha() and not _BEYOND_LATIN.search(p)]  # one word each, so its last token ends it
+        if plain:
+            ids = self._ids(" ".join(plain))
+            self._cut(plain, ids, np.flatnonzero(self.is_end[ids]) + 1, 0)
+        mixed = [p for p in whole if p not in cache]
+        if mixed:
+            ids = self._ids(_SPECIAL.join(mixed))
+            self._cut(mixed, ids, np.append(np.flatnonzero(ids == self.special), len(ids)), 1)
         for r, core, tail in cut:
             cache[r] = cache[core] + cache[tail]
 
@@ -171,5 +182,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, block_rows: int = 65_536) -> D
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """token_pieces packed; the tokens are computed once and only their lengths and digests are kept."""
+    """token_pieces packed; the tokens are computed once and only their lengths and digests are kept.
+
+    Null and empty texts are one token, the end; repeated rows are packed each; an empty table packs into nothing.
+    """
     return pack(written(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
