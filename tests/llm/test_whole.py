@@ -1,6 +1,8 @@
 """Operators do the whole job: every row, word and character counts, whatever the order and the size of the others."""
 
-from voxframe.llm import toxicity
+from collections import Counter
+
+from voxframe.llm import langid, toxicity
 
 
 def test_characters_of_rare_and_unlabelled_words_are_learned(spark):
@@ -11,3 +13,14 @@ def test_characters_of_rare_and_unlabelled_words_are_learned(spark):
     chars = toxicity.fit_toxicity(docs, labels).chars
     assert chars.log_prob("zyq", "x") > chars.log_prob("zyq", "a")
     assert chars.counts["zyqx"] == 1 and chars.totals["zyq"] == 1
+
+
+def test_a_long_document_leaves_room_for_other_languages(spark):
+    rows = [(0, "aba " * 800_000, "x"), *((i, "bab ccb", "y") for i in range(1, 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    assert langid.fit_languages(docs, ["▁", "a", "b", "c", "ab"]).languages == ["x", "y"]
+
+
+def test_long_runs_of_letters_are_learned():
+    model = langid.fit_pieces({"x": Counter({"▁" + "ab" * 60: 3}), "y": Counter({"▁" + "cd" * 60: 3})}, ["▁", "a", "b", "c", "d"])
+    assert model.languages[model.log_likelihood(["▁cdc"])[0].argmax()] == "y" and model.prob[3, 1] > 10 * model.prob[3, 0]

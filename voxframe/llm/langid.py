@@ -18,6 +18,8 @@ from voxframe.llm.common import bounded_sample
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 SPACE = "▁"
+#: Longer runs of letters are learned in pieces of so many characters; scoring reads them whole.
+LONGEST = 40
 
 
 def vocabulary(model_path: str) -> list[str]:
@@ -133,11 +135,14 @@ def fit_pieces(samples: dict[str, Counter], pieces: list[str], rounds: int = 4,
     model = PieceModel(sorted(samples), index, max(map(len, pieces), default=1), np.zeros((len(pieces) + 1, len(samples))))
     size = len(pieces) + 1
     for col, lang in enumerate(model.languages):
+        parts: Counter = Counter()
+        for w, n in samples[lang].items():
+            for at in range(0, len(w), LONGEST):
+                parts[w[at : at + LONGEST]] += n
         by_length: dict[int, list[str]] = {}
-        for w in samples[lang]:
-            if len(w) <= 40:  # longer runs of letters teach little; scoring reads them whole
-                by_length.setdefault(len(w), []).append(w)
-        groups = [(model.arcs(ws), np.array([samples[lang][w] for w in ws], float)) for ws in by_length.values()]
+        for w in parts:
+            by_length.setdefault(len(w), []).append(w)
+        groups = [(model.arcs(ws), np.array([parts[w] for w in ws], float)) for ws in by_length.values()]
         prob = np.full((size, 1), 1 / size)
         for _ in range(rounds):
             expected = np.zeros(size)
@@ -161,22 +166,40 @@ def fit_pieces(samples: dict[str, Counter], pieces: list[str], rounds: int = 4,
     return model
 
 
-def fit_languages(docs: DataFrame, pieces: list[str], most: int = 800, most_chars: int = 3_000_000) -> PieceModel:
-    """Fit on at most `most` documents (doc_id, text, lang), and about most_chars characters of their texts.
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """lang, word, n of rows (lang, text): tasks count before the shuffle and hand on what they hold past a bound."""
 
-    Rows without text or lang teach nothing. The word counts of the sample come to the driver, bounded by
-    both parameters; the choice of documents follows a hash of the id.
+    def run(batches):
+        held: dict[str, Counter] = {}
+
+        def out():
+            lang, word, n = zip(*((k, w, n) for k, c in held.items() for w, n in c.items()), strict=True) if any(held.values()) else ((), (), ())
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+
+        for b in batches:
+            for lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.setdefault(lang, Counter()).update(words_of(text))
+                if sum(map(len, held.values())) > 200_000:
+                    yield from out()
+        yield from out()
+
+    return rows.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def fit_languages(docs: DataFrame, pieces: list[str], most: int = 800) -> PieceModel:
+    """Fit on at most `most` documents (doc_id, text, lang), each whole.
+
+    Rows without text or lang teach nothing. The choice of documents follows a hash of the id alone; tasks count
+    their words, and the distinct ones of each language come to the driver.
     """
     known = docs.where("text is not null and lang is not null and doc_id is not null")
     ids = bounded_sample(known.select("doc_id"), "doc_id", most)
-    rows = known.join(F.broadcast(ids.distinct()), "doc_id").select("lang", "text").toLocalIterator()  # at most `most` ids
+    counts = _word_counts(known.join(F.broadcast(ids.distinct()), "doc_id")).toArrow()  # words of `most` ids
     samples: dict[str, Counter] = {}
-    left = most_chars
-    for r in rows:
-        if left > 0:
-            samples.setdefault(r["lang"], Counter()).update(words_of(r["text"]))
-            left -= len(r["text"])
-    return fit_pieces({k: v for k, v in samples.items() if v}, pieces)
+    for lang, word, n in zip(*(counts[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
+        samples.setdefault(lang, Counter())[word] = n
+    return fit_pieces(samples, pieces)
 
 
 class Scorer:
