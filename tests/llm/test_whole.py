@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+
 from voxframe.llm import langid, toxicity
 
 
@@ -24,3 +26,15 @@ def test_a_long_document_leaves_room_for_other_languages(spark):
 def test_long_runs_of_letters_are_learned():
     model = langid.fit_pieces({"x": Counter({"▁" + "ab" * 60: 3}), "y": Counter({"▁" + "cd" * 60: 3})}, ["▁", "a", "b", "c", "d"])
     assert model.languages[model.log_likelihood(["▁cdc"])[0].argmax()] == "y" and model.prob[3, 1] > 10 * model.prob[3, 0]
+
+
+@pytest.mark.parametrize("written", ["iddiot", "i_d_i_o_t", "id.iot", "idi-ot", "hello,1d10t", "x" * 60 + ".1d10t"])
+def test_every_run_with_a_second_path_is_decoded(written):
+    model = toxicity.CharModel(Counter({"idiot": 50, "hello": 50, "the": 90, "and": 60, "other": 9}))
+    assert "idiot" in toxicity.Restorer(model).words(written)
+
+
+@pytest.mark.parametrize("written,word", [("you a s s there", "ass"), ("you i  d  i  o  t there", "idiot")])
+def test_short_and_wide_spaced_words_are_joined(written, word):
+    model = toxicity.CharModel(Counter({"idiot": 5, "ass": 9, "the": 50, "you": 20}))
+    assert word in toxicity.Restorer(model).spaced(written)
