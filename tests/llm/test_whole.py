@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from voxframe.llm import langid, toxicity
+from voxframe.llm import decontamination, langid, toxicity
 
 
 def test_characters_of_rare_and_unlabelled_words_are_learned(spark):
@@ -38,3 +38,13 @@ def test_every_run_with_a_second_path_is_decoded(written):
 def test_short_and_wide_spaced_words_are_joined(written, word):
     model = toxicity.CharModel(Counter({"idiot": 5, "ass": 9, "the": 50, "you": 20}))
     assert word in toxicity.Restorer(model).spaced(written)
+
+
+def test_rows_without_an_id_are_searched(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(None, f"so {item} it is"), (None, "clean words"), (0, "clean words"), (0, f"so {item} it is"), (None, "brief note")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "brief note")], "item_id int, text string")
+    rows = decontamination.find_benchmark(docs, items).collect()
+    assert sorted((r["doc_id"] is None, r["n_words"], r["n_hit"], tuple(r["item_ids"])) for r in rows) == [
+        (False, 2, 0, ()), (False, 14, 11, ("1",)), (True, 2, 0, ()), (True, 2, 2, ("2",)), (True, 14, 11, ("1",)),
+    ]

@@ -61,18 +61,21 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A window is 10 consecutive words of an item; an item of 1 to 9 words is one window. A word of a document is hit if it
     lies in any occurrence of a window. Null and empty texts have no words; items of equal words share their windows;
-    repeated rows have a row each; other columns are ignored; empty tables give no hits.
+    repeated rows have a row each; rows without a doc_id are read like others; other columns are ignored; empty tables give no hits.
     """
     items = benchmark.select("item_id", words(F.col("text")).alias("item")).where("size(item) > 0")
     items = items.groupBy("item").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     items = written(items.select(F.monotonically_increasing_id().alias("k"), "item", "ids"), "items")
     lengths = [r["m"] for r in items.select(F.size("item").alias("m")).where(f"m < {WINDOW}").distinct().collect()]  # 9 at most
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    hashed = source.select("doc_id", "h", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
+    # doc_id and h are the key of a text and never null; a text without an id has an h of its own kind
+    doc_id = F.col("doc_id").cast("long")
+    h = F.when(doc_id.isNull(), F.xxhash64("text", F.lit("no id"))).otherwise(F.xxhash64("text"))
+    source = docs.select(F.coalesce(doc_id, F.lit(0)).cast("long").alias("doc_id"), doc_id.isNull().alias("no_id"), "text", h.alias("h"))
+    hashed = source.select("doc_id", "no_id", "h", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
     kept = window_minima(kgrams(hashed, "w", "g"), "g", "kept")
     short = [F.lit(m).alias("m") for m in lengths]
-    kept = kept.select("doc_id", "h", F.size("w").cast("long").alias("n_words"), F.array_distinct("kept").alias("kept"), *([F.col("w")] if short else []))
+    kept = kept.select("doc_id", "no_id", "h", F.size("w").cast("long").alias("n_words"), F.array_distinct("kept").alias("kept"), *([F.col("w")] if short else []))
     kept = written(kept, "kept")
 
     in_items = kgrams(items.select("k", F.size("item").alias("m"), F.transform("item", lambda w: F.xxhash64(w)).alias("w")), "w", "g")
@@ -107,6 +110,6 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     found = lined.select("doc_id", "h", "k", F.array_distinct(F.flatten(F.flatten(F.transform("lines", covered)))).alias("at")).where("size(at) > 0")
     hits = found.join(items.select("k", "ids"), "k").groupBy("doc_id", "h").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("item_ids"))
-    return kept.select("doc_id", "h", "n_words").join(hits, ["doc_id", "h"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")
+    return kept.select("doc_id", "no_id", "h", "n_words").join(hits, ["doc_id", "h"], "left").select(
+        F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")
     )
