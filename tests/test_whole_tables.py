@@ -1,0 +1,38 @@
+"""Whole-table queries against brute force on the smallest tables."""
+
+import math
+
+from voxframe import registry
+from voxframe.plans.adapters import points
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_point_has_its_nearest_and_its_box(spark):
+    run = lambda name: registry.queries()[name](spark, SF).collect()
+    frames = {}
+    for r in points(spark, SF).collect():
+        frames.setdefault(r["t"], []).append((r["id"], r["y"], r["x"]))
+    near = {}
+    for t, here in frames.items():
+        for i, y, x in here:
+            if t + 1 in frames:
+                near[t, i] = min((round(math.hypot(y - b, x - c), 9), j) for j, b, c in frames[t + 1])[1]
+    assert {(r["t"], r["id"]): r["nearest_id"] for r in run("jon_6_nearest_by_rings_whole")} == near
+    size = lambda i, v: (max(math.floor(v) - 1 - i % 3, 0), math.floor(v) + 1 + i % 3)
+    edges = set()
+    for t, here in frames.items():
+        for i, y, x in here:
+            (a, b), (c, d) = size(i, y), size(i, x)
+            edges |= {(t, i, j) for j, v, w in here if a <= v <= b and c <= w <= d}
+    assert {(r["t"], r["node"], r["id"]) for r in run("jon_8_box_join_whole")} == edges
+    every = sum(map(len, frames.values()))
+    assert len(run("prj_23_roi_bounds_whole")) == every
+    nodes = {(t, i) for t, i, _ in edges}
+    assert {(r["t"], r["node"]) for r in run("agg_35_node_dynamics_whole")} == nodes
+    assert sum(r["n"] for r in run("prj_24_box_subvolumes_whole")) == len(edges)
+
+
+def test_every_name_is_sorted(spark):
+    names = [r["name"] for r in registry.queries()["srt_6_sorted_names_whole"](spark, SF).collect()]
+    assert len(names) > 20 and names == sorted(set(names))

@@ -59,18 +59,18 @@ register(
 )
 
 
-def _boxes(spark, sf):
+def _boxes(spark, sf, every=10):
     r = F.lit(1) + F.col("id") % 3
     low = lambda c: F.greatest(F.floor(F.col(c)) - r, F.lit(0))
-    return _p(spark, sf).where("id % 10 = 0").select("t", F.col("id").alias("node"), low("y").alias("low_y"), (F.floor("y") + r).alias("high_y"), low("x").alias("low_x"), (F.floor("x") + r).alias("high_x"))
+    return _p(spark, sf).where(F.col("id") % every == 0).select("t", F.col("id").alias("node"), low("y").alias("low_y"), (F.floor("y") + r).alias("high_y"), low("x").alias("low_x"), (F.floor("x") + r).alias("high_x"))
 
 
 _BOX = "bx AS (SELECT t, id AS node, greatest(floor(y) - (1 + id % 3), 0) AS ly, floor(y) + (1 + id % 3) AS hy, greatest(floor(x) - (1 + id % 3), 0) AS lx, floor(x) + (1 + id % 3) AS hx FROM p WHERE id % 10 = 0)"
 _VN = "vn AS (SELECT bx.t, node, p.id FROM p JOIN bx ON p.t = bx.t AND p.y BETWEEN ly AND hy AND p.x BETWEEN lx AND hx)"
 
 
-def _box_edges(spark, sf):
-    return spatial.box_join(_p(spark, sf), _boxes(spark, sf), ["t"], YX, 8).select("t", "node", "id")
+def _box_edges(spark, sf, every=10):
+    return spatial.box_join(_p(spark, sf), _boxes(spark, sf, every), ["t"], YX, 8).select("t", "node", "id")
 
 
 register("jon_8_box_join", _box_edges, _with(POINTS, _BOX, _VN) + "SELECT t, node, id FROM vn")
@@ -203,10 +203,10 @@ register("win_8_acceleration", lambda s, sf: _r5(tracking.accelerations(_forward
 register("agg_9_reference_voxel", lambda s, sf: _r6(tracking.reference_voxels(_forward(s, sf).withColumn("branch", F.col("id") % 10), ["t", "branch"], YX), "displacement"), _with(POINTS, *_SF, *_FWD) + "SELECT t, id % 10 AS branch, id AS ref, round(round(sqrt(dy * dy + dx * dx), 9) + 1e-9, 6) AS displacement FROM fi QUALIFY row_number() OVER (PARTITION BY t, id % 10 ORDER BY round(sqrt(dy * dy + dx * dx), 9), id) = 1")
 
 
-def _dynamics(spark, sf):
+def _dynamics(spark, sf, every=10):
     back = _backward(spark, sf).select("t", "id", F.col("dy").alias("by"), F.col("dx").alias("bx"))
     v = _p(spark, sf).join(_forward(spark, sf).drop("neighbours"), ["t", "id"], "left").join(back, ["t", "id"], "left")
-    return tracking.node_dynamics(_box_edges(spark, sf), v, _p(spark, sf), YX)
+    return tracking.node_dynamics(_box_edges(spark, sf, every), v, _p(spark, sf), YX)
 
 
 _LEN = "sqrt(pow(v.y - n.y, 2) + pow(v.x - n.x, 2))"
@@ -216,6 +216,12 @@ register(
     _with(POINTS, *_SF, *_FWD, *_BWD, _BOX, _VN, f"dyn AS (SELECT vn.t, vn.node, avg(CASE WHEN {_LEN} <> 0 THEN (fi.dy * (v.y - n.y) + fi.dx * (v.x - n.x)) / {_LEN} END) AS divergence, avg(CASE WHEN {_LEN} <> 0 THEN (bi.dy * (v.y - n.y) + bi.dx * (v.x - n.x)) / {_LEN} END) AS convergence FROM vn JOIN p v ON v.id = vn.id JOIN p n ON n.id = vn.node LEFT JOIN fi ON fi.id = vn.id LEFT JOIN bi ON bi.id = vn.id GROUP BY vn.t, vn.node)")
     + "SELECT t, node, round(divergence + 1e-9, 5) AS divergence, round(convergence + 1e-9, 5) AS convergence, round(divergence + convergence + 1e-9, 5) AS vergere FROM dyn",
 )
+# the same over every point of the table; SQL is too slow there, so tests compare with brute force
+register("jon_6_nearest_by_rings_whole", lambda s, sf: _r6(spatial.nearest_any(_p(s, sf), _next(_p(s, sf)), ["t"], YX, 2.0, "id", "id"), "distance"))
+register("jon_8_box_join_whole", lambda s, sf: _box_edges(s, sf, 1))
+register("prj_24_box_subvolumes_whole", lambda s, sf: _box_edges(s, sf, 1).groupBy("t", "node").agg(F.count("*").alias("n")))
+register("prj_23_roi_bounds_whole", lambda s, sf: _boxes(s, sf, 1).select("t", "node", *[F.col(c).cast("double").alias(c) for c in ("low_y", "high_y", "low_x", "high_x")]))
+register("agg_35_node_dynamics_whole", lambda s, sf: _r5(_dynamics(s, sf, 1), "divergence", "convergence", "vergere"))
 _CAND = (
     f"fc AS (SELECT fi.t, fi.id AS prev, b.id AS next, round(sqrt(pow(a.y + fi.dy - b.y, 2) + pow(a.x + fi.dx - b.x, 2)), 9) AS d FROM fi JOIN p a ON a.id = fi.id JOIN p b ON b.t = fi.t + 1 WHERE sqrt(pow(a.y + fi.dy - b.y, 2) + pow(a.x + fi.dx - b.x, 2)) < {R} QUALIFY row_number() OVER (PARTITION BY fi.id ORDER BY d, b.id) = 1)",
     f"bc AS (SELECT bi.t - 1 AS t, a.id AS prev, bi.id AS next, round(sqrt(pow(b.y - bi.dy - a.y, 2) + pow(b.x - bi.dx - a.x, 2)), 9) AS d FROM bi JOIN p b ON b.id = bi.id JOIN p a ON a.t = bi.t - 1 WHERE sqrt(pow(b.y - bi.dy - a.y, 2) + pow(b.x - bi.dx - a.x, 2)) < {R} QUALIFY row_number() OVER (PARTITION BY bi.id ORDER BY d, a.id) = 1)",

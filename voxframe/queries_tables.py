@@ -124,6 +124,7 @@ def _top_label(spark, sf):
 
 register("srt_3_by_absolute", lambda s, sf: hierarchy(s, sf).select("id", F.element_at(F.array_sort(F.array(F.lit(0.05) - F.col("structure"), F.col("structure") - 0.02), lambda a, b: F.when(F.abs(a) < F.abs(b), -1).when(F.abs(a) > F.abs(b), 1).otherwise(0)), 1).alias("v")).select("id", F.round(F.abs("v") + 1e-9, 6).alias("v")), _with(HIERARCHY) + "SELECT id, round(least(abs(0.05::double - structure), abs(structure - 0.02::double)) + 1e-9, 6) AS v FROM h")
 register("srt_6_sorted_names", lambda s, sf: parts(s, sf).select("name").distinct().orderBy("name").limit(20), _with(PARTS) + "SELECT DISTINCT name FROM m ORDER BY name LIMIT 20")
+register("srt_6_sorted_names_whole", lambda s, sf: parts(s, sf).select("name").distinct().orderBy("name"), _with(PARTS) + "SELECT DISTINCT name FROM m ORDER BY name")
 register("srt_7_form_order", lambda s, sf: _forms(s), "SELECT * FROM (VALUES ('raw', 1), ('mean', 2), ('std_dev', 3), ('min', 4), ('max', 5), ('sum', 6)) f(form, place)")
 
 
