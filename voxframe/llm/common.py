@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir; where the session names none, a temporary one in local mode, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="voxframe-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -82,6 +84,14 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df
 
 
+def free_name(columns: list[str], wish: str) -> str:
+    """wish, or the first of _wish, __wish, .. that no column has; Spark's names differ by more than case."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish = f"_{wish}"
+    return wish
+
+
 def blocks_for(n: int, per_block: int) -> int:
     return max(1, math.ceil(n / per_block))
 
