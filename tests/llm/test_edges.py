@@ -39,7 +39,7 @@ def _run(name, df, labels):
         return fingerprints.edited_likeness(df)
     if name == "lm":
         counts = written(lm.corpus_counts(df), "test")
-        return lm.score_lm(df, counts, lm.fit_lm(counts))
+        return lm.score_lm(df, counts, lm.fit_lm(df, counts))
     if name == "langid":
         return langid.predict_languages(df, langid.fit_languages(df, langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))))
     if name == "quality":
@@ -105,6 +105,18 @@ def test_pipeline_stages_on_odd_rows(spark, docs, tmp_path):
         assert stage(spark, docs.where("1 = 0"), folder).count() == 0
 
 
+def test_columns_named_like_the_stages_own_keep_their_values(spark, tmp_path):
+    folder = str(tmp_path)
+    names = ["toxic_score", "toxic_predicted", "Quality_score", "quality_predicted", "own_toxic_score", "copy", "_copy", "_canon", "fingerprint", "c", "token", "h", "no_id"]
+    rows = [(i, f"some words of text number {i} that differ " * 3, *range(10 * i, 10 * i + len(names))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "words that are nowhere in these texts at all so none goes")], "item_id int, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert sorted(map(tuple, stage(spark, docs, folder).collect())) == rows
+    assert fingerprints.with_fingerprint(docs).drop("fingerprint").columns == [c for c in docs.columns if c != "fingerprint"]
+
+
 def test_chat_round_trip_of_odd_turns(spark):
     says = ["", None, "<|im_end|>", "\\", "<\\|", "\\<|im_sep|>\\", "<", "|im_end|>", "a\nb", "<|" * 5000]
     rows = [(1, i, "user" if i % 2 == 0 else "assistant", s, 0) for i, s in enumerate(says)] + [(2, 0, None, "x", 0), (2, 0, "a<|b", "y", 0), (None, None, "user", None, 0)]

@@ -116,8 +116,9 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = id_bucket("doc_id", 7) == 2
-    counts = written(corpus_counts(docs.where(~fold)), "lm-counts")
-    return score_lm(docs, counts, fit_lm(counts)).withColumn("held_out", fold)
+    train = docs.where(~fold | F.col("doc_id").isNull())
+    counts = written(corpus_counts(train), "lm-counts")
+    return score_lm(docs, counts, fit_lm(train, counts)).withColumn("held_out", fold)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
