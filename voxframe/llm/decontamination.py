@@ -35,6 +35,19 @@ def _trim(a: Column, n: Column) -> Column:
     return F.slice(a, F.lit(1), F.greatest(n, F.lit(0)))
 
 
+def chained(hashes: DataFrame, word_hashes: str, lengths: list[int], out: str) -> DataFrame:
+    """`out`<m> for each of lengths (1 to 9): hash of each m consecutive word hashes, chained word by word."""
+    df, now = hashes, word_hashes
+    for m in range(1, max(lengths, default=0) + 1):
+        if m > 1:
+            mixed = F.zip_with(F.col(now), _rest(F.col(word_hashes), m - 1), lambda a, b: F.xxhash64(a, b))
+            df = df.withColumn(f"_chain{m}", _trim(mixed, F.size(word_hashes) - (m - 1)))
+            now = f"_chain{m}"
+        if m in lengths:
+            df = df.withColumn(f"{out}{m}", F.col(now))
+    return df.drop(*[f"_chain{m}" for m in range(2, 10)])
+
+
 def kgrams(hashes: DataFrame, word_hashes: str, out: str) -> DataFrame:
     """`out`: hash of each 5 consecutive word hashes, built from pairs and fours."""
     mix = lambda a, b: F.xxhash64(a, b)
@@ -60,7 +73,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids (sorted as strings) for every row of docs (doc_id, text); benchmark: item_id, text.
 
     A window is 10 consecutive words of an item; an item of 1 to 9 words is one window. A word of a document is hit if it
-    lies in any occurrence of a window. Null and empty texts have no words; items of equal words share their windows;
+    lies in any occurrence of a window. Null and empty texts have no words; items of equal words share their windows; an item_id with
+    several texts has the windows of all, and is named once;
     repeated rows have a row each; rows without a doc_id are read like others; other columns are ignored; empty tables give no hits.
     """
     items = benchmark.select("item_id", words(F.col("text")).alias("item")).where("size(item) > 0")
@@ -73,18 +87,18 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     h = F.when(doc_id.isNull(), F.xxhash64("text", F.lit("no id"))).otherwise(F.xxhash64("text"))
     source = docs.select(F.coalesce(doc_id, F.lit(0)).cast("long").alias("doc_id"), doc_id.isNull().alias("no_id"), "text", h.alias("h"))
     hashed = source.select("doc_id", "no_id", "h", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
-    kept = window_minima(kgrams(hashed, "w", "g"), "g", "kept")
-    short = [F.lit(m).alias("m") for m in lengths]
-    kept = kept.select("doc_id", "no_id", "h", F.size("w").cast("long").alias("n_words"), F.array_distinct("kept").alias("kept"), *([F.col("w")] if short else []))
-    kept = written(kept, "kept")
+    kept = chained(window_minima(kgrams(hashed, "w", "g"), "g", "kept"), "w", lengths, "short")
+    # a mark of a short item is the hash of all its words, so only texts that hold them all are looked at
+    marked = F.array_distinct(F.concat(F.col("kept"), *[F.col(f"short{m}") for m in lengths]))
+    kept = written(kept.select("doc_id", "no_id", "h", F.size("w").cast("long").alias("n_words"), marked.alias("kept")), "kept")
 
     in_items = kgrams(items.select("k", F.size("item").alias("m"), F.transform("item", lambda w: F.xxhash64(w)).alias("w")), "w", "g")
     long_items = window_minima(in_items.where(F.col("m") >= WINDOW), "g", "kept")
+    whole = chained(in_items.where(F.col("m") < WINDOW), "w", lengths, "short")
+    short_items = whole.select("k", "m", F.get(F.coalesce(*[F.when(F.col("m") == m, F.col(f"short{m}")) for m in lengths], F.array().cast("array<bigint>")), F.lit(0)).alias("mark"))
     marks = written(long_items.select("k", F.explode(F.array_distinct("kept")).alias("mark")), "marks")
-    touched = kept.select("doc_id", "h", F.explode("kept").alias("mark")).join(_small(marks.select("mark").distinct()), "mark", "left_semi").select("doc_id", "h")
-    for m in lengths:
-        heads = items.where(F.size("item") == m).select(F.xxhash64(F.element_at("item", 1)).alias("mark"))
-        touched = touched.unionByName(kept.select("doc_id", "h", F.explode(F.array_distinct("w")).alias("mark")).join(_small(heads.distinct()), "mark", "left_semi").select("doc_id", "h"))
+    wanted = marks.select("mark").unionByName(short_items.select("mark")).distinct()
+    touched = kept.select("doc_id", "h", F.explode("kept").alias("mark")).join(_small(wanted), "mark", "left_semi").select("doc_id", "h")
     touched = written(touched.distinct(), "touched")
     near = written(source.join(touched, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", words(F.col("text")).alias("words")), "near")
 
@@ -93,9 +107,9 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near_grams = kgrams(near_hashed, "w", "g").select("doc_id", "h", F.posexplode("g").alias("p", "mark"))
     spots = long_items.select("k", F.posexplode("g").alias("q", "mark")).join(marks, ["k", "mark"])
     lies = near_grams.join(_small(spots), "mark").select("doc_id", "h", "k", (F.col("p") - F.col("q")).alias("d"))
-    if lengths:
-        heads = items.where(F.size("item") < WINDOW).select("k", F.xxhash64(F.element_at("item", 1)).alias("mark"))
-        lies = lies.unionByName(near_hashed.select("doc_id", "h", F.posexplode("w").alias("d", "mark")).join(_small(heads), "mark").select("doc_id", "h", "k", "d"))
+    for m in lengths:
+        at = chained(near_hashed, "w", [m], "short").select("doc_id", "h", F.posexplode(f"short{m}").alias("d", "mark"))
+        lies = lies.unionByName(at.join(_small(short_items.where(F.col("m") == m).select("k", "mark")), "mark").select("doc_id", "h", "k", "d"))
     lies = lies.distinct().groupBy("doc_id", "h", "k").agg(F.collect_list("d").alias("ds"))
 
     # compare the words of both over the item's length; a start is a hit if its whole window agrees
@@ -109,7 +123,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         lambda s: F.sequence(line["d"] + s, line["d"] + s + size - 1),
     )
     found = lined.select("doc_id", "h", "k", F.array_distinct(F.flatten(F.flatten(F.transform("lines", covered)))).alias("at")).where("size(at) > 0")
-    hits = found.join(items.select("k", "ids"), "k").groupBy("doc_id", "h").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("item_ids"))
+    hits = found.join(items.select("k", "ids"), "k").groupBy("doc_id", "h").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"))
     return kept.select("doc_id", "no_id", "h", "n_words").join(hits, ["doc_id", "h"], "left").select(
         F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")
     )
