@@ -21,48 +21,53 @@ def histogram(df: DataFrame, by: list[str], value: str, bins: int = 256) -> Data
     return grid.join(counted, [*by, "bin"], "left").select(*by, "bin", F.coalesce("n", F.lit(0)).alias("n"), "low", "width")
 
 
+def _both(df: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
+    """by, triangle, otsu from one histogram; null where a group has none.
+
+    Otsu: centre of the first bin with the greatest between-class variance. Triangle: centre of the bin farthest from
+    the line between the peak and the end of the longer tail. A group's bins are one window, shared by both.
+    """
+    group = Window.partitionBy(*by)
+    up = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    after = group.orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
+    center = F.col("low") + (F.col("bin") + 0.5) * F.col("width")
+    h = histogram(df, by, value, bins).select(*by, "bin", "n", center.alias("center"))
+    moment, filled = F.col("n") * F.col("center"), F.when(F.col("n") > 0, F.col("bin"))
+    h = h.select(
+        "*",
+        F.sum("n").over(up).alias("w1"), F.sum("n").over(after).alias("w2"), F.sum(moment).over(up).alias("s1"), F.sum(moment).over(after).alias("s2"),
+        F.max("n").over(group).alias("top"), F.min(filled).over(group).alias("first"), F.max(filled).over(group).alias("last"), F.sum("n").over(group).alias("total"),
+    )
+    h = h.withColumn("peak", F.min(F.when(F.col("n") == F.col("top"), F.col("bin"))).over(group))
+    # otsu
+    gap = F.col("s1") / F.col("w1") - F.col("s2") / F.col("w2")
+    spread = F.when((F.col("w1") > 0) & (F.col("w2") > 0), F.struct(F.round(F.col("w1").cast("double") * F.col("w2") * gap * gap, 9).alias("spread"), (-F.col("bin")).alias("first")))
+    # triangle, mirrored if the longer tail is behind the peak
+    flip = (F.col("peak") - F.col("first")) < (F.col("last") - F.col("peak"))
+    mirrored = lambda c: F.when(flip, bins - 1 - F.col(c)).otherwise(F.col(c))
+    at, top_at, low_at = mirrored("bin"), mirrored("peak"), F.when(flip, bins - 1 - F.col("last")).otherwise(F.col("first"))
+    width = top_at - low_at
+    share, peak_share = F.col("n") / F.col("total"), F.col("top") / F.col("total")
+    length = F.sqrt(peak_share * peak_share + width * width)
+    far = F.round(peak_share / length * (at - low_at) - width / length * share, 9)
+    below = F.when((at >= low_at) & (at < top_at), F.struct(far.alias("far"), (-at).alias("first")))
+    h = h.select(*by, "center", spread.alias("spread"), below.alias("below"))
+    return h.groupBy(*by).agg(F.max_by("center", "below").alias("triangle"), F.max_by("center", "spread").alias("otsu"))
+
+
 def otsu(df: DataFrame, by: list[str], value: str, bins: int = 256) -> DataFrame:
     """by, threshold: centre of the first bin with the greatest between-class variance."""
-    h = histogram(df, by, value, bins).withColumn("center", F.col("low") + (F.col("bin") + 0.5) * F.col("width"))
-    up = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*by).orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
-    moment = F.col("n") * F.col("center")
-    h = h.select(*by, "bin", "center", F.sum("n").over(up).alias("w1"), F.sum("n").over(after).alias("w2"), F.sum(moment).over(up).alias("s1"), F.sum(moment).over(after).alias("s2"))
-    h = h.where("w1 > 0 and w2 > 0")
-    gap = F.col("s1") / F.col("w1") - F.col("s2") / F.col("w2")
-    spread = F.col("w1").cast("double") * F.col("w2") * gap * gap
-    best = h.withColumn("spread", F.round(spread, 9)).groupBy(*by).agg(F.max_by("center", F.struct("spread", -F.col("bin"))).alias("threshold"))
-    return best
+    return _both(df, by, value, bins).select(*by, F.col("otsu").alias("threshold")).where("threshold is not null")
 
 
 def triangle(df: DataFrame, by: list[str], value: str, bins: int = 256) -> DataFrame:
     """by, threshold: centre of the bin farthest from the line between the peak and the end of the longer tail."""
-    h = histogram(df, by, value, bins)
-    shape = h.groupBy(*by).agg(
-        F.max_by("bin", F.struct("n", -F.col("bin"))).alias("peak"),
-        F.max("n").alias("top"),
-        F.min(F.when(F.col("n") > 0, F.col("bin"))).alias("first"),
-        F.max(F.when(F.col("n") > 0, F.col("bin"))).alias("last"),
-        F.sum("n").alias("total"),
-    )
-    h = h.join(shape, by) if by else h.crossJoin(F.broadcast(shape))
-    flip = (F.col("peak") - F.col("first")) < (F.col("last") - F.col("peak"))
-    h = h.withColumn("flip", flip)
-    mirrored = lambda c: F.when(F.col("flip"), bins - 1 - F.col(c)).otherwise(F.col(c))
-    h = h.withColumn("at", mirrored("bin")).withColumn("top_at", mirrored("peak")).withColumn("low_at", F.when(F.col("flip"), bins - 1 - F.col("last")).otherwise(F.col("first")))
-    width = F.col("top_at") - F.col("low_at")
-    share, peak_share = F.col("n") / F.col("total"), F.col("top") / F.col("total")
-    length = F.sqrt(peak_share * peak_share + width * width)
-    distance = peak_share / length * (F.col("at") - F.col("low_at")) - width / length * share
-    inside = h.where((F.col("at") >= F.col("low_at")) & (F.col("at") < F.col("top_at"))).withColumn("distance", F.round(distance, 9))
-    center = F.col("low") + (F.col("bin") + 0.5) * F.col("width")
-    return inside.groupBy(*by).agg(F.max_by(center, F.struct("distance", -F.col("at"))).alias("threshold"))
+    return _both(df, by, value, bins).select(*by, F.col("triangle").alias("threshold")).where("threshold is not null")
 
 
 def smaller_of_both(df: DataFrame, by: list[str], value: str, bins: int = 256) -> DataFrame:
     """by, triangle, otsu, threshold: the smaller of both where both exist."""
-    t, o = triangle(df, by, value, bins).withColumnRenamed("threshold", "triangle"), otsu(df, by, value, bins).withColumnRenamed("threshold", "otsu")
-    return t.join(o, by, "full").select(*by, "triangle", "otsu", F.least("triangle", "otsu").alias("threshold"))
+    return _both(df, by, value, bins).select(*by, "triangle", "otsu", F.least("triangle", "otsu").alias("threshold")).where("threshold is not null")
 
 
 def gamma(df: DataFrame, by: list[str], value: str, bins: int = 256) -> DataFrame:

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxframe.operators.order import numbered
+from voxframe.operators.stencil import offsets, shifted
+
 
 def reflect_index(n: int, reach: int) -> np.ndarray:
     """Indices -reach .. n + reach - 1 folded back at both ends, the edge sample repeated."""
@@ -31,20 +34,24 @@ def gaussian_weights(sigma: float, truncate: float = 3.0, order: int = 0) -> np.
     return w if order == 0 else w * (x**2 / sigma**4 - 1 / sigma**2)
 
 
-def smooth(image: np.ndarray, sigma: float) -> np.ndarray:
-    if sigma <= 0:
-        return image
-    for axis in range(image.ndim):
-        image = convolve(image, gaussian_weights(sigma), axis)
+def _per_axis(sigma: float | tuple[float, ...], dims: int) -> tuple[float, ...]:
+    return sigma if isinstance(sigma, tuple) else (sigma,) * dims
+
+
+def smooth(image: np.ndarray, sigma: float | tuple[float, ...]) -> np.ndarray:
+    for axis, s in enumerate(_per_axis(sigma, image.ndim)):
+        if s > 0:
+            image = convolve(image, gaussian_weights(s), axis)
     return image
 
 
-def laplace_of_gaussian(image: np.ndarray, sigma: float) -> np.ndarray:
+def laplace_of_gaussian(image: np.ndarray, sigma: float | tuple[float, ...]) -> np.ndarray:
     total = np.zeros_like(image)
+    per_axis = _per_axis(sigma, image.ndim)
     for axis in range(image.ndim):
         part = image
-        for other in range(image.ndim):
-            part = convolve(part, gaussian_weights(sigma, 4.0, 2 if other == axis else 0), other)
+        for other, s in enumerate(per_axis):
+            part = convolve(part, gaussian_weights(s, 4.0, 2 if other == axis else 0), other)
         total += part
     return total
 
@@ -75,6 +82,58 @@ class LaplaceOfGaussian:
         return best / (best.max() + 1e-12) / 10
 
 
+@dataclass(frozen=True)
+class ScaleSpace:
+    """The image smoothed to each sigma, each by what is missing from the one before, and last its greatest bright-blob response.
+
+    sigmas are in cells of the last axes; `ratio` is how much finer a cell of the last axis is than one of the first (1 in 2D).
+    """
+
+    sigmas: tuple[float, ...]
+    ratio: float = 1.0
+
+    def vector(self, sigma: float, dims: int) -> tuple[float, ...]:
+        return (sigma * self.ratio,) * (dims - 2) + (sigma, sigma)
+
+    def __call__(self, image: np.ndarray) -> list[np.ndarray]:
+        out, now, last = [], image, (0.0,) * image.ndim
+        for s in self.sigmas:
+            vector = self.vector(s, image.ndim)
+            now = smooth(now, tuple(max(0.0, a * a - b * b) ** 0.5 for a, b in zip(vector, last, strict=True)))
+            last = vector
+            out.append(now)
+        blob = np.max([-(s**2) * laplace_of_gaussian(image, self.vector(s, image.ndim)) for s in self.sigmas], axis=0)
+        return [*out, blob]
+
+
+@dataclass(frozen=True)
+class MeanFilter:
+    """The mean of each cell's window of three in every direction, edges repeated."""
+
+    def __call__(self, image: np.ndarray) -> np.ndarray:
+        for axis in range(image.ndim):
+            image = convolve(image, np.full(3, 1 / 3), axis)
+        return image
+
+
+@dataclass(frozen=True)
+class FillHoles:
+    """1 in the mask and wherever no path of cells beside each other leads out of the frame around it."""
+
+    def __call__(self, image: np.ndarray) -> np.ndarray:
+        mask = np.pad(image > 0, 1)
+        out = np.zeros_like(mask)
+        out[(0,) * mask.ndim] = True
+        while True:
+            grown = out.copy()
+            for axis in range(mask.ndim):
+                grown |= np.roll(out, 1, axis) | np.roll(out, -1, axis)
+            grown &= ~mask
+            if (grown == out).all():
+                return (~out)[(slice(1, -1),) * mask.ndim].astype(float)
+            out = grown
+
+
 def window_max(image: np.ndarray, reach: int = 1) -> np.ndarray:
     for axis in range(image.ndim):
         n = image.shape[axis]
@@ -88,11 +147,12 @@ class LogPeaks:
     """Marks 1 where some scale's response is a positive window maximum above every response that peaked before."""
 
     sigmas: tuple[float, ...]
+    ratio: float = 1.0
 
     def __call__(self, image: np.ndarray) -> np.ndarray:
         best, marks = np.zeros_like(image), np.zeros_like(image)
         for s in self.sigmas:
-            response = np.clip(-(s**2) * laplace_of_gaussian(image, s), 0, None)
+            response = np.clip(-(s**2) * laplace_of_gaussian(image, ScaleSpace((), self.ratio).vector(s, image.ndim)), 0, None)
             peak = (response == window_max(response)) & (response > best)
             best[peak] = response[peak]
             marks[peak] = 1
@@ -122,19 +182,75 @@ class Thinning:
         return mask[1:-1, 1:-1].astype(float)
 
 
-def frame_kernel(df: DataFrame, frame: list[str], value: str, kernel, axes: tuple[str, ...] = ("y", "x")) -> DataFrame:
+_CUBE = np.array([(z, y, x) for z in range(3) for y in range(3) for x in range(3)])
+_FACES = np.abs(_CUBE[:, None] - _CUBE[None]).sum(axis=2) == 1
+_TOUCH = np.abs(_CUBE[:, None] - _CUBE[None]).max(axis=2) == 1
+_MIDDLE = 13
+_NEAR_FACE = np.abs(_CUBE - 1).sum(axis=1) <= 2  # shares a face or an edge with the middle
+
+
+def _parts(cells: np.ndarray, beside: np.ndarray, seeds: np.ndarray) -> int:
+    """Components of the cells (a mask over the cube) that hold a seed."""
+    left, count = cells.copy(), 0
+    for s in np.flatnonzero(cells & seeds):
+        if not left[s]:
+            continue
+        count += 1
+        edge = np.zeros(27, bool)
+        edge[s] = True
+        while edge.any():
+            left &= ~edge
+            edge = beside[edge].any(axis=0) & left
+    return count
+
+
+def is_simple(cube: np.ndarray) -> bool:
+    """Whether the middle of a 3 x 3 x 3 mask can go without cutting, joining, opening or closing anything: one 26-connected part of
+    the mask touches it, and one 6-connected part of the background within its 18 neighbours lies on its faces."""
+    flat = cube.reshape(27)
+    on = flat.copy()
+    on[_MIDDLE] = False
+    if _parts(on, _TOUCH, np.ones(27, bool)) != 1:
+        return False
+    off = ~flat & _NEAR_FACE
+    return _parts(off, _FACES, _FACES[_MIDDLE]) == 1
+
+
+@dataclass(frozen=True)
+class Thinning3D:
+    """Thinning of a 3D mask to lines: border cells go from each of six sides in turn while they are simple and no line's end."""
+
+    def __call__(self, image: np.ndarray) -> np.ndarray:
+        mask = np.pad(image > 0, 1)
+        changed = True
+        while changed:
+            changed = False
+            for axis in range(3):
+                for side in (1, -1):
+                    for z, y, x in np.argwhere(mask & ~np.roll(mask, side, axis)):
+                        cube = mask[z - 1 : z + 2, y - 1 : y + 2, x - 1 : x + 2]
+                        if cube.sum() > 2 and is_simple(cube):
+                            mask[z, y, x] = False
+                            changed = True
+        return mask[1:-1, 1:-1, 1:-1].astype(float)
+
+
+def frame_kernel(df: DataFrame, frame: list[str], value: str, kernel, axes: tuple[str, ...] = ("y", "x"), outputs: list[str] | None = None) -> DataFrame:
     """df's frame, axes and value with the kernel run over each dense frame; absent cells count as 0.
 
-    One frame (or tile with its halo, see tiles) is one task's input.
+    One frame (or tile with its halo, see tiles) is one task's input. A kernel that returns several images gives a column for
+    each of `outputs`.
     """
     fields = [df.schema[c] for c in [*frame, *axes]]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + f", {value} double"
+    names = outputs or [value]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + [f"{c} double" for c in names])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         at = tuple(pdf[a].to_numpy() for a in axes)
         image = np.zeros([int(a.max()) + 1 for a in at])
         image[at] = pdf[value].to_numpy()
-        return pdf[[*frame, *axes]].assign(**{value: kernel(image)[at]})
+        made = kernel(image) if outputs else [kernel(image)]
+        return pdf[[*frame, *axes]].assign(**{c: m[at] for c, m in zip(names, made, strict=True)})
 
     return df.select(*frame, *axes, value).groupBy(*frame).applyInPandas(run, schema)
 
@@ -171,7 +287,7 @@ def frobenius(df: DataFrame, frame: list[str], parts: list[str]) -> DataFrame:
     total = F.lit(0.0)
     for p in parts:
         total = total + F.col(p) * F.col(p)
-    return df.join(top, frame).withColumn("norm", F.sqrt(total) / F.col("_top")).drop("_top")
+    return df.join(top, frame).withColumn("norm", F.when(F.col("_top") > 0, F.sqrt(total) / F.col("_top")).otherwise(0.0)).drop("_top")
 
 
 def cumulative(h: DataFrame, by: list[str], order: str, n: str) -> DataFrame:
@@ -194,22 +310,24 @@ def mask_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def every_kth(df: DataFrame, order: list[str], stride: int, most: int) -> DataFrame:
-    """Rows 1, 1 + stride, .. of df in order, at most `most` of them; a report, so its order is global."""
-    return df.withColumn("_k", F.row_number().over(Window.orderBy(*order))).where(F.pmod("_k", F.lit(stride)) == 1).orderBy("_k").limit(most).drop("_k")
+    """Rows 1, 1 + stride, .. of df in order, at most `most` of them."""
+    placed = numbered(df, order, "_k").where((F.pmod("_k", F.lit(stride)) == 0) & (F.col("_k") < F.lit(stride * most)))
+    return placed.drop("_k")
 
 
 def distance(df: DataFrame, frame: list[str], mask: str, most: float, axes: tuple[str, ...] = ("y", "x")) -> DataFrame:
     """frame, axes, distance of each mask cell to the nearest cell outside, in cells, clamped to `most`.
 
-    Exact and windowed: only cells within `most` are looked at, so a cell meets a bounded number of others.
+    Exact and windowed: a cell's nearest one outside always has a cell of the mask beside it, so only such border cells travel, and
+    only as far as `most`.
     """
-    from voxframe.operators.stencil import offsets, shifted
-
     reach = int(np.ceil(most))
     steps = [s for s in offsets(len(axes), reach) if 0 < sum(v * v for v in s) <= most * most]
     inside, outside = df.where(mask).select(*frame, *axes), df.where(~F.col(mask)).select(*frame, *axes)
+    beside = [s for s in offsets(len(axes), 1, True) if any(s)]
+    edge = outside.join(shifted(inside, axes, beside), [*frame, *axes], "left_semi")
     home = [F.col(a).alias(f"_{a}") for a in axes]
-    near = shifted(outside.select(*frame, *axes, *home), axes, steps)
+    near = shifted(edge.select(*frame, *axes, *home), axes, steps)
     gap = F.lit(0.0)
     for a in axes:
         gap = gap + (F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}"))
@@ -243,17 +361,3 @@ def solidity(labelled: DataFrame, by: list[str]) -> DataFrame:
         return pdf[by].head(1).assign(solidity=len(at) / hull_area(at))
 
     return labelled.select(*by, "y", "x").groupBy(*by).applyInPandas(run, schema)
-
-
-def eigen_3d(df: DataFrame) -> DataFrame:
-    """l1, l2, l3 (by absolute value) of the symmetric matrix with diagonal a, b, a + b and 0.1 off it, in batches."""
-
-    def run(batches):
-        for pdf in batches:
-            m = np.full((len(pdf), 3, 3), 0.1)
-            m[:, 0, 0], m[:, 1, 1], m[:, 2, 2] = pdf["a"], pdf["b"], pdf["a"] + pdf["b"]
-            e = np.linalg.eigvalsh(m)
-            e = np.take_along_axis(e, np.abs(e).argsort(axis=1), axis=1).round(6)
-            yield pdf[["t", "y", "x"]].assign(l1=e[:, 0], l2=e[:, 1], l3=e[:, 2])
-
-    return df.mapInPandas(run, "t long, y int, x int, l1 double, l2 double, l3 double")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.operators.regions import components, half_offsets
+from voxframe.operators.spatial import nearest_any
 from voxframe.operators.stencil import pixel_class
 
 
@@ -62,17 +63,16 @@ def branch_geometry(nodes: DataFrame, frame: list[str], label: str, axes: tuple[
     )
 
 
-def nearest_seed(voxels: DataFrame, seeds: DataFrame, by: list[str], axes: tuple[str, ...], spacing: tuple[float, ...], seed: str) -> DataFrame:
+def nearest_seed(voxels: DataFrame, seeds: DataFrame, by: list[str], axes: tuple[str, ...], spacing: tuple[float, ...], seed: str, cell: float = 4.0) -> DataFrame:
     """voxels and the seed nearest within their object (straight distance), the smaller seed on a tie.
 
-    Voxels of objects without a seed drop out. The join is by object, so its cost follows the objects' own sizes.
+    Voxels of objects without a seed drop out. Objects are searched in rings of `cell` widths of a voxel and more, so a voxel meets the
+    seeds around it and not all of a large object.
     """
-    right = seeds.select(*by, *[F.col(a).alias(f"_{a}") for a in axes], seed)
-    pairs = voxels.select(*by, *axes).join(right, by)
-    d: Column = F.lit(0.0)
-    for a, s in zip(axes, spacing, strict=True):
-        d = d + (F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) * s * s
-    return pairs.groupBy(*by, *axes).agg(F.min(F.struct(F.round(d, 9).alias("d"), F.col(seed).alias("s"))).alias("b")).select(*by, *axes, F.col("b.s").alias(seed))
+    place = lambda df, *more: df.select(*by, *more, *[(F.col(a) * F.lit(float(s))).alias(f"_{a}") for a, s in zip(axes, spacing, strict=True)])
+    left = place(voxels, *axes, F.struct(*axes).alias("_voxel"))
+    found = nearest_any(left.select(*by, "_voxel", *[f"_{a}" for a in axes]), place(seeds, seed), by, tuple(f"_{a}" for a in axes), cell * max(spacing), "_voxel", seed)
+    return found.select(*by, *[F.col(f"_voxel.{a}").alias(a) for a in axes], F.col(f"nearest_{seed}").alias(seed))
 
 
 def without_skeleton(objects: DataFrame, skeleton: DataFrame, by: list[str]) -> DataFrame:

@@ -10,34 +10,50 @@ from pyspark.sql import functions as F
 from voxframe.plans.session import checkpointed
 
 
+def _roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of each node's component: links to lesser roots, shortened until all nodes point at their root."""
+    root = np.arange(count)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def label_cells(frame: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Labels 1.. in scan order, anew in each frame, of the full-connectivity components of cells (rows of at) of numbered frames."""
+    if not len(at):
+        return np.zeros(0, np.int32)
+    at = at - at.min(axis=0) + 1
+    shape = at.max(axis=0) + 2  # a free cell on every side, so that no step leads into another line
+    weight = np.append(np.cumprod(shape[:0:-1].astype(np.int64))[::-1], 1)
+    key = frame.astype(np.int64) * int(np.prod(shape.astype(object))) + at @ weight
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    near = [np.zeros((2, 0), np.int64)]
+    for step in half_offsets(at.shape[1]):
+        to = key + int(np.dot(step, weight))
+        spot = np.minimum(np.searchsorted(key, to), len(key) - 1)
+        hit = np.flatnonzero(key[spot] == to)
+        near.append(np.stack([hit, spot[hit]]))
+    root = _roots(len(key), *np.concatenate(near, axis=1))
+    heads, rank = np.unique(root, return_inverse=True)
+    own = frame[order]
+    first = np.searchsorted(own[heads], own)  # the rank of each frame's first component
+    out = np.empty(len(key), np.int32)
+    out[order] = rank - first + 1
+    return out
+
+
 def label_grid(mask: np.ndarray) -> np.ndarray:
-    """Labels 1.. in scan order of the full-connectivity components of a 2D or 3D mask; union-find over run pairs."""
-    shape = mask.shape
-    flat = np.flatnonzero(mask)
-    parent = np.arange(len(flat))
-    where = np.full(mask.size, -1)
-    where[flat] = np.arange(len(flat))
-    coords = np.array(np.unravel_index(flat, shape))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for step in half_offsets(len(shape)):
-        to = coords - np.array(step)[:, None]
-        inside = ((to >= 0) & (to < np.array(shape)[:, None])).all(axis=0)
-        other = np.full(len(flat), -1)
-        other[inside] = where[np.ravel_multi_index(tuple(to[:, inside]), shape)]
-        for i in np.flatnonzero(other >= 0):
-            a, b = find(i), find(other[i])
-            parent[max(a, b)] = min(a, b)
-    roots = np.array([find(i) for i in range(len(flat))], dtype=np.int64)
-    out = np.zeros(mask.size, np.int32)
-    if len(flat):
-        out[flat] = np.unique(roots, return_inverse=True)[1] + 1
-    return out.reshape(shape)
+    """Labels 1.. in scan order of the full-connectivity components of a dense mask; 0 outside."""
+    at = np.argwhere(mask)
+    out = np.zeros(mask.shape, np.int32)
+    out[tuple(at.T)] = label_cells(np.zeros(len(at), np.int64), at)
+    return out
 
 
 def half_offsets(dims: int) -> list[tuple[int, ...]]:
@@ -49,20 +65,30 @@ def half_offsets(dims: int) -> list[tuple[int, ...]]:
 def components(voxels: DataFrame, frame: list[str], axes: list[str]) -> DataFrame:
     """frame, axes, label of each voxel row: full connectivity, labels from 1 in each frame in scan order.
 
-    A frame is one task's input: the sparse voxels of one time point. Volumes beyond that are cut into tiles
-    (see components_tiled).
+    A task labels all frames of a batch at once, sparse cells and no grid; a frame is never split between tasks, so volumes beyond
+    a task's memory are cut into tiles (see components_tiled).
     """
     fields = [voxels.schema[c] for c in [*frame, *axes]]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", label int"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[axes].to_numpy()
-        low = at.min(axis=0)
-        mask = np.zeros(at.max(axis=0) - low + 1, bool)
-        mask[tuple((at - low).T)] = True
-        return pdf.assign(label=label_grid(mask)[tuple((at - low).T)])
-
-    return voxels.select(*frame, *axes).groupBy(*frame).applyInPandas(run, schema)
+    def labelled(pdf: pd.DataFrame) -> pd.DataFrame:
+        number = pdf.groupby(frame, sort=False, dropna=False).ngroup().to_numpy()
+        return pdf.assign(label=label_cells(number, pdf[axes].to_numpy(np.int64)))
+
+    def run(batches):
+        held = None  # rows of the last frame seen, which may go on in the next batch
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf[frame].eq(pdf[frame].iloc[-1]).all(axis=1).to_numpy()
+            held = pdf[last]
+            if not last.all():
+                yield labelled(pdf[~last])
+        if held is not None:
+            yield labelled(held)
+
+    return voxels.select(*frame, *axes).repartition(*frame).sortWithinPartitions(*frame).mapInPandas(run, schema)
 
 
 def components_tiled(voxels: DataFrame, frame: list[str], axes: list[str], tile: int) -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.plans.session import checkpointed
+
 
 def _distance(axes: tuple[str, ...]) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [(F.col(f"l_{a}") - F.col(f"r_{a}")) * (F.col(f"l_{a}") - F.col(f"r_{a}")) for a in axes]))
@@ -37,15 +39,23 @@ def nearest_within(left: DataFrame, right: DataFrame, on: list[str], axes: tuple
 
 
 def nearest_any(left: DataFrame, right: DataFrame, on: list[str], axes: tuple[str, ...], cell: float, left_id: str, right_id: str) -> DataFrame:
-    """Each left row's nearest right row at whatever distance: rings of doubling radius, only open rows go on."""
-    open_rows, done, radius = left, None, cell
+    """Each left row's nearest right row at whatever distance, the smaller id on a tie.
+
+    Rings of doubling radius: only rows still open go on, and in later rounds it is they that go to the neighbouring cells, so a
+    round costs what the open rows cost. Each round is written, so none is computed twice. Rows of groups without a right row drop out.
+    """
+    found = checkpointed(nearest_within(left, right, on, axes, cell, left_id, right_id, strict=False))
+    rest = left.join(right.select(*on).distinct(), on, "left_semi")
+    done, radius = found, cell
     while True:
-        found = nearest_within(open_rows, right, on, axes, radius, left_id, right_id, strict=False)
-        done = found if done is None else done.unionByName(found)
-        open_rows = open_rows.join(right.select(*on).distinct(), on, "left_semi").join(found.select(*on, left_id), [*on, left_id], "left_anti")
-        if open_rows.isEmpty():
+        rest = checkpointed(rest.join(found.select(*on, left_id), [*on, left_id], "left_anti"))
+        if rest.isEmpty():
             return done
-        radius *= 4
+        radius *= 2
+        pairs = radius_join(right, rest, on, axes, radius)  # the second side is the one that is spread
+        best = pairs.groupBy(*on, F.col(f"r_{left_id}").alias(left_id)).agg(F.min(F.struct(F.round("distance", 9).alias("d"), F.col(f"l_{right_id}").alias("id"))).alias("b"))
+        found = checkpointed(best.select(*on, left_id, F.col("b.id").alias(f"nearest_{right_id}"), F.col("b.d").alias("distance")))
+        done = done.unionByName(found)
 
 
 def box_join(points: DataFrame, boxes: DataFrame, on: list[str], axes: tuple[str, ...], cell: int) -> DataFrame:

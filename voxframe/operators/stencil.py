@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,6 +80,33 @@ def eigen_2d(yy: Column, yx: Column, xx: Column) -> tuple[Column, Column]:
     return F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
 
 
+def hessian_3d(df: DataFrame, frame: list[str], value: str = "v", spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """gzz, gzy, gzx, gyy, gyx, gxx: gradients of the gradients of frames with a z axis."""
+    axes = ("z", "y", "x")
+    g = df
+    for a, s in zip(axes, spacing, strict=True):
+        g = gradient(g, frame, a, [b for b in axes if b != a], value, f"g{a}", s)
+    for i, a in enumerate(axes):
+        for b, s in list(zip(axes, spacing, strict=True))[i:]:
+            g = gradient(g, frame, b, [c for c in axes if c != b], f"g{a}", f"g{a}{b}", s)
+    return g
+
+
+def eigen_3d(zz: Column, zy: Column, zx: Column, yy: Column, yx: Column, xx: Column) -> tuple[Column, Column, Column]:
+    """Eigenvalues of a symmetric 3 x 3 matrix by the cosines of its characteristic cubic, in the order of their absolute values."""
+    q = (zz + yy + xx) / 3
+    off = zy * zy + zx * zx + yx * yx
+    a, b, c = zz - q, yy - q, xx - q
+    p = F.sqrt((a * a + b * b + c * c + 2 * off) / 6)
+    det = a * (b * c - yx * yx) - zy * (zy * c - yx * zx) + zx * (zy * yx - b * zx)
+    r = F.when(p > 0, F.greatest(F.least(det / (2 * p * p * p), F.lit(1.0)), F.lit(-1.0))).otherwise(0.0)
+    turn = F.acos(r) / 3
+    most = q + 2 * p * F.cos(turn)
+    least = q + 2 * p * F.cos(turn + F.lit(2 * math.pi / 3))
+    by_size = F.array_sort(F.array(*[F.struct(F.abs(e).alias("size"), e.alias("e")) for e in (most, 3 * q - most - least, least)]))
+    return tuple(by_size[k]["e"] for k in range(3))
+
+
 def vesselness_2d(l1: Column, l2: Column, gamma_sq: Column, beta_sq: float = 0.5) -> Column:
     """Tube response of the eigenvalues (smaller absolute value first); 0 where the larger is positive."""
     blob = F.pow(F.abs(l1) / (F.abs(l2) + 1e-12), F.lit(2.0))

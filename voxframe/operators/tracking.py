@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxframe.operators.order import numbered
 from voxframe.operators.spatial import nearest_within, radius_join
+from voxframe.plans.session import checkpointed
 
 
 def _shift_frame(df: DataFrame, by: int) -> DataFrame:
@@ -68,12 +70,11 @@ def interpolate(points: DataFrame, flow: DataFrame, axes: tuple[str, ...], radiu
     else:
         anchors = _shift_frame(flow, 1).select("t", *[(F.col(a) + F.col(f"d{a}")).alias(a) for a in axes], *[f"d{a}" for a in axes], "cost")
     near = radius_join(points.select("t", "id", *axes), anchors, ["t"], axes, radius)
-    exact = near.groupBy("t", "l_id").agg(F.min("distance").alias("least"))
-    near = near.join(exact, ["t", "l_id"])
+    point = Window.partitionBy("t", "l_id")  # a point's neighbours; one shuffle for both minima and the mean
+    near = near.withColumn("least", F.min("distance").over(point))
     by_distance = F.when(F.col("least") == 0, (F.col("distance") == 0).cast("double")).otherwise(1 / F.when(F.col("distance") != 0, F.col("distance")))
     near = near.withColumn("w", -F.col("r_cost") * by_distance)
-    low = near.groupBy("t", "l_id").agg(F.min("w").alias("low"))
-    near = near.join(low, ["t", "l_id"]).withColumn("w", F.col("w") - F.col("low") + 1)
+    near = near.withColumn("w", F.col("w") - F.min("w").over(point) + 1)
     total = F.sum("w")
     return near.groupBy("t", F.col("l_id").alias("id")).agg(*[(F.sum(F.col("w") * F.col(f"r_d{a}")) / total).alias(f"d{a}") for a in axes], F.count("*").alias("neighbours"))
 
@@ -112,8 +113,7 @@ def reassign_chain(candidates: DataFrame, labels: DataFrame, first: int, last: i
     One join a frame, bounded by the number of frames; each step is written, so no lineage grows. Voxels
     without a vote get 0, and so does everything after a frame pair without matches.
     """
-    from voxframe.plans.session import checkpointed
-
+    candidates, labels = checkpointed(candidates), checkpointed(labels)
     state = labels.where(F.col("t") == first).select("t", "id", "label")
     out = state
     for t in range(first, last):
@@ -125,13 +125,19 @@ def reassign_chain(candidates: DataFrame, labels: DataFrame, first: int, last: i
 
 
 def extend_tracks(seeds: DataFrame, flow: DataFrame, axes: tuple[str, ...], radius: float, steps: int, forward: bool = True) -> DataFrame:
-    """track_id, t, axes, frame_num: seeds carried along the flow frame by frame, ending where no flow is near."""
-    now = seeds.select(F.col("id").alias("track_id"), "t", *axes)
+    """track_id, t, axes, frame_num: seeds carried along the flow frame by frame, at most `steps` of them, ending where no flow is near.
+
+    Seeds may lie in several frames: all go on at once, each from its own. The flow and each step are written, so a plan holds one step.
+    """
+    flow = checkpointed(flow)
+    now = checkpointed(seeds.select(F.col("id").alias("track_id"), "t", *axes))
     out, sign = now, 1 if forward else -1
     for _ in range(steps):
-        moved = interpolate(now.withColumnRenamed("track_id", "id"), flow, axes, radius, forward)
-        joined = now.withColumnRenamed("track_id", "id").join(moved, ["t", "id"])
-        now = joined.select(F.col("id").alias("track_id"), (F.col("t") + sign).cast("int").alias("t"), *[(F.col(a) + sign * F.col(f"d{a}")).alias(a) for a in axes])
+        here = now.withColumnRenamed("track_id", "id")
+        joined = here.join(interpolate(here, flow, axes, radius, forward), ["t", "id"])
+        now = checkpointed(joined.select(F.col("id").alias("track_id"), (F.col("t") + sign).cast("int").alias("t"), *[(F.col(a) + sign * F.col(f"d{a}")).alias(a) for a in axes]))
+        if now.isEmpty():
+            break
         out = out.unionByName(now)
     return out.withColumn("frame_num", F.col("t"))
 
@@ -162,6 +168,53 @@ def accelerations(fw: DataFrame, bw: DataFrame, axes: tuple[str, ...], dt: float
     return fw.join(right, ["t", "id"]).select("t", "id", (F.sqrt(gap) / dt).alias("linear_acc"))
 
 
+def _turn(a: list[Column], b: list[Column], dt: float) -> list[Column]:
+    """Angular velocity from position a to b, seen from the origin: one signed number in 2D, a vector in 3D; null where a position is the origin."""
+    from voxframe.functions.scalar import norm, wrap_angle
+
+    if len(a) == 2:
+        return [wrap_angle(F.atan2(b[1], b[0]) - F.atan2(a[1], a[0])) / dt]
+    size = norm(*a) * norm(*b)
+    return [F.when(size > 0, (a[(i + 1) % 3] * b[(i + 2) % 3] - a[(i + 2) % 3] * b[(i + 1) % 3]) / size) / dt for i in range(3)]
+
+
+def motility(voxels: DataFrame, fw: DataFrame, bw: DataFrame, axes: tuple[str, ...], spacing: tuple[float, ...], dt: float) -> DataFrame:
+    """t, id and nine speeds of each voxel (t, id, axes, branch): velocity, acceleration, both linear and angular, also relative to its branch.
+
+    fw, bw: physical flow d<axis> at the voxels, to the next frame and from the last one. Velocities are of the forward step; accelerations
+    need both steps. Relative ones are seen from the branch's voxel of least displacement in that step (label 0 is a branch as well);
+    rel_directionality compares the distances to it after and before. Null where a step is missing.
+    """
+    from voxframe.functions.scalar import norm
+
+    at = voxels.select("t", "id", "branch", *[(F.col(a) * F.lit(float(s))).alias(a) for a, s in zip(axes, spacing, strict=True)])
+    for flow, k in ((fw, "f"), (bw, "b")):
+        moved = at.select("t", "id", "branch").join(flow.select("t", "id", *[f"d{a}" for a in axes]), ["t", "id"])
+        ref = reference_voxels(moved, ["t", "branch"], axes).select("t", "branch", F.col("ref").alias("id"))
+        mid = moved.join(ref, ["t", "branch", "id"], "left_semi").join(at.select("t", "id", *axes), ["t", "id"])
+        mid = mid.select("t", "branch", *[F.col(a).alias(f"{k}r_{a}") for a in axes], *[F.col(f"d{a}").alias(f"{k}rd_{a}") for a in axes])
+        at = at.join(moved.select("t", "id", *[F.col(f"d{a}").alias(f"{k}_{a}") for a in axes]), ["t", "id"], "left").join(mid, ["t", "branch"], "left")
+
+    here = [F.col(a) for a in axes]
+    step = {k: [F.col(f"{k}_{a}") for a in axes] for k in "fb"}
+    ends = {"f": (here, [h + d for h, d in zip(here, step["f"], strict=True)]), "b": ([h - d for h, d in zip(here, step["b"], strict=True)], here)}
+    from_ref = {}
+    for k in "fb":
+        mid = [F.col(f"{k}r_{a}") for a in axes]
+        hop = [F.col(f"{k}rd_{a}") for a in axes]
+        first, then = (mid, [m + d for m, d in zip(mid, hop, strict=True)]) if k == "f" else ([m - d for m, d in zip(mid, hop, strict=True)], mid)
+        from_ref[k] = [x - m for x, m in zip(ends[k][0], first, strict=True)], [x - m for x, m in zip(ends[k][1], then, strict=True)]
+    out = []
+    for name, both in (("", ends), ("rel_", from_ref)):
+        linear = {k: [(b - a) / dt for a, b in zip(*both[k], strict=True)] for k in "fb"}
+        angular = {k: _turn(*both[k], dt) for k in "fb"}
+        gap = lambda v: [(x - y) / dt for x, y in zip(v["f"], v["b"], strict=True)]
+        out += [norm(*linear["f"]).alias(f"{name}linear_vel"), norm(*angular["f"]).alias(f"{name}angular_vel"), norm(*gap(linear)).alias(f"{name}linear_acc"), norm(*gap(angular)).alias(f"{name}angular_acc")]
+    r1, r2 = norm(*from_ref["f"][0]), norm(*from_ref["f"][1])
+    out.append(F.when(r1 + r2 > 0, F.abs(r2 - r1) / (r1 + r2)).alias("rel_directionality"))
+    return at.select("t", "id", *out)
+
+
 def reference_voxels(vectors: DataFrame, by: list[str], axes: tuple[str, ...]) -> DataFrame:
     """by, ref: the voxel of least displacement of each branch, the first on a tie."""
     size = F.lit(0.0)
@@ -193,5 +246,4 @@ def label_hits(tracks: DataFrame, labelled: DataFrame, axes: tuple[str, ...]) ->
 def numbered_tracks(tracks: DataFrame) -> DataFrame:
     """track rows with gapless ids over frames: by first frame and seed."""
     first = tracks.groupBy("track_id").agg(F.min("t").alias("_t"))
-    ids = first.withColumn("number", (F.row_number().over(Window.orderBy("_t", "track_id")) - 1).cast("long"))
-    return tracks.join(ids.drop("_t"), "track_id")
+    return tracks.join(numbered(first, ["_t", "track_id"], "number").drop("_t"), "track_id")

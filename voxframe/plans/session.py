@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -22,21 +23,51 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or a temporary one where the session names none."""
+    """The folder of spark.checkpoint.dir; where the session names none, a temporary one in local mode, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="voxframe-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: its lineage ends there."""
+    """df written once to the shared folder and read back: its lineage ends there. The files go when the program ends, or by drop."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _WRITTEN:
+        atexit.register(_sweep)
+    _WRITTEN.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table made by checkpointed that no later plan reads."""
+    path = getattr(df, "_written_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _sweep() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone at exit
+            return
