@@ -24,6 +24,12 @@ def branch_to_organelle(voxels: DataFrame) -> DataFrame:
     return voxels.where("branch != 0").groupBy("t", "branch").agg(F.min_by("organelle", "id").alias("organelle"))
 
 
+def label_joins(voxels: DataFrame, branches: DataFrame, organelles: DataFrame) -> DataFrame:
+    """voxels with the columns of the branch and the organelle whose label they carry (tables t, label, ..); voxels of label 0 drop out."""
+    of = lambda df, level: df.withColumnsRenamed({"label": level} | {c: f"{level}_{c}" for c in df.columns if c not in ("t", "label")})
+    return voxels.join(of(branches, "branch"), ["t", "branch"]).join(of(organelles, "organelle"), ["t", "organelle"])
+
+
 def containment_edges(voxels: DataFrame) -> DataFrame:
     """t, kind, src, dst: voxel to branch and organelle, branch to organelle; labels as they are, above 0."""
     vb = voxels.where("branch > 0").select("t", F.lit("v_b").alias("kind"), F.col("id").alias("src"), F.col("branch").alias("dst"))

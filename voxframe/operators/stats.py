@@ -26,10 +26,10 @@ def smallest_mode(value: str) -> Column:
     return F.mode(value, True)
 
 
-def view(df: DataFrame, value: str, log: bool = False, robust: bool = False) -> DataFrame:
-    """Statistics of one feature: mean and std_dev, or quartiles with IQR; log takes positives only."""
+def view(df: DataFrame, value: str, log: bool = False, robust: bool = False, by: list[str] | None = None) -> DataFrame:
+    """Statistics of one feature, of all rows or of each group: mean and std_dev, or quartiles with IQR; log takes positives only."""
     x = log10_positive(F.col(value)) if log else F.col(value)
-    known = df.select(finite(x).alias("x")).where("x is not null")
+    known = df.select(*(by or []), finite(x).alias("x")).where("x is not null").groupBy(*(by or []))
     if robust:
         q = [F.percentile("x", p) for p in (0.25, 0.5, 0.75)]
         return known.agg(F.count("*").alias("n"), q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), (q[2] - q[0]).alias("iqr"))

@@ -12,6 +12,32 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("t", F.floor(F.col("p") / F.lit(8)).cast("int").alias("y"), (F.col("p") % 8).cast("int").alias("x"), F.col("e").cast("double").alias("v"))
 
 
+def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image, z, y, x, v: eight embeddings as a volume."""
+    return raster(spark, sf_dir).select(F.floor(F.col("t") / F.lit(8)).alias("image"), (F.col("t") % 8).cast("int").alias("z"), "y", "x", "v")
+
+
+def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """t, y, x, v: 64 embeddings as a frame of 64 x 64 cells; cells without one are 0."""
+    return _tiled(raster(spark, sf_dir), 64, 8, 1).drop("z")
+
+
+def mosaic_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """t, z, y, x, v: 128 embeddings as a frame of 8 x 32 x 32 cells; cells without one are 0."""
+    return _tiled(raster(spark, sf_dir), 128, 4, 8)
+
+
+def _tiled(cells: DataFrame, each: int, across: int, planes: int) -> DataFrame:
+    place = F.floor(F.col("t") / F.lit(planes)) % (across * across)
+    at = cells.select(
+        F.floor(F.col("t") / F.lit(each)).cast("int").alias("t"), (F.col("t") % planes).cast("int").alias("z"),
+        (F.floor(place / F.lit(across)) * 8 + F.col("y")).cast("int").alias("y"), (place % across * 8 + F.col("x")).cast("int").alias("x"), "v",
+    )
+    line = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    full = at.select("t").distinct().select("t", line("z", planes)).select("*", line("y", 8 * across)).select("*", line("x", 8 * across))
+    return full.join(at, ["t", "z", "y", "x"], "left").fillna(0.0, ["v"])
+
+
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as voxels: t, id, branch, organelle, intensity, structure, x."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_discount", "l_quantity")

@@ -2,49 +2,100 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxframe.functions import moments, thresholds
-from voxframe.operators import features, kernels, network, regions, stats, stencil, tracking
+from voxframe.operators import features, kernels, network, regions, spatial, stats, stencil, tracking
+from voxframe.plans.session import checkpointed
 from voxframe.sources.metadata import sigma_ladder
 
 
 @dataclass(frozen=True)
 class Config:
-    """Settings of a run; lengths in micrometres, times in seconds."""
+    """Settings of a run; lengths in micrometres, times in seconds. depth 0 means frames without a z axis."""
 
+    spacing_z: float = 1.0
     spacing_y: float = 1.0
     spacing_x: float = 1.0
     dt: float = 1.0
+    depth: int = 0
     height: int = 8
     width: int = 8
+    # filter
     least_radius: float = 0.25
     most_radius: float = 1.0
     bins: int = 256
-    frobenius_division: float = 2.0
+    alpha_sq: float = 0.5
     beta_sq: float = 0.5
-    least_object: int = 2
+    frobenius_threshold: float | None = None
+    frobenius_division: float = 2.0
+    remove_edges: bool = False
+    edge_margin: int = 15
+    # label
+    threshold: float | None = None
+    intensity_otsu: bool = False
+    label_radius: float = 0.25
+    least_object: int | None = None  # cells; None: those of a disc or ball of label_radius
+    smooth_mask: bool = True
+    # markers
+    least_marker_radius: float = 0.2
+    most_marker_radius: float = 1.0
+    peaks_from: str = "distance"
+    scales: int = 5
     peak_distance: int = 2
+    # track, reassign
     most_speed: float = 1.0
     match_speed: float = 0.5
     most_cost: float = 1.0
-    remove_edges: bool = False
-    edge_margin: int = 15
+    reassign: bool = True
+    # features
+    nodes: bool = True
+    motility: bool = True
+    adjacency: bool = True
+
+    @property
+    def axes(self) -> tuple[str, ...]:
+        return ("z", "y", "x") if self.depth else ("y", "x")
 
     @property
     def shape(self) -> dict[str, int]:
-        return {"y": self.height, "x": self.width}
+        return {a: n for a, n in (("z", self.depth), ("y", self.height), ("x", self.width)) if a in self.axes}
+
+    @property
+    def spacing(self) -> tuple[float, ...]:
+        return tuple(getattr(self, f"spacing_{a}") for a in self.axes)
+
+    @property
+    def sigmas(self) -> tuple[float, ...]:
+        """Scales of the filter, in cells."""
+        return tuple(sigma_ladder(self.least_radius / self.spacing_x, self.most_radius / self.spacing_x))
+
+    @property
+    def marker_sigmas(self) -> tuple[float, ...]:
+        return tuple(sigma_ladder(self.least_marker_radius / self.spacing_x, self.most_marker_radius / self.spacing_x, self.scales))
 
     @property
-    def spacing(self) -> tuple[float, float]:
-        return self.spacing_y, self.spacing_x
+    def least_cells(self) -> int:
+        """Cells of the smallest object that stays."""
+        if self.least_object is not None:
+            return self.least_object
+        r = max(self.label_radius, self.spacing_x)
+        volume = 4 / 3 * math.pi * r**3 if self.depth else math.pi * r * r
+        return max(1, math.ceil(volume / math.prod(self.spacing)))
 
     @property
-    def sigmas(self) -> list[float]:
-        return sigma_ladder(self.least_radius / self.spacing_x, self.most_radius / self.spacing_x)
+    def z_ratio(self) -> float:
+        """Sigma along z over sigma along x."""
+        return self.spacing_x / self.spacing_z
+
+    @property
+    def reach(self) -> float:
+        """Cells beyond which distances to the background count as equal."""
+        return max(1.0, 2 * self.most_marker_radius / self.spacing_x)
 
     @property
     def gate(self) -> float:
@@ -54,103 +105,306 @@ class Config:
     def match_gate(self) -> float:
         return max(self.match_speed * self.dt, 0.5)
 
+    @classmethod
+    def from_settings(cls, settings: dict, **layout) -> Config:
+        """The Config of saved settings by their public names (see plans.settings); those that leave the plan to Spark have no field."""
+        from voxframe.plans.settings import FIELDS
 
-YX = ("y", "x")
+        known = {f.name for f in fields(cls)}
+        given = {FIELDS[k]: v for k, v in settings.items() if FIELDS.get(k) in known and v is not None}
+        if given.get("peaks_from") not in (None, "distance"):
+            given["peaks_from"] = "vesselness"
+        if settings.get("feature_skip_nodes") is not None:
+            given["nodes"] = not settings["feature_skip_nodes"]
+        return cls(**(given | layout))
 
 
 class Engine:
-    """Each verb takes and returns DataFrames over (t, y, x); frames are independent up to tracking."""
+    """Each verb takes and returns DataFrames over (t, axes); frames are independent up to tracking."""
 
     def __init__(self, config: Config = Config()):
         self.config = config
 
+    def ordinal(self) -> Column:
+        """The place of a cell in its frame's scan order."""
+        out = F.lit(0).cast("long")
+        for a, n in self.config.shape.items():
+            out = out * n + F.col(a)
+        return out
+
     def vesselness(self, frames: DataFrame) -> DataFrame:
-        """t, y, x, v: response of the smoothed frames' Hessian, thresholds taken over whole frames."""
-        c = self.config
-        source = stencil.cut_edges(frames, ["t"], "v", c.edge_margin) if c.remove_edges else frames
-        best = None
-        for sigma in c.sigmas:
-            smooth = kernels.frame_kernel(source, ["t"], "v", kernels.Gaussian((sigma,)))
-            h = stencil.hessian_2d(smooth, ["t"], "v", c.spacing)
-            l1, l2 = stencil.eigen_2d(F.col("gyy"), F.col("gyx"), F.col("gxx"))
-            g = thresholds.gamma(smooth, ["t"], "v", c.bins)
-            one = h.select("t", *YX, l1.alias("l1"), l2.alias("l2")).join(g, "t")
-            one = one.select("t", *YX, stencil.vesselness_2d(F.col("l1"), F.col("l2"), 2 * F.col("gamma") * F.col("gamma"), c.beta_sq).alias("v"))
-            best = one if best is None else best.unionByName(one)
-        return best.groupBy("t", *YX).agg(F.max("v").alias("v"))
-
-    def label(self, frames: DataFrame, threshold: float | None = None) -> DataFrame:
-        """t, y, x, label of the components above the threshold (the frame's own if none is given)."""
-        if threshold is None:
-            bar = thresholds.log_threshold(frames, ["t"], "v", self.config.bins)
-            mask = frames.join(bar, "t").where("v > threshold")
+        """t, axes, v: the greatest tube response over all scales where every scale's Hessian is strong, cleaned by its own mask.
+
+        Scales are a column: a frame and a scale is what thresholds and windows work on, so all scales are one plan. In 2D bright blobs
+        count as well. Thresholds are of whole frames.
+        """
+        c, axes, scaled = self.config, self.config.axes, ["t", "k"]
+        names = [f"s{k}" for k in range(len(c.sigmas))]
+        space = kernels.frame_kernel(frames, ["t"], "v", kernels.ScaleSpace(c.sigmas, c.z_ratio), axes, [*names, "blob"])
+        space = checkpointed(space)
+        each = space.select("t", *axes, F.posexplode(F.array(*names)).alias("k", "v"))
+        gamma = thresholds.gamma(each, scaled, "v", c.bins)
+        if c.depth:
+            h = stencil.hessian_3d(each, scaled, "v", c.spacing)
+            parts = ["gzz", "gzy", "gzx", "gyy", "gyx", "gxx"]
+            norm = kernels.frobenius(h, scaled, ["gzz", "gyy", "gxx", *["gzy", "gzx", "gyx"] * 2])
+            response = stencil.vesselness_3d(F.col("l1"), F.col("l2"), F.col("l3"), 2 * F.col("gamma") * F.col("gamma"), c.alpha_sq, c.beta_sq)
+            eigen = stencil.eigen_3d(*map(F.col, parts))
+        else:
+            h = stencil.hessian_2d(each, scaled, "v", c.spacing)
+            norm = kernels.frobenius(h, scaled, ["gyy", "gyx", "gyx", "gxx"])
+            response = stencil.vesselness_2d(F.col("l1"), F.col("l2"), 2 * F.col("gamma") * F.col("gamma"), c.beta_sq)
+            eigen = stencil.eigen_2d(F.col("gyy"), F.col("gyx"), F.col("gxx"))
+        norm = checkpointed(norm.select(*scaled, *axes, "norm", *[e.alias(f"l{i + 1}") for i, e in enumerate(eigen)]))
+        if not c.frobenius_division:
+            on = norm.withColumn("on", F.col("norm") > 0)
+        elif c.frobenius_threshold is not None:
+            on = norm.withColumn("on", F.col("norm") > c.frobenius_threshold / c.frobenius_division)
+        else:
+            bar = thresholds.smaller_of_both(norm.where("norm > 0"), scaled, "norm", c.bins).select(*scaled, (F.col("threshold") / c.frobenius_division).alias("bar"))
+            on = norm.join(bar, scaled, "left").withColumn("on", F.col("norm") > F.coalesce("bar", F.lit(0.0)))
+        some = on.where("on").select(*scaled).distinct()  # a scale whose mask is empty has no say
+        rated = on.join(some, scaled).join(gamma, scaled).select("t", *axes, "on", response.alias("v"))
+        best = rated.groupBy("t", *axes).agg(F.max(F.when(F.col("on"), F.col("v")).otherwise(0.0)).alias("v"), F.bool_and("on").alias("on"))
+        out = space.select("t", *axes, "blob").join(best, ["t", *axes], "left")
+        out = out.withColumn("on", F.coalesce("on", F.lit(True))).withColumn("v", F.when(F.col("on"), F.coalesce("v", F.lit(0.0))).otherwise(0.0))
+        if not c.depth:
+            out = out.withColumn("blob", F.when(F.col("on"), F.greatest("blob", F.lit(0.0))).otherwise(0.0))
+            top = out.groupBy("t").agg(F.max("blob").alias("top"))
+            out = out.join(top, "t").withColumn("v", F.greatest("v", F.col("blob") / (F.col("top") + 1e-12) / 10))
+        out = checkpointed(out.select("t", *axes, "v"))
+        if c.remove_edges:
+            out = stencil.cut_edges(out, ["t", "z"] if c.depth else ["t"], "v", c.edge_margin)
+        faint = out.groupBy("t").agg(F.percentile(F.when(F.col("v") > 0, F.col("v")), 0.01).alias("faint"))
+        mask = stencil.opening(out.join(faint, "t").where("v > faint"), ["t"], axes, c.shape)
+        kept = out.join(mask.withColumn("kept", F.lit(True)), ["t", *axes], "left")
+        return kept.select("t", *axes, F.when(F.col("kept"), F.col("v")).otherwise(0.0).alias("v"))
+
+    def label(self, vesselness: DataFrame, intensity: DataFrame | None = None) -> DataFrame:
+        """t, axes, label of the components of dense frames above the threshold (the frame's own if the settings give none).
+
+        In 3D holes are filled; small components go, what is left is smoothed by a mean filter and labelled anew.
+        """
+        c, axes = self.config, self.config.axes
+        frames = vesselness
+        if c.intensity_otsu and intensity is not None:
+            bar = thresholds.otsu(intensity.where("v != 0"), ["t"], "v", c.bins).withColumnRenamed("threshold", "least")
+            bright = intensity.join(bar, "t").where("v > least").select("t", *axes, F.lit(True).alias("bright"))
+            frames = frames.join(bright, ["t", *axes], "left").withColumn("v", F.when(F.col("bright"), F.col("v")).otherwise(0.0)).drop("bright")
+        if c.threshold is None:
+            bar = thresholds.log_threshold(frames, ["t"], "v", c.bins)
+            mask = frames.join(bar, "t", "left").withColumn("v", F.coalesce(F.col("v") > F.col("threshold"), F.lit(False)).cast("double")).select("t", *axes, "v")
+        else:
+            mask = frames.withColumn("v", (F.col("v") > c.threshold).cast("double")).select("t", *axes, "v")
+        if c.depth:
+            mask = kernels.frame_kernel(mask, ["t"], "v", kernels.FillHoles(), axes)
+        mask = checkpointed(mask)
+        found = regions.keep_large(regions.components(mask.where("v > 0"), ["t"], list(axes)), ["t", "label"], c.least_cells)
+        if not c.smooth_mask:
+            return found
+        on = mask.select("t", *axes).join(found.select("t", *axes, F.lit(1.0).alias("v")), ["t", *axes], "left").fillna(0.0, ["v"])
+        smooth = kernels.frame_kernel(on, ["t"], "v", kernels.MeanFilter(), axes)
+        return regions.components(smooth.where(F.round("v", 9) > 0.5), ["t"], list(axes))
+
+    def network(self, labels: DataFrame, vesselness: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Skeleton (t, axes, label, pixel_class, branch or null) and voxels with the branch they are nearest to.
+
+        Skeleton cells that touch a second label go, unless at the image's edge; an object left without any gets its voxel of the
+        greatest vesselness.
+        """
+        c, axes = self.config, self.config.axes
+        thinning = kernels.Thinning3D() if c.depth else kernels.Thinning()
+        thin = kernels.frame_kernel(labels.select("t", *axes, F.lit(1.0).alias("v")), ["t"], "v", thinning, axes).where("v > 0")
+        thin = labels.join(thin.select("t", *axes), ["t", *axes], "left_semi").select("t", *axes, "label")
+        clean = stencil.unambiguous(thin, ["t"], axes, "label", c.shape)
+        valued = labels.join(vesselness, ["t", *axes])
+        skeleton = checkpointed(network.add_missing_skeleton(valued, clean, ["t"], "label", axes, "v"))
+        branches = checkpointed(network.branch_labels(skeleton.select("t", *axes), ["t"], axes))
+        graded = skeleton.join(stencil.pixel_class(skeleton, ["t"], axes), ["t", *axes]).join(branches, ["t", *axes], "left")
+        seeds = branches.join(labels, ["t", *axes]).select("t", "label", *axes, "branch")
+        return graded, network.nearest_seed(labels, seeds, ["t", "label"], axes, c.spacing, "branch")
+
+    def distances(self, labels: DataFrame, frames: DataFrame) -> DataFrame:
+        """t, axes, distance of each labelled voxel to the background, in cells."""
+        c, axes = self.config, self.config.axes
+        on = frames.select("t", *axes).join(labels.select("t", *axes, F.lit(True).alias("on")), ["t", *axes], "left").withColumn("on", F.coalesce("on", F.lit(False)))
+        return kernels.distance(on, ["t"], "on", c.reach, axes).select("t", *axes, "distance")
+
+    def border(self, labels: DataFrame) -> DataFrame:
+        return stencil.border(labels, ["t"], self.config.axes, self.config.shape)
+
+    def markers(self, labels: DataFrame, intensity: DataFrame, vesselness: DataFrame) -> DataFrame:
+        """t, id, axes, stats, hu: blob peaks of the distance (or vesselness) inside objects, the brightest within peak_distance kept,
+        measured in boxes of twice their distance to the background."""
+        c, axes = self.config, self.config.axes
+        far = checkpointed(self.distances(labels, intensity))
+        if c.peaks_from == "distance":
+            base = intensity.select("t", *axes).join(far.withColumnRenamed("distance", "v"), ["t", *axes], "left").fillna(0.0, ["v"])
+        elif c.peaks_from == "vesselness":
+            base = vesselness
+        else:
+            raise ValueError(f"peaks come from the distance or the vesselness, not from {c.peaks_from!r}")
+        spots = kernels.frame_kernel(base, ["t"], "v", kernels.LogPeaks(c.marker_sigmas, c.z_ratio), axes).where("v > 0").select("t", *axes)
+        spots = spots.join(far.where("distance > 0"), ["t", *axes])
+        bright = stencil.local_maxima(spots.join(intensity, ["t", *axes]), ["t"], axes, "v", c.peak_distance)
+        wide = stencil.neighbourhood(far, ["t"], axes, [(2 * F.max("distance")).alias("radius")])
+        marks = bright.join(wide, ["t", *axes]).select("t", self.ordinal().alias("id"), *axes, F.ceil("radius").alias("r"))
+        boxes = marks.select("t", "id", *[F.greatest(F.col(a) - F.col("r"), F.lit(0)).alias(f"low_{a}") for a in axes], *[F.least(F.col(a) + F.col("r"), F.lit(n - 1)).alias(f"high_{a}") for a, n in c.shape.items()])
+        cells = intensity.join(vesselness.withColumnRenamed("v", "structure"), ["t", *axes]).withColumn("v", F.greatest("v", F.lit(0.0)))
+        inside = checkpointed(spatial.box_join(cells, boxes, ["t"], axes, 8).select("t", "id", *axes, "v", "structure"))
+        level = moments.nonzero_stats(inside, ["t", "id"], "v").join(moments.nonzero_stats(inside, ["t", "id"], "structure").toDF("t", "id", "s_mean", "s_variance"), ["t", "id"])
+        views = ["z", "y", "x"] if c.depth else [""]
+        if c.depth:
+            shape = moments.log_hu_table(moments.projections(inside, ["t", "id"], "v"), ["t", "id", "axis"], "a", "b", "v")
         else:
-            mask = frames.where(F.col("v") > threshold)
-        found = regions.components(mask, ["t"], list(YX))
-        return regions.keep_large(found, ["t", "label"], self.config.least_object)
-
-    def network(self, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Skeleton (t, y, x, pixel_class, branch or null) and voxels with the branch they are nearest to."""
-        mask = labels.select("t", *YX, F.lit(1.0).alias("v"))
-        thin = kernels.frame_kernel(mask, ["t"], "v", kernels.Thinning()).where("v > 0").select("t", *YX)
-        branches = network.branch_labels(thin, ["t"], YX)
-        skeleton = stencil.pixel_class(thin, ["t"], YX).join(branches, ["t", *YX], "left")
-        seeds = branches.join(labels, ["t", *YX]).select("t", "label", *YX, "branch")
-        return skeleton, network.nearest_seed(labels, seeds, ["t", "label"], YX, self.config.spacing, "branch")
-
-    def markers(self, labels: DataFrame, intensity: DataFrame) -> DataFrame:
-        """t, id, y, x, stats, hu: distance peaks, the strongest within peak_distance kept, measured in their window."""
-        c = self.config
-        on = intensity.join(labels.select("t", *YX, F.lit(True).alias("on")), ["t", *YX], "left").withColumn("on", F.coalesce("on", F.lit(False)))
-        far = kernels.distance(on, ["t"], "on", 2 * c.most_radius / c.spacing_x)
-        peaks = stencil.local_maxima(far.join(intensity, ["t", *YX]), ["t"], YX, "distance", 1)
-        peaks = stencil.local_maxima(peaks.select("t", *YX, "v"), ["t"], YX, "v", c.peak_distance)
-        marks = peaks.select("t", *YX, (F.col("y") * c.width + F.col("x")).cast("long").alias("id"))
-        near = stencil.shifted(marks.select("t", "id", *YX, F.col("y").alias("cy"), F.col("x").alias("cx")), YX, stencil.offsets(2, c.peak_distance)).join(intensity, ["t", *YX])
-        near = near.withColumn("v", F.greatest("v", F.lit(0.0)))
-        shape = moments.log_hu_table(near, ["t", "id"], "y", "x", "v")
-        level = moments.nonzero_stats(near, ["t", "id"], "v")
-        both = marks.join(shape, ["t", "id"]).join(level, ["t", "id"])
-        return both.select("t", "id", *YX, F.array("mean", "variance").alias("stats"), F.array(*[f"h{i}" for i in range(1, 7)]).alias("hu"))
+            shape = moments.log_hu_table(inside, ["t", "id"], "y", "x", "v").withColumn("axis", F.lit(""))
+        hu = [F.max(F.when(F.col("axis") == a, F.col(f"h{i}"))).alias(f"h{a}{i}") for a in views for i in range(1, 7)]
+        shape = shape.groupBy("t", "id").agg(*hu)
+        both = marks.drop("r").join(shape, ["t", "id"]).join(level, ["t", "id"])
+        return both.select("t", "id", *axes, F.array("mean", "variance", "s_mean", "s_variance").alias("stats"), F.array(*[f"h{a}{i}" for a in views for i in range(1, 7)]).alias("hu"))
+
+    def physical(self, rows: DataFrame) -> DataFrame:
+        """rows with their axes in micrometres."""
+        return rows.withColumns({a: F.col(a) * F.lit(float(s)) for a, s in zip(self.config.axes, self.config.spacing, strict=True)})
 
     def track_markers(self, markers: DataFrame) -> DataFrame:
-        """Flow rows between consecutive frames."""
-        c = self.config
-        scaled = markers.withColumn("y", F.col("y") * c.spacing_y).withColumn("x", F.col("x") * c.spacing_x)
-        pairs = tracking.gated_pairs(scaled, YX, c.gate, "stats", "hu")
-        return tracking.flow_table(tracking.best_matches(tracking.pair_costs(pairs, c.gate, 2, 6), c.most_cost), scaled, YX)
+        """Flow rows between consecutive frames, in micrometres."""
+        c, axes = self.config, self.config.axes
+        scaled = self.physical(markers)
+        pairs = tracking.gated_pairs(scaled, axes, c.gate, "stats", "hu")
+        return tracking.flow_table(tracking.best_matches(tracking.pair_costs(pairs, c.gate, 4, 18 if c.depth else 6), c.most_cost), scaled, axes)
 
     def interpolate_flow(self, points: DataFrame, flow: DataFrame, forward: bool = True) -> DataFrame:
-        return tracking.interpolate(points, flow, YX, self.config.match_gate, forward)
-
-    def reassign(self, voxels: DataFrame, flow: DataFrame, labels: DataFrame, first: int, last: int) -> DataFrame:
-        """New labels of frames first .. last, carried over by matched voxels."""
-        fw, bw = self.interpolate_flow(voxels, flow), self.interpolate_flow(voxels, flow, False)
-        found = tracking.voxel_candidates(voxels, fw, bw, YX, self.config.match_gate)
-        return tracking.reassign_chain(found, labels, first, last)
-
-    def features(self, voxels: DataFrame, values: list[str]) -> dict[str, DataFrame]:
-        """The branch, organelle and image tables of voxels (t, id, branch, organelle, values)."""
-        return {level: features.level_table(voxels, level, values) for level in ("branch", "organelle", "image")}
+        return tracking.interpolate(points, flow, self.config.axes, self.config.match_gate, forward)
+
+    def matches(self, voxels: DataFrame, fw: DataFrame, bw: DataFrame) -> DataFrame:
+        """Voxels (in micrometres) matched between consecutive frames, both ways."""
+        return tracking.voxel_candidates(voxels, fw, bw, self.config.axes, self.config.match_gate)
+
+    def reassign(self, matches: DataFrame, labels: DataFrame, first: int, last: int) -> DataFrame:
+        """New labels (t, id, label) of frames first .. last, carried over by matched voxels."""
+        return tracking.reassign_chain(matches, labels, first, last)
+
+    def hierarchy(self, voxels: DataFrame, skeleton: DataFrame, distances: DataFrame, fw: DataFrame, bw: DataFrame) -> dict[str, DataFrame]:
+        """Tables of all levels: voxels, nodes, branches, organelles, image, and edges between them.
+
+        voxels: t, id, axes, label (organelle), branch, intensity, structure and, where labels were carried over, new_organelle and
+        new_branch. Each level has the five statistics of the levels below it and its own raw features.
+        """
+        c, axes = self.config, self.config.axes
+        values = ["structure", "intensity"]
+        if c.motility:
+            speeds = tracking.motility(voxels, fw, bw, axes, c.spacing, c.dt)
+            values = [x for x in speeds.columns if x not in ("t", "id")] + values
+            voxels = voxels.join(speeds, ["t", "id"])
+        voxels = checkpointed(voxels.withColumnRenamed("label", "organelle"))
+        raw = lambda df, names: df.select("t", "label", *[F.col(n).alias(f"{n}_raw") for n in names], *[x for x in df.columns if x not in ("t", "label", *names)])
+        out = {"voxels": raw(voxels.select("t", F.col("id").alias("label"), *values, *axes), [*values, *axes])}
+
+        owner = voxels.select("t", *axes, "organelle", F.col("branch").alias("own_branch"))
+        radius = skeleton.drop("label").join(distances, ["t", *axes]).join(owner, ["t", *axes])
+        nodes, node_values, in_node = None, [], None
+        if c.nodes:
+            nodes, node_values, in_node = self._nodes(voxels, radius, values, fw, bw)
+            nodes = checkpointed(nodes)
+            centre = self.physical(nodes.select("t", "label", *axes))
+            out["nodes"] = raw(nodes.drop("branch", "organelle", *axes), node_values).join(centre.toDF("t", "label", *[f"{a}_raw" for a in axes]), ["t", "label"])
+
+        def rollup(by: str | None, *below: tuple[DataFrame, list[str]]) -> DataFrame:
+            """The five statistics of the tables below, each grouped by its column `by` (all of a frame without one)."""
+            keys = ["t", by] if by else ["t"]
+            made = [stats.five_stats(df.where(F.col(by) > 0) if by else df, keys, names) for df, names in below]
+            rolled = made[0]
+            for m in made[1:]:
+                rolled = rolled.join(m, keys, "full")
+            return rolled.withColumnRenamed(by, "label") if by else rolled.withColumn("label", F.lit(0).cast("long"))
+
+        above = [(nodes, node_values)] if c.nodes else []
+        branch_nodes = radius.where("branch is not null").withColumn("radius", F.col("distance") * F.lit(float(c.spacing_x))).select("t", "branch", *axes, "radius")
+        geometry = network.branch_geometry(branch_nodes, ["t"], "branch", axes, c.spacing, "radius").withColumnsRenamed({k: f"branch_{k}" for k in ("length", "thickness", "aspect_ratio", "tortuosity")}).withColumnRenamed("branch", "label")
+        regions_of = lambda level: self._regions(voxels, level)
+        own = regions_of("branch").join(geometry, ["t", "label"], "left")
+        own_values = [x for x in own.columns if x.startswith("branch_")]
+        branches = checkpointed(own.join(features.branch_to_organelle(voxels).withColumnRenamed("branch", "label"), ["t", "label"], "left"))
+        branch_table = raw(own, [*own_values, *axes]).join(rollup("branch", *above, (voxels, values)), ["t", "label"], "left")
+        organelles = checkpointed(regions_of("organelle"))
+        organelle_values = [x for x in organelles.columns if x.startswith("organelle_")]
+        organelle_table = raw(organelles, [*organelle_values, *axes]).join(rollup("organelle", *above, (voxels, values), (branches, own_values)), ["t", "label"], "left")
+        for level, table in (("branch", branch_table), ("organelle", organelle_table)):
+            if f"new_{level}" in voxels.columns:
+                new = features.reassigned_label(voxels, level, f"new_{level}").withColumnRenamed("reassigned_label", "reassigned_label_raw")
+                table = table.join(new, ["t", "label"], "left")
+            out["branches" if level == "branch" else "organelles"] = table
+        out["image"] = rollup(None, *above, (voxels, values), (branches, own_values), (organelles, organelle_values))
+        if c.adjacency:
+            edges = features.containment_edges(voxels)
+            if c.nodes:
+                between = [(in_node.select("t", "id", "node"), "id", "node", "v_n"), (nodes, "label", "branch", "n_b"), (nodes, "label", "organelle", "n_o")]
+                for df, src, dst, kind in between:
+                    edges = edges.unionByName(df.where(F.col(dst).isNotNull()).select("t", F.lit(kind).alias("kind"), F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst")))
+            out["edges"] = edges
+        return out
+
+    def _nodes(self, voxels: DataFrame, radius: DataFrame, values: list[str], fw: DataFrame, bw: DataFrame) -> tuple[DataFrame, list[str], DataFrame]:
+        """Nodes (skeleton cells, by scan order) with the statistics of the voxels in their boxes, their own features, and who is in them."""
+        c, axes = self.config, self.config.axes
+        nodes = radius.select("t", self.ordinal().alias("node"), *axes, "distance", F.col("own_branch").alias("branch"), "organelle")
+        low = [F.greatest(F.floor(F.col(a) - F.col("distance")), F.lit(0)).alias(f"low_{a}") for a in axes]
+        high = [F.least(F.floor(F.col(a) + F.col("distance")) + 1, F.lit(n)).alias(f"high_{a}") for a, n in c.shape.items()]
+        inside = checkpointed(spatial.box_join(voxels, nodes.select("t", "node", *low, *high), ["t"], axes, 8))
+        table = stats.five_stats(inside, ["t", "node"], values)
+        own = nodes.withColumn("node_thickness", 2 * F.col("distance") * F.lit(float(c.spacing_x)))
+        names = ["node_thickness"]
+        if c.motility:
+            flows = voxels.select("t", "id", *axes)
+            for flow, k in ((fw, "d"), (bw, "b")):
+                flows = flows.join(flow.select("t", "id", *[F.col(f"d{a}").alias(f"{k}{a}") for a in axes]), ["t", "id"], "left")
+            spread = tracking.node_dynamics(inside.select("t", "node", "id"), flows, nodes.select("t", F.col("node").alias("id"), *axes), axes)
+            # towards the node counts as convergence
+            spread = spread.select("t", "node", "divergence", (-F.col("convergence")).alias("convergence"), (F.col("divergence") - F.col("convergence")).alias("vergere"))
+            own = own.join(spread, ["t", "node"], "left")
+            names += ["divergence", "convergence", "vergere"]
+        return own.drop("distance").join(table, ["t", "node"], "left").withColumnRenamed("node", "label"), names, inside
+
+    def _regions(self, voxels: DataFrame, level: str) -> DataFrame:
+        """t, label, <level>_area, .._extent, in 2D .._axis_length_maj, .._axis_length_min, .._solidity, and the centroid by axis."""
+        c, axes = self.config, self.config.axes
+        rows = voxels.where(F.col(level) > 0).select("t", F.col(level).alias("label"), *axes)
+        made = regions.geometry(rows, ["t", "label"], axes, c.spacing)
+        if not c.depth:
+            made = made.join(kernels.solidity(rows, ["t", "label"]), ["t", "label"])
+        names = {"area": "area", "extent": "extent", "axis_major": "axis_length_maj", "axis_minor": "axis_length_min", "solidity": "solidity"}
+        return made.withColumnsRenamed({k: f"{level}_{v}" for k, v in names.items()} | {f"centroid_{a}": a for a in axes})
 
     def tracks(self, seeds: DataFrame, flow: DataFrame, labelled: DataFrame, steps: int, forward: bool = True) -> DataFrame:
-        return tracking.label_hits(tracking.extend_tracks(seeds, flow, YX, self.config.match_gate, steps, forward), labelled, YX)
+        return tracking.label_hits(tracking.extend_tracks(seeds, flow, self.config.axes, self.config.match_gate, steps, forward), labelled, self.config.axes)
 
     def view(self, table: DataFrame, feature: str, form: str | None = None, t: int | None = None, log: bool = False, robust: bool = False) -> DataFrame:
         rows = table if t is None else table.where(F.col("t") == t)
         return stats.view(rows, features.column_for(table, feature, form), log, robust)
 
     def run(self, frames: DataFrame) -> dict[str, DataFrame]:
-        """vesselness, labels, skeleton, branches, markers, flow and the region table of raw frames (t, y, x, v)."""
-        from voxframe.plans.session import checkpointed
-
+        """Every table of a run over raw frames (t, axes, v): filter, label, network, markers, track, reassign, hierarchy."""
+        axes, c = self.config.axes, self.config
+        frames = checkpointed(frames.select(F.col("t").cast("int").alias("t"), *axes, "v"))
         ves = checkpointed(self.vesselness(frames))
-        labels = checkpointed(self.label(ves))
-        skeleton, branches = self.network(labels)
-        markers = checkpointed(self.markers(labels, frames))
-        objects = labels.join(frames, ["t", *YX])
-        table = regions.geometry(labels, ["t", "label"], YX, self.config.spacing).join(stats.five_stats(objects, ["t", "label"], ["v"]), ["t", "label"])
-        return {"vesselness": ves, "labels": labels, "skeleton": skeleton, "branches": branches, "markers": markers, "flow": self.track_markers(markers), "regions": table}
-
-
-
+        labels = checkpointed(self.label(ves, frames))
+        skeleton, near = (checkpointed(x) for x in self.network(labels, ves))
+        distances = checkpointed(self.distances(labels, frames))
+        markers = checkpointed(self.markers(labels, frames, ves))
+        flow = checkpointed(self.track_markers(markers))
+        voxels = labels.join(near, ["t", "label", *axes], "left").join(frames.withColumnRenamed("v", "intensity"), ["t", *axes]).join(ves.withColumnRenamed("v", "structure"), ["t", *axes])
+        voxels = voxels.select("t", self.ordinal().alias("id"), *axes, "label", F.coalesce("branch", F.lit(0)).alias("branch"), "intensity", "structure")
+        voxels = checkpointed(voxels)
+        at = self.physical(voxels.select("t", "id", *axes))
+        fw, bw = (checkpointed(self.interpolate_flow(at, flow, forward)) for forward in (True, False))
+        out = {"vesselness": ves, "labels": labels, "skeleton": skeleton, "branches": near, "border": self.border(labels), "markers": markers, "flow": flow}
+        if c.reassign:
+            ends = voxels.agg(F.min("t").alias("first"), F.max("t").alias("last")).first()
+            out["matches"] = matches = checkpointed(self.matches(at, fw, bw))
+            if ends["first"] is not None:
+                for level, column in (("organelle", "label"), ("branch", "branch")):
+                    carried = self.reassign(matches, voxels.select("t", "id", F.col(column).alias("label")), ends["first"], ends["last"])
+                    out[f"reassigned_{level}s"] = carried = checkpointed(carried)
+                    voxels = voxels.join(carried.withColumnRenamed("label", f"new_{level}"), ["t", "id"], "left")
+        return out | self.hierarchy(voxels, skeleton, distances, fw, bw)

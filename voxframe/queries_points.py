@@ -47,11 +47,8 @@ register(
     lambda s, sf: _r6(spatial.nearest_within(_p(s, sf), _next(_p(s, sf)), ["t"], YX, R, "id", "id"), "distance"),
     _with(POINTS, _PAIR.format(op="<")) + "SELECT t, pre AS id, post AS nearest_id, round(round(d, 9) + 1e-9, 6) AS distance FROM pr QUALIFY row_number() OVER (PARTITION BY t, pre ORDER BY round(d, 9), post) = 1",
 )
-register(
-    "jon_6_nearest_by_rings",
-    lambda s, sf: _r6(spatial.nearest_any(_p(s, sf).where("id % 20 = 0").select("t", "id", "y", "x"), _next(_p(s, sf)), ["t"], YX, 2.0, "id", "id"), "distance"),
-    _with(POINTS) + f"SELECT a.t, a.id, b.id AS nearest_id, round(round({_D}, 9) + 1e-9, 6) AS distance FROM p a JOIN p b ON b.t = a.t + 1 WHERE a.id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.t, a.id ORDER BY round({_D}, 9), b.id) = 1",
-)
+#: Every point against every point of the next frame is too slow in SQL; tests compare with brute force.
+register("jon_6_nearest_by_rings", lambda s, sf: _r6(spatial.nearest_any(_p(s, sf), _next(_p(s, sf)), ["t"], YX, 2.0, "id", "id"), "distance"))
 register(
     "jon_7_nearest_border",
     lambda s, sf: _r6(spatial.nearest_any(_p(s, sf), points(s, sf).where("kind = 'click'").select("t", "id", "y", "x"), ["t"], YX, 4.0, "id", "id").select("t", "id", "distance"), "distance"),
@@ -59,18 +56,18 @@ register(
 )
 
 
-def _boxes(spark, sf, every=10):
+def _boxes(spark, sf):
     r = F.lit(1) + F.col("id") % 3
     low = lambda c: F.greatest(F.floor(F.col(c)) - r, F.lit(0))
-    return _p(spark, sf).where(F.col("id") % every == 0).select("t", F.col("id").alias("node"), low("y").alias("low_y"), (F.floor("y") + r).alias("high_y"), low("x").alias("low_x"), (F.floor("x") + r).alias("high_x"))
+    return _p(spark, sf).select("t", F.col("id").alias("node"), low("y").alias("low_y"), (F.floor("y") + r).alias("high_y"), low("x").alias("low_x"), (F.floor("x") + r).alias("high_x"))
 
 
-_BOX = "bx AS (SELECT t, id AS node, greatest(floor(y) - (1 + id % 3), 0) AS ly, floor(y) + (1 + id % 3) AS hy, greatest(floor(x) - (1 + id % 3), 0) AS lx, floor(x) + (1 + id % 3) AS hx FROM p WHERE id % 10 = 0)"
+_BOX = "bx AS (SELECT t, id AS node, greatest(floor(y) - (1 + id % 3), 0) AS ly, floor(y) + (1 + id % 3) AS hy, greatest(floor(x) - (1 + id % 3), 0) AS lx, floor(x) + (1 + id % 3) AS hx FROM p)"
 _VN = "vn AS (SELECT bx.t, node, p.id FROM p JOIN bx ON p.t = bx.t AND p.y BETWEEN ly AND hy AND p.x BETWEEN lx AND hx)"
 
 
-def _box_edges(spark, sf, every=10):
-    return spatial.box_join(_p(spark, sf), _boxes(spark, sf, every), ["t"], YX, 8).select("t", "node", "id")
+def _box_edges(spark, sf):
+    return spatial.box_join(_p(spark, sf), _boxes(spark, sf), ["t"], YX, 8).select("t", "node", "id")
 
 
 register("jon_8_box_join", _box_edges, _with(POINTS, _BOX, _VN) + "SELECT t, node, id FROM vn")
@@ -203,10 +200,10 @@ register("win_8_acceleration", lambda s, sf: _r5(tracking.accelerations(_forward
 register("agg_9_reference_voxel", lambda s, sf: _r6(tracking.reference_voxels(_forward(s, sf).withColumn("branch", F.col("id") % 10), ["t", "branch"], YX), "displacement"), _with(POINTS, *_SF, *_FWD) + "SELECT t, id % 10 AS branch, id AS ref, round(round(sqrt(dy * dy + dx * dx), 9) + 1e-9, 6) AS displacement FROM fi QUALIFY row_number() OVER (PARTITION BY t, id % 10 ORDER BY round(sqrt(dy * dy + dx * dx), 9), id) = 1")
 
 
-def _dynamics(spark, sf, every=10):
+def _dynamics(spark, sf):
     back = _backward(spark, sf).select("t", "id", F.col("dy").alias("by"), F.col("dx").alias("bx"))
     v = _p(spark, sf).join(_forward(spark, sf).drop("neighbours"), ["t", "id"], "left").join(back, ["t", "id"], "left")
-    return tracking.node_dynamics(_box_edges(spark, sf, every), v, _p(spark, sf), YX)
+    return tracking.node_dynamics(_box_edges(spark, sf), v, _p(spark, sf), YX)
 
 
 _LEN = "sqrt(pow(v.y - n.y, 2) + pow(v.x - n.x, 2))"
@@ -216,12 +213,6 @@ register(
     _with(POINTS, *_SF, *_FWD, *_BWD, _BOX, _VN, f"dyn AS (SELECT vn.t, vn.node, avg(CASE WHEN {_LEN} <> 0 THEN (fi.dy * (v.y - n.y) + fi.dx * (v.x - n.x)) / {_LEN} END) AS divergence, avg(CASE WHEN {_LEN} <> 0 THEN (bi.dy * (v.y - n.y) + bi.dx * (v.x - n.x)) / {_LEN} END) AS convergence FROM vn JOIN p v ON v.id = vn.id JOIN p n ON n.id = vn.node LEFT JOIN fi ON fi.id = vn.id LEFT JOIN bi ON bi.id = vn.id GROUP BY vn.t, vn.node)")
     + "SELECT t, node, round(divergence + 1e-9, 5) AS divergence, round(convergence + 1e-9, 5) AS convergence, round(divergence + convergence + 1e-9, 5) AS vergere FROM dyn",
 )
-# the same over every point of the table; SQL is too slow there, so tests compare with brute force
-register("jon_6_nearest_by_rings_whole", lambda s, sf: _r6(spatial.nearest_any(_p(s, sf), _next(_p(s, sf)), ["t"], YX, 2.0, "id", "id"), "distance"))
-register("jon_8_box_join_whole", lambda s, sf: _box_edges(s, sf, 1))
-register("prj_24_box_subvolumes_whole", lambda s, sf: _box_edges(s, sf, 1).groupBy("t", "node").agg(F.count("*").alias("n")))
-register("prj_23_roi_bounds_whole", lambda s, sf: _boxes(s, sf, 1).select("t", "node", *[F.col(c).cast("double").alias(c) for c in ("low_y", "high_y", "low_x", "high_x")]))
-register("agg_35_node_dynamics_whole", lambda s, sf: _r5(_dynamics(s, sf, 1), "divergence", "convergence", "vergere"))
 _CAND = (
     f"fc AS (SELECT fi.t, fi.id AS prev, b.id AS next, round(sqrt(pow(a.y + fi.dy - b.y, 2) + pow(a.x + fi.dx - b.x, 2)), 9) AS d FROM fi JOIN p a ON a.id = fi.id JOIN p b ON b.t = fi.t + 1 WHERE sqrt(pow(a.y + fi.dy - b.y, 2) + pow(a.x + fi.dx - b.x, 2)) < {R} QUALIFY row_number() OVER (PARTITION BY fi.id ORDER BY d, b.id) = 1)",
     f"bc AS (SELECT bi.t - 1 AS t, a.id AS prev, bi.id AS next, round(sqrt(pow(b.y - bi.dy - a.y, 2) + pow(b.x - bi.dx - a.x, 2)), 9) AS d FROM bi JOIN p b ON b.id = bi.id JOIN p a ON a.t = bi.t - 1 WHERE sqrt(pow(b.y - bi.dy - a.y, 2) + pow(b.x - bi.dx - a.x, 2)) < {R} QUALIFY row_number() OVER (PARTITION BY bi.id ORDER BY d, a.id) = 1)",
@@ -264,38 +255,58 @@ def _pair_counts(spark, sf):
     return n.groupBy("t", "dst").agg(F.max(F.struct("n", (-F.col("src")).alias("s"))).alias("b")).select("t", "dst", (-F.col("b.s")).alias("src"), "b.n")
 
 
+#: Frames 0 .. LAST of the events; the queries read the last one from the table, the oracles write out each step.
+LAST = 29
+
+
+def _last(spark, sf):
+    return points(spark, sf).agg(F.max("t")).first()[0] or 0
+
+
 def _chain(spark, sf):
-    return tracking.reassign_chain(_candidates(spark, sf), _labels(spark, sf), 0, 2)
+    return tracking.reassign_chain(_candidates(spark, sf), _labels(spark, sf), 0, _last(spark, sf))
+
+
+def _chain_sql() -> str:
+    steps = ["cdm AS MATERIALIZED (SELECT * FROM cd)", "l0 AS MATERIALIZED (SELECT id, (user_id % 20)::int AS label FROM p WHERE t = 0)"]
+    for t in range(LAST):
+        steps.append(f"v{t} AS MATERIALIZED (SELECT next AS id, label, round(sum(1 / (d + 1e-6)), 6) AS w FROM cdm JOIN l{t} q ON q.id = prev WHERE cdm.t = {t} AND label > 0 AND next IN (SELECT id FROM p WHERE user_id % 20 > 0) GROUP BY ALL)")
+        steps.append(f"l{t + 1} AS MATERIALIZED (SELECT p.id, coalesce(q.label, 0) AS label FROM p LEFT JOIN (SELECT * FROM v{t} QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1) q ON q.id = p.id WHERE p.t = {t + 1})")
+    return _with(POINTS, *_SF, *_FWD, *_BWD, *_CAND, *steps) + " UNION ALL ".join(f"SELECT {t} AS t, id, label FROM l{t}" for t in range(LAST + 1))
+
 
+register("opr_7_reassign_chain", _chain, _chain_sql())
 
-register("opr_7_reassign_chain", _chain, _with(POINTS, *_SF, *_FWD, *_BWD, *_CAND,
-    "l0 AS (SELECT id, (user_id % 20)::int AS label FROM p WHERE t = 0)",
-    "v1 AS (SELECT next AS id, label, round(sum(1 / (d + 1e-6)), 6) AS w FROM cd JOIN l0 ON l0.id = prev WHERE cd.t = 0 AND label > 0 AND next IN (SELECT id FROM p WHERE user_id % 20 > 0) GROUP BY ALL)",
-    "l1 AS (SELECT p.id, coalesce(q.label, 0) AS label FROM p LEFT JOIN (SELECT * FROM v1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1) q ON q.id = p.id WHERE p.t = 1)",
-    "v2 AS (SELECT next AS id, label, round(sum(1 / (d + 1e-6)), 6) AS w FROM cd JOIN l1 ON l1.id = prev WHERE cd.t = 1 AND label > 0 AND next IN (SELECT id FROM p WHERE user_id % 20 > 0) GROUP BY ALL)",
-    "l2 AS (SELECT p.id, coalesce(q.label, 0) AS label FROM p LEFT JOIN (SELECT * FROM v2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1) q ON q.id = p.id WHERE p.t = 2)")
-    + "SELECT 0 AS t, id, label FROM l0 UNION ALL SELECT 1, id, label FROM l1 UNION ALL SELECT 2, id, label FROM l2")
 
+def _tracks(spark, sf, forward=True, seeds=None):
+    """Tracks of the points of the first (last) frame, or of the frames that `seeds` names, up to the other end of the series."""
+    last = _last(spark, sf)
+    where = seeds if seeds is not None else (F.col("t") == (0 if forward else last))
+    return tracking.extend_tracks(_p(spark, sf).where(where), _simple_flow(spark, sf), YX, 3.0, last, forward)
 
-def _tracks(spark, sf, forward=True, start=0):
-    seeds = _p(spark, sf).where(F.col("t") == start)
-    return tracking.extend_tracks(seeds, _simple_flow(spark, sf), YX, 3.0, 2, forward)
 
+def _track_sql(name: str, start: str, forward: bool) -> tuple[str, ...]:
+    """CTEs of all steps of the tracks from points of p where `start` holds; `name` is their union."""
+    sign, anchors = ("+", "SELECT t, y AS ay, x AS ax, dy, dx, cost FROM fwm") if forward else ("-", "SELECT t + 1 AS t, y + dy AS ay, x + dx AS ax, dy, dx, cost FROM fwm")
+    out = [f"{name}0 AS MATERIALIZED (SELECT id, t, y, x FROM p WHERE {start})"]
+    for k in range(LAST):
+        out += _interp(f"{name}i{k}", anchors, f"{name}{k}")
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT q.id, q.t {sign} 1 AS t, q.y {sign} i.dy AS y, q.x {sign} i.dx AS x FROM {name}{k} q JOIN {name}i{k} i USING (id))")
+    return (*out, f"{name} AS (" + " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in range(LAST + 1)) + ")")
 
-_T1 = ("t0 AS (SELECT id, t, y, x FROM p WHERE t = 0)", *_interp("i1", "SELECT t, y AS ay, x AS ax, dy, dx, cost FROM fw", "t0"), "t1 AS (SELECT t0.id, 1 AS t, t0.y + i1.dy AS y, t0.x + i1.dx AS x FROM t0 JOIN i1 USING (id))",
-    *_interp("i2", "SELECT t, y AS ay, x AS ax, dy, dx, cost FROM fw", "t1"), "t2 AS (SELECT t1.id, 2 AS t, t1.y + i2.dy AS y, t1.x + i2.dx AS x FROM t1 JOIN i2 USING (id))",
-    "tk AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2)")
-register("opr_10_extend_forward", lambda s, sf: _r4(_tracks(s, sf), "y", "x"), _with(POINTS, *_SF, *_T1) + "SELECT id AS track_id, t, round(y + 1e-9, 4) AS y, round(x + 1e-9, 4) AS x, t AS frame_num FROM tk")
+
+_FWM = "fwm AS MATERIALIZED (SELECT * FROM fw)"
+_T1 = (_FWM, *_track_sql("tk", "t = 0", True))
+_B1 = (_FWM, *_track_sql("tk", f"t = {LAST}", False))
+_TRACK = "SELECT id AS track_id, t, round(y + 1e-9, 4) AS y, round(x + 1e-9, 4) AS x, t AS frame_num FROM tk"
+register("opr_10_extend_forward", lambda s, sf: _r4(_tracks(s, sf), "y", "x"), _with(POINTS, *_SF, *_T1) + _TRACK)
 
 
 def _r4(df, *cols):
     return df.select(*[F.round(F.col(c) + 1e-9, 4).alias(c) if c in cols else c for c in df.columns])
 
 
-_B1 = ("t0 AS (SELECT id, t, y, x FROM p WHERE t = 2)", *_interp("i1", "SELECT t + 1 AS t, y + dy AS ay, x + dx AS ax, dy, dx, cost FROM fw", "t0"), "t1 AS (SELECT t0.id, 1 AS t, t0.y - i1.dy AS y, t0.x - i1.dx AS x FROM t0 JOIN i1 USING (id))",
-    *_interp("i2", "SELECT t + 1 AS t, y + dy AS ay, x + dx AS ax, dy, dx, cost FROM fw", "t1"), "t2 AS (SELECT t1.id, 0 AS t, t1.y - i2.dy AS y, t1.x - i2.dx AS x FROM t1 JOIN i2 USING (id))",
-    "tk AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2)")
-register("opr_10_extend_backward", lambda s, sf: _r4(_tracks(s, sf, False, 2), "y", "x"), _with(POINTS, *_SF, *_B1) + "SELECT id AS track_id, t, round(y + 1e-9, 4) AS y, round(x + 1e-9, 4) AS x, t AS frame_num FROM tk")
+register("opr_10_extend_backward", lambda s, sf: _r4(_tracks(s, sf, False), "y", "x"), _with(POINTS, *_SF, *_B1) + _TRACK)
 
 
 def _cells(spark, sf):
@@ -305,9 +316,28 @@ def _cells(spark, sf):
 _HITS = "hit AS (SELECT tk.* FROM tk WHERE EXISTS (SELECT 1 FROM p WHERE p.t = tk.t AND floor(p.y) = round_even(tk.y, 0) AND floor(p.x) = round_even(tk.x, 0)))"
 register("jon_19_label_hits", lambda s, sf: tracking.label_hits(_tracks(s, sf), _cells(s, sf), YX).select("track_id", "t"), _with(POINTS, *_SF, *_T1, _HITS) + "SELECT id AS track_id, t FROM hit")
 register("opr_9_label_tracks", lambda s, sf: tracking.label_hits(_tracks(s, sf), _cells(s, sf), YX).groupBy("track_id").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last")), _with(POINTS, *_SF, *_T1, _HITS) + "SELECT id AS track_id, count(*) AS n, min(t) AS first, max(t) AS last FROM hit GROUP BY id")
-register("opr_11_all_frame_tracks", lambda s, sf: tracking.numbered_tracks(_tracks(s, sf)).select("number", "track_id", "t"), _with(POINTS, *_SF, *_T1) + "SELECT dense_rank() OVER (ORDER BY id) - 1 AS number, id AS track_id, t FROM tk")
-register("srt_4_backward_first", lambda s, sf: _r4(_tracks(s, sf, False, 2).orderBy("track_id", "t"), "y", "x").select("track_id", "t", "y"), _with(POINTS, *_SF, *_B1) + "SELECT id AS track_id, t, round(y + 1e-9, 4) AS y FROM tk ORDER BY 1, 2")
-register("set_7_tracks_both_ways", lambda s, sf: _tracks(s, sf, False, 2).where("t < 2").select("track_id", "t").unionByName(_tracks(s, sf, True, 0).select("track_id", "t")), None)
+#: Seeds of all frames go forward at once; a frame's tracks are numbered behind those of the frames before it.
+register(
+    "opr_11_all_frame_tracks",
+    lambda s, sf: tracking.numbered_tracks(_tracks(s, sf, True, F.lit(True))).select("number", "track_id", "t"),
+    _with(POINTS, *_SF, _FWM, *_track_sql("tk", "true", True), "nb AS (SELECT id, row_number() OVER (ORDER BY min(t), id) - 1 AS number FROM tk GROUP BY id)") + "SELECT number, id AS track_id, t FROM tk JOIN nb USING (id)",
+)
+register("srt_4_backward_first", lambda s, sf: _r4(_tracks(s, sf, False).orderBy("track_id", "t"), "y", "x").select("track_id", "t", "y"), _with(POINTS, *_SF, *_B1) + "SELECT id AS track_id, t, round(y + 1e-9, 4) AS y FROM tk ORDER BY 1, 2")
+
+
+def _both_ways(spark, sf):
+    last = _last(spark, sf)
+    middle = F.col("t") == last // 2
+    back = _tracks(spark, sf, False, middle).where(F.col("t") < last // 2)
+    return back.select("track_id", "t").unionByName(_tracks(spark, sf, True, middle).select("track_id", "t"))
+
+
+_MIDDLE = LAST // 2
+register(
+    "set_7_tracks_both_ways",
+    _both_ways,
+    _with(POINTS, *_SF, _FWM, *_track_sql("bk", f"t = {_MIDDLE}", False), *_track_sql("tk", f"t = {_MIDDLE}", True)) + f"SELECT id AS track_id, t FROM bk WHERE t < {_MIDDLE} UNION ALL SELECT id, t FROM tk",
+)
 register("set_6_concat_frames", lambda s, sf: _simple_flow(s, sf).groupBy("t").agg(F.count("*").alias("n")), _with(POINTS, *_SF) + "SELECT t, count(*) AS n FROM fw GROUP BY t")
 register(
     "win_9_time_differences",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxframe.functions import moments, thresholds
 from voxframe.functions.scalar import tidy
 from voxframe.operators import kernels, network, regions, stats, stencil
-from voxframe.plans.adapters import RASTER, raster
+from voxframe.plans.adapters import RASTER, raster, volume
 from voxframe.registry import register
 
 BINS = 16
@@ -330,7 +330,7 @@ register(
 
 
 def _volume(spark, sf):
-    return _roi(spark, sf).select(F.floor(F.col("t") / F.lit(8)).alias("image"), (F.col("t") % 8).cast("int").alias("z"), "y", "x", "v")
+    return volume(spark, sf).withColumn("v", F.greatest("v", F.lit(0.0)))
 
 
 register(
@@ -364,7 +364,7 @@ def _seeds(spark, sf):
 
 _MISSING = "ms AS (SELECT DISTINCT t, label FROM lab EXCEPT SELECT DISTINCT lab.t, label FROM lab JOIN r USING (t, y, x) WHERE v > 0.15)"
 register("jon_17_labels_without_skeleton", lambda s, sf: network.without_skeleton(_components(s, sf), _seeds(s, sf), ["t", "label"]), _with(RASTER, *_CC, _MISSING) + "SELECT t, label FROM ms")
-register("set_3_except_labels", lambda s, sf: _components(s, sf).select("t", "label").exceptAll(_seeds(s, sf).select("t", "label")).distinct(), None)
+register("set_3_except_labels", lambda s, sf: _components(s, sf).select("t", "label").subtract(_seeds(s, sf).select("t", "label")), _with(RASTER, *_CC, _MISSING) + "SELECT t, label FROM ms")
 register(
     "krn_14_add_missing_skeleton",
     lambda s, sf: network.add_missing_skeleton(_labelled(s, sf), _seeds(s, sf), ["t"], "label", YX, "v"),
@@ -449,14 +449,83 @@ register(
 register("prj_30_master_mask", lambda s, sf: _mask(s, sf, MASK).select("t", "y", "x").unionByName(_mask(s, sf, SKELETON).select("t", "y", "x")).distinct(), _with(RASTER) + f"SELECT t, y, x FROM r WHERE v > {MASK} OR v > {SKELETON}")
 register(
     "prj_21_marker_points",
-    lambda s, sf: kernels.every_kth(stencil.local_maxima(raster(s, sf), ["t"], YX, "v", 2).where("t % 2 = 0"), ["t", "y", "x"], 3, 1000).select("t", "y", "x"),
-    _with(RASTER, "pk AS (SELECT a.t, a.y, a.x FROM r a JOIN r b ON a.t = b.t AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 WHERE a.v > 0 AND a.t % 2 = 0 GROUP BY a.t, a.y, a.x, a.v HAVING max(b.v) = a.v)")
-    + "SELECT t, y, x FROM (SELECT *, row_number() OVER (ORDER BY t, y, x) AS k FROM pk) WHERE k % 3 = 1 ORDER BY k LIMIT 1000",
+    lambda s, sf: kernels.every_kth(stencil.local_maxima(raster(s, sf), ["t"], YX, "v", 2), ["t", "y", "x"], 3, 10**9).select("t", "y", "x"),
+    _with(RASTER, "pk AS (SELECT a.t, a.y, a.x FROM r a JOIN r b ON a.t = b.t AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 WHERE a.v > 0 GROUP BY a.t, a.y, a.x, a.v HAVING max(b.v) = a.v)")
+    + "SELECT t, y, x FROM (SELECT *, row_number() OVER (ORDER BY t, y, x) AS k FROM pk) WHERE k % 3 = 1",
 )
-register("krn_1_gaussian", lambda s, sf: kernels.frame_kernel(raster(s, sf), ["t"], "v", kernels.Gaussian((0.6, 0.9))).select("t", "y", "x", F.round("v", 4).alias("v")))
-register("krn_8_log_response", lambda s, sf: kernels.frame_kernel(raster(s, sf), ["t"], "v", kernels.LaplaceOfGaussian((0.8, 1.2))).select("t", "y", "x", F.round("v", 4).alias("v")))
-register("krn_20_log_peaks", lambda s, sf: kernels.frame_kernel(raster(s, sf), ["t"], "v", kernels.LogPeaks((0.8, 1.2))).where("v > 0").select("t", "y", "x"))
+
+
+def _line_sql(name: str, sigma: float, reach: int) -> tuple[str, ...]:
+    """The matrices of a Gaussian and of its second derivative along a line of 8 cells folded back at both ends: i, j, w, w2."""
+    return (
+        f"{name}g AS (SELECT k, exp(-0.5 * pow(k / {sigma}::double, 2)) / sum(exp(-0.5 * pow(k / {sigma}::double, 2))) OVER () AS w FROM range(-{reach}, {reach + 1}) q(k))",
+        f"{name} AS (SELECT i, CASE WHEN i + k < 0 THEN -i - k - 1 WHEN i + k > 7 THEN 15 - i - k ELSE i + k END AS j, w, w * (k * k / pow({sigma}::double, 4) - 1 / pow({sigma}::double, 2)) AS w2 FROM range(8) a(i), {name}g)",
+    )
+
+
+def _smooth_sql(out: str, source: str, line: str) -> tuple[str, ...]:
+    return (f"{out}y AS (SELECT t, i AS y, x, sum(w * v) AS v FROM {source} JOIN {line} ON j = y GROUP BY t, i, x)", f"{out} AS (SELECT t, y, i AS x, sum(w * v) AS v FROM {out}y JOIN {line} ON j = x GROUP BY t, y, i)")
+
+
+def _blob_sql(out: str, sigma: float, reach: int) -> tuple[str, ...]:
+    """-sigma squared times the Laplacian of the Gaussian of r."""
+    return (
+        *_line_sql(f"{out}l", sigma, reach),
+        f"{out}y AS (SELECT t, i AS y, x, sum(w * v) AS v, sum(w2 * v) AS v2 FROM r JOIN {out}l ON j = y GROUP BY t, i, x)",
+        f"{out} AS (SELECT t, y, i AS x, greatest(-pow({sigma}::double, 2) * (sum(w * v2) + sum(w2 * v)), 0) AS v FROM {out}y JOIN {out}l ON j = x GROUP BY t, y, i)",
+    )
+
+
+_BLOBS = (*_blob_sql("ba", 0.8, 3), *_blob_sql("bb", 1.2, 5))
+_RIM = "(SELECT max(q.v) FROM {0} q WHERE q.t = {0}.t AND abs(q.y - {0}.y) <= 1 AND abs(q.x - {0}.x) <= 1)"
+register(
+    "krn_1_gaussian",
+    lambda s, sf: kernels.frame_kernel(raster(s, sf), ["t"], "v", kernels.Gaussian((0.6, 0.9))).select("t", "y", "x", (F.round(F.col("v") + 1e-9, 4) + 0.0).alias("v")),
+    _with(RASTER, *_line_sql("la", 0.6, 2), *_smooth_sql("sa", "r", "la"), *_line_sql("lb", 0.45**0.5, 2), *_smooth_sql("sb", "sa", "lb")) + "SELECT t, y::int AS y, x::int AS x, round(v + 1e-9, 4) + 0.0::double AS v FROM sb",
+)
+register(
+    "krn_8_log_response",
+    lambda s, sf: kernels.frame_kernel(raster(s, sf), ["t"], "v", kernels.LaplaceOfGaussian((0.8, 1.2))).select("t", "y", "x", F.round(F.col("v") + 1e-9, 4).alias("v")),
+    _with(RASTER, *_BLOBS, "bl AS (SELECT ba.t, ba.y, ba.x, greatest(ba.v, bb.v) AS v FROM ba JOIN bb USING (t, y, x))") + "SELECT t, y::int AS y, x::int AS x, round(v / (max(v) OVER (PARTITION BY t) + 1e-12) / 10 + 1e-9, 4) AS v FROM bl",
+)
+register(
+    "krn_20_log_peaks",
+    lambda s, sf: kernels.frame_kernel(raster(s, sf), ["t"], "v", kernels.LogPeaks((0.8, 1.2))).where("v > 0").select("t", "y", "x"),
+    _with(
+        RASTER, *_BLOBS,
+        "pa AS (SELECT a.t, a.y, a.x, a.v, a.v > 0 AND max(q.v) = a.v AS peak FROM ba a JOIN ba q ON a.t = q.t AND abs(a.y - q.y) <= 1 AND abs(a.x - q.x) <= 1 GROUP BY a.t, a.y, a.x, a.v)",
+        "pb AS (SELECT a.t, a.y, a.x, a.v, a.v > 0 AND max(q.v) = a.v AS peak FROM bb a JOIN bb q ON a.t = q.t AND abs(a.y - q.y) <= 1 AND abs(a.x - q.x) <= 1 GROUP BY a.t, a.y, a.x, a.v)",
+    ) + "SELECT pa.t, pa.y::int AS y, pa.x::int AS x FROM pa JOIN pb USING (t, y, x) WHERE pa.peak OR pb.peak AND (NOT pa.peak OR pb.v > pa.v)",
+)
 register("krn_12_skeletonize", lambda s, sf: kernels.frame_kernel(raster(s, sf).withColumn("v", (F.col("v") > MASK).cast("double")), ["t"], "v", kernels.Thinning()).where("v > 0").select("t", "y", "x"))
-register("krn_5_eigen_3d", lambda s, sf: kernels.eigen_3d(raster(s, sf).select("t", "y", "x", F.col("v").alias("a"), (F.col("v") * 2).alias("b"))))
+register(
+    "krn_12_skeletonize_3d",
+    lambda s, sf: kernels.frame_kernel(volume(s, sf).withColumn("v", (F.col("v") > MASK).cast("double")), ["image"], "v", kernels.Thinning3D(), ("z", "y", "x")).where("v > 0").select("image", "z", "y", "x"),
+)
+
+# volumes of eight frames: Hessian, eigenvalues, vesselness with a z axis
+_VZ, _VY, _VX = "(PARTITION BY image, y, x ORDER BY z)", "(PARTITION BY image, z, x ORDER BY y)", "(PARTITION BY image, z, y ORDER BY x)"
+_ACROSS = {"z": _VZ, "y": _VY, "x": _VX}
+_HESS3 = (
+    "vo AS (SELECT t // 8 AS image, (t % 8)::int AS z, y, x, v FROM r)",
+    "v1 AS (SELECT *, " + ", ".join(f"{_LINE.format(v='v', w=w)} AS g{a}" for a, w in _ACROSS.items()) + " FROM vo)",
+    "h3 AS (SELECT image, z, y, x, " + ", ".join(f"{_LINE.format(v=f'g{a}', w=_ACROSS[b])} AS g{a}{b}" for a, b in ("zz", "zy", "zx", "yy", "yx", "xx")) + " FROM v1)",
+    "e1 AS (SELECT *, (gzz + gyy + gxx) / 3 AS q, sqrt((pow(gzz - (gzz + gyy + gxx) / 3, 2) + pow(gyy - (gzz + gyy + gxx) / 3, 2) + pow(gxx - (gzz + gyy + gxx) / 3, 2) + 2 * (gzy * gzy + gzx * gzx + gyx * gyx)) / 6) AS p FROM h3)",
+    "e2 AS (SELECT *, CASE WHEN p > 0 THEN greatest(-1, least(1, ((gzz - q) * ((gyy - q) * (gxx - q) - gyx * gyx) - gzy * (gzy * (gxx - q) - gyx * gzx) + gzx * (gzy * gyx - (gyy - q) * gzx)) / (2 * p * p * p))) ELSE 0 END AS c FROM e1)",
+    "e3 AS (SELECT image, z, y, x, q + 2 * p * cos(acos(c) / 3) AS a, q + 2 * p * cos(acos(c) / 3 + 2 * pi() / 3) AS b, 3 * q AS s FROM e2)",
+    "e4 AS (SELECT image, z, y, x, list_sort([{'s': abs(a), 'e': a}, {'s': abs(s - a - b), 'e': s - a - b}, {'s': abs(b), 'e': b}]) AS l FROM e3)",
+    "eg3 AS (SELECT image, z, y, x, l[1].e AS l1, l[2].e AS l2, l[3].e AS l3 FROM e4)",
+)
+
+
+def _eigen_volume(spark, sf):
+    h = stencil.hessian_3d(volume(spark, sf), ["image"])
+    l1, l2, l3 = stencil.eigen_3d(*[F.col(f"g{ab}") for ab in ("zz", "zy", "zx", "yy", "yx", "xx")])
+    return h.select("image", "z", "y", "x", l1.alias("l1"), l2.alias("l2"), l3.alias("l3"))
+
+
+register("krn_5_eigen_3d", lambda s, sf: _eigen_volume(s, sf).select("image", "z", "y", "x", *[F.round(F.abs(f"l{i}") + 1e-7, 5).alias(f"l{i}") for i in (1, 2, 3)]), _with(RASTER, *_HESS3) + "SELECT image, z, y, x, " + ", ".join(f"round(abs(l{i}) + 1e-7, 5) AS l{i}" for i in (1, 2, 3)) + " FROM eg3")
+_VES3 = "CASE WHEN l2 > 0 OR l3 > 0 THEN 0 ELSE (1 - exp(-pow(abs(l2) / (abs(l3) + 1e-12), 2) / 0.5)) * exp(-pow(abs(l2) / (sqrt(abs(l2 * l3)) + 1e-12), 2) / 0.5) * (1 - exp(-(l1 * l1 + l2 * l2 + l3 * l3) / 0.02)) END"
+register("krn_6_vesselness_3d", lambda s, sf: _eigen_volume(s, sf).select("image", "z", "y", "x", F.round(stencil.vesselness_3d(F.col("l1"), F.col("l2"), F.col("l3"), F.lit(2 * 0.1 * 0.1)) + 1e-7, 4).alias("vessel")), _with(RASTER, *_HESS3) + f"SELECT image, z, y, x, round({_VES3} + 1e-7, 4) AS vessel FROM eg3")
 register("krn_22_tiles", lambda s, sf: kernels.tiles(raster(s, sf), YX, (4, 4), (1, 1), SHAPE).groupBy("t", "tile_y", "tile_x").agg(F.count("*").alias("n"), F.sum(F.col("halo").cast("int")).alias("halo")),
     _with(RASTER) + "SELECT t, ty::int AS tile_y, tx::int AS tile_x, count(*) AS n, sum((y // 4 <> ty OR x // 4 <> tx)::int)::bigint AS halo FROM r, range(2) a(ty), range(2) b(tx) WHERE y BETWEEN ty * 4 - 1 AND ty * 4 + 4 AND x BETWEEN tx * 4 - 1 AND tx * 4 + 4 GROUP BY ALL")

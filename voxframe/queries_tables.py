@@ -57,7 +57,20 @@ def _long(spark, sf):
 
 
 register("agg_7_mode", lambda s, sf: features.reassigned_label(hierarchy(s, sf).withColumn("q", F.col("x").cast("long") % 5), "branch", "q"), _with(HIERARCHY, "c AS (SELECT t, branch AS label, x::bigint % 5 AS q, count(*) AS n FROM h GROUP BY ALL)") + "SELECT t, label, q AS reassigned_label FROM c QUALIFY row_number() OVER (PARTITION BY t, label ORDER BY n DESC, q) = 1")
-register("jon_9_label_joins", lambda s, sf: hierarchy(s, sf).select("t", "id", "branch", "organelle"), _with(HIERARCHY) + "SELECT t, id, branch, organelle FROM h")
+
+
+def _label_joins(spark, sf):
+    h = hierarchy(spark, sf)
+    size = lambda level: h.groupBy("t", F.col(level).alias("label")).agg(F.count("*").alias("n"))
+    return features.label_joins(h.select("t", "id", "branch", "organelle"), size("branch"), size("organelle"))
+
+
+register(
+    "jon_9_label_joins",
+    _label_joins,
+    _with(HIERARCHY, "b AS (SELECT t, branch, count(*) AS branch_n FROM h GROUP BY ALL)", "o AS (SELECT t, organelle, count(*) AS organelle_n FROM h GROUP BY ALL)")
+    + "SELECT h.t, h.id, h.branch, h.organelle, branch_n, organelle_n FROM h JOIN b ON b.t = h.t AND b.branch = h.branch JOIN o ON o.t = h.t AND o.organelle = h.organelle",
+)
 _BO = "bo AS (SELECT t, branch, arg_min(organelle, id) AS organelle FROM h GROUP BY t, branch)"
 register("jon_10_branch_to_organelle", lambda s, sf: features.branch_to_organelle(hierarchy(s, sf)), _with(HIERARCHY, _BO) + "SELECT t, branch, organelle FROM bo")
 _ED = "ed AS (SELECT t, 'v_b' AS kind, id AS src, branch AS dst FROM h UNION ALL SELECT t, 'v_o', id, organelle FROM h UNION ALL SELECT t, 'b_o', branch, organelle FROM bo)"
@@ -87,21 +100,39 @@ def _ordinals(spark, sf):
 register("prj_13_match_t", lambda s, sf: hierarchy(s, sf).where("t = 3").select("t", "id"), _with(HIERARCHY) + "SELECT t, id FROM h WHERE t = 3")
 register("prj_3_time_range", lambda s, sf: metadata.time_range(hierarchy(s, sf), 1, 3, 7).select("t", "id"), _with(HIERARCHY) + "SELECT t, id FROM h WHERE t BETWEEN 1 AND 3")
 register("prj_2_channel", lambda s, sf: s.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber = 2").select("l_orderkey", "l_quantity"), "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_linenumber = 2")
-register("prj_1_axes_order", lambda s, sf: hierarchy(s, sf).select(F.col("t").alias("a0"), F.col("branch").alias("a1"), F.col("x").alias("a2")), _with(HIERARCHY) + "SELECT t AS a0, branch AS a1, x AS a2 FROM h")
+
+
+def _axes_order(spark, sf):
+    """Cells whose coordinates stand in the order of their image's axes: XTY for even parts, TZYX with one plane for odd ones."""
+    p = parts(spark, sf)
+    axes = F.when(F.col("image_id") % 2 == 0, "XTY").otherwise("TZYX")
+    t, y, x = (F.col("image_id") % 7).cast("int"), F.col("num").cast("int"), F.col("unit")
+    at = F.when(F.col("image_id") % 2 == 0, F.array(x, t, y)).otherwise(F.array(t, F.lit(0), y, x))
+    cells = p.select("image_id", axes.alias("axes"), at.alias("at"))
+    return cells.select("image_id", *[metadata.coordinate(F.col("axes"), F.col("at"), a).alias(a.lower()) for a in "TZYX"])
+
+
+register("prj_1_axes_order", _axes_order, _with(PARTS) + "SELECT image_id, (image_id % 7)::int AS t, CASE WHEN image_id % 2 = 1 THEN 0 END AS z, num::int AS y, unit AS x FROM m")
 register("prj_17_log_view", lambda s, sf: hierarchy(s, sf).where("structure > 0").select("id", tidy(F.log10("structure")).alias("v")), _with(HIERARCHY) + "SELECT id, round(log10(structure) + 1e-9, 6) AS v FROM h WHERE structure > 0")
 register("prj_18_nan_to_zero", lambda s, sf: hierarchy(s, sf).select("id", tidy(F.coalesce(scalar.ratio(F.lit(1.0), F.col("structure")), F.lit(0.0))).alias("v")), _with(HIERARCHY) + "SELECT id, round(CASE WHEN structure <> 0 THEN 1 / structure ELSE 0 END + 1e-9, 6) AS v FROM h")
 register("agg_36_percentiles", lambda s, sf: hierarchy(s, sf).groupBy("t").agg(*[F.round(F.percentile("intensity", p) + 1e-7, 4).alias(f"p{int(p * 100)}") for p in (0.01, 0.25, 0.75, 0.98)]), _with(HIERARCHY) + "SELECT t, " + ", ".join(f"round(quantile_cont(intensity, {p}) + 1e-7, 4) AS p{int(p * 100)}" for p in (0.01, 0.25, 0.75, 0.98)) + " FROM h GROUP BY t")
-register("agg_37_view_mean", lambda s, sf: stats.view(hierarchy(s, sf).where("t = 2"), "intensity").select("n", F.round("mean", 3).alias("mean"), F.round("std_dev", 3).alias("std_dev")), _with(HIERARCHY) + "SELECT count(*) AS n, round(avg(intensity), 3) AS mean, round(stddev_pop(intensity), 3) AS std_dev FROM h WHERE t = 2")
-register("agg_37_view_robust", lambda s, sf: stats.view(hierarchy(s, sf).where("t = 2"), "intensity", robust=True).select("n", *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("q25", "median", "q75", "iqr")]), _with(HIERARCHY, "q AS (SELECT count(*) AS n, quantile_cont(intensity, 0.25) AS q25, quantile_cont(intensity, 0.5) AS median, quantile_cont(intensity, 0.75) AS q75 FROM h WHERE t = 2)") + "SELECT n, round(q25 + 1e-7, 4) AS q25, round(median + 1e-7, 4) AS median, round(q75 + 1e-7, 4) AS q75, round(q75 - q25 + 1e-7, 4) AS iqr FROM q")
+_BY_T = " GROUP BY t"
+
+
+def _views(spark, sf, **how):
+    return stats.view(hierarchy(spark, sf), "intensity", by=["t"], **how)
+
+
+register("agg_37_view_mean", lambda s, sf: _views(s, sf).select("t", "n", F.round("mean", 3).alias("mean"), F.round("std_dev", 3).alias("std_dev")), _with(HIERARCHY) + "SELECT t, count(*) AS n, round(avg(intensity), 3) AS mean, round(stddev_pop(intensity), 3) AS std_dev FROM h" + _BY_T)
+register("agg_37_view_robust", lambda s, sf: _views(s, sf, robust=True).select("t", "n", *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("q25", "median", "q75", "iqr")]), _with(HIERARCHY, "q AS (SELECT t, count(*) AS n, quantile_cont(intensity, 0.25) AS q25, quantile_cont(intensity, 0.5) AS median, quantile_cont(intensity, 0.75) AS q75 FROM h GROUP BY t)") + "SELECT t, n, round(q25 + 1e-7, 4) AS q25, round(median + 1e-7, 4) AS median, round(q75 + 1e-7, 4) AS q75, round(q75 - q25 + 1e-7, 4) AS iqr FROM q")
 
 
 def _histogram(spark, sf):
-    rows = hierarchy(spark, sf).where("t = 2")
-    bins = int(rows.count() ** 0.5)
-    return thresholds.histogram(rows, ["t"], "intensity", bins).select("bin", "n")
+    rows = hierarchy(spark, sf)
+    return thresholds.histogram(rows, [], "intensity", int(rows.count() ** 0.5)).select("bin", "n")
 
 
-register("agg_38_view_histogram", _histogram, "WITH " + HIERARCHY + ", e AS (SELECT min(intensity) AS lo, max(intensity) AS hi, floor(sqrt(count(*)))::int AS k FROM h WHERE t = 2), c AS (SELECT least(floor((intensity - lo) / (hi - lo) * k), k - 1)::int AS bin, count(*) AS n FROM h, e WHERE t = 2 GROUP BY 1), g AS (SELECT unnest(range(k))::int AS bin FROM e) SELECT g.bin, coalesce(n, 0) AS n FROM g LEFT JOIN c ON c.bin = g.bin")
+register("agg_38_view_histogram", _histogram, "WITH " + HIERARCHY + ", e AS (SELECT min(intensity) AS lo, max(intensity) AS hi, floor(sqrt(count(*)))::int AS k FROM h), c AS (SELECT least(floor((intensity - lo) / (hi - lo) * k), k - 1)::int AS bin, count(*) AS n FROM h, e GROUP BY 1), g AS (SELECT unnest(range(k))::int AS bin FROM e) SELECT g.bin, coalesce(n, 0) AS n FROM g LEFT JOIN c ON c.bin = g.bin")
 register("opr_14_analysis_view", lambda s, sf: stats.view(features.level_table(hierarchy(s, sf), "organelle", ["intensity"]), "intensity_mean", log=True).select("n", F.round(F.col("mean") + 1e-9, 6).alias("mean"), F.round(F.col("std_dev") + 1e-9, 6).alias("std_dev")), _with(HIERARCHY, "f AS (SELECT avg(intensity) AS v FROM h GROUP BY t, organelle)") + "SELECT count(*) AS n, round(avg(log10(v)) + 1e-9, 6) AS mean, round(stddev_pop(log10(v)) + 1e-9, 6) AS std_dev FROM f WHERE v > 0")
 register("agg_32_joint_standard", lambda s, sf: _standard(s, sf), _with(HIERARCHY, "m AS (SELECT avg(structure) AS a, stddev_pop(structure) AS e FROM h)") + "SELECT id, round((structure - a) / (e + 1e-8) + 1e-9, 5) AS z FROM h, m")
 
@@ -123,8 +154,7 @@ def _top_label(spark, sf):
 
 
 register("srt_3_by_absolute", lambda s, sf: hierarchy(s, sf).select("id", F.element_at(F.array_sort(F.array(F.lit(0.05) - F.col("structure"), F.col("structure") - 0.02), lambda a, b: F.when(F.abs(a) < F.abs(b), -1).when(F.abs(a) > F.abs(b), 1).otherwise(0)), 1).alias("v")).select("id", F.round(F.abs("v") + 1e-9, 6).alias("v")), _with(HIERARCHY) + "SELECT id, round(least(abs(0.05::double - structure), abs(structure - 0.02::double)) + 1e-9, 6) AS v FROM h")
-register("srt_6_sorted_names", lambda s, sf: parts(s, sf).select("name").distinct().orderBy("name").limit(20), _with(PARTS) + "SELECT DISTINCT name FROM m ORDER BY name LIMIT 20")
-register("srt_6_sorted_names_whole", lambda s, sf: parts(s, sf).select("name").distinct().orderBy("name"), _with(PARTS) + "SELECT DISTINCT name FROM m ORDER BY name")
+register("srt_6_sorted_names", lambda s, sf: parts(s, sf).select("name").distinct().orderBy("name"), _with(PARTS) + "SELECT DISTINCT name FROM m ORDER BY name")
 register("srt_7_form_order", lambda s, sf: _forms(s), "SELECT * FROM (VALUES ('raw', 1), ('mean', 2), ('std_dev', 3), ('min', 4), ('max', 5), ('sum', 6)) f(form, place)")
 
 
@@ -152,7 +182,7 @@ def _file():
 
 register("src_3_format_dispatch", lambda s, sf: parts(s, sf).select("image_id", metadata.file_format(_file()).alias("format")), _with(PARTS) + "SELECT image_id, CASE unit WHEN 0 THEN 'tiff' WHEN 1 THEN 'nd2' END AS format FROM m")
 register("src_13_directory_scan", lambda s, sf: parts(s, sf).select(_file().alias("file")).where(F.col("file").contains("1") & F.lower("file").endswith(".tif")).select("file"), _with(PARTS) + f"SELECT {_FILE} AS file FROM m WHERE file LIKE '%1%' AND lower(file) LIKE '%.tif'")
-register("src_14_same_layout", lambda s, sf: metadata.same_layout(parts(s, sf).where("num = 7"), "unit", "num"), _with(PARTS) + "SELECT count(*) AS files, count(DISTINCT (unit, num)) <= 1 AS same FROM m WHERE num = 7")
+register("src_14_same_layout", lambda s, sf: metadata.same_layout(parts(s, sf), "unit", "num", by=["kind"]), _with(PARTS) + "SELECT kind, count(*) AS files, count(DISTINCT (unit, num)) <= 1 AS same FROM m GROUP BY kind")
 register(
     "src_12_output_name",
     lambda s, sf: parts(s, sf).select("image_id", metadata.output_name(F.col("name"), F.lit("TYX"), F.col("num") / F.lit(7.0), F.lit(None).cast("double"), F.when(F.col("unit") == 0, F.col("price")), F.lit(1.0), F.col("unit"), F.lit(0), F.col("num")).alias("file")),
@@ -197,3 +227,15 @@ register("fn_strings", lambda s, sf: parts(s, sf).select("image_id", F.lower("ki
 register("fn_ravel_index", lambda s, sf: parts(s, sf).select("image_id", ((F.col("unit") * 50 + F.col("num")) * 10 + F.col("image_id") % 10).alias("flat")), _with(PARTS) + "SELECT image_id, (unit * 50 + num) * 10 + image_id % 10 AS flat FROM m")
 register("fn_date_stamp", lambda s, sf: s.read.parquet(f"{sf}/events.parquet").select("event_id", F.date_format("ts", "yyyyMMdd_HHmmss").alias("stamp")), "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events")
 register("fn_arrays", lambda s, sf: parts(s, sf).select("image_id", F.array_join(F.transform(F.sequence(F.lit(1), F.col("unit") + 1), lambda i: (i * F.col("num")).cast("string")), ",").alias("line")), _with(PARTS) + "SELECT image_id, array_to_string([(i * num)::varchar FOR i IN range(1, unit + 2)], ',') AS line FROM m")
+
+
+def _maps(spark, sf):
+    """Feature maps of each image merged: later ones win, keys in order."""
+    first = F.create_map(F.lit("num"), F.col("num"), F.lit("unit"), F.col("unit").cast("long"))
+    second = F.create_map(F.lit("twice"), F.col("num") * 2)
+    merged = F.map_concat(first.cast("map<string,bigint>"), second.cast("map<string,bigint>"))
+    entries = F.array_sort(F.map_entries(merged))
+    return parts(spark, sf).select("image_id", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("features"))
+
+
+register("fn_maps", _maps, _with(PARTS) + "SELECT image_id, 'num=' || num || ',twice=' || num * 2 || ',unit=' || unit AS features FROM m")

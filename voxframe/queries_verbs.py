@@ -2,34 +2,120 @@
 
 from __future__ import annotations
 
-from dataclasses import fields
+import uuid
+from dataclasses import replace
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxframe import queries_points as qp
-from voxframe.plans.adapters import HIERARCHY, POINTS, hierarchy, raster
+from voxframe import queries_raster as qr
+from voxframe.plans import settings
+from voxframe.plans.adapters import HIERARCHY, POINTS, RASTER, hierarchy, mosaic, mosaic_volume, raster
 from voxframe.plans.engine import Config, Engine
-from voxframe.plans.session import checkpointed
+from voxframe.plans.session import checkpointed, shared_dir
 from voxframe.registry import register
+from voxframe.sources.stages import FEATURES, STAGES, StageStore
+from voxframe.sources.tiff import TiffSource, pages_to_cells, write_stacks
 
-CONFIG = Config(bins=16, least_object=1, most_speed=3.0)
+#: Frames of 64 x 64 cells, and volumes of 8 x 32 x 32; the small ones of single vectors are for oracles.
+CONFIG = Config(height=64, width=64, least_radius=2.0, most_radius=6.0, least_object=2, most_speed=3.0, match_speed=2.0)
+VOLUME = Config(depth=8, height=32, width=32, least_radius=2.0, most_radius=6.0, least_object=2, smooth_mask=False, most_speed=3.0, match_speed=2.0)
+SMALL = Config(bins=16, least_object=1)
 
 
 def _frames(spark, sf):
-    return raster(spark, sf)
+    return mosaic(spark, sf)
+
+
+def _volumes(spark, sf):
+    return mosaic_volume(spark, sf)
 
 
 def _round(df, *cols):
-    return df.select(*[F.round(c, 4).alias(c) if c in cols else c for c in df.columns])
+    return df.select(*[F.round(F.col(c) + 1e-9, 4).alias(c) if c in cols else c for c in df.columns])
+
+
+def _labels(spark, sf):
+    """Labels of the raw frames, so that the later verbs can be asked for alone."""
+    return checkpointed(Engine(replace(CONFIG, threshold=0.05, smooth_mask=False)).label(_frames(spark, sf)))
+
+
+def digest(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, rows, columns, total (of all numbers, rounded) of each table."""
+    out = None
+    for name, df in tables.items():
+        numbers = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "integer", "long")]
+        total = F.lit(0.0)
+        for c in numbers:
+            total = total + F.coalesce(F.sum(F.round(F.col(c).cast("double"), 3)), F.lit(0.0))
+        one = df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns"), F.round(total, 1).alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 register("opr_1_filter", lambda s, sf: _round(Engine(CONFIG).vesselness(_frames(s, sf)), "v"))
-register("opr_2_label", lambda s, sf: Engine(CONFIG).label(_frames(s, sf)))
-register("opr_3_network", lambda s, sf: Engine(CONFIG).network(Engine(CONFIG).label(_frames(s, sf), 0.05))[1])
-register("opr_4_markers", lambda s, sf: Engine(CONFIG).markers(Engine(CONFIG).label(_frames(s, sf), 0.05), _frames(s, sf)).select("t", "id", "y", "x"))
-register("opr_16_run", lambda s, sf: _round(Engine(CONFIG).run(_frames(s, sf))["regions"].select("t", "label", "area", "extent"), "area", "extent"))
-register("opr_17_settings", lambda s, sf: s.createDataFrame([(f.name, str(f.default)) for f in fields(Config)], "name string, value string"))
+register("opr_1_filter_3d", lambda s, sf: _round(Engine(VOLUME).vesselness(_volumes(s, sf)), "v"))
+register("opr_2_label", lambda s, sf: Engine(replace(SMALL, threshold=0.05, least_object=3)).label(raster(s, sf)), qr._with(
+    RASTER, *qr._CC, "lg AS (SELECT t, y, x FROM lab QUALIFY count(*) OVER (PARTITION BY t, label) >= 3)",
+    # the mean of nine cells, edges repeated, above a half: five or more
+    "st AS (SELECT a.v AS dy, b.v AS dx FROM (VALUES (-1), (0), (1)) a(v), (VALUES (-1), (0), (1)) b(v))",
+    "sm AS (SELECT r.t, r.y, r.x FROM r, st JOIN lg ON lg.t = r.t AND lg.y = greatest(0, least(7, r.y + dy)) AND lg.x = greatest(0, least(7, r.x + dx)) GROUP BY ALL HAVING count(*) >= 5)",
+    "sc AS (SELECT t, y, x, y * 8 + x AS o FROM sm)",
+    "rs AS (SELECT t, o, o AS root, y, x FROM sc UNION SELECT c.t, c.o, q.root, c.y, c.x FROM rs q JOIN sc c ON c.t = q.t AND abs(c.y - q.y) <= 1 AND abs(c.x - q.x) <= 1 AND q.root < c.o)",
+    "sr AS (SELECT t, y, x, min(root) AS root FROM rs GROUP BY ALL)",
+) + "SELECT t, y, x, dense_rank() OVER (PARTITION BY t ORDER BY root)::int AS label FROM sr")
+register("opr_3_network", lambda s, sf: Engine(CONFIG).network(_labels(s, sf), _frames(s, sf))[1])
+register("opr_4_markers", lambda s, sf: Engine(CONFIG).markers(_labels(s, sf), _frames(s, sf), _frames(s, sf)).select("t", "id", "y", "x"))
+register("opr_16_run", lambda s, sf: digest(Engine(CONFIG).run(_frames(s, sf))))
+register("opr_16_run_3d", lambda s, sf: digest(Engine(VOLUME).run(_volumes(s, sf))))
+register("opr_17_settings", lambda s, sf: settings.table(s), "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row) + ")" for row in settings.SETTINGS) + ") f(name, value, field)")
 register("snk_1_flow_vectors", lambda s, sf: checkpointed(qp._flow(s, sf)).select("t", "pre", "post"), qp._with(POINTS, *qp._FLAT) + "SELECT t, pre, post FROM fw")
 register("snk_2_voxel_matches", lambda s, sf: checkpointed(qp._candidates(s, sf)).select("t", "prev", "next"), qp._with(POINTS, *qp._SF, *qp._FWD, *qp._BWD, *qp._CAND) + "SELECT t, prev, next FROM cd")
 register("snk_7_feature_scan", lambda s, sf: checkpointed(hierarchy(s, sf)).groupBy("t").agg(F.count("*").alias("n"), F.max("intensity").alias("top")), "WITH " + HIERARCHY + " SELECT t, count(*) AS n, max(intensity) AS top FROM h GROUP BY t")
 register("snk_8_export", lambda s, sf: hierarchy(s, sf).where("t = 4").select("t", "intensity"), "WITH " + HIERARCHY + " SELECT t, intensity FROM h WHERE t = 4")
+
+
+# stage tables and TIFF stacks, written to the shared folder and read back
+def _store(spark) -> StageStore:
+    return StageStore(spark, f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}")
+
+
+def _stage_round_trip(spark, sf):
+    return _store(spark).write("labels", raster(spark, sf).where("v > 0.05").select("t", "y", "x", F.lit(1).alias("label"))).select(F.col("t").cast("long").alias("t"), "y", "x", "label")
+
+
+def _readiness(spark, sf, remove=False):
+    """Which stages are there after two are written, and after the intermediate ones are removed."""
+    store = _store(spark)
+    frames = raster(spark, sf).groupBy("t").agg(F.max("v").alias("top"))
+    store.write("flow", frames.coalesce(1).select(F.col("top").alias("cost")))
+    store.write("features_image", frames.coalesce(1).select("top"))
+    if remove:
+        store.remove_intermediates()
+    return spark.createDataFrame([(k, store.ready(k)) for k in STAGES + FEATURES], "stage string, ready boolean")
+
+
+def _ready_sql(*there: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(k in there).lower()})" for k in STAGES + FEATURES) + ") f(stage, ready)"
+
+
+def _tiff_read(spark, sf):
+    """Frames written as TIFF pages by tasks, one stack for eight of them, and read back by the source, a page a partition."""
+    root = f"{shared_dir(spark)}/tiff-{uuid.uuid4().hex}"
+    write_stacks(raster(spark, sf).withColumn("stack", F.floor(F.col("t") / F.lit(8)).cast("long")), "stack", "t", "v", root)
+    spark.dataSource.register(TiffSource)
+    pages = spark.read.format("tiff_frames").load(root)
+    return pages_to_cells(pages).select(F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long").alias("stack"), "page", "y", "x", F.round(F.col("v") + 1e-9, 6).alias("v"))
+
+
+register("src_1_tiff_read", _tiff_read, "WITH " + RASTER + " SELECT t // 8 AS stack, (dense_rank() OVER (PARTITION BY t // 8 ORDER BY t) - 1)::int AS page, y, x, round(v + 1e-9, 6) AS v FROM r")
+register("src_9_open_stage", _stage_round_trip, "WITH " + RASTER + " SELECT t, y, x, 1 AS label FROM r WHERE v > 0.05")
+register("src_10_write_stage", lambda s, sf: _stage_round_trip(s, sf).groupBy("t").agg(F.sum("label").alias("n")), "WITH " + RASTER + " SELECT t, count(*) AS n FROM r WHERE v > 0.05 GROUP BY t")
+register("src_11_stage_paths", lambda s, sf: s.createDataFrame([(k, _path_end(s, k)) for k in STAGES + FEATURES], "stage string, path string"), "SELECT * FROM (VALUES " + ", ".join(f"('{k}', 'run/{k}')" for k in STAGES + FEATURES) + ") f(stage, path)")
+register("src_16_readiness", _readiness, _ready_sql("flow", "features_image"))
+register("snk_9_remove_intermediates", lambda s, sf: _readiness(s, sf, True), _ready_sql("features_image"))
+
+
+def _path_end(spark, stage):
+    return StageStore(spark, "run/").path(stage)

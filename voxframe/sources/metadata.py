@@ -77,9 +77,15 @@ def validation_errors(axes: Column, ndim: Column, x: Column, y: Column, z: Colum
     return F.filter(F.array(*[F.when(rule, F.lit(text)) for rule, text in rules]), lambda m: m.isNotNull())
 
 
-def same_layout(files: DataFrame, axes: str, shape: str) -> DataFrame:
-    """One row: whether all files agree in axes and shape, and how many there are."""
-    return files.agg(F.count("*").alias("files"), (F.countDistinct(F.struct(axes, shape)) <= 1).alias("same"))
+def coordinate(axes: Column, at: Column, axis: str) -> Column:
+    """The place of a cell along an axis: that of the axis' letter in the axes, null if it has none; so any order of axes gives T, Z, Y, X."""
+    place = F.locate(axis, axes)
+    return F.when(place > 0, F.try_element_at(at, place.cast("int")))
+
+
+def same_layout(files: DataFrame, axes: str, shape: str, by: list[str] | None = None) -> DataFrame:
+    """A row for all files (of each group): whether they agree in axes and shape, and how many there are."""
+    return files.groupBy(*(by or [])).agg(F.count("*").alias("files"), (F.countDistinct(F.struct(axes, shape)) <= 1).alias("same"))
 
 
 def time_range(df: DataFrame, start: int, end: int, frames: int) -> DataFrame:

@@ -14,6 +14,8 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, page int, height int, width int, description string, x_num long, x_den long, y_num long, y_den long, unit string, dtype string, data binary"
@@ -145,3 +147,41 @@ def encode_tiff(pages: list[np.ndarray], description: str = "", resolution: tupl
         link = len(out)
         out += b"\0\0\0\0"
     return bytes(out)
+
+
+def write_stacks(cells: DataFrame, stack: str, frame: str, value: str, root: str) -> None:
+    """One TIFF stack <stack>.tif below root for each value of `stack`: its frames in order as pages of 64 bit floats.
+
+    A stack is one task's input, and is written by that task through the file system its executor sees (file:// paths only).
+    """
+    folder = root.removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = int(pdf[stack].iloc[0])
+        shape = pdf["y"].max() + 1, pdf["x"].max() + 1
+        pages = []
+        for _, rows in pdf.groupby(frame, sort=True):
+            image = np.zeros(shape)
+            image[rows["y"], rows["x"]] = rows[value]
+            pages.append(image)
+        path = f"{folder}/{name:08d}.tif"
+        with open(f"{path}.part-{os.getpid()}", "wb") as f:
+            f.write(encode_tiff(pages, "axes=TYX"))
+        os.replace(f"{path}.part-{os.getpid()}", path)  # whole or not at all, also when a task is run twice
+        return pd.DataFrame({"stack": [name], "pages": [len(pages)]})
+
+    cells.select(stack, frame, "y", "x", value).groupBy(stack).applyInPandas(run, "stack long, pages long").collect()  # two numbers a stack
+
+
+def pages_to_cells(pages: DataFrame) -> DataFrame:
+    """path, page, y, x, v of every cell of the pages that the source reads."""
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples():
+                image = np.frombuffer(row.data, row.dtype).reshape(row.height, row.width)
+                y, x = np.indices(image.shape)
+                yield pd.DataFrame({"path": row.path, "page": row.page, "y": y.ravel(), "x": x.ravel(), "v": image.ravel().astype(float)})
+
+    return pages.select("path", "page", "height", "width", "dtype", "data").mapInPandas(run, "path string, page int, y int, x int, v double")
