@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from voxframe.llm.common import blocks_for, drop, written
 
 PER_BLOCK = 20_000
+#: Groups of more than PER_BLOCK members, of which there are few, are broadcast if a count finds at most so many.
+MOST_LARGE = 10_000
 
 
 def prefix_sums(df: DataFrame, within: list[str], block: Column, order: list[Column], value: Column, out: str) -> DataFrame:
@@ -37,23 +39,36 @@ def _quotas(demand: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[i
     return {k: n for k, n in allowed.items() if n > 0}
 
 
-def propagate(groups: DataFrame, targets: list[int], rounds: int = 16) -> DataFrame:
+def propagate(groups: DataFrame, targets: list[int]) -> DataFrame:
     """(g, shard, n): how many members of each linked group every shard gets, at most targets[s] in shard s.
 
     groups: g, n. Members of a group are linked with one another and alike, so a group's counts by shard are its
-    state. All start dealt evenly. In each round a group's members wish for the shard that holds most of
+    state. All members start in one line, groups whole, and the shards are filled along it, so that only groups at a
+    shard's end, and those larger than a shard, are cut. In each round a group's members wish for the shard that holds most of
     them and can take more; quotas bound what moves between any two shards, and who moves is decided by
-    running sums over blocks, the last one moving in part. Ends when nothing moves.
+    running sums over blocks, the last one moving in part. Ends when nothing moves or a round leaves no more links whole.
     """
     shards = len(targets)
-    many = blocks_for(groups.count(), PER_BLOCK)
+    counted = groups.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    many = blocks_for(counted["k"], PER_BLOCK)
     block = F.pmod(F.xxhash64("g"), F.lit(many))
     dealt = prefix_sums(groups, [], block, [F.col("g")], F.col("n"), "first")
-    each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    upto = lambda end: F.floor((end - F.col("shard") + F.lit(shards - 1)) / F.lit(shards)).cast("long")  # noqa: E731  of the places below end, those of the shard
-    state = dealt.select("g", "n", "first", each).select("g", F.col("shard").cast("int").alias("shard"), (upto(F.col("first") + F.col("n")) - upto(F.col("first"))).alias("n"))
+    ends = [0]  # shard s takes the places from ends[s] to ends[s + 1]
+    for t in targets:
+        ends.append(min(counted["n"], ends[-1] + t))
+    last = lambda place: F.size(F.filter(F.array(*[F.lit(e) for e in ends[1:]]), lambda e: e <= place))  # noqa: E731  the shard of a place
+    each = F.explode(F.sequence(last(F.col("first")), F.least(last(F.col("first") + F.col("n") - 1), F.lit(shards - 1)))).alias("shard")
+    limit = lambda k: F.get(F.array(*[F.lit(e) for e in ends]), F.col("shard") + k)
+    inside = F.least(F.col("first") + F.col("n"), limit(1)) - F.greatest(F.col("first"), limit(0))
+    state = dealt.select("g", "n", "first", each).select("g", F.col("shard").cast("int").alias("shard"), inside.alias("n"))
     state = written(state.where("n > 0"), "shard-state")
-    for _ in range(rounds):
+    seen = None
+    while True:
+        # links within shards, as pairs of members; doubles, as a group of a third of 10**12 rows has 10**23 pairs
+        whole = state.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1))).first()[0]
+        if seen is not None and whole <= seen:
+            break
+        seen = whole or 0.0
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
         free = [t - load.get(s, 0) for s, t in enumerate(targets)]
         room = F.get(F.array(*[F.lit(x > 0) for x in free]), F.col("shard"))
@@ -110,8 +125,13 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
     placed = prefix_sums(state, ["shard"], F.pmod(F.xxhash64("g"), F.lit(many)), [F.col("g")], F.col("n"), "offset")
     mine = Window.partitionBy("g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     placed = placed.withColumn("start", F.coalesce(F.sum("n").over(mine), F.lit(0)))
-    parts = placed.groupBy("g").agg(F.sum("n").alias("members"), F.collect_list(F.struct("start", "n", "shard", "offset")).alias("parts"))
-    joined = rows.join(parts, "g", "left")
+    parts = written(placed.groupBy("g").agg(F.sum("n").alias("members"), F.collect_list(F.struct("start", "n", "shard", "offset")).alias("parts")), "shard-parts")
+    large = parts.where(F.col("members") > PER_BLOCK)
+    if 0 < large.count() <= MOST_LARGE:  # so no join key has more than PER_BLOCK rows
+        others = rows.join(F.broadcast(large.select("g")), "g", "left_anti").join(parts.where(F.col("members") <= PER_BLOCK), "g", "left")
+        joined = others.unionByName(rows.join(F.broadcast(large), "g"))
+    else:
+        joined = rows.join(parts, "g", "left")
 
     linked = joined.where("parts is not null").withColumn("blocks", F.ceil(F.col("members") / PER_BLOCK))
     order = [F.col("doc_id"), F.col("size")]
