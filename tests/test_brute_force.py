@@ -319,6 +319,12 @@ def test_a_full_run(spark, depth):
     assert {"node_thickness_mean", "linear_vel_mean", "branch_length_mean", "organelle_area_raw", "reassigned_label_raw"} <= set(out["organelles"].columns)
 
 
+def test_labels_by_tiles_are_those_of_whole_frames(spark):
+    frames = frames_of_moving_rods(spark).persist()
+    whole, tiled = (Engine(Config(height=32, width=32, threshold=0.3, tile=t)).label(frames) for t in (None, 7))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, tiled.collect()))
+
+
 def test_settings_make_a_config():
     saved = {n: v for n, v, _ in SETTINGS}
     assert len(saved) == 68 and Config.from_settings(saved) == Config()

@@ -41,6 +41,7 @@ class Config:
     label_radius: float = 0.25
     least_object: int | None = None  # cells; None: those of a disc or ball of label_radius
     smooth_mask: bool = True
+    tile: int | None = None  # cells along each axis; frames beyond a task's memory are labelled in tiles
     # markers
     least_marker_radius: float = 0.2
     most_marker_radius: float = 1.0
@@ -180,6 +181,10 @@ class Engine:
         kept = out.join(mask.withColumn("kept", F.lit(True)), ["t", *axes], "left")
         return kept.select("t", *axes, F.when(F.col("kept"), F.col("v")).otherwise(0.0).alias("v"))
 
+    def components(self, mask: DataFrame) -> DataFrame:
+        axes = list(self.config.axes)
+        return regions.components_tiled(mask, ["t"], axes, self.config.tile) if self.config.tile else regions.components(mask, ["t"], axes)
+
     def label(self, vesselness: DataFrame, intensity: DataFrame | None = None) -> DataFrame:
         """t, axes, label of the components of dense frames above the threshold (the frame's own if the settings give none).
 
@@ -199,12 +204,12 @@ class Engine:
         if c.depth:
             mask = kernels.frame_kernel(mask, ["t"], "v", kernels.FillHoles(), axes)
         mask = checkpointed(mask)
-        found = regions.keep_large(regions.components(mask.where("v > 0"), ["t"], list(axes)), ["t", "label"], c.least_cells)
+        found = regions.keep_large(self.components(mask.where("v > 0").select("t", *axes)), ["t", "label"], c.least_cells)
         if not c.smooth_mask:
             return found
         on = mask.select("t", *axes).join(found.select("t", *axes, F.lit(1.0).alias("v")), ["t", *axes], "left").fillna(0.0, ["v"])
         smooth = kernels.frame_kernel(on, ["t"], "v", kernels.MeanFilter(), axes)
-        return regions.components(smooth.where(F.round("v", 9) > 0.5), ["t"], list(axes))
+        return self.components(smooth.where(F.round("v", 9) > 0.5).select("t", *axes))
 
     def network(self, labels: DataFrame, vesselness: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Skeleton (t, axes, label, pixel_class, branch or null) and voxels with the branch they are nearest to.
