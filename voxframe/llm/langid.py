@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
@@ -10,16 +9,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.llm.common import bounded_sample
+from voxframe.llm.common import written
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")  # by category, as str.isalpha: no numerals such as fractions and Roman numbers
 SPACE = "▁"
 #: Longer runs of letters are learned in pieces of so many characters; scoring reads them whole.
 LONGEST = 40
+#: Sampled ids are broadcast only if a count finds at most so many.
+MOST_BROADCAST = 200_000
 
 
 def vocabulary(model_path: str) -> list[str]:
@@ -91,7 +93,10 @@ class PieceModel:
         alpha[:, 0] = 1
         scale = np.zeros((count, prob.shape[1]))
         for e in range(1, places):
-            for m in range(1, min(longest, e) + 1):
+            if count == 1 and places > 64:  # a long word alone: only the arcs there are
+                m = np.flatnonzero(arcs[0, e] >= 0)
+                alpha[0, e] = (alpha[0, e - 1 - m] * prob[arcs[0, e, m]]).sum(axis=0)
+            for m in () if count == 1 and places > 64 else range(1, min(longest, e) + 1):
                 here = arcs[:, e, m - 1]
                 rows = np.flatnonzero(here >= 0)
                 if len(rows) == count:
@@ -122,12 +127,12 @@ class PieceModel:
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased, each with the vocabulary's space mark before it."""
-    return [SPACE + w for w in _LETTERS.findall(text.lower())]
+    """Runs of letters, lower-cased."""
+    return _LETTERS.findall(text.lower())
 
 
 def fit_pieces(samples: dict[str, Counter], pieces: list[str], rounds: int = 4, smoothing: float = 0.1) -> PieceModel:
-    """Expectation maximisation of each language's piece probabilities on its word counts.
+    """Expectation maximisation of each language's piece probabilities on its word counts; words have the space mark before them.
 
     The expected count of a piece comes from forward and backward sums over all segmentations.
     """
@@ -179,7 +184,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
         for b in batches:
             for lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.setdefault(lang, Counter()).update(words_of(text))
+                held.setdefault(lang, Counter()).update(SPACE + w for w in words_of(text))
                 if sum(map(len, held.values())) > 200_000:
                     yield from out()
         yield from out()
@@ -187,15 +192,31 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit_languages(docs: DataFrame, pieces: list[str], most: int = 800) -> PieceModel:
-    """Fit on at most `most` documents (doc_id, text, lang), each whole.
+def language_sample(known: DataFrame, most: int) -> DataFrame:
+    """doc_id of the `most` rows (doc_id, lang) of least id hash in each language; all where a language has no more.
 
-    Rows without text or lang teach nothing. The choice of documents follows a hash of the id alone; tasks count
-    their words, and the distinct ones of each language come to the driver.
+    Counts of the languages set a bound on the hash first, so the rows that are ordered are few, whatever the table holds.
+    """
+    h = F.xxhash64("doc_id")
+    share = F.least(F.lit(1.0), F.lit(1.2 * most + 50) / F.col("n"))
+    of = written(known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (share * F.lit(2.0**64) - F.lit(2.0**63)).alias("upto")), "language-shares")
+    of = F.broadcast(of) if of.count() <= MOST_BROADCAST else of
+    low = known.select("doc_id", "lang", h.alias("h")).join(of, "lang").where(F.col("h").cast("double") <= F.col("upto"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return low.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id")
+
+
+def fit_languages(docs: DataFrame, pieces: list[str], most: int = 250) -> PieceModel:
+    """Fit on at most `most` documents (doc_id, text, lang) of each language, each whole.
+
+    Rows without text or lang teach nothing. The choice of documents follows a hash of the id alone, in each language on its
+    own, so a rare one is learned from all it has; tasks count the words, and the distinct ones of each language come to the driver.
     """
     known = docs.where("text is not null and lang is not null and doc_id is not null")
-    ids = bounded_sample(known.select("doc_id"), "doc_id", most)
-    counts = _word_counts(known.join(F.broadcast(ids.distinct()), "doc_id")).toArrow()  # words of `most` ids
+    ids = written(language_sample(known.select("doc_id", "lang"), most).distinct(), "languages")
+    if ids.count() <= MOST_BROADCAST:
+        ids = F.broadcast(ids)  # 8 bytes a row
+    counts = _word_counts(known.join(ids, "doc_id")).toArrow()  # words of `most` ids a language
     samples: dict[str, Counter] = {}
     for lang, word, n in zip(*(counts[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
         samples.setdefault(lang, Counter())[word] = n
@@ -225,7 +246,7 @@ class Scorer:
             at.update(zip(new, range(first, first + len(new)), strict=True))
             if len(at) > len(self.value):
                 self.value = np.vstack([self.value, np.zeros((max(len(self.value), len(at)), self.value.shape[1]))])
-            self.value[first : first + len(new)] = self.model.log_likelihood(new)
+            self.value[first : first + len(new)] = self.model.log_likelihood([SPACE + w for w in new])
         count = np.array([len(w) for w in words])
         total = np.zeros((len(texts), self.value.shape[1]))
         full = np.flatnonzero(count)
