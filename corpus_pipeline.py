@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import table, written
+from voxframe.llm.common import free_name, table, written
 from voxframe.llm.decontamination import find_benchmark
 from voxframe.llm.jaccard import near_duplicates
 from voxframe.llm.packing import pack_documents
@@ -19,16 +19,26 @@ from voxframe.llm.quality import fit_quality, score_quality, training_labels
 from voxframe.llm.toxicity import fit_toxicity, score_toxicity
 
 
+def _kept(docs: DataFrame, score, made: tuple[str, ...], keep: str) -> DataFrame:
+    """docs where `keep` holds for score(docs), which adds the columns `made`; own columns of these names come back as they were."""
+    aside: dict[str, str] = {}
+    for c in docs.columns:
+        if c.lower() in made:
+            aside[c] = free_name([*docs.columns, *made, *aside.values()], f"own_{c}")
+    scored = score(docs.select(*[F.col(c).alias(aside.get(c, c)) for c in docs.columns]))
+    return scored.where(keep).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model (fitted on the labelled ones among docs) doesn't call toxic."""
     model = fit_toxicity(docs, training_labels(table(spark, sf_dir, "labels"), "toxic", 5, 0))
-    return score_toxicity(docs, model).where("toxic_predicted = 0").select(*docs.columns)
+    return _kept(docs, lambda df: score_toxicity(df, model), ("toxic_score", "toxic_predicted"), "toxic_predicted = 0")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model (fitted on the labelled ones among docs) calls good."""
     forest = fit_quality(docs, training_labels(table(spark, sf_dir, "labels"), "quality", 4, 2))
-    return score_quality(docs, forest, cut=0.7).where("quality_predicted = 1").select(*docs.columns)
+    return _kept(docs, lambda df: score_quality(df, forest, cut=0.7), ("quality_score", "quality_predicted"), "quality_predicted = 1")
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +47,8 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     first = docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
     line = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
-    return first.withColumn("_copy", F.row_number().over(line)).where("_copy = 1").select(*docs.columns)
+    copy = free_name(docs.columns, "copy")
+    return first.withColumn(copy, F.row_number().over(line)).where(F.col(copy) == 1).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,6 +84,12 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and one text (that of the least hash) of each of the ids that docs (doc_id, text) has; ids: a sample of bounded size."""
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def free_name(columns: list[str], wish: str) -> str:
     """wish, or the first of _wish, __wish, .. that no column has; Spark's names differ by more than case."""
     taken = {c.lower() for c in columns}

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +28,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 BITMAP_WORDS = 32
 #: A cell of at most so many groups gives all its pairs at once.
 SHORT_CELL = 6
+#: Cells of more members are cut into bands of sizes before their members are paired.
+BANDED = 64
 #: A shingle that so many documents of one task share counts as frequent; at most MOST_FREQUENT are told to all tasks.
 FREQUENT, MOST_FREQUENT = 2, 300_000
 #: Rounds in which PIVOTS members of each long cell meet all its other members, before what is left is paired;
@@ -46,20 +47,49 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+_BYTE = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS = np.full(64, _MULTIPLY[0])
+_POWERS[0] = 1
+_POWERS = np.cumprod(_POWERS)
+#: Bytes of a text hashed at once; a longer text goes in parts that end where a word does.
+_PART = 2_000_000
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hash of each word, in order: the sum of a number for each byte (one for A and a) times a power for its place."""
+    found = []
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + _PART)
+        while end < len(text) and not _IS_SPACE[text[end]]:
+            end += 1
+        raw = np.frombuffer(text, np.uint8, end - at, at)
+        at = end
+        blank = _IS_SPACE[raw]
+        first = ~blank
+        first[1:] &= blank[:-1]
+        inside = np.flatnonzero(~blank)
+        if not len(inside):
+            continue
+        starts = np.flatnonzero(first[inside])  # among the bytes of words
+        place = np.arange(len(inside)) - np.repeat(starts, np.diff(np.append(starts, len(inside))))
+        longest = int(place.max()) + 1
+        power = _POWERS if longest <= len(_POWERS) else np.cumprod(np.append(np.uint64(1), np.full(longest - 1, _MULTIPLY[0])))
+        found.append(_mix(np.add.reduceat(_BYTE[raw[inside]] * power[place], starts)))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def shingles(text: bytes | None, words: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; fewer than 5 words are one shingle, none are the empty set."""
-    parts = text.lower().split() if text else []  # of bytes: A-Z; the blank and 0x09 to 0x0D
-    if not parts:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
+def shingles(text: bytes | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles; fewer than 5 words are one shingle, none are the empty set.
+
+    A-Z count as a-z; words are runs of bytes other than the blank and 0x09 to 0x0D.
+    """
+    h = word_hashes(text or b"")
+    if not len(h):
+        return h
     if len(h) < SHINGLE:
         return _mix((h * _MULTIPLY[: len(h)]).sum(keepdims=True) + np.uint64(len(h)))
     n = len(h) - SHINGLE + 1
@@ -73,13 +103,19 @@ def _texts(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.col("text").cast("binary").alias("text"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs and key, no_id: by which a text is found again; rows without an id have a hash of the text."""
+    no_id = F.col("doc_id").isNull()
+    return docs.withColumn("no_id", no_id).withColumn("key", F.when(no_id, F.xxhash64("text")).otherwise(F.col("doc_id")))
+
+
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several documents of a task share, and how many do: at most MOST_FREQUENT, by a rising bar."""
 
     def run(batches):
-        words, held = _WordHash(), []
+        held = []
         for b in slices(batches):
-            held += [shingles(t, words) for t in b.column(0).to_pylist()]
+            held += [shingles(t) for t in b.column(0).to_pylist()]
             if sum(map(len, held)) > 2_000_000:
                 yield from count(held)
                 held = []
@@ -109,32 +145,53 @@ def prefix_length(n: int) -> int:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1 if n else 0
 
 
+class PrefixOrder:
+    """The global order of shingles: those not told to be frequent by hash, then the others by (count, hash)."""
+
+    def __init__(self, token: np.ndarray, often: np.ndarray):
+        self.token, self.often = token, often
+        self.may = np.zeros(1 << 22, bool)  # by a hash's first bits, so that few are searched for
+        self.may[token >> np.uint64(42)] = True
+
+    def prefix(self, s: np.ndarray) -> np.ndarray:
+        """The first prefix_length of the sorted set s in this order."""
+        n = prefix_length(len(s))
+        rare = ~self.may[s >> np.uint64(42)]
+        look = np.flatnonzero(~rare)
+        if not len(look):
+            return s[:n]
+        at = np.minimum(np.searchsorted(self.token, s[look]), len(self.token) - 1)
+        found = self.token[at] == s[look]
+        rare[look[~found]] = True
+        first = s[rare]
+        if len(first) >= n:
+            return first[:n]
+        s, often = s[~rare], self.often[at[found]]
+        return np.concatenate((first, s[np.lexsort((s, often))][: n - len(first)]))
+
+
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), d1, d2 (digest of the set), prefix, bits of every row (doc_id, text)."""
+    """doc_id, key, n (set size), d1, d2 (digest of the set), prefix, bits of every row (doc_id, text)."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))  # MOST_FREQUENT pairs of numbers at most
 
     def run(batches):
-        words = _WordHash()
-        token, often = frequent.value
+        order = PrefixOrder(*frequent.value)
         for b in slices(batches):
             n, d1, d2, prefix, bits = [], [], [], [], []
-            for text in b.column(1).to_pylist():
-                s = shingles(text, words)
+            for text in b.column(2).to_pylist():
+                s = shingles(text)
                 n.append(len(s))
                 d1.append(int(_mix(s).sum().view(np.int64)))
                 d2.append(int(_mix(s ^ _MULTIPLY[0]).sum().view(np.int64)))
-                if len(token):
-                    at = np.minimum(np.searchsorted(token, s), len(token) - 1)
-                    s = s[np.lexsort((s, np.where(token[at] == s, often[at], 0)))]
-                prefix.append(s[: prefix_length(len(s))].view(np.int64))
+                prefix.append(order.prefix(s).view(np.int64))
                 odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * BITMAP_WORDS), minlength=64 * BITMAP_WORDS) & 1
                 bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "d1", "d2", "prefix", "bits"],
+                [b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                names=["doc_id", "key", "n", "d1", "d2", "prefix", "bits"],
             )
 
-    return _texts(docs, "doc_id").mapInArrow(run, "doc_id long, n int, d1 long, d2 long, prefix array<long>, bits array<long>")
+    return _texts(_keyed(docs), "doc_id", "key").mapInArrow(run, "doc_id long, key long, n int, d1 long, d2 long, prefix array<long>, bits array<long>")
 
 
 def may_reach(n1: Column, n2: Column, bits1: Column, bits2: Column) -> Column:
@@ -148,7 +205,11 @@ def may_reach(n1: Column, n2: Column, bits1: Column, bits2: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets (c, tokens: sorted hashes as bytes) reach the threshold."""
+    """The pairs (a, b) of classes whose sets (c, tokens: sorted hashes as bytes) reach the threshold; only the pairs' own sets travel."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    if pairs.count() * 2 <= MOST_BROADCAST:
+        ends = F.broadcast(ends)  # 8 bytes a row
+    sets = sets.join(ends, "c", "left_semi")
     left, right = sets.select(F.col("c").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("c").alias("b"), F.col("tokens").alias("y"))
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
@@ -192,12 +253,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     A-Z count as a-z; words are runs without blank or 0x09 to 0x0D. Null and empty texts have no shingle and link with
     nothing: each is a component of its own. Equal sets link; rows that are repeated share their component. A null doc_id is no
-    one's least id, and a text that occurs only without an id links with its equals alone (component null). Other
+    one's least id: texts without one link like others, and a component of such texts alone has none (null). Other
     columns are ignored; an empty table gives no rows; texts are read whole.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     whole = written(document_sets(docs), "sets")
-    classes = whole.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits"))
+    classes = whole.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits"))
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     rows = written(whole.select("doc_id", "n", "d1", "d2"), "rows")
     drop(whole)
@@ -268,10 +329,18 @@ def _with_pivots(mixed: DataFrame, k: int) -> DataFrame:
 
 
 def _across(mixed: DataFrame, facts: DataFrame) -> DataFrame:
-    """All pairs of different roots within a cell that the bound allows; those of the major root never meet each other."""
-    rows = written(mixed.drop("n").join(facts, "c"), "opened")
-    x, y = (rows.select("token", *[F.col(k).alias(f"{k}{i}") for k in ("c", "root", "n", "bits")], F.col("major").alias(f"major{i}")) for i in (1, 2))
-    rows = x.where("root1 != major1").join(y.withColumn("is_major", F.col("root2") == F.col("major2")).drop("major2"), "token")
+    """All pairs of different roots within a cell that the bound allows; those of the major root never meet each other.
+
+    A cell of many members is cut into bands of sizes, each 5/4 of the one before: linked sets lie in one band or in two neighbours.
+    """
+    large = F.col("members") > BANDED
+    band = F.when(large, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)))).otherwise(F.lit(0))
+    rows = written(mixed.withColumnRenamed("n", "members").join(facts, "c").withColumn("band", band).withColumn("large", large), "opened")
+    x, y = (rows.select("token", "band", "large", *[F.col(k).alias(f"{k}{i}") for k in ("c", "root", "n", "bits")], F.col("major").alias(f"major{i}")) for i in (1, 2))
+    beside = F.when(F.col("large"), F.array(*[F.col("band") + d for d in (-1, 0, 1)])).otherwise(F.array("band"))
+    x = x.where("root1 != major1").withColumn("band", F.explode(beside)).drop("large")
+    y = y.withColumn("is_major", F.col("root2") == F.col("major2")).drop("major2", "large")
+    rows = x.join(y, ["token", "band"])
     rows = rows.where((F.col("root1") != F.col("root2")) & (F.col("is_major") | (F.col("c1") < F.col("c2"))))
     rows = rows.where(may_reach(F.col("n1"), F.col("n2"), F.col("bits1"), F.col("bits2")))
     return rows.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
@@ -288,19 +357,20 @@ def _class_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, held: Dat
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     if held is not None:
         wanted = wanted.join(held.select("c"), "c", "left_anti")
-    wanted = written(classes.join(wanted, "c", "left_semi").select("c", F.col("rep").alias("doc_id"), "d1"), "wanted")
+    no_id = F.col("rep").isNull()
+    wanted = classes.join(wanted, "c", "left_semi").select("c", no_id.alias("no_id"), F.when(no_id, F.col("key")).otherwise(F.col("rep")).alias("key"), "d1")
+    wanted = written(wanted, "wanted")
     n = wanted.count()
     if held is not None and n == 0:
         return held
     if n <= MOST_BROADCAST:
-        wanted = F.broadcast(wanted)  # 24 bytes a row
+        wanted = F.broadcast(wanted)  # 32 bytes a row
 
     def run(batches):
-        words = _WordHash()
         for b in slices(batches):
-            sets = [shingles(t, words) for t in b.column(2).to_pylist()]
+            sets = [shingles(t) for t in b.column(2).to_pylist()]
             keep = pa.array([int(_mix(s).sum().view(np.int64)) == d for s, d in zip(sets, b.column(1).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), pa.array([s.tobytes() for s in sets], pa.binary()).filter(keep)], names=["c", "tokens"])
 
-    got = written(_texts(docs.join(wanted, "doc_id"), "c", "d1").mapInArrow(run, "c long, tokens binary").dropDuplicates(["c"]), "class-sets")
+    got = written(_texts(_keyed(docs).join(wanted, ["key", "no_id"]), "c", "d1").mapInArrow(run, "c long, tokens binary").dropDuplicates(["c"]), "class-sets")
     return got if held is None else held.unionByName(got)

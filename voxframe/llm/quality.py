@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.llm.common import bounded_sample, id_bucket, slices
+from voxframe.llm.common import bounded_sample, id_bucket, slices, texts_of
 
 #: Names of the statistics, in the order of their columns.
 STATISTICS = (
@@ -148,12 +148,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Fores
     """Fit on at most `most` labelled documents (doc_id, text; doc_id, label 0 or 1).
 
     Only their statistics come to the driver. Null ids, texts or labels teach nothing; an id that is
-    repeated counts as often as it occurs. Without labels of both classes the forest is constant.
+    repeated counts once, with its text of the least hash. Without labels of both classes the forest is constant.
     """
     known = labels.select("doc_id", F.col("label").cast("double").alias("label")).where("doc_id is not null and label is not null")
-    chosen = bounded_sample(known, "doc_id", most)
-    joined = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # chosen has at most `most` rows
-    got = _with_statistics(joined.select("doc_id", "label", "text"), ["doc_id", "label"]).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(2 * most).toPandas()
+    chosen = bounded_sample(known.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", most)
+    joined = texts_of(docs, chosen).join(F.broadcast(chosen), "doc_id")  # chosen has at most `most` rows
+    got = _with_statistics(joined.select("doc_id", "label", "text"), ["doc_id", "label"]).toPandas().sort_values("doc_id", kind="stable")
     if not len(got):
         return fit_forest(np.zeros((0, len(STATISTICS))), np.zeros(0))
     return fit_forest(np.vstack(got["stats"]), got["label"].to_numpy())

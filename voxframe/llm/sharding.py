@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxframe.llm.common import blocks_for, drop, written
 
-PER_BLOCK = 20_000
+PER_BLOCK = 4_000
 #: Groups of more than PER_BLOCK members, of which there are few, are broadcast if a count finds at most so many.
 MOST_LARGE = 10_000
 
