@@ -47,8 +47,11 @@ register(
     lambda s, sf: _r6(spatial.nearest_within(_p(s, sf), _next(_p(s, sf)), ["t"], YX, R, "id", "id"), "distance"),
     _with(POINTS, _PAIR.format(op="<")) + "SELECT t, pre AS id, post AS nearest_id, round(round(d, 9) + 1e-9, 6) AS distance FROM pr QUALIFY row_number() OVER (PARTITION BY t, pre ORDER BY round(d, 9), post) = 1",
 )
-#: Every point against every point of the next frame is too slow in SQL; tests compare with brute force.
-register("jon_6_nearest_by_rings", lambda s, sf: _r6(spatial.nearest_any(_p(s, sf), _next(_p(s, sf)), ["t"], YX, 2.0, "id", "id"), "distance"))
+register(
+    "jon_6_nearest_by_rings",
+    lambda s, sf: _r6(spatial.nearest_any(_p(s, sf), _next(_p(s, sf)), ["t"], YX, 2.0, "id", "id"), "distance"),
+    _with(POINTS, f"nb AS (SELECT a.t, a.id, min({{'d': round({_D}, 9), 'id': b.id}}) AS b FROM p a JOIN p b ON b.t = a.t + 1 GROUP BY a.t, a.id)") + "SELECT t, id, b.id AS nearest_id, round(b.d + 1e-9, 6) AS distance FROM nb",
+)
 register(
     "jon_7_nearest_border",
     lambda s, sf: _r6(spatial.nearest_any(_p(s, sf), points(s, sf).where("kind = 'click'").select("t", "id", "y", "x"), ["t"], YX, 4.0, "id", "id").select("t", "id", "distance"), "distance"),

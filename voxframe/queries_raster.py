@@ -269,7 +269,19 @@ register(
     _with(RASTER, *_CC, _GEO) + "SELECT t, label, round(4 * sqrt((aa + bb) / 2 + sqrt(pow((aa - bb) / 2, 2) + ab * ab)) + 1e-9, 6) AS axis_major, round(4 * sqrt(greatest((aa + bb) / 2 - sqrt(pow((aa - bb) / 2, 2) + ab * ab), 0)) + 1e-9, 6) AS axis_minor FROM g",
 )
 register("agg_13_extent", lambda s, sf: _r6(_geometry(s, sf).select("t", "label", "extent"), "extent"), _with(RASTER, *_CC, _GEO) + "SELECT t, label, round(extent + 1e-9, 6) AS extent FROM g")
-register("agg_14_solidity", lambda s, sf: _r6(kernels.solidity(_components(s, sf), ["t", "label"]), "solidity"))
+# a hull's ends at each line of pixel corners lie on the chords between the ends of other lines; between lines it is a trapezium
+_HULL = (
+    "co AS (SELECT t, label, y + dy AS y, min(x)::double AS lo, max(x) + 1::double AS hi FROM lab, (VALUES (0), (1)) d(dy) GROUP BY ALL)",
+    "ch AS (SELECT c.t, c.label, c.y, a.lo AS la, b.lo AS lb, a.hi AS ha, b.hi AS hb, CASE WHEN b.y > a.y THEN (c.y - a.y) / (b.y - a.y)::double ELSE 0 END AS s"
+    " FROM co c JOIN co a ON c.t = a.t AND c.label = a.label AND a.y <= c.y JOIN co b ON c.t = b.t AND c.label = b.label AND b.y >= c.y)",
+    "en AS (SELECT t, label, y, min(la + (lb - la) * s) AS lo, max(ha + (hb - ha) * s) AS hi FROM ch GROUP BY ALL)",
+    "tz AS (SELECT t, label, (hi - lo + lead(hi - lo) OVER (PARTITION BY t, label ORDER BY y)) / 2 AS area FROM en)",
+)
+register(
+    "agg_14_solidity",
+    lambda s, sf: _r6(kernels.solidity(_components(s, sf), ["t", "label"]), "solidity"),
+    _with(RASTER, *_CC, *_HULL) + "SELECT t, label, round(n / area + 1e-9, 6) AS solidity FROM (SELECT t, label, sum(area) AS area FROM tz GROUP BY ALL) JOIN (SELECT t, label, count(*) AS n FROM lab GROUP BY ALL) USING (t, label)",
+)
 register(
     "agg_24_argmax_position",
     lambda s, sf: _labelled(s, sf).groupBy("t", "label").agg(F.max_by(F.struct("y", "x"), F.struct("v", -F.col("y"), -F.col("x"))).alias("b")).select("t", "label", "b.y", "b.x"),
@@ -497,7 +509,21 @@ register(
         "pb AS (SELECT a.t, a.y, a.x, a.v, a.v > 0 AND max(q.v) = a.v AS peak FROM bb a JOIN bb q ON a.t = q.t AND abs(a.y - q.y) <= 1 AND abs(a.x - q.x) <= 1 GROUP BY a.t, a.y, a.x, a.v)",
     ) + "SELECT pa.t, pa.y::int AS y, pa.x::int AS x FROM pa JOIN pb USING (t, y, x) WHERE pa.peak OR pb.peak AND (NOT pa.peak OR pb.v > pa.v)",
 )
-register("krn_12_skeletonize", lambda s, sf: kernels.frame_kernel(raster(s, sf).withColumn("v", (F.col("v") > MASK).cast("double")), ["t"], "v", kernels.Thinning()).where("v > 0").select("t", "y", "x"))
+# thinning: a frame with a rim of zeros as a list of 100 cells; each recursion is a step, until two in turn take nothing
+_RING = [f"m[i {d:+d}]" for d in (-10, -9, 1, 11, 10, 9, -1, -11)]
+_TURNS = " + ".join(f"({a} < {b})::int" for a, b in zip(_RING, _RING[1:] + _RING[:1], strict=True))
+_N, _E, _S, _W = _RING[::2]
+_THIN = (
+    f"m0 AS (SELECT g.t, list(coalesce(v > {MASK}, false)::int ORDER BY gy, gx) AS m FROM (SELECT * FROM (SELECT DISTINCT t FROM r), range(-1, 9) a(gy), range(-1, 9) b(gx)) g LEFT JOIN r ON r.t = g.t AND r.y = gy AND r.x = gx GROUP BY g.t)",
+    "th AS (SELECT t, 0 AS k, 0 AS still, m FROM m0 UNION ALL SELECT t, k + 1, CASE WHEN n = m THEN still + 1 ELSE 0 END, n FROM (SELECT *, "
+    f"[CASE WHEN m[i] = 1 AND {' + '.join(_RING)} BETWEEN 2 AND 6 AND {_TURNS} = 1 AND CASE WHEN k % 2 = 0 THEN {_E} * {_S} * ({_N} + {_W}) ELSE {_N} * {_W} * ({_E} + {_S}) END = 0 THEN 0 ELSE m[i] END for i in range(1, 101)] AS n FROM th WHERE still < 2))",
+    "sk AS (SELECT t, (p // 10 - 1)::int AS y, (p % 10 - 1)::int AS x FROM (SELECT t, unnest(m) AS v, unnest(range(100)) AS p FROM th WHERE still = 2) WHERE v = 1)",
+)
+register(
+    "krn_12_skeletonize",
+    lambda s, sf: kernels.frame_kernel(raster(s, sf).withColumn("v", (F.col("v") > MASK).cast("double")), ["t"], "v", kernels.Thinning()).where("v > 0").select("t", "y", "x"),
+    _with(RASTER, *_THIN) + "SELECT t, y, x FROM sk",
+)
 register(
     "krn_12_skeletonize_3d",
     lambda s, sf: kernels.frame_kernel(volume(s, sf).withColumn("v", (F.col("v") > MASK).cast("double")), ["image"], "v", kernels.Thinning3D(), ("z", "y", "x")).where("v > 0").select("image", "z", "y", "x"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import replace
 
@@ -54,7 +55,32 @@ def digest(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-register("opr_1_filter", lambda s, sf: _round(Engine(CONFIG).vesselness(_frames(s, sf)), "v"))
+#: The filter of single vectors at two scales; a frame at a scale is a frame of its own to the thresholds, numbered 2 t + k.
+TWO_SCALES = replace(SMALL, least_radius=2.0, most_radius=4.0)
+_SCALES = (
+    RASTER.replace("r AS", "r0 AS", 1),
+    *qr._line_sql("la", 1.0, 3), *qr._smooth_sql("sa", "r0", "la"), *qr._line_sql("lb", 0.44**0.5, 2), *qr._smooth_sql("sb", "sa", "lb"),
+    "r AS (SELECT t * 2 AS t, y, x, v FROM sa UNION ALL SELECT t * 2 + 1, y, x, v FROM sb)",
+    *[x.replace("FROM r JOIN", "FROM r0 JOIN") for x in (*qr._blob_sql("ba", 1.0, 4), *qr._blob_sql("bb", 1.2, 5))],
+)
+_NORM_BAR = [re.sub(r"\b(src|ends|cnt|hist|cum|otsu|shape|pk|tri[012]|triangle|both_t)\b", r"\g<1>_f", x) for x in ("src AS (SELECT * FROM fr WHERE v > 0)", qr._OTSU, qr._TRIANGLE, qr._BOTH)]
+_FILTER = (
+    *_SCALES, qr.POS, qr._OTSU, qr._TRIANGLE, qr._BOTH, *qr._HESS, *qr._EIG, qr._FROB, *_NORM_BAR,
+    "fb AS (SELECT fr.t, y, x, fr.v > coalesce(threshold / 2, 0) AS strong FROM fr LEFT JOIN both_t_f USING (t))",
+    f"ra AS (SELECT fb.t // 2 AS t, fb.y, fb.x, strong, {qr._VES.replace('0.02', '(2 * pow(greatest(threshold, 2.220446049250313e-16), 2))')} AS v FROM fb JOIN eg ON fb.t = eg.t AND fb.y = eg.y AND fb.x = eg.x JOIN both_t ON both_t.t = fb.t WHERE fb.t IN (SELECT t FROM fb WHERE strong))",
+    "be AS (SELECT t, y, x, max(CASE WHEN strong THEN v ELSE 0 END) AS v, bool_and(strong) AS strong FROM ra GROUP BY ALL)",
+    "o1 AS (SELECT ba.t, ba.y, ba.x, CASE WHEN coalesce(strong, true) THEN coalesce(be.v, 0) ELSE 0 END AS v, CASE WHEN coalesce(strong, true) THEN greatest(ba.v, bb.v) ELSE 0 END AS blob FROM ba JOIN bb USING (t, y, x) LEFT JOIN be USING (t, y, x))",
+    "o2 AS (SELECT t, y::int AS y, x::int AS x, greatest(v, blob / (max(blob) OVER (PARTITION BY t) + 1e-12) / 10) AS v FROM o1)",
+    "km AS (SELECT o2.t, y, x FROM o2 JOIN (SELECT t, quantile_cont(v, 0.01) FILTER (v > 0) AS faint FROM o2 GROUP BY t) USING (t) WHERE v > faint)",
+    "er AS (SELECT a.t, a.y, a.x FROM km a JOIN km b ON a.t = b.t AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY ALL HAVING count(*) = 5)",
+    "op AS (SELECT DISTINCT o2.t, o2.y, o2.x FROM o2 JOIN er ON o2.t = er.t AND abs(o2.y - er.y) + abs(o2.x - er.x) <= 1)",
+)
+register(
+    "opr_1_filter",
+    lambda s, sf: _round(Engine(TWO_SCALES).vesselness(raster(s, sf)), "v"),
+    qr._with(*_FILTER) + "SELECT o2.t, o2.y, o2.x, round(CASE WHEN op.t IS NULL THEN 0 ELSE v END + 1e-9, 4) AS v FROM o2 LEFT JOIN op ON o2.t = op.t AND o2.y = op.y AND o2.x = op.x",
+)
+register("opr_1_filter_wide", lambda s, sf: _round(Engine(CONFIG).vesselness(_frames(s, sf)), "v"))
 register("opr_1_filter_3d", lambda s, sf: _round(Engine(VOLUME).vesselness(_volumes(s, sf)), "v"))
 register("opr_2_label", lambda s, sf: Engine(replace(SMALL, threshold=0.05, least_object=3)).label(raster(s, sf)), qr._with(
     RASTER, *qr._CC, "lg AS (SELECT t, y, x FROM lab QUALIFY count(*) OVER (PARTITION BY t, label) >= 3)",
@@ -65,7 +91,21 @@ register("opr_2_label", lambda s, sf: Engine(replace(SMALL, threshold=0.05, leas
     "rs AS (SELECT t, o, o AS root, y, x FROM sc UNION SELECT c.t, c.o, q.root, c.y, c.x FROM rs q JOIN sc c ON c.t = q.t AND abs(c.y - q.y) <= 1 AND abs(c.x - q.x) <= 1 AND q.root < c.o)",
     "sr AS (SELECT t, y, x, min(root) AS root FROM rs GROUP BY ALL)",
 ) + "SELECT t, y, x, dense_rank() OVER (PARTITION BY t ORDER BY root)::int AS label FROM sr")
-register("opr_3_network", lambda s, sf: Engine(CONFIG).network(_labels(s, sf), _frames(s, sf))[1])
+register(
+    "opr_3_network",
+    lambda s, sf: Engine(SMALL).network(checkpointed(qr._components(s, sf)), raster(s, sf))[1],
+    qr._with(
+        RASTER, *qr._CC, *qr._THIN,
+        "sl AS (SELECT t, y, x, label FROM sk JOIN lab USING (t, y, x))",
+        "cl AS (SELECT a.t, a.y, a.x, a.label FROM sl a JOIN sl b ON a.t = b.t AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL HAVING count(DISTINCT b.label) = 1 OR a.y IN (0, 7) OR a.x IN (0, 7))",
+        "ms AS (SELECT t, label FROM lab EXCEPT SELECT t, label FROM cl)",
+        "sx AS (SELECT t, y, x FROM cl UNION ALL SELECT t, y, x FROM (SELECT t, label, y, x FROM lab JOIN ms USING (t, label) JOIN r USING (t, y, x) QUALIFY row_number() OVER (PARTITION BY t, label ORDER BY v DESC, y, x) = 1))",
+        "cm2 AS (SELECT a.t, a.y, a.x, a.y * 8 + a.x AS o FROM sx a JOIN sx b ON a.t = b.t AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL HAVING count(*) < 4)",
+        *[re.sub(r"\b(cm|reach|cc|lab)\b", r"\g<1>2", x) for x in qr._CC[1:]],
+        "sd AS (SELECT lab.t, lab.label, lab.y, lab.x, lab2.label AS branch FROM lab JOIN lab2 ON lab.t = lab2.t AND lab.y = lab2.y AND lab.x = lab2.x)",
+    ) + "SELECT lab.t, lab.label, lab.y, lab.x, arg_min(branch, (pow(lab.y - sd.y, 2) + pow(lab.x - sd.x, 2)) * 1000 + branch)::int AS branch FROM lab JOIN sd ON lab.t = sd.t AND lab.label = sd.label GROUP BY lab.t, lab.label, lab.y, lab.x",
+)
+register("opr_3_network_wide", lambda s, sf: Engine(CONFIG).network(_labels(s, sf), _frames(s, sf))[1])
 register("opr_4_markers", lambda s, sf: Engine(CONFIG).markers(_labels(s, sf), _frames(s, sf), _frames(s, sf)).select("t", "id", "y", "x"))
 register("opr_16_run", lambda s, sf: digest(Engine(CONFIG).run(_frames(s, sf))))
 register("opr_16_run_3d", lambda s, sf: digest(Engine(VOLUME).run(_volumes(s, sf))))
