@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.llm.common import blocks_for, written
+from voxframe.llm.common import blocks_for, slices, written
 
 _ODD = re.compile(r"<\||[\x1c-\x1f]")
 
@@ -33,7 +35,7 @@ class WordIds:
     which white space rules differ, go to the tokenizer whole. The cache is emptied when full.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.cache = Tokenizer.from_file(path), most, {}
@@ -92,14 +94,18 @@ class WordIds:
         return b"".join(map(cache.__getitem__, runs))
 
 
-_HELD: dict[str, WordIds] = {}
+@dataclass
+class HeldIds:
+    """Broadcast, so a worker process makes its WordIds once and lets it go with the broadcast, before tasks of other queries."""
 
+    path: str
 
-def _word_ids(path: str) -> WordIds:
-    """One for each file and worker process, so the cache outlives a task."""
-    if path not in _HELD:
-        _HELD[path] = WordIds(path)
-    return _HELD[path]
+    def __getstate__(self) -> dict:
+        return {"path": self.path}
+
+    @cached_property
+    def ids(self) -> WordIds:
+        return WordIds(self.path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -111,9 +117,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     end = np.array([end_id], "<u4").tobytes()
 
+    held = docs.sparkSession.sparkContext.broadcast(HeldIds(tokenizer_path))
+
     def run(batches):
-        ids_of = _word_ids(tokenizer_path)
-        for b in batches:
+        ids_of = held.value.ids
+        for b in slices(batches):
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = ids_of(text) + end
