@@ -13,7 +13,19 @@ from pyspark.sql import functions as F
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+#: Rows that executors hold at once where they read whole texts and hand them to Python; Spark's own figures are 4096 and 10000.
+BATCH_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 1024}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set BATCH_ROWS for the session, where it has no figures of its own: long texts by the thousand need buffers of tens of MB a task."""
+    for key, rows in BATCH_ROWS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _WRITTEN:
