@@ -152,14 +152,36 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxframe.llm.substrings import remove_repeated
+
+    return remove_repeated(table(spark, sf_dir, "documents"), window=35)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), c AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM g JOIN (SELECT h FROM g GROUP BY h HAVING count(*) > 1) USING (h)
+), k AS (
+  SELECT r, count(*) FILTER (c.p IS NOT NULL) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY p) FILTER (c.p IS NULL), '') AS kept
+  FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) AS x LEFT JOIN c USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_removed, 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op4_exact_digest": op4_exact_digest, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op7_quality": op7_quality, "op8_jaccard_join": op8_jaccard_join, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing, "pipeline": pipeline}
-_ORACLES = {"op3_decontamination": OP3_SQL, "op9_chat_format": OP9_SQL}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op4_exact_digest": op4_exact_digest, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op7_quality": op7_quality, "op8_jaccard_join": op8_jaccard_join, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing, "op11_substring_dedup": op11_substring_dedup, "pipeline": pipeline}
+_ORACLES = {"op3_decontamination": OP3_SQL, "op9_chat_format": OP9_SQL, "op11_substring_dedup": OP11_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
