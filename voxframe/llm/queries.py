@@ -174,14 +174,56 @@ FROM d LEFT JOIN k USING (r)
 """
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxframe.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=1, most=1, buckets=10_000, seed=2024, least_words=20, percent=10)
+
+
+#: `tab` for CRC_OF: the crc32 of each byte, by the reversed polynomial.
+CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab"
+
+
+def crc_of(text: str) -> str:
+    """DuckDB's expression of the unsigned crc32 of a string column's UTF-8 bytes."""
+    octets = f"list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda i: ('0x' || hex(encode({text}))[i:i + 1])::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP13_SQL = f"""
+WITH tab AS MATERIALIZED ({CRC_TABLE}
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS x FROM benchmark
+), dx AS (SELECT r, x, count(*) AS m FROM (SELECT r, unnest(w) AS x FROM d) GROUP BY r, x
+), sx AS (SELECT x, sum(m) AS n FROM dx GROUP BY x
+), tx AS (SELECT x, count(*) AS n FROM b GROUP BY x
+), k AS MATERIALIZED (SELECT x, {crc_of("x")} % 10000 AS bucket FROM (SELECT x FROM sx UNION SELECT x FROM tx), tab
+), s AS (SELECT bucket, sum(n) AS s FROM sx JOIN k USING (x) GROUP BY bucket
+), t AS (SELECT bucket, sum(n) AS t FROM tx JOIN k USING (x) GROUP BY bucket
+), g AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::double * ((SELECT coalesce(sum(n), 0) FROM sx) + 10000)::double) / ((s + 1)::double * ((SELECT coalesce(sum(n), 0) FROM tx) + 10000)::double)))::bigint AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), w AS (SELECT r, sum(m * gain)::bigint AS weight FROM dx JOIN k USING (x) JOIN g USING (bucket) GROUP BY r
+), c AS (
+  SELECT r, doc_id, len(w)::bigint AS n_features, coalesce(weight, 0)::bigint AS weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::bigint + 0.5::double) / 4294967296)))::bigint AS score
+  FROM d LEFT JOIN w USING (r)
+), p AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM c WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) FROM p) * 10 // 100 THEN place END AS rank
+FROM c LEFT JOIN p USING (r)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op4_exact_digest": op4_exact_digest, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op7_quality": op7_quality, "op8_jaccard_join": op8_jaccard_join, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing, "op11_substring_dedup": op11_substring_dedup, "pipeline": pipeline}
-_ORACLES = {"op3_decontamination": OP3_SQL, "op9_chat_format": OP9_SQL, "op11_substring_dedup": OP11_SQL}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op4_exact_digest": op4_exact_digest, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op7_quality": op7_quality, "op8_jaccard_join": op8_jaccard_join, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing, "op11_substring_dedup": op11_substring_dedup, "op13_importance_resampling": op13_importance_resampling, "pipeline": pipeline}
+_ORACLES = {"op3_decontamination": OP3_SQL, "op9_chat_format": OP9_SQL, "op11_substring_dedup": OP11_SQL, "op13_importance_resampling": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
