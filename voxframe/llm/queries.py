@@ -174,13 +174,7 @@ FROM d LEFT JOIN k USING (r)
 """
 
 
-def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from voxframe.llm.importance import resample
-
-    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=1, most=1, buckets=10_000, seed=2024, least_words=20, percent=10)
-
-
-#: `tab` for CRC_OF: the crc32 of each byte, by the reversed polynomial.
+#: `tab` for crc_of: the crc32 of each byte, by the reversed polynomial.
 CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab"
 
 
@@ -190,6 +184,87 @@ def crc_of(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxframe.llm.repair import damaged, repair_conversations, repaired_text
+
+    out = repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(repaired_text(F.col("repaired")), 256).alias("repaired_sha256"))
+
+
+def _op12_sql() -> str:
+    """The edit lattice by dynamic programming: a recursion over turns whose state is the best (cost, audit) and text of each grammar state."""
+
+    def add(v: str, cost: str, letter: str, line: str | None = None) -> str:
+        """v with an edit; the key orders costs, then audits."""
+        text = f"CASE WHEN {v}.n THEN {v}.r || chr(10) || {line} ELSE {line} END" if line else f"{v}.r"
+        return f"{{'k': lpad((left({v}.k, 9)::int + {cost})::varchar, 9, '0') || substr({v}.k, 10) || '{letter}', 'r': {text}, 'n': {'true' if line else v + '.n'}}}"
+
+    def best(*offers: str) -> str:
+        return f"list_sort([{', '.join(offers)}])[1]"
+
+    none = "{'k': '900000000', 'r': '', 'n': false}"
+
+    def stays(state: int, initial: str, sources: tuple[int, ...], role: str | None) -> list[str]:
+        """Offers of a turn that stays and leads to the state: kept with its role, or with a new one."""
+        out = [f"CASE WHEN must OR i <> '{initial}' THEN {none} ELSE {add(f'v{s}', 'pen', 'K', 'line')} END" for s in sources]
+        if role:
+            other = f"'{role}:' || text"
+            out += [f"CASE WHEN must THEN {none} ELSE {add(f'v{s}', 'pen + 1', 'R', other)} END" for s in sources]
+        return out
+
+    user, assistant = "'user:'", "'assistant:'"
+    w2 = best(add("v2", "2", "D"), *stays(2, "u", (0, 1, 3), "user"))
+    w3 = best(add("v3", "2", "D"), *stays(3, "a", (2,), "assistant"))
+    x2 = best("w2", *[add(f"w{s}", "5", "I", user) for s in (0, 1, 3)])
+    x3 = best("w3", add("x2", "5", "I", assistant))
+    # the keys of two offers differ, or they are one string of edits: no text decides
+    return f"""
+WITH RECURSIVE tab AS MATERIALIZED ({CRC_TABLE}
+), k AS MATERIALIZED (
+  SELECT *, {crc_of("key")} % 20 AS kind FROM (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') AS key FROM conversations), tab
+), m AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM k WHERE kind <> 0)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, left(role, 1) AS i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM m
+), f AS (
+  SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    lag(i) OVER (PARTITION BY conv_id ORDER BY p) AS h FROM o
+), t AS MATERIALIZED (
+  SELECT conv_id, p, i, text, role || ':' || text AS line, fault IN ('b', 'd') AS must, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS pen FROM f
+), c AS (
+  SELECT DISTINCT conv_id FROM conversations
+), z AS (
+  SELECT conv_id, 0::bigint AS p, {{'k': '000000000', 'r': '', 'n': false}} AS v0, {none} AS v1,
+    {{'k': '000000005I', 'r': 'user:', 'n': true}} AS v2, {{'k': '000000010II', 'r': 'user:' || chr(10) || 'assistant:', 'n': true}} AS v3 FROM c
+  UNION ALL
+  SELECT conv_id, p, w0, w1, x2, {x3} FROM (
+    SELECT *, {x2} AS x2 FROM (
+      SELECT t.conv_id, t.p, {add("v0", "2", "D")} AS w0, {best(add("v1", "2", "D"), *stays(1, "s", (0,), None))} AS w1, {w2} AS w2, {w3} AS w3
+      FROM z JOIN t ON z.conv_id IS NOT DISTINCT FROM t.conv_id AND t.p = z.p + 1))
+), e AS (
+  SELECT conv_id, {best("v0", "v3")} AS v FROM z QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY p DESC) = 1
+), n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (h IS NOT NULL AND h || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::bigint AS gaps, coalesce(blank, 0)::bigint AS blank, coalesce(duplicate, 0)::bigint AS duplicate, coalesce(truncated, 0)::bigint AS truncated,
+  coalesce(illegal, 0)::bigint AS illegal, left(v.k, 9)::bigint AS cost, substr(v.k, 10) AS audit, sha256(v.r) AS repaired_sha256
+FROM e LEFT JOIN n ON e.conv_id IS NOT DISTINCT FROM n.conv_id
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxframe.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=1, most=1, buckets=10_000, seed=2024, least_words=20, percent=10)
+
+
 OP13_SQL = f"""
 WITH tab AS MATERIALIZED ({CRC_TABLE}
 ), d AS (
@@ -222,8 +297,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op4_exact_digest": op4_exact_digest, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op7_quality": op7_quality, "op8_jaccard_join": op8_jaccard_join, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing, "op11_substring_dedup": op11_substring_dedup, "op13_importance_resampling": op13_importance_resampling, "pipeline": pipeline}
-_ORACLES = {"op3_decontamination": OP3_SQL, "op9_chat_format": OP9_SQL, "op11_substring_dedup": OP11_SQL, "op13_importance_resampling": OP13_SQL}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_toxicity": op2_toxicity, "op3_decontamination": op3_decontamination, "op4_exact_digest": op4_exact_digest, "op5_lm_score": op5_lm_score, "op6_language_id": op6_language_id, "op7_quality": op7_quality, "op8_jaccard_join": op8_jaccard_join, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing, "op11_substring_dedup": op11_substring_dedup, "op12_conversation_repair": op12_conversation_repair, "op13_importance_resampling": op13_importance_resampling, "pipeline": pipeline}
+_ORACLES = {"op3_decontamination": OP3_SQL, "op9_chat_format": OP9_SQL, "op11_substring_dedup": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_importance_resampling": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
