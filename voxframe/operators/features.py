@@ -19,9 +19,9 @@ def level_table(voxels: DataFrame, level: str, values: list[str]) -> DataFrame:
     return out.withColumn("label", F.lit(0).cast("long")) if level == "image" else out.withColumnRenamed(level, "label")
 
 
-def branch_to_organelle(voxels: DataFrame) -> DataFrame:
+def branch_to_organelle(voxels: DataFrame, frame: tuple[str, ...] = ("t",)) -> DataFrame:
     """t, branch, organelle: the organelle of each branch's first voxel."""
-    return voxels.where("branch != 0").groupBy("t", "branch").agg(F.min_by("organelle", "id").alias("organelle"))
+    return voxels.where("branch != 0").groupBy(*frame, "branch").agg(F.min_by("organelle", "id").alias("organelle"))
 
 
 def label_joins(voxels: DataFrame, branches: DataFrame, organelles: DataFrame) -> DataFrame:
@@ -30,17 +30,17 @@ def label_joins(voxels: DataFrame, branches: DataFrame, organelles: DataFrame) -
     return voxels.join(of(branches, "branch"), ["t", "branch"]).join(of(organelles, "organelle"), ["t", "organelle"])
 
 
-def containment_edges(voxels: DataFrame) -> DataFrame:
+def containment_edges(voxels: DataFrame, frame: tuple[str, ...] = ("t",)) -> DataFrame:
     """t, kind, src, dst: voxel to branch and organelle, branch to organelle; labels as they are, above 0."""
-    vb = voxels.where("branch > 0").select("t", F.lit("v_b").alias("kind"), F.col("id").alias("src"), F.col("branch").alias("dst"))
-    vo = voxels.where("organelle > 0").select("t", F.lit("v_o").alias("kind"), F.col("id").alias("src"), F.col("organelle").alias("dst"))
-    bo = branch_to_organelle(voxels).where("organelle > 0").select("t", F.lit("b_o").alias("kind"), F.col("branch").alias("src"), F.col("organelle").alias("dst"))
+    vb = voxels.where("branch > 0").select(*frame, F.lit("v_b").alias("kind"), F.col("id").alias("src"), F.col("branch").alias("dst"))
+    vo = voxels.where("organelle > 0").select(*frame, F.lit("v_o").alias("kind"), F.col("id").alias("src"), F.col("organelle").alias("dst"))
+    bo = branch_to_organelle(voxels, frame).where("organelle > 0").select(*frame, F.lit("b_o").alias("kind"), F.col("branch").alias("src"), F.col("organelle").alias("dst"))
     return vb.unionByName(vo).unionByName(bo)
 
 
-def overlay(edges: DataFrame, features: DataFrame, value: str) -> DataFrame:
+def overlay(edges: DataFrame, features: DataFrame, value: str, frame: tuple[str, ...] = ("t",)) -> DataFrame:
     """t, src, value: the mean of the feature over all parents of each source; missing values are left out."""
-    return edges.join(features.select("t", F.col("label").alias("dst"), value), ["t", "dst"]).groupBy("t", "src").agg(F.avg(value).alias(value))
+    return edges.join(features.select(*frame, F.col("label").alias("dst"), value), [*frame, "dst"]).groupBy(*frame, "src").agg(F.avg(value).alias(value))
 
 
 def lookup(voxels: DataFrame, where) -> DataFrame:
@@ -48,9 +48,9 @@ def lookup(voxels: DataFrame, where) -> DataFrame:
     return voxels.where(where).select("t", "id", "branch", "organelle", F.lit(0).alias("image"))
 
 
-def reassigned_label(voxels: DataFrame, level: str, label: str) -> DataFrame:
+def reassigned_label(voxels: DataFrame, level: str, label: str, frame: tuple[str, ...] = ("t",)) -> DataFrame:
     """t, label of the level, most frequent new label (the smallest on a tie; 0 counts)."""
-    return voxels.where(F.col(level) != 0).groupBy("t", F.col(level).alias("label")).agg(smallest_mode(label).alias("reassigned_label"))
+    return voxels.where(F.col(level) != 0).groupBy(*frame, F.col(level).alias("label")).agg(smallest_mode(label).alias("reassigned_label"))
 
 
 def split_name(column: str) -> tuple[str, str]:

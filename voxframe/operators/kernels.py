@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.operators.order import numbered
-from voxframe.operators.stencil import offsets, shifted
+from voxframe.plans.session import checkpointed
 
 
 def reflect_index(n: int, reach: int) -> np.ndarray:
@@ -45,6 +45,19 @@ def smooth(image: np.ndarray, sigma: float | tuple[float, ...]) -> np.ndarray:
     return image
 
 
+def smoothing_reach(ladder: list[tuple[float, ...]]) -> tuple[int, ...]:
+    """Cells along each axis that smoothing to each vector of the ladder in turn looks at."""
+    total, last = np.zeros(len(ladder[0]), int), (0.0,) * len(ladder[0])
+    for vector in ladder:
+        total += [int(3.0 * max(0.0, a * a - b * b) ** 0.5 + 0.5) for a, b in zip(vector, last, strict=True)]
+        last = vector
+    return tuple(map(int, total))
+
+
+def laplace_reach(vectors: list[tuple[float, ...]]) -> tuple[int, ...]:
+    return tuple(int(4.0 * max(v) + 0.5) for v in zip(*vectors, strict=True))
+
+
 def laplace_of_gaussian(image: np.ndarray, sigma: float | tuple[float, ...]) -> np.ndarray:
     total = np.zeros_like(image)
     per_axis = _per_axis(sigma, image.ndim)
@@ -62,6 +75,9 @@ class Gaussian:
 
     sigmas: tuple[float, ...]
 
+    def reach(self, dims: int) -> tuple[int, ...]:
+        return smoothing_reach([(s,) * dims for s in self.sigmas])
+
     def __call__(self, image: np.ndarray) -> np.ndarray:
         last = 0.0
         for s in self.sigmas:
@@ -95,21 +111,126 @@ class ScaleSpace:
     def vector(self, sigma: float, dims: int) -> tuple[float, ...]:
         return (sigma * self.ratio,) * (dims - 2) + (sigma, sigma)
 
-    def __call__(self, image: np.ndarray) -> list[np.ndarray]:
+    def vectors(self, dims: int) -> list[tuple[float, ...]]:
+        return [self.vector(s, dims) for s in self.sigmas]
+
+    def reach(self, dims: int) -> tuple[int, ...]:
+        return tuple(map(max, smoothing_reach(self.vectors(dims)), laplace_reach(self.vectors(dims))))
+
+    def smoothed(self, image: np.ndarray) -> list[np.ndarray]:
         out, now, last = [], image, (0.0,) * image.ndim
-        for s in self.sigmas:
-            vector = self.vector(s, image.ndim)
+        for vector in self.vectors(image.ndim):
             now = smooth(now, tuple(max(0.0, a * a - b * b) ** 0.5 for a, b in zip(vector, last, strict=True)))
             last = vector
             out.append(now)
-        blob = np.max([-(s**2) * laplace_of_gaussian(image, self.vector(s, image.ndim)) for s in self.sigmas], axis=0)
+        return out
+
+    def __call__(self, image: np.ndarray) -> list[np.ndarray]:
+        blob = np.max([-(s**2) * laplace_of_gaussian(image, v) for s, v in zip(self.sigmas, self.vectors(image.ndim), strict=True)], axis=0)
+        return [*self.smoothed(image), blob]
+
+
+def gradient(image: np.ndarray, axis: int, spacing: float) -> np.ndarray:
+    """Central differences along an axis, one-sided at the ends; a line of one cell gives 0."""
+    return np.gradient(image, spacing, axis=axis) if image.shape[axis] > 1 else np.zeros_like(image)
+
+
+@dataclass(frozen=True)
+class TubeSpace:
+    """For each scale of a ScaleSpace: the smoothed image, the norm of its Hessian, the Hessian's greatest absolute part in each cell and its
+    eigenvalues in the order of their absolute values. Last the greatest bright-blob response of all scales."""
+
+    space: ScaleSpace
+    spacing: tuple[float, ...]
+
+    def outputs(self) -> list[str]:
+        each = ["v", "norm", "part", *[f"l{i + 1}" for i in range(len(self.spacing))]]
+        return [*[f"{c}_{k}" for k in range(len(self.space.sigmas)) for c in each], "blob"]
+
+    def reach(self, dims: int) -> tuple[int, ...]:
+        vectors = self.space.vectors(dims)
+        return tuple(max(a + 2, b) for a, b in zip(smoothing_reach(vectors), laplace_reach(vectors), strict=True))
+
+    def __call__(self, image: np.ndarray) -> list[np.ndarray]:
+        dims, out = image.ndim, []
+        *scales, blob = self.space(image)
+        for v in scales:
+            first = [gradient(v, a, s) for a, s in enumerate(self.spacing)]
+            h = {(a, b): gradient(first[a], b, self.spacing[b]) for a in range(dims) for b in range(a, dims)}
+            norm = np.sqrt(sum((1 if a == b else 2) * x * x for (a, b), x in h.items()))
+            part = np.max([np.abs(x) for x in h.values()], axis=0)
+            out += [v, norm, part, *(eigenvalues_2d if dims == 2 else eigenvalues_3d)(h)]
         return [*out, blob]
 
 
+def eigenvalues_2d(h: dict[tuple[int, int], np.ndarray]) -> list[np.ndarray]:
+    half, root = (h[0, 0] + h[1, 1]) / 2, np.sqrt(((h[0, 0] - h[1, 1]) / 2) ** 2 + h[0, 1] * h[0, 1])
+    a, b = half - root, half + root
+    swap = np.abs(a) > np.abs(b)
+    return [np.where(swap, b, a), np.where(swap, a, b)]
+
+
+def eigenvalues_3d(h: dict[tuple[int, int], np.ndarray]) -> list[np.ndarray]:
+    """By the cosines of the characteristic cubic."""
+    q = (h[0, 0] + h[1, 1] + h[2, 2]) / 3
+    a, b, c = h[0, 0] - q, h[1, 1] - q, h[2, 2] - q
+    zy, zx, yx = h[0, 1], h[0, 2], h[1, 2]
+    p = np.sqrt((a * a + b * b + c * c + 2 * (zy * zy + zx * zx + yx * yx)) / 6)
+    det = a * (b * c - yx * yx) - zy * (zy * c - yx * zx) + zx * (zy * yx - b * zx)
+    turn = np.arccos(np.clip(np.divide(det, 2 * p * p * p, out=np.zeros_like(det), where=p > 0), -1, 1)) / 3
+    most, least = q + 2 * p * np.cos(turn), q + 2 * p * np.cos(turn + 2 * np.pi / 3)
+    all_three = np.stack([most, 3 * q - most - least, least])
+    return list(np.take_along_axis(all_three, np.argsort(np.abs(all_three), axis=0, kind="stable"), axis=0))
+
+
+@dataclass(frozen=True)
+class Opening:
+    """The image where a cross that fits into the positive cells covers a cell, else 0; cells beyond the frame are off."""
+
+    def reach(self, dims: int) -> tuple[int, ...]:
+        return (2,) * dims
+
+    def __call__(self, image: np.ndarray) -> np.ndarray:
+        inner = (slice(1, -1),) * image.ndim
+        mask = np.pad(image > 0, 1)
+        steps = [(by, axis) for axis in range(image.ndim) for by in (1, -1)]
+        eroded = np.logical_and.reduce([mask, *[np.roll(mask, by, axis) for by, axis in steps]])
+        eroded = np.pad(eroded[inner], 1)
+        opened = np.logical_or.reduce([eroded, *[np.roll(eroded, by, axis) for by, axis in steps]])[inner]
+        return np.where(opened, image, 0.0)
+
+
+@dataclass(frozen=True)
+class Distance:
+    """Distance of each cell that is 1 to the nearest that is 2, in cells, clamped to `most`; cells that are 0 are neither.
+
+    The squared distance is the least over one axis after another of what was found so far and the squared step along it, so a cell costs
+    the reach times the axes, whatever the shape of the mask.
+    """
+
+    most: float
+
+    def reach(self, dims: int) -> tuple[int, ...]:
+        return (int(np.ceil(self.most)),) * dims
+
+    def __call__(self, image: np.ndarray) -> np.ndarray:
+        far = float(self.most) ** 2
+        square = np.where(image == 2, 0.0, far)
+        for axis in range(image.ndim):
+            now, lines = np.moveaxis(square, axis, 0), np.moveaxis(square.copy(), axis, 0)
+            for k in range(1, min(int(self.most), image.shape[axis] - 1) + 1):
+                np.minimum(now[k:], lines[:-k] + k * k, out=now[k:])
+                np.minimum(now[:-k], lines[k:] + k * k, out=now[:-k])
+        return np.sqrt(square)
+
+
 @dataclass(frozen=True)
 class MeanFilter:
     """The mean of each cell's window of three in every direction, edges repeated."""
 
+    def reach(self, dims: int) -> tuple[int, ...]:
+        return (1,) * dims
+
     def __call__(self, image: np.ndarray) -> np.ndarray:
         for axis in range(image.ndim):
             image = convolve(image, np.full(3, 1 / 3), axis)
@@ -149,6 +270,9 @@ class LogPeaks:
     sigmas: tuple[float, ...]
     ratio: float = 1.0
 
+    def reach(self, dims: int) -> tuple[int, ...]:
+        return tuple(r + 1 for r in laplace_reach(ScaleSpace(self.sigmas, self.ratio).vectors(dims)))
+
     def __call__(self, image: np.ndarray) -> np.ndarray:
         best, marks = np.zeros_like(image), np.zeros_like(image)
         for s in self.sigmas:
@@ -161,14 +285,19 @@ class LogPeaks:
 
 @dataclass(frozen=True)
 class Thinning:
-    """Two-step parallel thinning (Zhang and Suen) of a 2D mask to lines of one pixel."""
+    """Two-step parallel thinning (Zhang and Suen) of a 2D mask to lines of one pixel, or so many rounds of it."""
+
+    rounds: int | None = None
+
+    def reach(self, dims: int) -> tuple[int, ...]:
+        return (2 * self.rounds,) * dims
 
     def __call__(self, image: np.ndarray) -> np.ndarray:
         mask = np.pad(image > 0, 1)
         ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
-        changed = True
-        while changed:
-            changed = False
+        changed, left = True, self.rounds
+        while changed and left != 0:
+            changed, left = False, None if left is None else left - 1
             for step in (0, 1):
                 p = np.array([np.roll(mask, (-dy, -dx), (0, 1)) for dy, dx in ring])
                 count = p.sum(axis=0)
@@ -187,72 +316,145 @@ _FACES = np.abs(_CUBE[:, None] - _CUBE[None]).sum(axis=2) == 1
 _TOUCH = np.abs(_CUBE[:, None] - _CUBE[None]).max(axis=2) == 1
 _MIDDLE = 13
 _NEAR_FACE = np.abs(_CUBE - 1).sum(axis=1) <= 2  # shares a face or an edge with the middle
+_OTHERS = np.flatnonzero(np.arange(27) != _MIDDLE)
 
 
-def _parts(cells: np.ndarray, beside: np.ndarray, seeds: np.ndarray) -> int:
-    """Components of the cells (a mask over the cube) that hold a seed."""
-    left, count = cells.copy(), 0
-    for s in np.flatnonzero(cells & seeds):
-        if not left[s]:
-            continue
-        count += 1
-        edge = np.zeros(27, bool)
-        edge[s] = True
-        while edge.any():
-            left &= ~edge
-            edge = beside[edge].any(axis=0) & left
-    return count
+def _one_part(cells: np.ndarray, seeds: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """Whether all seed cells of each row of a mask over the cube (and there are some) hang together through its cells."""
+    beside = beside.astype(np.float32)
+    held = np.zeros_like(cells)
+    held[np.arange(len(cells)), seeds.argmax(axis=1)] = True
+    held &= seeds
+    while True:
+        grown = held | (cells & (held.astype(np.float32) @ beside > 0))
+        if (grown == held).all():
+            return seeds.any(axis=1) & ~(seeds & ~held).any(axis=1)
+        held = grown
 
 
-def is_simple(cube: np.ndarray) -> bool:
-    """Whether the middle of a 3 x 3 x 3 mask can go without cutting, joining, opening or closing anything: one 26-connected part of
+def simple_cells(cubes: np.ndarray) -> np.ndarray:
+    """For each row of 27 cells whether its middle can go without cutting, joining, opening or closing anything: one 26-connected part of
     the mask touches it, and one 6-connected part of the background within its 18 neighbours lies on its faces."""
-    flat = cube.reshape(27)
-    on = flat.copy()
-    on[_MIDDLE] = False
-    if _parts(on, _TOUCH, np.ones(27, bool)) != 1:
-        return False
-    off = ~flat & _NEAR_FACE
-    return _parts(off, _FACES, _FACES[_MIDDLE]) == 1
+    on = cubes.copy()
+    on[:, _MIDDLE] = False
+    off = ~cubes & _NEAR_FACE
+    off[:, _MIDDLE] = False
+    return _one_part(on, on, _TOUCH) & _one_part(off, off & _FACES[_MIDDLE], _FACES)
+
+
+class _Removable:
+    """Which of the 2**26 neighbourhoods let their middle go: simple ones of two cells or more. A neighbourhood is judged when it is first met."""
+
+    def __init__(self):
+        self.known = np.zeros(1 << len(_OTHERS), np.int8)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        new = np.unique(codes[self.known[codes] == 0])
+        if len(new):
+            cubes = np.ones((len(new), 27), bool)
+            cubes[:, _OTHERS] = new[:, None] >> np.arange(len(_OTHERS)) & 1
+            self.known[new] = np.where(simple_cells(cubes) & (cubes.sum(axis=1) > 2), 1, -1)
+        return self.known[codes] > 0
+
+
+def is_simple(cube: np.ndarray) -> bool:
+    """simple_cells of one 3 x 3 x 3 mask."""
+    return bool(simple_cells(cube.reshape(1, 27))[0])
 
 
 @dataclass(frozen=True)
 class Thinning3D:
-    """Thinning of a 3D mask to lines: border cells go from each of six sides in turn while they are simple and no line's end."""
+    """Thinning of a 3D mask to lines: border cells go from each of six sides in turn while they are simple and no line's end.
+
+    Cells of one side go in eight fields, by the parity of their coordinates: no two cells of a field touch, so all of a field are judged at once.
+    """
 
     def __call__(self, image: np.ndarray) -> np.ndarray:
         mask = np.pad(image > 0, 1)
+        flat, shape, removable = mask.reshape(-1), mask.shape, _Removable()
+        weight = np.array([shape[1] * shape[2], shape[2], 1])
+        around = ((_CUBE - 1) @ weight)[_OTHERS]
+        left = np.flatnonzero(flat)
+        parity = (left // weight[0] % 2) * 4 + (left // weight[1] % shape[1] % 2) * 2 + left % shape[2] % 2
         changed = True
         while changed:
             changed = False
-            for axis in range(3):
-                for side in (1, -1):
-                    for z, y, x in np.argwhere(mask & ~np.roll(mask, side, axis)):
-                        cube = mask[z - 1 : z + 2, y - 1 : y + 2, x - 1 : x + 2]
-                        if cube.sum() > 2 and is_simple(cube):
-                            mask[z, y, x] = False
-                            changed = True
+            for side in (-weight[0], weight[0], -weight[1], weight[1], -weight[2], weight[2]):
+                open_side = ~flat[left + side]
+                edge, field = left[open_side], parity[open_side]
+                for k in range(8):
+                    cells = edge[field == k]
+                    codes = np.zeros(len(cells), np.int32)
+                    for bit, step in enumerate(around):
+                        codes |= flat[cells + step].astype(np.int32) << bit
+                    gone = cells[removable(codes)]
+                    if len(gone):
+                        flat[gone] = False
+                        changed = True
+                stays = flat[left]
+                left, parity = left[stays], parity[stays]
         return mask[1:-1, 1:-1, 1:-1].astype(float)
 
 
-def frame_kernel(df: DataFrame, frame: list[str], value: str, kernel, axes: tuple[str, ...] = ("y", "x"), outputs: list[str] | None = None) -> DataFrame:
+def thin(mask: DataFrame, frame: list[str], axes: tuple[str, ...], tiling: Tiling | None = None, rounds: int = 8) -> DataFrame:
+    """frame, axes of the mask's skeleton.
+
+    With a tiling, 2D frames are thinned so many rounds at a time, on tiles with a halo as wide as the rounds can see, until a step leaves all
+    cells in place: each step equals that of the whole frame. Volumes are thinned whole: the fields of one round in 3D see too far for tiles.
+    """
+    rows = mask.select(*frame, *axes, F.lit(1.0).alias("v"))
+    if tiling is None or len(axes) == 3:
+        kernel = Thinning3D() if len(axes) == 3 else Thinning()
+        return frame_kernel(rows, frame, "v", kernel, axes).where("v > 0").select(*frame, *axes)
+    now = checkpointed(rows)
+    count = now.count()
+    while True:
+        now = checkpointed(frame_kernel(now, frame, "v", Thinning(rounds), axes, tiling=tiling).where("v > 0"))
+        before, count = count, now.count()
+        if before == count:
+            return now.select(*frame, *axes)
+
+
+@dataclass(frozen=True)
+class Tiling:
+    """Frames of `shape` cut into tiles of `size` cells along each axis, for kernels that look at most their `reach` far."""
+
+    size: int
+    shape: dict[str, int]
+
+
+def frame_kernel(df: DataFrame, frame: list[str], value: str, kernel, axes: tuple[str, ...] = ("y", "x"), outputs: list[str] | None = None, tiling: Tiling | None = None) -> DataFrame:
     """df's frame, axes and value with the kernel run over each dense frame; absent cells count as 0.
 
-    One frame (or tile with its halo, see tiles) is one task's input. A kernel that returns several images gives a column for
-    each of `outputs`.
+    One frame is one task's input or, with a tiling, one tile with the halo that kernel.reach(dims) asks for: the kernel sees the cells around a tile,
+    and its results there are cut off, so a tiled frame equals a whole one. A kernel that returns several images gives a column for each of `outputs`.
     """
     fields = [df.schema[c] for c in [*frame, *axes]]
     names = outputs or [value]
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + [f"{c} double" for c in names])
+    rows, by, halo = df.select(*frame, *axes, value), list(frame), (0,) * len(axes)
+    if tiling:
+        halo = kernel.reach(len(axes))
+        rows = tiles(rows, axes, (tiling.size,) * len(axes), halo, tiling.shape)
+        by += [f"tile_{a}" for a in axes]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = tuple(pdf[a].to_numpy() for a in axes)
-        image = np.zeros([int(a.max()) + 1 for a in at])
+        at = [pdf[a].to_numpy() for a in axes]
+        if tiling:
+            number = [int(pdf[f"tile_{a}"].iloc[0]) for a in axes]
+            low = [max(0, k * tiling.size - h) for k, h in zip(number, halo, strict=True)]
+            size = [min(tiling.shape[a], (k + 1) * tiling.size + h) - b for a, k, h, b in zip(axes, number, halo, low, strict=True)]
+            own = ~pdf["halo"].to_numpy()
+        else:
+            low, size, own = [0] * len(axes), [int(a.max()) + 1 for a in at], slice(None)
+        at = tuple(a - b for a, b in zip(at, low, strict=True))
+        image = np.zeros(size)
         image[at] = pdf[value].to_numpy()
         made = kernel(image) if outputs else [kernel(image)]
-        return pdf[[*frame, *axes]].assign(**{c: m[at] for c, m in zip(names, made, strict=True)})
+        kept = tuple(a[own] for a in at)
+        return pdf.loc[own, [*frame, *axes]].assign(**{c: m[kept] for c, m in zip(names, made, strict=True)})
 
-    return df.select(*frame, *axes, value).groupBy(*frame).applyInPandas(run, schema)
+    return rows.groupBy(*by).applyInPandas(run, schema)
 
 
 def tiles(df: DataFrame, axes: tuple[str, ...], size: tuple[int, ...], halo: tuple[int, ...], shape: dict[str, int]) -> DataFrame:
@@ -315,24 +517,24 @@ def every_kth(df: DataFrame, order: list[str], stride: int, most: int) -> DataFr
     return placed.drop("_k")
 
 
-def distance(df: DataFrame, frame: list[str], mask: str, most: float, axes: tuple[str, ...] = ("y", "x")) -> DataFrame:
-    """frame, axes, distance of each mask cell to the nearest cell outside, in cells, clamped to `most`.
+@dataclass(frozen=True)
+class _WithInput:
+    """A kernel's result beside its input."""
 
-    Exact and windowed: a cell's nearest one outside always has a cell of the mask beside it, so only such border cells travel, and
-    only as far as `most`.
-    """
-    reach = int(np.ceil(most))
-    steps = [s for s in offsets(len(axes), reach) if 0 < sum(v * v for v in s) <= most * most]
-    inside, outside = df.where(mask).select(*frame, *axes), df.where(~F.col(mask)).select(*frame, *axes)
-    beside = [s for s in offsets(len(axes), 1, True) if any(s)]
-    edge = outside.join(shifted(inside, axes, beside), [*frame, *axes], "left_semi")
-    home = [F.col(a).alias(f"_{a}") for a in axes]
-    near = shifted(edge.select(*frame, *axes, *home), axes, steps)
-    gap = F.lit(0.0)
-    for a in axes:
-        gap = gap + (F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}"))
-    best = near.groupBy(*frame, *axes).agg(F.min(F.sqrt(gap)).alias("distance"))
-    return inside.join(best, [*frame, *axes], "left").withColumn("distance", F.least(F.coalesce("distance", F.lit(most)), F.lit(most)))
+    kernel: Distance
+
+    def reach(self, dims: int) -> tuple[int, ...]:
+        return self.kernel.reach(dims)
+
+    def __call__(self, image: np.ndarray) -> list[np.ndarray]:
+        return [image, self.kernel(image)]
+
+
+def distance(df: DataFrame, frame: list[str], mask: str, most: float, axes: tuple[str, ...] = ("y", "x"), tiling: Tiling | None = None) -> DataFrame:
+    """frame, axes, distance of each mask cell to the nearest cell outside, in cells, clamped to `most`; cells that df lacks are neither."""
+    kinds = df.select(*frame, *axes, F.when(F.col(mask), 1.0).otherwise(2.0).alias("_kind"))
+    made = frame_kernel(kinds, frame, "_kind", _WithInput(Distance(most)), axes, ["_kind", "distance"], tiling)
+    return made.where("_kind = 1").select(*frame, *axes, "distance")
 
 
 def hull_area(points: np.ndarray) -> float:

@@ -9,88 +9,91 @@ from pyspark.sql import functions as F
 
 from voxframe.operators.order import numbered
 from voxframe.operators.spatial import nearest_within, radius_join
-from voxframe.plans.session import checkpointed
+from voxframe.plans.session import Steps, checkpointed
+
+#: The key of a frame; where there are several images, their columns come before t.
+FRAME = ("t",)
 
 
 def _shift_frame(df: DataFrame, by: int) -> DataFrame:
     return df.withColumn("t", (F.col("t") + by).cast("int"))
 
 
-def gated_pairs(markers: DataFrame, axes: tuple[str, ...], radius: float, stats: str, hu: str) -> DataFrame:
-    """t, pre, post, distance, stat_diff, hu_diff: markers of consecutive frames nearer than the radius (strictly).
+def gated_pairs(markers: DataFrame, axes: tuple[str, ...], radius: float, stats: str, hu: str, frame: tuple[str, ...] = FRAME) -> DataFrame:
+    """frame, pre, post, distance, stat_diff, hu_diff: markers of consecutive frames nearer than the radius (strictly).
 
     t is the earlier frame; the differences are absolute, element by element, of the arrays stats and hu.
     """
-    pre = markers.select("t", "id", *axes, stats, hu)
+    pre = markers.select(*frame, "id", *axes, stats, hu)
     post = _shift_frame(pre, -1)
-    pairs = radius_join(pre, post, ["t"], axes, radius, strict=True)
+    pairs = radius_join(pre, post, list(frame), axes, radius, strict=True)
     gap = lambda c: F.zip_with(f"l_{c}", f"r_{c}", lambda a, b: F.abs(a - b))
-    return pairs.select("t", F.col("l_id").alias("pre"), F.col("r_id").alias("post"), "distance", gap(stats).alias("stat_diff"), gap(hu).alias("hu_diff"))
+    return pairs.select(*frame, F.col("l_id").alias("pre"), F.col("r_id").alias("post"), "distance", gap(stats).alias("stat_diff"), gap(hu).alias("hu_diff"))
 
 
-def pair_costs(pairs: DataFrame, radius: float, n_stats: int, n_hu: int) -> DataFrame:
+def pair_costs(pairs: DataFrame, radius: float, n_stats: int, n_hu: int, frame: tuple[str, ...] = FRAME) -> DataFrame:
     """pairs and cost: z of distance / radius, plus the mean z of the stat and of the Hu differences.
 
     z is over all gated pairs of the frame (ddof 0, 1e-8 added to the deviation). The means of a frame are one
     aggregate with partial sums, joined back, so a crowded frame isn't one task's window.
     """
     cols = {"d": F.col("distance") / radius} | {f"s{i}": F.get("stat_diff", F.lit(i)) for i in range(n_stats)} | {f"h{i}": F.get("hu_diff", F.lit(i)) for i in range(n_hu)}
-    flat = pairs.select("t", "pre", "post", "distance", *[c.alias(k) for k, c in cols.items()])
-    norms = flat.groupBy("t").agg(*[F.avg(k).alias(f"m_{k}") for k in cols], *[F.stddev_pop(k).alias(f"e_{k}") for k in cols])
+    flat = pairs.select(*frame, "pre", "post", "distance", *[c.alias(k) for k, c in cols.items()])
+    norms = flat.groupBy(*frame).agg(*[F.avg(k).alias(f"m_{k}") for k in cols], *[F.stddev_pop(k).alias(f"e_{k}") for k in cols])
     z = {k: (F.col(k) - F.col(f"m_{k}")) / (F.col(f"e_{k}") + 1e-8) for k in cols}
     mean = lambda p, n: reduce(lambda a, b: a + b, [z[f"{p}{i}"] for i in range(n)]) / n
-    return flat.join(norms, "t").select("t", "pre", "post", "distance", (z["d"] + mean("s", n_stats) + mean("h", n_hu)).alias("cost"))
+    return flat.join(norms, list(frame)).select(*frame, "pre", "post", "distance", (z["d"] + mean("s", n_stats) + mean("h", n_hu)).alias("cost"))
 
 
-def best_matches(costs: DataFrame, most: float = 1.0, places: int = 6) -> DataFrame:
+def best_matches(costs: DataFrame, most: float = 1.0, places: int = 6, frame: tuple[str, ...] = FRAME) -> DataFrame:
     """The best pre of each post, then the best post of each pre, of cost <= most; a mutual best comes twice."""
     c = costs.withColumn("key", F.round(F.col("cost") + 1e-9, places))
     row = F.struct("key", "pre", "post", "distance", "cost")
-    per_post = c.groupBy("t", "post").agg(F.min(row).alias("b")).select("t", "b.*")
-    per_pre = c.groupBy("t", "pre").agg(F.min(F.struct("key", "post", "pre", "distance", "cost")).alias("b")).select("t", "b.key", "b.pre", "b.post", "b.distance", "b.cost")
+    per_post = c.groupBy(*frame, "post").agg(F.min(row).alias("b")).select(*frame, "b.*")
+    per_pre = c.groupBy(*frame, "pre").agg(F.min(F.struct("key", "post", "pre", "distance", "cost")).alias("b")).select(*frame, "b.key", "b.pre", "b.post", "b.distance", "b.cost")
     return per_post.unionByName(per_pre).where(F.col("key") <= most).drop("key")
 
 
-def flow_table(matches: DataFrame, markers: DataFrame, axes: tuple[str, ...]) -> DataFrame:
-    """t, axes of the earlier marker, d<axis> to the later one, cost."""
-    pre = markers.select("t", F.col("id").alias("pre"), *axes)
-    post = _shift_frame(markers, -1).select("t", F.col("id").alias("post"), *[F.col(a).alias(f"_{a}") for a in axes])
-    return matches.join(pre, ["t", "pre"]).join(post, ["t", "post"]).select("t", "pre", "post", *axes, *[(F.col(f"_{a}") - F.col(a)).alias(f"d{a}") for a in axes], "cost")
+def flow_table(matches: DataFrame, markers: DataFrame, axes: tuple[str, ...], frame: tuple[str, ...] = FRAME) -> DataFrame:
+    """frame, axes of the earlier marker, d<axis> to the later one, cost."""
+    pre = markers.select(*frame, F.col("id").alias("pre"), *axes)
+    post = _shift_frame(markers, -1).select(*frame, F.col("id").alias("post"), *[F.col(a).alias(f"_{a}") for a in axes])
+    return matches.join(pre, [*frame, "pre"]).join(post, [*frame, "post"]).select(*frame, "pre", "post", *axes, *[(F.col(f"_{a}") - F.col(a)).alias(f"d{a}") for a in axes], "cost")
 
 
-def interpolate(points: DataFrame, flow: DataFrame, axes: tuple[str, ...], radius: float, forward: bool = True) -> DataFrame:
-    """t, id, d<axis>: the weighted mean of the flow within the radius of each point.
+def interpolate(points: DataFrame, flow: DataFrame, axes: tuple[str, ...], radius: float, forward: bool = True, frame: tuple[str, ...] = FRAME) -> DataFrame:
+    """frame, id, d<axis>: the weighted mean of the flow within the radius of each point.
 
     weight: -cost over distance (only coincident anchors where there are any), raised so that the least is 1. Forward
     anchors are the flow's origins at t; backward ones its ends, of the frame before. Points without a neighbour
     drop out.
     """
     if forward:
-        anchors = flow.select("t", *axes, *[f"d{a}" for a in axes], "cost")
+        anchors = flow.select(*frame, *axes, *[f"d{a}" for a in axes], "cost")
     else:
-        anchors = _shift_frame(flow, 1).select("t", *[(F.col(a) + F.col(f"d{a}")).alias(a) for a in axes], *[f"d{a}" for a in axes], "cost")
-    near = radius_join(points.select("t", "id", *axes), anchors, ["t"], axes, radius)
-    point = Window.partitionBy("t", "l_id")  # a point's neighbours; one shuffle for both minima and the mean
+        anchors = _shift_frame(flow, 1).select(*frame, *[(F.col(a) + F.col(f"d{a}")).alias(a) for a in axes], *[f"d{a}" for a in axes], "cost")
+    near = radius_join(points.select(*frame, "id", *axes), anchors, list(frame), axes, radius)
+    point = Window.partitionBy(*frame, "l_id")  # a point's neighbours; one shuffle for both minima and the mean
     near = near.withColumn("least", F.min("distance").over(point))
     by_distance = F.when(F.col("least") == 0, (F.col("distance") == 0).cast("double")).otherwise(1 / F.when(F.col("distance") != 0, F.col("distance")))
     near = near.withColumn("w", -F.col("r_cost") * by_distance)
     near = near.withColumn("w", F.col("w") - F.min("w").over(point) + 1)
     total = F.sum("w")
-    return near.groupBy("t", F.col("l_id").alias("id")).agg(*[(F.sum(F.col("w") * F.col(f"r_d{a}")) / total).alias(f"d{a}") for a in axes], F.count("*").alias("neighbours"))
+    return near.groupBy(*frame, F.col("l_id").alias("id")).agg(*[(F.sum(F.col("w") * F.col(f"r_d{a}")) / total).alias(f"d{a}") for a in axes], F.count("*").alias("neighbours"))
 
 
-def voxel_candidates(voxels: DataFrame, fw: DataFrame, bw: DataFrame, axes: tuple[str, ...], radius: float) -> DataFrame:
-    """t, prev, next, distance: both directions' predictions matched to the nearest real voxel, nearer than radius.
+def voxel_candidates(voxels: DataFrame, fw: DataFrame, bw: DataFrame, axes: tuple[str, ...], radius: float, frame: tuple[str, ...] = FRAME) -> DataFrame:
+    """frame, prev, next, distance: both directions' predictions matched to the nearest real voxel, nearer than radius.
 
     fw: flow at voxels of t; bw: flow at voxels of t + 1 (by their own t). UNION ALL of both.
     """
-    here = voxels.select("t", "id", *axes)
-    ahead = here.join(fw, ["t", "id"]).select("t", "id", *[(F.col(a) + F.col(f"d{a}")).alias(a) for a in axes])
-    fwd = nearest_within(ahead, _shift_frame(here, -1), ["t"], axes, radius, "id", "id")
-    fwd = fwd.select("t", F.col("id").alias("prev"), F.col("nearest_id").alias("next"), "distance")
-    back = _shift_frame(here.join(bw, ["t", "id"]).select("t", "id", *[(F.col(a) - F.col(f"d{a}")).alias(a) for a in axes]), -1)
-    bwd = nearest_within(back, here, ["t"], axes, radius, "id", "id")
-    return fwd.unionByName(bwd.select("t", F.col("nearest_id").alias("prev"), F.col("id").alias("next"), "distance"))
+    here = voxels.select(*frame, "id", *axes)
+    ahead = here.join(fw, [*frame, "id"]).select(*frame, "id", *[(F.col(a) + F.col(f"d{a}")).alias(a) for a in axes])
+    fwd = nearest_within(ahead, _shift_frame(here, -1), list(frame), axes, radius, "id", "id")
+    fwd = fwd.select(*frame, F.col("id").alias("prev"), F.col("nearest_id").alias("next"), "distance")
+    back = _shift_frame(here.join(bw, [*frame, "id"]).select(*frame, "id", *[(F.col(a) - F.col(f"d{a}")).alias(a) for a in axes]), -1)
+    bwd = nearest_within(back, here, list(frame), axes, radius, "id", "id")
+    return fwd.unionByName(bwd.select(*frame, F.col("nearest_id").alias("prev"), F.col("id").alias("next"), "distance"))
 
 
 def vote(candidates: DataFrame, by: list[str], target: str, label: str, distance: str) -> DataFrame:
@@ -100,46 +103,60 @@ def vote(candidates: DataFrame, by: list[str], target: str, label: str, distance
     return best.select(*by, target, (-F.col("b.low")).alias(label), F.col("b.weight").alias("weight"))
 
 
-def reassign_frame(candidates: DataFrame, source_labels: DataFrame, target_labels: DataFrame) -> DataFrame:
-    """t, next, label: candidates whose source is labelled (> 0) and whose target is too, put to the vote."""
-    src = source_labels.where("label > 0").select("t", F.col("id").alias("prev"), "label")
-    kept = candidates.join(src, ["t", "prev"]).join(target_labels.where("label > 0").select("t", F.col("id").alias("next")), ["t", "next"], "left_semi")
-    return vote(kept, ["t"], "next", "label", "distance")
+def reassign_frame(candidates: DataFrame, source_labels: DataFrame, target_labels: DataFrame, frame: tuple[str, ...] = FRAME) -> DataFrame:
+    """frame, next, label: candidates whose source is labelled (> 0) and whose target is too, put to the vote."""
+    src = source_labels.where("label > 0").select(*frame, F.col("id").alias("prev"), "label")
+    kept = candidates.join(src, [*frame, "prev"]).join(target_labels.where("label > 0").select(*frame, F.col("id").alias("next")), [*frame, "next"], "left_semi")
+    return vote(kept, list(frame), "next", "label", "distance")
 
 
-def reassign_chain(candidates: DataFrame, labels: DataFrame, first: int, last: int) -> DataFrame:
-    """t, id, label of frames first .. last: frame `first` keeps its labels, each next one takes the vote of the last.
+def reassign_chain(candidates: DataFrame, labels: DataFrame, first: int | None = None, last: int | None = None, frame: tuple[str, ...] = FRAME) -> DataFrame:
+    """frame, id, label of frames first .. last (all, if none are named): the first frame of each image keeps its labels, each next one takes the vote of the last.
 
-    One join a frame, bounded by the number of frames; each step is written, so no lineage grows. Voxels
+    All images go on in one step, each from its own first frame, so the number of steps is that of the longest image. Candidates and labels are
+    written by step, and a step reads its own files; each step is written, so no lineage grows. Voxels
     without a vote get 0, and so does everything after a frame pair without matches.
     """
-    candidates, labels = checkpointed(candidates), checkpointed(labels)
-    state = labels.where(F.col("t") == first).select("t", "id", "label")
-    out = state
-    for t in range(first, last):
-        own = labels.where(F.col("t") == t + 1).select(F.lit(t).cast("int").alias("t"), "id", "label")
-        got = reassign_frame(candidates.where(F.col("t") == t), state, own).select(F.col("next").alias("id"), F.col("label").alias("won"))
-        state = checkpointed(labels.where(F.col("t") == t + 1).select("t", "id").join(got, "id", "left").select("t", "id", F.coalesce("won", F.lit(0)).alias("label")))
-        out = out.unionByName(state)
-    return out
-
-
-def extend_tracks(seeds: DataFrame, flow: DataFrame, axes: tuple[str, ...], radius: float, steps: int, forward: bool = True) -> DataFrame:
-    """track_id, t, axes, frame_num: seeds carried along the flow frame by frame, at most `steps` of them, ending where no flow is near.
-
-    Seeds may lie in several frames: all go on at once, each from its own. The flow and each step are written, so a plan holds one step.
+    images = list(frame[:-1])
+    labels = checkpointed(labels.where(F.col("t").between(F.lit(first if first is not None else -(2**31)), F.lit(last if last is not None else 2**31 - 1))).select(*frame, "id", "label"))
+    ends = labels.groupBy(*images).agg(F.min("t").alias("_first"), F.max("t").alias("_last"))
+    ends = ends if first is None else ends.withColumn("_first", F.lit(first))
+    ends = checkpointed(ends.select(*images, "_first", "_last"))
+    steps = ends.agg(F.max(F.col("_last") - F.col("_first"))).first()[0]
+    if steps is None:
+        return labels
+    place = lambda df: (df.join(ends, images) if images else df.crossJoin(F.broadcast(ends))).withColumn("_step", F.col("t") - F.col("_first")).drop("_first", "_last")  # noqa: E731  without images one row
+    candidates, labels = checkpointed(place(candidates), "_step"), checkpointed(place(labels), "_step")
+    out = Steps(labels.sparkSession)
+    of = lambda df, k: df.where(F.col("_step") == k).drop("_step")
+    state = out.add(of(labels, 0), 0)
+    for k in range(steps):
+        after = of(labels, k + 1)
+        got = reassign_frame(of(candidates, k), state, _shift_frame(after, -1), frame).select(*images, (F.col("t") + 1).cast("int").alias("t"), F.col("next").alias("id"), F.col("label").alias("won"))
+        state = out.add(after.select(*frame, "id").join(got, [*frame, "id"], "left").select(*frame, "id", F.coalesce("won", F.lit(0)).alias("label")), k + 1)
+    return out.all()
+
+
+def extend_tracks(seeds: DataFrame, flow: DataFrame, axes: tuple[str, ...], radius: float, steps: int, forward: bool = True, frame: tuple[str, ...] = FRAME) -> DataFrame:
+    """track_id, frame, axes, frame_num: seeds carried along the flow frame by frame, at most `steps` of them, ending where no flow is near.
+
+    Seeds may lie in several frames and images: all go on at once, each from its own; ids are those of one image. The flow is written by frame, so a step reads the frames that its
+    seeds have reached; each step is written, so a plan holds one step.
     """
-    flow = checkpointed(flow)
-    now = checkpointed(seeds.select(F.col("id").alias("track_id"), "t", *axes))
-    out, sign = now, 1 if forward else -1
-    for _ in range(steps):
+    out, sign = Steps(seeds.sparkSession), 1 if forward else -1
+    now = out.add(seeds.select(F.col("id").alias("track_id"), *frame, *axes), 0)
+    times = [r["t"] for r in now.select("t").distinct().collect()]  # numbers of frames
+    flow = checkpointed(flow.select(*frame, *axes, *[f"d{a}" for a in axes], "cost"), "t")
+    for k in range(steps):
         here = now.withColumnRenamed("track_id", "id")
-        joined = here.join(interpolate(here, flow, axes, radius, forward), ["t", "id"])
-        now = checkpointed(joined.select(F.col("id").alias("track_id"), (F.col("t") + sign).cast("int").alias("t"), *[(F.col(a) + sign * F.col(f"d{a}")).alias(a) for a in axes]))
+        # forward flow begins at a seed's frame, backward flow ends there
+        near = flow.where(F.col("t").isin([t + sign * k - (0 if forward else 1) for t in times]))
+        joined = here.join(interpolate(here, near, axes, radius, forward, frame), [*frame, "id"])
+        moved = joined.select(F.col("id").alias("track_id"), *frame[:-1], (F.col("t") + sign).cast("int").alias("t"), *[(F.col(a) + sign * F.col(f"d{a}")).alias(a) for a in axes])
+        now = out.add(moved, k + 1)
         if now.isEmpty():
             break
-        out = out.unionByName(now)
-    return out.withColumn("frame_num", F.col("t"))
+    return out.all().withColumn("frame_num", F.col("t"))
 
 
 def flow_rows(flow: DataFrame, axes: tuple[str, ...], most_cost: float) -> DataFrame:
@@ -159,13 +176,13 @@ def kinematics_2d(flow: DataFrame, dt: float) -> list[Column]:
     return [linear.alias("linear_vel"), angular.alias("angular_vel"), F.when(r1 + r2 != 0, F.abs(r2 - r1) / (r1 + r2)).alias("directionality")]
 
 
-def accelerations(fw: DataFrame, bw: DataFrame, axes: tuple[str, ...], dt: float) -> DataFrame:
-    """t, id, linear_acc: the difference of the forward and backward velocity of the same voxel over dt."""
-    right = bw.select("t", "id", *[F.col(f"d{a}").alias(f"b{a}") for a in axes])
+def accelerations(fw: DataFrame, bw: DataFrame, axes: tuple[str, ...], dt: float, frame: tuple[str, ...] = FRAME) -> DataFrame:
+    """frame, id, linear_acc: the difference of the forward and backward velocity of the same voxel over dt."""
+    right = bw.select(*frame, "id", *[F.col(f"d{a}").alias(f"b{a}") for a in axes])
     gap = F.lit(0.0)
     for a in axes:
         gap = gap + F.pow((F.col(f"d{a}") - F.col(f"b{a}")) / dt, F.lit(2.0))
-    return fw.join(right, ["t", "id"]).select("t", "id", (F.sqrt(gap) / dt).alias("linear_acc"))
+    return fw.join(right, [*frame, "id"]).select(*frame, "id", (F.sqrt(gap) / dt).alias("linear_acc"))
 
 
 def _turn(a: list[Column], b: list[Column], dt: float) -> list[Column]:
@@ -178,8 +195,8 @@ def _turn(a: list[Column], b: list[Column], dt: float) -> list[Column]:
     return [F.when(size > 0, (a[(i + 1) % 3] * b[(i + 2) % 3] - a[(i + 2) % 3] * b[(i + 1) % 3]) / size) / dt for i in range(3)]
 
 
-def motility(voxels: DataFrame, fw: DataFrame, bw: DataFrame, axes: tuple[str, ...], spacing: tuple[float, ...], dt: float) -> DataFrame:
-    """t, id and nine speeds of each voxel (t, id, axes, branch): velocity, acceleration, both linear and angular, also relative to its branch.
+def motility(voxels: DataFrame, fw: DataFrame, bw: DataFrame, axes: tuple[str, ...], spacing: tuple[float, ...], dt: float, frame: tuple[str, ...] = FRAME) -> DataFrame:
+    """frame, id and nine speeds of each voxel (t, id, axes, branch): velocity, acceleration, both linear and angular, also relative to its branch.
 
     fw, bw: physical flow d<axis> at the voxels, to the next frame and from the last one. Velocities are of the forward step; accelerations
     need both steps. Relative ones are seen from the branch's voxel of least displacement in that step (label 0 is a branch as well);
@@ -187,13 +204,13 @@ def motility(voxels: DataFrame, fw: DataFrame, bw: DataFrame, axes: tuple[str, .
     """
     from voxframe.functions.scalar import norm
 
-    at = voxels.select("t", "id", "branch", *[(F.col(a) * F.lit(float(s))).alias(a) for a, s in zip(axes, spacing, strict=True)])
+    at = voxels.select(*frame, "id", "branch", *[(F.col(a) * F.lit(float(s))).alias(a) for a, s in zip(axes, spacing, strict=True)])
     for flow, k in ((fw, "f"), (bw, "b")):
-        moved = at.select("t", "id", "branch").join(flow.select("t", "id", *[f"d{a}" for a in axes]), ["t", "id"])
-        ref = reference_voxels(moved, ["t", "branch"], axes).select("t", "branch", F.col("ref").alias("id"))
-        mid = moved.join(ref, ["t", "branch", "id"], "left_semi").join(at.select("t", "id", *axes), ["t", "id"])
-        mid = mid.select("t", "branch", *[F.col(a).alias(f"{k}r_{a}") for a in axes], *[F.col(f"d{a}").alias(f"{k}rd_{a}") for a in axes])
-        at = at.join(moved.select("t", "id", *[F.col(f"d{a}").alias(f"{k}_{a}") for a in axes]), ["t", "id"], "left").join(mid, ["t", "branch"], "left")
+        moved = at.select(*frame, "id", "branch").join(flow.select(*frame, "id", *[f"d{a}" for a in axes]), [*frame, "id"])
+        ref = reference_voxels(moved, [*frame, "branch"], axes).select(*frame, "branch", F.col("ref").alias("id"))
+        mid = moved.join(ref, [*frame, "branch", "id"], "left_semi").join(at.select(*frame, "id", *axes), [*frame, "id"])
+        mid = mid.select(*frame, "branch", *[F.col(a).alias(f"{k}r_{a}") for a in axes], *[F.col(f"d{a}").alias(f"{k}rd_{a}") for a in axes])
+        at = at.join(moved.select(*frame, "id", *[F.col(f"d{a}").alias(f"{k}_{a}") for a in axes]), [*frame, "id"], "left").join(mid, [*frame, "branch"], "left")
 
     here = [F.col(a) for a in axes]
     step = {k: [F.col(f"{k}_{a}") for a in axes] for k in "fb"}
@@ -212,7 +229,7 @@ def motility(voxels: DataFrame, fw: DataFrame, bw: DataFrame, axes: tuple[str, .
         out += [norm(*linear["f"]).alias(f"{name}linear_vel"), norm(*angular["f"]).alias(f"{name}angular_vel"), norm(*gap(linear)).alias(f"{name}linear_acc"), norm(*gap(angular)).alias(f"{name}angular_acc")]
     r1, r2 = norm(*from_ref["f"][0]), norm(*from_ref["f"][1])
     out.append(F.when(r1 + r2 > 0, F.abs(r2 - r1) / (r1 + r2)).alias("rel_directionality"))
-    return at.select("t", "id", *out)
+    return at.select(*frame, "id", *out)
 
 
 def reference_voxels(vectors: DataFrame, by: list[str], axes: tuple[str, ...]) -> DataFrame:
@@ -223,27 +240,28 @@ def reference_voxels(vectors: DataFrame, by: list[str], axes: tuple[str, ...]) -
     return vectors.groupBy(*by).agg(F.min(F.struct(F.round(F.sqrt(size), 9).alias("n"), F.col("id").alias("id"))).alias("b")).select(*by, F.col("b.id").alias("ref"), F.col("b.n").alias("displacement"))
 
 
-def node_dynamics(edges: DataFrame, voxels: DataFrame, nodes: DataFrame, axes: tuple[str, ...]) -> DataFrame:
-    """t, node, divergence, convergence, vergere: mean of the flow along the unit vector from node to voxel.
+def node_dynamics(edges: DataFrame, voxels: DataFrame, nodes: DataFrame, axes: tuple[str, ...], frame: tuple[str, ...] = FRAME) -> DataFrame:
+    """frame, node, divergence, convergence, vergere: mean of the flow along the unit vector from node to voxel.
 
     edges: t, node, id; voxels: t, id, axes, d<axis> (to the next frame) and b<axis> (from the last one).
     """
-    v = voxels.select("t", "id", *[F.col(a).alias(f"v{a}") for a in axes], *[f"d{a}" for a in axes], *[f"b{a}" for a in axes])
-    n = nodes.select("t", F.col("id").alias("node"), *[F.col(a).alias(f"n{a}") for a in axes])
-    joined = edges.join(v, ["t", "id"]).join(n, ["t", "node"])
+    v = voxels.select(*frame, "id", *[F.col(a).alias(f"v{a}") for a in axes], *[f"d{a}" for a in axes], *[f"b{a}" for a in axes])
+    n = nodes.select(*frame, F.col("id").alias("node"), *[F.col(a).alias(f"n{a}") for a in axes])
+    joined = edges.join(v, [*frame, "id"]).join(n, [*frame, "node"])
     length = F.sqrt(reduce(lambda p, q: p + q, [F.pow(F.col(f"v{a}") - F.col(f"n{a}"), F.lit(2.0)) for a in axes]))
     along = lambda k: F.when(length != 0, reduce(lambda p, q: p + q, [F.col(f"{k}{a}") * (F.col(f"v{a}") - F.col(f"n{a}")) for a in axes]) / length)
-    out = joined.groupBy("t", "node").agg(F.avg(along("d")).alias("divergence"), F.avg(along("b")).alias("convergence"))
+    out = joined.groupBy(*frame, "node").agg(F.avg(along("d")).alias("divergence"), F.avg(along("b")).alias("convergence"))
     return out.withColumn("vergere", F.col("divergence") + F.col("convergence"))
 
 
-def label_hits(tracks: DataFrame, labelled: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+def label_hits(tracks: DataFrame, labelled: DataFrame, axes: tuple[str, ...], frame: tuple[str, ...] = FRAME) -> DataFrame:
     """Track rows whose coordinates, rounded half to even, hit a labelled cell."""
-    cells = labelled.where("label > 0").select("t", *[F.col(a).cast("long").alias(f"_{a}") for a in axes]).distinct()
-    return tracks.withColumns({f"_{a}": F.rint(a).cast("long") for a in axes}).join(cells, ["t", *[f"_{a}" for a in axes]], "left_semi").drop(*[f"_{a}" for a in axes])
+    cells = labelled.where("label > 0").select(*frame, *[F.col(a).cast("long").alias(f"_{a}") for a in axes]).distinct()
+    return tracks.withColumns({f"_{a}": F.rint(a).cast("long") for a in axes}).join(cells, [*frame, *[f"_{a}" for a in axes]], "left_semi").drop(*[f"_{a}" for a in axes])
 
 
-def numbered_tracks(tracks: DataFrame) -> DataFrame:
-    """track rows with gapless ids over frames: by first frame and seed."""
-    first = tracks.groupBy("track_id").agg(F.min("t").alias("_t"))
-    return tracks.join(numbered(first, ["_t", "track_id"], "number").drop("_t"), "track_id")
+def numbered_tracks(tracks: DataFrame, frame: tuple[str, ...] = FRAME) -> DataFrame:
+    """track rows with gapless ids over frames: by image, first frame and seed."""
+    key = [*frame[:-1], "track_id"]
+    first = tracks.groupBy(*key).agg(F.min("t").alias("_t"))
+    return tracks.join(numbered(first, [*frame[:-1], "_t", "track_id"], "number").drop("_t"), key)

@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import moments, thresholds
 from voxframe.operators import features, kernels, network, regions, spatial, stats, stencil, tracking
-from voxframe.plans.session import checkpointed
+from voxframe.plans.session import checkpointed, drop
 from voxframe.sources.metadata import sigma_ladder
 
 
 @dataclass(frozen=True)
 class Config:
-    """Settings of a run; lengths in micrometres, times in seconds. depth 0 means frames without a z axis."""
+    """Settings of a run; lengths in micrometres, times in seconds. depth 0 means frames without a z axis.
 
+    keys name a frame: ("t",), or ("image_id", "t") for many images of one layout in the same tables. The last one is the frame's number.
+    """
+
+    keys: tuple[str, ...] = ("t",)
     spacing_z: float = 1.0
     spacing_y: float = 1.0
     spacing_x: float = 1.0
@@ -121,10 +125,16 @@ class Config:
 
 
 class Engine:
-    """Each verb takes and returns DataFrames over (t, axes); frames are independent up to tracking."""
+    """Each verb takes and returns DataFrames over (frame, axes), where the frame is Config.keys: t, or image and t.
+
+    Frames are independent up to tracking, which joins frames of one image; a run over many images takes as many Spark jobs as one over the longest.
+    With Config.tile the kernels work on tiles of that many cells along each axis with the halo each of them needs; thresholds stay those of whole frames.
+    """
 
     def __init__(self, config: Config = Config()):
         self.config = config
+        self.frame = list(config.keys)
+        self.tiling = kernels.Tiling(config.tile, config.shape) if config.tile else None
 
     def ordinal(self) -> Column:
         """The place of a cell in its frame's scan order."""
@@ -134,82 +144,76 @@ class Engine:
         return out
 
     def vesselness(self, frames: DataFrame) -> DataFrame:
-        """t, axes, v: the greatest tube response over all scales where every scale's Hessian is strong, cleaned by its own mask.
+        """frame, axes, v: the greatest tube response over all scales where every scale's Hessian is strong, cleaned by its own mask.
 
-        Scales are a column: a frame and a scale is what thresholds and windows work on, so all scales are one plan. In 2D bright blobs
-        count as well. Thresholds are of whole frames.
+        One kernel makes all scales, their Hessians and eigenvalues from a dense frame or tile; what it finds goes through no other exchange
+        before the thresholds, which are of whole frames. In 2D bright blobs count as well.
         """
-        c, axes, scaled = self.config, self.config.axes, ["t", "k"]
-        names = [f"s{k}" for k in range(len(c.sigmas))]
-        space = kernels.frame_kernel(frames, ["t"], "v", kernels.ScaleSpace(c.sigmas, c.z_ratio), axes, [*names, "blob"])
-        space = checkpointed(space)
-        each = space.select("t", *axes, F.posexplode(F.array(*names)).alias("k", "v"))
-        gamma = thresholds.gamma(each, scaled, "v", c.bins)
-        if c.depth:
-            h = stencil.hessian_3d(each, scaled, "v", c.spacing)
-            parts = ["gzz", "gzy", "gzx", "gyy", "gyx", "gxx"]
-            norm = kernels.frobenius(h, scaled, ["gzz", "gyy", "gxx", *["gzy", "gzx", "gyx"] * 2])
-            response = stencil.vesselness_3d(F.col("l1"), F.col("l2"), F.col("l3"), 2 * F.col("gamma") * F.col("gamma"), c.alpha_sq, c.beta_sq)
-            eigen = stencil.eigen_3d(*map(F.col, parts))
-        else:
-            h = stencil.hessian_2d(each, scaled, "v", c.spacing)
-            norm = kernels.frobenius(h, scaled, ["gyy", "gyx", "gyx", "gxx"])
-            response = stencil.vesselness_2d(F.col("l1"), F.col("l2"), 2 * F.col("gamma") * F.col("gamma"), c.beta_sq)
-            eigen = stencil.eigen_2d(F.col("gyy"), F.col("gyx"), F.col("gxx"))
-        norm = checkpointed(norm.select(*scaled, *axes, "norm", *[e.alias(f"l{i + 1}") for i, e in enumerate(eigen)]))
+        c, axes, f = self.config, self.config.axes, self.frame
+        kernel, scales = kernels.TubeSpace(kernels.ScaleSpace(c.sigmas, c.z_ratio), c.spacing), range(len(c.sigmas))
+        space = checkpointed(kernels.frame_kernel(frames, f, "v", kernel, axes, kernel.outputs(), self.tiling))
+        tops = checkpointed(space.groupBy(*f).agg(*[F.max(f"{n}_{k}").alias(f"{n}_top_{k}") for n in ("part", "norm") for k in scales]))
+        share = lambda k, n: F.when(F.col(f"part_top_{k}") > 0, F.col(n) / F.col(f"part_top_{k}")).otherwise(0.0)
+        topped = space.join(tops, f)
+        each = topped.select(*f, F.posexplode(F.array(*[F.struct(F.col(f"v_{k}").alias("v"), share(k, f"norm_{k}").alias("norm")) for k in scales])).alias("k", "x")).select(*f, "k", "x.*")
+        limits = thresholds.gamma(each, [*f, "k"], "v", c.bins)
         if not c.frobenius_division:
-            on = norm.withColumn("on", F.col("norm") > 0)
+            limits = limits.withColumn("bar", F.lit(0.0))
         elif c.frobenius_threshold is not None:
-            on = norm.withColumn("on", F.col("norm") > c.frobenius_threshold / c.frobenius_division)
+            limits = limits.withColumn("bar", F.lit(c.frobenius_threshold / c.frobenius_division))
         else:
-            bar = thresholds.smaller_of_both(norm.where("norm > 0"), scaled, "norm", c.bins).select(*scaled, (F.col("threshold") / c.frobenius_division).alias("bar"))
-            on = norm.join(bar, scaled, "left").withColumn("on", F.col("norm") > F.coalesce("bar", F.lit(0.0)))
-        some = on.where("on").select(*scaled).distinct()  # a scale whose mask is empty has no say
-        rated = on.join(some, scaled).join(gamma, scaled).select("t", *axes, "on", response.alias("v"))
-        best = rated.groupBy("t", *axes).agg(F.max(F.when(F.col("on"), F.col("v")).otherwise(0.0)).alias("v"), F.bool_and("on").alias("on"))
-        out = space.select("t", *axes, "blob").join(best, ["t", *axes], "left")
-        out = out.withColumn("on", F.coalesce("on", F.lit(True))).withColumn("v", F.when(F.col("on"), F.coalesce("v", F.lit(0.0))).otherwise(0.0))
+            bar = thresholds.smaller_of_both(each.where("norm > 0"), [*f, "k"], "norm", c.bins).select(*f, "k", (F.col("threshold") / c.frobenius_division).alias("bar"))
+            limits = limits.join(bar, [*f, "k"], "left").fillna(0.0, ["bar"])
+        limits = checkpointed(limits.groupBy(*f).agg(*[F.max(F.when(F.col("k") == k, F.col(n))).alias(f"{n}_{k}") for n in ("gamma", "bar") for k in scales]))
+        rated = {k: F.coalesce(share(k, f"norm_top_{k}") > F.col(f"bar_{k}"), F.lit(False)) for k in scales}  # a scale whose mask is empty has no say
+        strong = {k: F.coalesce(share(k, f"norm_{k}") > F.col(f"bar_{k}"), F.lit(False)) for k in scales}
+        on, best = F.lit(True), F.lit(0.0)
+        for k in scales:
+            two_gamma_sq, eigen = 2 * F.col(f"gamma_{k}") * F.col(f"gamma_{k}"), [F.col(f"l{i + 1}_{k}") for i in range(len(axes))]
+            response = stencil.vesselness_3d(*eigen, two_gamma_sq, c.alpha_sq, c.beta_sq) if c.depth else stencil.vesselness_2d(*eigen, two_gamma_sq, c.beta_sq)
+            on, best = on & (~rated[k] | strong[k]), F.greatest(best, F.when(rated[k] & strong[k], response).otherwise(0.0))
+        out = topped.join(limits, f, "left").select(*f, *axes, F.when(on, best).otherwise(0.0).alias("v"), F.when(on, F.greatest("blob", F.lit(0.0))).otherwise(0.0).alias("blob"))
+        out = checkpointed(out)
+        drop(space, tops, limits)
         if not c.depth:
-            out = out.withColumn("blob", F.when(F.col("on"), F.greatest("blob", F.lit(0.0))).otherwise(0.0))
-            top = out.groupBy("t").agg(F.max("blob").alias("top"))
-            out = out.join(top, "t").withColumn("v", F.greatest("v", F.col("blob") / (F.col("top") + 1e-12) / 10))
-        out = checkpointed(out.select("t", *axes, "v"))
+            top = out.groupBy(*f).agg(F.max("blob").alias("top"))
+            out = out.join(top, f).withColumn("v", F.greatest("v", F.col("blob") / (F.col("top") + 1e-12) / 10))
+        out = checkpointed(out.select(*f, *axes, "v"))
         if c.remove_edges:
-            out = stencil.cut_edges(out, ["t", "z"] if c.depth else ["t"], "v", c.edge_margin)
-        faint = out.groupBy("t").agg(F.percentile(F.when(F.col("v") > 0, F.col("v")), 0.01).alias("faint"))
-        mask = stencil.opening(out.join(faint, "t").where("v > faint"), ["t"], axes, c.shape)
-        kept = out.join(mask.withColumn("kept", F.lit(True)), ["t", *axes], "left")
-        return kept.select("t", *axes, F.when(F.col("kept"), F.col("v")).otherwise(0.0).alias("v"))
+            out = stencil.cut_edges(out, [*f, "z"] if c.depth else f, "v", c.edge_margin)
+        faint = out.groupBy(*f).agg(F.percentile(F.when(F.col("v") > 0, F.col("v")), 0.01).alias("faint"))
+        clear = out.join(faint, f).select(*f, *axes, F.when(F.col("v") > F.col("faint"), F.col("v")).otherwise(0.0).alias("v"))
+        return kernels.frame_kernel(clear, f, "v", kernels.Opening(), axes, tiling=self.tiling)
 
     def components(self, mask: DataFrame) -> DataFrame:
-        axes = list(self.config.axes)
-        return regions.components_tiled(mask, ["t"], axes, self.config.tile) if self.config.tile else regions.components(mask, ["t"], axes)
+        axes, f = list(self.config.axes), self.frame
+        return regions.components_tiled(mask, f, axes, self.config.tile) if self.config.tile else regions.components(mask, f, axes)
 
     def label(self, vesselness: DataFrame, intensity: DataFrame | None = None) -> DataFrame:
         """t, axes, label of the components of dense frames above the threshold (the frame's own if the settings give none).
 
         In 3D holes are filled; small components go, what is left is smoothed by a mean filter and labelled anew.
         """
-        c, axes = self.config, self.config.axes
+        c, axes, f = self.config, self.config.axes, self.frame
         frames = vesselness
         if c.intensity_otsu and intensity is not None:
-            bar = thresholds.otsu(intensity.where("v != 0"), ["t"], "v", c.bins).withColumnRenamed("threshold", "least")
-            bright = intensity.join(bar, "t").where("v > least").select("t", *axes, F.lit(True).alias("bright"))
-            frames = frames.join(bright, ["t", *axes], "left").withColumn("v", F.when(F.col("bright"), F.col("v")).otherwise(0.0)).drop("bright")
+            bar = thresholds.otsu(intensity.where("v != 0"), f, "v", c.bins).withColumnRenamed("threshold", "least")
+            bright = intensity.join(bar, f).where("v > least").select(*f, *axes, F.lit(True).alias("bright"))
+            frames = frames.join(bright, [*f, *axes], "left").withColumn("v", F.when(F.col("bright"), F.col("v")).otherwise(0.0)).drop("bright")
         if c.threshold is None:
-            bar = thresholds.log_threshold(frames, ["t"], "v", c.bins)
-            mask = frames.join(bar, "t", "left").withColumn("v", F.coalesce(F.col("v") > F.col("threshold"), F.lit(False)).cast("double")).select("t", *axes, "v")
+            bar = thresholds.log_threshold(frames, f, "v", c.bins)
+            mask = frames.join(bar, f, "left").withColumn("v", F.coalesce(F.col("v") > F.col("threshold"), F.lit(False)).cast("double")).select(*f, *axes, "v")
         else:
-            mask = frames.withColumn("v", (F.col("v") > c.threshold).cast("double")).select("t", *axes, "v")
+            mask = frames.withColumn("v", (F.col("v") > c.threshold).cast("double")).select(*f, *axes, "v")
         if c.depth:
-            mask = kernels.frame_kernel(mask, ["t"], "v", kernels.FillHoles(), axes)
+            mask = kernels.frame_kernel(mask, f, "v", kernels.FillHoles(), axes)
         mask = checkpointed(mask)
-        found = regions.keep_large(self.components(mask.where("v > 0").select("t", *axes)), ["t", "label"], c.least_cells)
+        found = regions.keep_large(self.components(mask.where("v > 0").select(*f, *axes)), [*f, "label"], c.least_cells)
         if not c.smooth_mask:
             return found
-        on = mask.select("t", *axes).join(found.select("t", *axes, F.lit(1.0).alias("v")), ["t", *axes], "left").fillna(0.0, ["v"])
-        smooth = kernels.frame_kernel(on, ["t"], "v", kernels.MeanFilter(), axes)
-        return self.components(smooth.where(F.round("v", 9) > 0.5).select("t", *axes))
+        on = mask.select(*f, *axes).join(found.select(*f, *axes, F.lit(1.0).alias("v")), [*f, *axes], "left").fillna(0.0, ["v"])
+        smooth = kernels.frame_kernel(on, f, "v", kernels.MeanFilter(), axes, tiling=self.tiling)
+        return self.components(smooth.where(F.round("v", 9) > 0.5).select(*f, *axes))
 
     def network(self, labels: DataFrame, vesselness: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Skeleton (t, axes, label, pixel_class, branch or null) and voxels with the branch they are nearest to.
@@ -217,56 +221,54 @@ class Engine:
         Skeleton cells that touch a second label go, unless at the image's edge; an object left without any gets its voxel of the
         greatest vesselness.
         """
-        c, axes = self.config, self.config.axes
-        thinning = kernels.Thinning3D() if c.depth else kernels.Thinning()
-        thin = kernels.frame_kernel(labels.select("t", *axes, F.lit(1.0).alias("v")), ["t"], "v", thinning, axes).where("v > 0")
-        thin = labels.join(thin.select("t", *axes), ["t", *axes], "left_semi").select("t", *axes, "label")
-        clean = stencil.unambiguous(thin, ["t"], axes, "label", c.shape)
-        valued = labels.join(vesselness, ["t", *axes])
-        skeleton = checkpointed(network.add_missing_skeleton(valued, clean, ["t"], "label", axes, "v"))
-        branches = checkpointed(network.branch_labels(skeleton.select("t", *axes), ["t"], axes))
-        graded = skeleton.join(stencil.pixel_class(skeleton, ["t"], axes), ["t", *axes]).join(branches, ["t", *axes], "left")
-        seeds = branches.join(labels, ["t", *axes]).select("t", "label", *axes, "branch")
-        return graded, network.nearest_seed(labels, seeds, ["t", "label"], axes, c.spacing, "branch")
+        c, axes, f = self.config, self.config.axes, self.frame
+        thin = labels.join(kernels.thin(labels, f, axes, self.tiling), [*f, *axes], "left_semi").select(*f, *axes, "label")
+        clean = stencil.unambiguous(thin, f, axes, "label", c.shape)
+        valued = labels.join(vesselness, [*f, *axes])
+        skeleton = checkpointed(network.add_missing_skeleton(valued, clean, f, "label", axes, "v"))
+        branches = checkpointed(network.branch_labels(skeleton.select(*f, *axes), f, axes))
+        graded = skeleton.join(stencil.pixel_class(skeleton, f, axes), [*f, *axes]).join(branches, [*f, *axes], "left")
+        seeds = branches.join(labels, [*f, *axes]).select(*f, "label", *axes, "branch")
+        return graded, network.nearest_seed(labels, seeds, [*f, "label"], axes, c.spacing, "branch")
 
     def distances(self, labels: DataFrame, frames: DataFrame) -> DataFrame:
         """t, axes, distance of each labelled voxel to the background, in cells."""
-        c, axes = self.config, self.config.axes
-        on = frames.select("t", *axes).join(labels.select("t", *axes, F.lit(True).alias("on")), ["t", *axes], "left").withColumn("on", F.coalesce("on", F.lit(False)))
-        return kernels.distance(on, ["t"], "on", c.reach, axes).select("t", *axes, "distance")
+        c, axes, f = self.config, self.config.axes, self.frame
+        on = frames.select(*f, *axes).join(labels.select(*f, *axes, F.lit(True).alias("on")), [*f, *axes], "left").withColumn("on", F.coalesce("on", F.lit(False)))
+        return kernels.distance(on, f, "on", c.reach, axes, self.tiling).select(*f, *axes, "distance")
 
     def border(self, labels: DataFrame) -> DataFrame:
-        return stencil.border(labels, ["t"], self.config.axes, self.config.shape)
+        return stencil.border(labels, self.frame, self.config.axes, self.config.shape)
 
     def markers(self, labels: DataFrame, intensity: DataFrame, vesselness: DataFrame) -> DataFrame:
         """t, id, axes, stats, hu: blob peaks of the distance (or vesselness) inside objects, the brightest within peak_distance kept,
         measured in boxes of twice their distance to the background."""
-        c, axes = self.config, self.config.axes
+        c, axes, f = self.config, self.config.axes, self.frame
         far = checkpointed(self.distances(labels, intensity))
         if c.peaks_from == "distance":
-            base = intensity.select("t", *axes).join(far.withColumnRenamed("distance", "v"), ["t", *axes], "left").fillna(0.0, ["v"])
+            base = intensity.select(*f, *axes).join(far.withColumnRenamed("distance", "v"), [*f, *axes], "left").fillna(0.0, ["v"])
         elif c.peaks_from == "vesselness":
             base = vesselness
         else:
             raise ValueError(f"peaks come from the distance or the vesselness, not from {c.peaks_from!r}")
-        spots = kernels.frame_kernel(base, ["t"], "v", kernels.LogPeaks(c.marker_sigmas, c.z_ratio), axes).where("v > 0").select("t", *axes)
-        spots = spots.join(far.where("distance > 0"), ["t", *axes])
-        bright = stencil.local_maxima(spots.join(intensity, ["t", *axes]), ["t"], axes, "v", c.peak_distance)
-        wide = stencil.neighbourhood(far, ["t"], axes, [(2 * F.max("distance")).alias("radius")])
-        marks = bright.join(wide, ["t", *axes]).select("t", self.ordinal().alias("id"), *axes, F.ceil("radius").alias("r"))
-        boxes = marks.select("t", "id", *[F.greatest(F.col(a) - F.col("r"), F.lit(0)).alias(f"low_{a}") for a in axes], *[F.least(F.col(a) + F.col("r"), F.lit(n - 1)).alias(f"high_{a}") for a, n in c.shape.items()])
-        cells = intensity.join(vesselness.withColumnRenamed("v", "structure"), ["t", *axes]).withColumn("v", F.greatest("v", F.lit(0.0)))
-        inside = checkpointed(spatial.box_join(cells, boxes, ["t"], axes, 8).select("t", "id", *axes, "v", "structure"))
-        level = moments.nonzero_stats(inside, ["t", "id"], "v").join(moments.nonzero_stats(inside, ["t", "id"], "structure").toDF("t", "id", "s_mean", "s_variance"), ["t", "id"])
+        spots = kernels.frame_kernel(base, f, "v", kernels.LogPeaks(c.marker_sigmas, c.z_ratio), axes, tiling=self.tiling).where("v > 0").select(*f, *axes)
+        spots = spots.join(far.where("distance > 0"), [*f, *axes])
+        bright = stencil.local_maxima(spots.join(intensity, [*f, *axes]), f, axes, "v", c.peak_distance)
+        wide = stencil.neighbourhood(far, f, axes, [(2 * F.max("distance")).alias("radius")])
+        marks = bright.join(wide, [*f, *axes]).select(*f, self.ordinal().alias("id"), *axes, F.ceil("radius").alias("r"))
+        boxes = marks.select(*f, "id", *[F.greatest(F.col(a) - F.col("r"), F.lit(0)).alias(f"low_{a}") for a in axes], *[F.least(F.col(a) + F.col("r"), F.lit(n - 1)).alias(f"high_{a}") for a, n in c.shape.items()])
+        cells = intensity.join(vesselness.withColumnRenamed("v", "structure"), [*f, *axes]).withColumn("v", F.greatest("v", F.lit(0.0)))
+        inside = checkpointed(spatial.box_join(cells, boxes, f, axes, 8).select(*f, "id", *axes, "v", "structure"))
+        level = moments.nonzero_stats(inside, [*f, "id"], "v").join(moments.nonzero_stats(inside, [*f, "id"], "structure").toDF(*f, "id", "s_mean", "s_variance"), [*f, "id"])
         views = ["z", "y", "x"] if c.depth else [""]
         if c.depth:
-            shape = moments.log_hu_table(moments.projections(inside, ["t", "id"], "v"), ["t", "id", "axis"], "a", "b", "v")
+            shape = moments.log_hu_table(moments.projections(inside, [*f, "id"], "v"), [*f, "id", "axis"], "a", "b", "v")
         else:
-            shape = moments.log_hu_table(inside, ["t", "id"], "y", "x", "v").withColumn("axis", F.lit(""))
+            shape = moments.log_hu_table(inside, [*f, "id"], "y", "x", "v").withColumn("axis", F.lit(""))
         hu = [F.max(F.when(F.col("axis") == a, F.col(f"h{i}"))).alias(f"h{a}{i}") for a in views for i in range(1, 7)]
-        shape = shape.groupBy("t", "id").agg(*hu)
-        both = marks.drop("r").join(shape, ["t", "id"]).join(level, ["t", "id"])
-        return both.select("t", "id", *axes, F.array("mean", "variance", "s_mean", "s_variance").alias("stats"), F.array(*[f"h{a}{i}" for a in views for i in range(1, 7)]).alias("hu"))
+        shape = shape.groupBy(*f, "id").agg(*hu)
+        both = marks.drop("r").join(shape, [*f, "id"]).join(level, [*f, "id"])
+        return both.select(*f, "id", *axes, F.array("mean", "variance", "s_mean", "s_variance").alias("stats"), F.array(*[f"h{a}{i}" for a in views for i in range(1, 7)]).alias("hu"))
 
     def physical(self, rows: DataFrame) -> DataFrame:
         """rows with their axes in micrometres."""
@@ -274,21 +276,22 @@ class Engine:
 
     def track_markers(self, markers: DataFrame) -> DataFrame:
         """Flow rows between consecutive frames, in micrometres."""
-        c, axes = self.config, self.config.axes
+        c, axes, f = self.config, self.config.axes, self.frame
         scaled = self.physical(markers)
-        pairs = tracking.gated_pairs(scaled, axes, c.gate, "stats", "hu")
-        return tracking.flow_table(tracking.best_matches(tracking.pair_costs(pairs, c.gate, 4, 18 if c.depth else 6), c.most_cost), scaled, axes)
+        pairs = checkpointed(tracking.gated_pairs(scaled, axes, c.gate, "stats", "hu", f))  # read for the sums and for the rows
+        costs = tracking.pair_costs(pairs, c.gate, 4, 18 if c.depth else 6, f)
+        return tracking.flow_table(tracking.best_matches(costs, c.most_cost, frame=f), scaled, axes, f)
 
     def interpolate_flow(self, points: DataFrame, flow: DataFrame, forward: bool = True) -> DataFrame:
-        return tracking.interpolate(points, flow, self.config.axes, self.config.match_gate, forward)
+        return tracking.interpolate(points, flow, self.config.axes, self.config.match_gate, forward, self.frame)
 
     def matches(self, voxels: DataFrame, fw: DataFrame, bw: DataFrame) -> DataFrame:
         """Voxels (in micrometres) matched between consecutive frames, both ways."""
-        return tracking.voxel_candidates(voxels, fw, bw, self.config.axes, self.config.match_gate)
+        return tracking.voxel_candidates(voxels, fw, bw, self.config.axes, self.config.match_gate, self.frame)
 
-    def reassign(self, matches: DataFrame, labels: DataFrame, first: int, last: int) -> DataFrame:
-        """New labels (t, id, label) of frames first .. last, carried over by matched voxels."""
-        return tracking.reassign_chain(matches, labels, first, last)
+    def reassign(self, matches: DataFrame, labels: DataFrame) -> DataFrame:
+        """New labels (frame, id, label), carried over from each image's first frame by matched voxels."""
+        return tracking.reassign_chain(matches, labels, frame=self.frame)
 
     def hierarchy(self, voxels: DataFrame, skeleton: DataFrame, distances: DataFrame, fw: DataFrame, bw: DataFrame) -> dict[str, DataFrame]:
         """Tables of all levels: voxels, nodes, branches, organelles, image, and edges between them.
@@ -296,28 +299,28 @@ class Engine:
         voxels: t, id, axes, label (organelle), branch, intensity, structure and, where labels were carried over, new_organelle and
         new_branch. Each level has the five statistics of the levels below it and its own raw features.
         """
-        c, axes = self.config, self.config.axes
+        c, axes, f = self.config, self.config.axes, self.frame
         values = ["structure", "intensity"]
         if c.motility:
-            speeds = tracking.motility(voxels, fw, bw, axes, c.spacing, c.dt)
-            values = [x for x in speeds.columns if x not in ("t", "id")] + values
-            voxels = voxels.join(speeds, ["t", "id"])
+            speeds = tracking.motility(voxels, fw, bw, axes, c.spacing, c.dt, f)
+            values = [x for x in speeds.columns if x not in (*f, "id")] + values
+            voxels = voxels.join(speeds, [*f, "id"])
         voxels = checkpointed(voxels.withColumnRenamed("label", "organelle"))
-        raw = lambda df, names: df.select("t", "label", *[F.col(n).alias(f"{n}_raw") for n in names], *[x for x in df.columns if x not in ("t", "label", *names)])
-        out = {"voxels": raw(voxels.select("t", F.col("id").alias("label"), *values, *axes), [*values, *axes])}
+        raw = lambda df, names: df.select(*f, "label", *[F.col(n).alias(f"{n}_raw") for n in names], *[x for x in df.columns if x not in (*f, "label", *names)])
+        out = {"voxels": raw(voxels.select(*f, F.col("id").alias("label"), *values, *axes), [*values, *axes])}
 
-        owner = voxels.select("t", *axes, "organelle", F.col("branch").alias("own_branch"))
-        radius = skeleton.drop("label").join(distances, ["t", *axes]).join(owner, ["t", *axes])
+        owner = voxels.select(*f, *axes, "organelle", F.col("branch").alias("own_branch"))
+        radius = skeleton.drop("label").join(distances, [*f, *axes]).join(owner, [*f, *axes])
         nodes, node_values, in_node = None, [], None
         if c.nodes:
             nodes, node_values, in_node = self._nodes(voxels, radius, values, fw, bw)
             nodes = checkpointed(nodes)
-            centre = self.physical(nodes.select("t", "label", *axes))
-            out["nodes"] = raw(nodes.drop("branch", "organelle", *axes), node_values).join(centre.toDF("t", "label", *[f"{a}_raw" for a in axes]), ["t", "label"])
+            centre = self.physical(nodes.select(*f, "label", *axes))
+            out["nodes"] = raw(nodes.drop("branch", "organelle", *axes), node_values).join(centre.toDF(*f, "label", *[f"{a}_raw" for a in axes]), [*f, "label"])
 
         def rollup(by: str | None, *below: tuple[DataFrame, list[str]]) -> DataFrame:
             """The five statistics of the tables below, each grouped by its column `by` (all of a frame without one)."""
-            keys = ["t", by] if by else ["t"]
+            keys = [*f, by] if by else f
             made = [stats.five_stats(df.where(F.col(by) > 0) if by else df, keys, names) for df, names in below]
             rolled = made[0]
             for m in made[1:]:
@@ -325,64 +328,64 @@ class Engine:
             return rolled.withColumnRenamed(by, "label") if by else rolled.withColumn("label", F.lit(0).cast("long"))
 
         above = [(nodes, node_values)] if c.nodes else []
-        branch_nodes = radius.where("branch is not null").withColumn("radius", F.col("distance") * F.lit(float(c.spacing_x))).select("t", "branch", *axes, "radius")
-        geometry = network.branch_geometry(branch_nodes, ["t"], "branch", axes, c.spacing, "radius").withColumnsRenamed({k: f"branch_{k}" for k in ("length", "thickness", "aspect_ratio", "tortuosity")}).withColumnRenamed("branch", "label")
+        branch_nodes = radius.where("branch is not null").withColumn("radius", F.col("distance") * F.lit(float(c.spacing_x))).select(*f, "branch", *axes, "radius")
+        geometry = network.branch_geometry(branch_nodes, f, "branch", axes, c.spacing, "radius").withColumnsRenamed({k: f"branch_{k}" for k in ("length", "thickness", "aspect_ratio", "tortuosity")}).withColumnRenamed("branch", "label")
         regions_of = lambda level: self._regions(voxels, level)
-        own = regions_of("branch").join(geometry, ["t", "label"], "left")
+        own = regions_of("branch").join(geometry, [*f, "label"], "left")
         own_values = [x for x in own.columns if x.startswith("branch_")]
-        branches = checkpointed(own.join(features.branch_to_organelle(voxels).withColumnRenamed("branch", "label"), ["t", "label"], "left"))
-        branch_table = raw(own, [*own_values, *axes]).join(rollup("branch", *above, (voxels, values)), ["t", "label"], "left")
+        branches = checkpointed(own.join(features.branch_to_organelle(voxels, f).withColumnRenamed("branch", "label"), [*f, "label"], "left"))
+        branch_table = raw(own, [*own_values, *axes]).join(rollup("branch", *above, (voxels, values)), [*f, "label"], "left")
         organelles = checkpointed(regions_of("organelle"))
         organelle_values = [x for x in organelles.columns if x.startswith("organelle_")]
-        organelle_table = raw(organelles, [*organelle_values, *axes]).join(rollup("organelle", *above, (voxels, values), (branches, own_values)), ["t", "label"], "left")
+        organelle_table = raw(organelles, [*organelle_values, *axes]).join(rollup("organelle", *above, (voxels, values), (branches, own_values)), [*f, "label"], "left")
         for level, table in (("branch", branch_table), ("organelle", organelle_table)):
             if f"new_{level}" in voxels.columns:
-                new = features.reassigned_label(voxels, level, f"new_{level}").withColumnRenamed("reassigned_label", "reassigned_label_raw")
-                table = table.join(new, ["t", "label"], "left")
+                new = features.reassigned_label(voxels, level, f"new_{level}", f).withColumnRenamed("reassigned_label", "reassigned_label_raw")
+                table = table.join(new, [*f, "label"], "left")
             out["branches" if level == "branch" else "organelles"] = table
         out["image"] = rollup(None, *above, (voxels, values), (branches, own_values), (organelles, organelle_values))
         if c.adjacency:
-            edges = features.containment_edges(voxels)
+            edges = features.containment_edges(voxels, f)
             if c.nodes:
-                between = [(in_node.select("t", "id", "node"), "id", "node", "v_n"), (nodes, "label", "branch", "n_b"), (nodes, "label", "organelle", "n_o")]
+                between = [(in_node.select(*f, "id", "node"), "id", "node", "v_n"), (nodes, "label", "branch", "n_b"), (nodes, "label", "organelle", "n_o")]
                 for df, src, dst, kind in between:
-                    edges = edges.unionByName(df.where(F.col(dst).isNotNull()).select("t", F.lit(kind).alias("kind"), F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst")))
+                    edges = edges.unionByName(df.where(F.col(dst).isNotNull()).select(*f, F.lit(kind).alias("kind"), F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst")))
             out["edges"] = edges
         return out
 
     def _nodes(self, voxels: DataFrame, radius: DataFrame, values: list[str], fw: DataFrame, bw: DataFrame) -> tuple[DataFrame, list[str], DataFrame]:
         """Nodes (skeleton cells, by scan order) with the statistics of the voxels in their boxes, their own features, and who is in them."""
-        c, axes = self.config, self.config.axes
-        nodes = radius.select("t", self.ordinal().alias("node"), *axes, "distance", F.col("own_branch").alias("branch"), "organelle")
+        c, axes, f = self.config, self.config.axes, self.frame
+        nodes = radius.select(*f, self.ordinal().alias("node"), *axes, "distance", F.col("own_branch").alias("branch"), "organelle")
         low = [F.greatest(F.floor(F.col(a) - F.col("distance")), F.lit(0)).alias(f"low_{a}") for a in axes]
         high = [F.least(F.floor(F.col(a) + F.col("distance")) + 1, F.lit(n)).alias(f"high_{a}") for a, n in c.shape.items()]
-        inside = checkpointed(spatial.box_join(voxels, nodes.select("t", "node", *low, *high), ["t"], axes, 8))
-        table = stats.five_stats(inside, ["t", "node"], values)
+        inside = checkpointed(spatial.box_join(voxels, nodes.select(*f, "node", *low, *high), f, axes, 8))
+        table = stats.five_stats(inside, [*f, "node"], values)
         own = nodes.withColumn("node_thickness", 2 * F.col("distance") * F.lit(float(c.spacing_x)))
         names = ["node_thickness"]
         if c.motility:
-            flows = voxels.select("t", "id", *axes)
+            flows = voxels.select(*f, "id", *axes)
             for flow, k in ((fw, "d"), (bw, "b")):
-                flows = flows.join(flow.select("t", "id", *[F.col(f"d{a}").alias(f"{k}{a}") for a in axes]), ["t", "id"], "left")
-            spread = tracking.node_dynamics(inside.select("t", "node", "id"), flows, nodes.select("t", F.col("node").alias("id"), *axes), axes)
+                flows = flows.join(flow.select(*f, "id", *[F.col(f"d{a}").alias(f"{k}{a}") for a in axes]), [*f, "id"], "left")
+            spread = tracking.node_dynamics(inside.select(*f, "node", "id"), flows, nodes.select(*f, F.col("node").alias("id"), *axes), axes, f)
             # towards the node counts as convergence
-            spread = spread.select("t", "node", "divergence", (-F.col("convergence")).alias("convergence"), (F.col("divergence") - F.col("convergence")).alias("vergere"))
-            own = own.join(spread, ["t", "node"], "left")
+            spread = spread.select(*f, "node", "divergence", (-F.col("convergence")).alias("convergence"), (F.col("divergence") - F.col("convergence")).alias("vergere"))
+            own = own.join(spread, [*f, "node"], "left")
             names += ["divergence", "convergence", "vergere"]
-        return own.drop("distance").join(table, ["t", "node"], "left").withColumnRenamed("node", "label"), names, inside
+        return own.drop("distance").join(table, [*f, "node"], "left").withColumnRenamed("node", "label"), names, inside
 
     def _regions(self, voxels: DataFrame, level: str) -> DataFrame:
         """t, label, <level>_area, .._extent, in 2D .._axis_length_maj, .._axis_length_min, .._solidity, and the centroid by axis."""
-        c, axes = self.config, self.config.axes
-        rows = voxels.where(F.col(level) > 0).select("t", F.col(level).alias("label"), *axes)
-        made = regions.geometry(rows, ["t", "label"], axes, c.spacing)
+        c, axes, f = self.config, self.config.axes, self.frame
+        rows = voxels.where(F.col(level) > 0).select(*f, F.col(level).alias("label"), *axes)
+        made = regions.geometry(rows, [*f, "label"], axes, c.spacing)
         if not c.depth:
-            made = made.join(kernels.solidity(rows, ["t", "label"]), ["t", "label"])
+            made = made.join(kernels.solidity(rows, [*f, "label"]), [*f, "label"])
         names = {"area": "area", "extent": "extent", "axis_major": "axis_length_maj", "axis_minor": "axis_length_min", "solidity": "solidity"}
         return made.withColumnsRenamed({k: f"{level}_{v}" for k, v in names.items()} | {f"centroid_{a}": a for a in axes})
 
     def tracks(self, seeds: DataFrame, flow: DataFrame, labelled: DataFrame, steps: int, forward: bool = True) -> DataFrame:
-        return tracking.label_hits(tracking.extend_tracks(seeds, flow, self.config.axes, self.config.match_gate, steps, forward), labelled, self.config.axes)
+        return tracking.label_hits(tracking.extend_tracks(seeds, flow, self.config.axes, self.config.match_gate, steps, forward, self.frame), labelled, self.config.axes, self.frame)
 
     def view(self, table: DataFrame, feature: str, form: str | None = None, t: int | None = None, log: bool = False, robust: bool = False) -> DataFrame:
         rows = table if t is None else table.where(F.col("t") == t)
@@ -390,26 +393,25 @@ class Engine:
 
     def run(self, frames: DataFrame) -> dict[str, DataFrame]:
         """Every table of a run over raw frames (t, axes, v): filter, label, network, markers, track, reassign, hierarchy."""
-        axes, c = self.config.axes, self.config
-        frames = checkpointed(frames.select(F.col("t").cast("int").alias("t"), *axes, "v"))
+        axes, c, f = self.config.axes, self.config, self.frame
+        frames = checkpointed(frames.select(*f[:-1], F.col("t").cast("int").alias("t"), *axes, "v"))
         ves = checkpointed(self.vesselness(frames))
         labels = checkpointed(self.label(ves, frames))
         skeleton, near = (checkpointed(x) for x in self.network(labels, ves))
         distances = checkpointed(self.distances(labels, frames))
         markers = checkpointed(self.markers(labels, frames, ves))
         flow = checkpointed(self.track_markers(markers))
-        voxels = labels.join(near, ["t", "label", *axes], "left").join(frames.withColumnRenamed("v", "intensity"), ["t", *axes]).join(ves.withColumnRenamed("v", "structure"), ["t", *axes])
-        voxels = voxels.select("t", self.ordinal().alias("id"), *axes, "label", F.coalesce("branch", F.lit(0)).alias("branch"), "intensity", "structure")
+        voxels = labels.join(near, [*f, "label", *axes], "left").join(frames.withColumnRenamed("v", "intensity"), [*f, *axes]).join(ves.withColumnRenamed("v", "structure"), [*f, *axes])
+        voxels = voxels.select(*f, self.ordinal().alias("id"), *axes, "label", F.coalesce("branch", F.lit(0)).alias("branch"), "intensity", "structure")
         voxels = checkpointed(voxels)
-        at = self.physical(voxels.select("t", "id", *axes))
+        at = self.physical(voxels.select(*f, "id", *axes))
         fw, bw = (checkpointed(self.interpolate_flow(at, flow, forward)) for forward in (True, False))
         out = {"vesselness": ves, "labels": labels, "skeleton": skeleton, "branches": near, "border": self.border(labels), "markers": markers, "flow": flow}
         if c.reassign:
-            ends = voxels.agg(F.min("t").alias("first"), F.max("t").alias("last")).first()
             out["matches"] = matches = checkpointed(self.matches(at, fw, bw))
-            if ends["first"] is not None:
-                for level, column in (("organelle", "label"), ("branch", "branch")):
-                    carried = self.reassign(matches, voxels.select("t", "id", F.col(column).alias("label")), ends["first"], ends["last"])
-                    out[f"reassigned_{level}s"] = carried = checkpointed(carried)
-                    voxels = voxels.join(carried.withColumnRenamed("label", f"new_{level}"), ["t", "id"], "left")
+            for level, column in (("organelle", "label"), ("branch", "branch")):
+                carried = self.reassign(matches, voxels.select(*f, "id", F.col(column).alias("label")))
+                out[f"reassigned_{level}s"] = carried
+                voxels = voxels.join(carried.withColumnRenamed("label", f"new_{level}"), [*f, "id"], "left")
+            voxels = checkpointed(voxels)
         return out | self.hierarchy(voxels, skeleton, distances, fw, bw)

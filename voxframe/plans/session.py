@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -40,24 +41,53 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: its lineage ends there. The files go when the program ends, or by drop."""
-    spark = df.sparkSession
+def _new_path(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _WRITTEN:
         atexit.register(_sweep)
     _WRITTEN.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def checkpointed(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df written once to the shared folder and read back: its lineage ends there. The files go when the program ends, or by drop.
+
+    With `by`, a column of few values, each value has its own files, so that a plan that asks for one value reads only those; its rows are
+    spread over tasks.
+    """
+    path = _new_path(df.sparkSession)
+    if by:
+        df.repartition(by, F.pmod(F.xxhash64(*[c for c in df.columns if c != by]), F.lit(4))).write.partitionBy(by).parquet(path)
+    else:
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
     out._written_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table made by checkpointed that no later plan reads."""
-    path = getattr(df, "_written_path", None)
-    if path:
-        _delete(df.sparkSession, path)
+def drop(*dfs: DataFrame) -> None:
+    """Delete tables made by checkpointed that no later plan reads."""
+    for df in dfs:
+        path = getattr(df, "_written_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+class Steps:
+    """A table that grows by one part a step, each in its own folder below one path, so that the whole is one scan."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.schema = spark, _new_path(spark), None
+
+    def add(self, df: DataFrame, step: int) -> DataFrame:
+        """df written as the part of this step and read back."""
+        where = f"{self.path}/step={step}"
+        df.write.parquet(where)
+        self.schema = df.schema
+        return self.spark.read.schema(df.schema).parquet(where)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
