@@ -554,12 +554,109 @@ def hull_area(points: np.ndarray) -> float:
     return abs(float(np.dot(y, np.roll(x, -1)) - np.dot(x, np.roll(y, -1)))) / 2
 
 
-def solidity(labelled: DataFrame, by: list[str]) -> DataFrame:
-    """by, solidity: pixels over the area of their convex hull (2D). A region is one task's input."""
-    schema = ", ".join(f"{labelled.schema[c].name} {labelled.schema[c].dataType.simpleString()}" for c in by) + ", solidity double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[["y", "x"]].to_numpy()
-        return pdf[by].head(1).assign(solidity=len(at) / hull_area(at))
+def hull_volume(points: np.ndarray) -> float:
+    """Volume of the convex hull of points with whole coordinates that don't lie in one plane.
 
-    return labelled.select(*by, "y", "x").groupBy(*by).applyInPandas(run, schema)
+    Quickhull: the point farthest beyond a face replaces all faces that it sees, or lies in the plane of, by faces to their rim. Signs of
+    determinants are exact in whole numbers, so points in one plane need no tolerance.
+    """
+    p = np.unique(points.astype(np.int64), axis=0)
+    p -= p[0]
+    first = [0, int(np.abs(p).sum(axis=1).argmax())]
+    first.append(int(np.abs(np.cross(p[first[1]], p)).sum(axis=1).argmax()))
+    first.append(int(np.abs(p @ np.cross(p[first[1]], p[first[2]])).argmax()))
+    corners, normals, levels, beyond = {}, {}, {}, {}
+    owner: dict[tuple[int, int], int] = {}  # face on the left of each directed edge
+
+    def add(a: int, b: int, c: int) -> int:
+        k = add.next
+        add.next += 1
+        corners[k] = (a, b, c)
+        normals[k] = np.cross(p[b] - p[a], p[c] - p[a])
+        levels[k] = int(normals[k] @ p[a])
+        owner[a, b] = owner[b, c] = owner[c, a] = k
+        return k
+
+    add.next = 0
+
+    def deal(rows: np.ndarray, faces: list[int]) -> None:
+        """Each point goes to the first of the faces that it lies beyond; others are inside."""
+        above = p[rows] @ np.stack([normals[k] for k in faces]).T - np.array([levels[k] for k in faces])
+        some, to = (above > 0).any(axis=1), (above > 0).argmax(axis=1)
+        for j, k in enumerate(faces):
+            mine = some & (to == j)
+            if mine.any():
+                beyond[k] = rows[mine], above[mine, j]
+
+    for a, b, c, d in ((0, 1, 2, 3), (0, 3, 1, 2), (1, 3, 2, 0), (0, 2, 3, 1)):
+        a, b, c, d = (first[x] for x in (a, b, c, d))
+        add(a, b, c) if np.cross(p[b] - p[a], p[c] - p[a]) @ (p[d] - p[a]) < 0 else add(a, c, b)
+    deal(np.arange(len(p)), list(corners))
+    while beyond:
+        k, (rows, heights) = next(iter(beyond.items()))
+        top = int(rows[heights.argmax()])
+        seen, todo, rim = {k}, [k], []
+        while todo:
+            a, b, c = corners[todo.pop()]
+            for u, v in ((a, b), (b, c), (c, a)):
+                other = owner[v, u]
+                if other in seen:
+                    continue
+                if int(normals[other] @ p[top]) >= levels[other]:
+                    seen.add(other)
+                    todo.append(other)
+                else:
+                    rim.append((u, v))
+        rim = [(u, v) for u, v in rim if owner[v, u] not in seen]
+        left = [beyond.pop(x)[0] for x in seen if x in beyond]
+        for x in seen:
+            del corners[x], normals[x], levels[x]
+        made = [add(u, v, top) for u, v in rim]
+        left = np.concatenate(left)
+        deal(left[left != top], made)
+    return float(sum(levels.values())) / 6
+
+
+def hull_size(points: np.ndarray) -> float:
+    """Cells of the convex hull of whole cells (not of their centres): the area or volume of the hull of all their corners."""
+    if points.shape[1] == 2:
+        return hull_area(points)
+    return hull_volume((points[:, None, :] + (_CUBE[(_CUBE < 2).all(axis=1)])[None]).reshape(-1, 3))
+
+
+def solidity(labelled: DataFrame, by: list[str], axes: tuple[str, ...] = ("y", "x")) -> DataFrame:
+    """by, solidity: cells over those of their convex hull.
+
+    Only the two ends of each line of a region along the last axis can be corners of its hull, so regions meet as lines, counted before. A task
+    takes many regions in turn and holds the lines of one.
+    """
+    schema = ", ".join(f"{labelled.schema[c].name} {labelled.schema[c].dataType.simpleString()}" for c in by) + ", solidity double"
+    *across, along = axes
+    lines = labelled.groupBy(*by, *across).agg(F.count("*").alias("_n"), F.min(along).alias("_low"), F.max(along).alias("_high"))
+
+    def rate(pdf: pd.DataFrame) -> float:
+        at = pdf[across].to_numpy(np.int64)
+        ends = np.concatenate([np.column_stack([at, pdf[c].to_numpy(np.int64)]) for c in ("_low", "_high")])
+        return pdf["_n"].sum() / hull_size(ends)
+
+    def run(batches):
+        held = []  # lines of the last region seen, which may go on in the next batch
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            edge = np.flatnonzero((pdf[by].to_numpy()[1:] != pdf[by].to_numpy()[:-1]).any(axis=1)) + 1
+            parts = [pdf.iloc[a:b] for a, b in zip([0, *edge], [*edge, len(pdf)], strict=True)]
+            if held and (held[-1][by].to_numpy()[-1] != parts[0][by].to_numpy()[0]).any():
+                parts.insert(0, pd.concat(held))
+                held = []
+            elif held:
+                parts[0] = pd.concat([*held, parts[0]]) if len(parts) > 1 else parts[0]
+                held = held if len(parts) == 1 else []
+            held.append(parts.pop())
+            if parts:
+                yield pd.DataFrame({c: [q[c].iloc[0] for q in parts] for c in by} | {"solidity": [rate(q) for q in parts]})
+        if held:
+            last = pd.concat(held)
+            yield last[by].head(1).assign(solidity=rate(last))
+
+    return lines.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)

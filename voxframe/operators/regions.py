@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.plans.session import checkpointed
+from voxframe.operators.stencil import eigen_3d
+from voxframe.plans.session import checkpointed, drop
 
 
 def _roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,17 +77,19 @@ def components(voxels: DataFrame, frame: list[str], axes: list[str]) -> DataFram
         return pdf.assign(label=label_cells(number, pdf[axes].to_numpy(np.int64)))
 
     def run(batches):
-        held = None  # rows of the last frame seen, which may go on in the next batch
+        held = []  # rows of the last frame seen, which may go on in the next batch; joined when it ends
         for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
             last = pdf[frame].eq(pdf[frame].iloc[-1]).all(axis=1).to_numpy()
-            held = pdf[last]
-            if not last.all():
-                yield labelled(pdf[~last])
-        if held is not None:
-            yield labelled(held)
+            goes_on = held and bool((pdf[frame].iloc[-1] == held[-1][frame].iloc[-1]).all())
+            if goes_on and last.all():
+                held.append(pdf)
+                continue
+            yield labelled(pd.concat([*held, pdf[~last]], ignore_index=True))
+            held = [pdf[last]]
+        if held:
+            yield labelled(pd.concat(held, ignore_index=True))
 
     return voxels.select(*frame, *axes).repartition(*frame).sortWithinPartitions(*frame).mapInPandas(run, schema)
 
@@ -94,8 +97,8 @@ def components(voxels: DataFrame, frame: list[str], axes: list[str]) -> DataFram
 def components_tiled(voxels: DataFrame, frame: list[str], axes: list[str], tile: int) -> DataFrame:
     """components for frames too large for one task: tiles are labelled apart, then merged along their seams.
 
-    Seam pairs of all full-connectivity neighbours become edges between tile labels; the union of edges
-    is taken by least-label rounds in Spark, so only seams are shuffled. Labels follow scan order.
+    Seam pairs of all full-connectivity neighbours become edges between tile labels, whose components are found by contraction,
+    so only seams are shuffled. Labels follow scan order.
     """
     tiled = voxels.select(*frame, *axes, *[F.floor(F.col(a) / tile).cast("int").alias(f"_{a}") for a in axes])
     names = [f"_{a}" for a in axes]
@@ -110,20 +113,37 @@ def components_tiled(voxels: DataFrame, frame: list[str], axes: list[str], tile:
         moved = seams.select(*frame, *[(F.col(a) + s).cast("int").alias(a) for a, s in zip(axes, step, strict=True)], F.struct(*names).alias("_tile"), F.col("first").alias("other"))
         met = seams.join(moved, [*frame, *axes]).where(F.col("_tile") != F.struct(*names)).select(*frame, F.col("first").alias("a"), F.col("other").alias("b"))
         pairs = met if pairs is None else pairs.unionByName(met)
-    edges = pairs.where("a != b").distinct()
-    edges = checkpointed(edges.unionByName(edges.select(*frame, F.col("b").alias("a"), F.col("a").alias("b"))))
-    state = checkpointed(nodes.select(*frame, F.col("first").alias("node"), F.col("first").alias("root")).distinct())
-    while True:
-        heard = edges.join(state.withColumnRenamed("node", "b"), [*frame, "b"]).groupBy(*frame, F.col("a").alias("node")).agg(F.min("root").alias("heard"))
-        best = F.least("root", F.coalesce("heard", "root"))
-        fresh = checkpointed(state.join(heard, [*frame, "node"], "left").select(*frame, "node", best.alias("root"), (best < F.col("root")).alias("moved")))
-        if fresh.where("moved").isEmpty():
-            break
-        state = fresh.drop("moved")
+    state = contracted(nodes.select(*frame, F.col("first").alias("node")), pairs, frame)
     ranked = state.withColumn("label", F.dense_rank().over(Window.partitionBy(*frame).orderBy("root")).cast("int"))
     return local.drop("label").join(ranked.select(*frame, F.col("node").alias("first"), "label"), [*frame, "first"]).select(*frame, *axes, "label")
 
 
+def contracted(nodes: DataFrame, pairs: DataFrame, frame: list[str], leaps: int = 2, rounds: list[int] | None = None) -> DataFrame:
+    """frame, node, root: the least node of each node's component, for nodes and the pairs (a, b) that link them.
+
+    In a round each node that still has links points at its least neighbour, if that is less; pointers leap to their pointer's pointer `leaps`
+    times, and nodes and links are replaced by what they point at. A round leaves at most half of the linked nodes, and of a chain of ascending nodes one in 2 ** leaps, so
+    rounds grow with the logarithm of the links, not with an object's diameter. `rounds` is told the links left after each.
+    """
+    edges = pairs.where("a != b")
+    edges = checkpointed(edges.unionByName(edges.select(*frame, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    state = nodes.select(*frame, "node", F.col("node").alias("root")).distinct()
+    while not edges.isEmpty():
+        to = edges.groupBy(*frame, "a").agg(F.min("b").alias("to")).select(*frame, "a", F.least("a", "to").alias("to"))
+        for _ in range(leaps):
+            to = checkpointed(to)
+            on = to.select(*frame, F.col("a").alias("to"), F.col("to").alias("beyond"))
+            to = to.join(on, [*frame, "to"], "left").select(*frame, "a", F.coalesce("beyond", "to").alias("to"))
+        to = checkpointed(to)
+        at = lambda df, c: df.join(to.select(*frame, F.col("a").alias(c), "to"), [*frame, c], "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: E731, B023
+        state = checkpointed(at(state, "root").select(*frame, "node", "root"))
+        before, edges = edges, checkpointed(at(at(edges, "a"), "b").where("a != b").select(*frame, "a", "b").distinct())
+        drop(before)
+        if rounds is not None:
+            rounds.append(edges.count())
+    return state
+
+
 def keep_large(labelled: DataFrame, by: list[str], least: int) -> DataFrame:
     """Rows of the labels with at least so many voxels."""
     big = labelled.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
@@ -131,10 +151,10 @@ def keep_large(labelled: DataFrame, by: list[str], least: int) -> DataFrame:
 
 
 def geometry(labelled: DataFrame, by: list[str], axes: tuple[str, ...] = ("y", "x"), spacing: tuple[float, ...] = (1.0, 1.0)) -> DataFrame:
-    """by, area, centroid_<axis>, extent and, in 2D, major and minor axis lengths of each region.
+    """by, area, centroid_<axis>, extent, major and minor axis lengths of each region.
 
-    Axis lengths are 4 * sqrt of the eigenvalues of the second central moments, each pixel adding its own
-    spacing**2 / 12.
+    Axis lengths are those of the ellipse or ellipsoid with the region's second central moments, each cell adding its own spacing**2 / 12:
+    4 * sqrt of the greatest and least eigenvalue in 2D, sqrt(20 * ..) in 3D.
     """
     size = 1.0
     for s in spacing:
@@ -144,9 +164,16 @@ def geometry(labelled: DataFrame, by: list[str], axes: tuple[str, ...] = ("y", "
         box = box * (F.max(a) - F.min(a) + 1)
     out = [(F.count("*") * size).alias("area"), (F.count("*") / box).alias("extent")]
     out += [(F.avg(a) * s).alias(f"centroid_{a}") for a, s in zip(axes, spacing, strict=True)]
-    if len(axes) != 2:
-        return labelled.groupBy(*by).agg(*out)
-    (a, b), (s, r) = axes, spacing
-    out += [(F.var_pop(a) * s * s + s * s / 12).alias("_aa"), (F.var_pop(b) * r * r + r * r / 12).alias("_bb"), (F.covar_pop(a, b) * s * r).alias("_ab")]
-    half, spread = (F.col("_aa") + F.col("_bb")) / 2, F.sqrt(F.pow((F.col("_aa") - F.col("_bb")) / 2, F.lit(2.0)) + F.col("_ab") * F.col("_ab"))
-    return labelled.groupBy(*by).agg(*out).select("*", (4 * F.sqrt(half + spread)).alias("axis_major"), (4 * F.sqrt(F.greatest(half - spread, F.lit(0.0)))).alias("axis_minor")).drop("_aa", "_bb", "_ab")
+    scale = dict(zip(axes, spacing, strict=True))
+    pairs = [(a, b) for i, a in enumerate(axes) for b in axes[i:]]
+    moment = lambda a, b: F.var_pop(a) * scale[a] ** 2 + scale[a] ** 2 / 12 if a == b else F.covar_pop(a, b) * scale[a] * scale[b]
+    sums = labelled.groupBy(*by).agg(*out, *[moment(a, b).alias(f"_{a}{b}") for a, b in pairs])
+    parts = [F.col(f"_{a}{b}") for a, b in pairs]
+    if len(axes) == 2:
+        aa, ab, bb = parts
+        half, spread = (aa + bb) / 2, F.sqrt(F.pow((aa - bb) / 2, F.lit(2.0)) + ab * ab)
+        major, minor = 4 * F.sqrt(half + spread), 4 * F.sqrt(F.greatest(half - spread, F.lit(0.0)))
+    else:
+        least, _, most = eigen_3d(*parts)
+        major, minor = F.sqrt(20 * most), F.sqrt(20 * F.greatest(least, F.lit(0.0)))
+    return sums.select("*", major.alias("axis_major"), minor.alias("axis_minor")).drop(*[f"_{a}{b}" for a, b in pairs])

@@ -12,6 +12,7 @@ from voxframe.functions import moments, thresholds
 from voxframe.operators import features, kernels, network, regions, spatial, stats, stencil, tracking
 from voxframe.plans.session import checkpointed, drop
 from voxframe.sources.metadata import sigma_ladder
+from voxframe.sources.stages import FEATURES, StageStore
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,13 @@ class Config:
     match_speed: float = 0.5
     most_cost: float = 1.0
     reassign: bool = True
+    # frames of each image that a verb takes, counted by t from 0; None: all
+    filter_frames: int | None = None
+    label_frames: int | None = None
+    network_frames: int | None = None
+    marker_frames: int | None = None
+    track_frames: int | None = None
+    reassign_frames: int | None = None
     # features
     nodes: bool = True
     motility: bool = True
@@ -124,6 +132,13 @@ class Config:
         return cls(**(given | layout))
 
 
+#: The stage table of each table of a run.
+STAGE_OF = {
+    "vesselness": "vesselness", "labels": "labels", "skeleton": "skeleton", "branches": "features_branches", "border": "border", "markers": "markers", "flow": "flow", "matches": "voxel_matches",
+    "reassigned_organelles": "reassigned", "edges": "edges", "voxels": "features_voxels", "nodes": "features_nodes", "organelles": "features_organelles", "image": "features_image",
+}
+
+
 class Engine:
     """Each verb takes and returns DataFrames over (frame, axes), where the frame is Config.keys: t, or image and t.
 
@@ -136,6 +151,9 @@ class Engine:
         self.frame = list(config.keys)
         self.tiling = kernels.Tiling(config.tile, config.shape) if config.tile else None
 
+    def _first(self, df: DataFrame, frames: int | None) -> DataFrame:
+        return df if frames is None else df.where(F.col("t") < frames)
+
     def ordinal(self) -> Column:
         """The place of a cell in its frame's scan order."""
         out = F.lit(0).cast("long")
@@ -150,6 +168,7 @@ class Engine:
         before the thresholds, which are of whole frames. In 2D bright blobs count as well.
         """
         c, axes, f = self.config, self.config.axes, self.frame
+        frames = self._first(frames, c.filter_frames)
         kernel, scales = kernels.TubeSpace(kernels.ScaleSpace(c.sigmas, c.z_ratio), c.spacing), range(len(c.sigmas))
         space = checkpointed(kernels.frame_kernel(frames, f, "v", kernel, axes, kernel.outputs(), self.tiling))
         tops = checkpointed(space.groupBy(*f).agg(*[F.max(f"{n}_{k}").alias(f"{n}_top_{k}") for n in ("part", "norm") for k in scales]))
@@ -195,7 +214,7 @@ class Engine:
         In 3D holes are filled; small components go, what is left is smoothed by a mean filter and labelled anew.
         """
         c, axes, f = self.config, self.config.axes, self.frame
-        frames = vesselness
+        frames = vesselness = self._first(vesselness, c.label_frames)
         if c.intensity_otsu and intensity is not None:
             bar = thresholds.otsu(intensity.where("v != 0"), f, "v", c.bins).withColumnRenamed("threshold", "least")
             bright = intensity.join(bar, f).where("v > least").select(*f, *axes, F.lit(True).alias("bright"))
@@ -222,6 +241,7 @@ class Engine:
         greatest vesselness.
         """
         c, axes, f = self.config, self.config.axes, self.frame
+        labels = self._first(labels, c.network_frames)
         thin = labels.join(kernels.thin(labels, f, axes, self.tiling), [*f, *axes], "left_semi").select(*f, *axes, "label")
         clean = stencil.unambiguous(thin, f, axes, "label", c.shape)
         valued = labels.join(vesselness, [*f, *axes])
@@ -244,6 +264,7 @@ class Engine:
         """t, id, axes, stats, hu: blob peaks of the distance (or vesselness) inside objects, the brightest within peak_distance kept,
         measured in boxes of twice their distance to the background."""
         c, axes, f = self.config, self.config.axes, self.frame
+        labels, intensity = self._first(labels, c.marker_frames), self._first(intensity, c.marker_frames)
         far = checkpointed(self.distances(labels, intensity))
         if c.peaks_from == "distance":
             base = intensity.select(*f, *axes).join(far.withColumnRenamed("distance", "v"), [*f, *axes], "left").fillna(0.0, ["v"])
@@ -277,7 +298,7 @@ class Engine:
     def track_markers(self, markers: DataFrame) -> DataFrame:
         """Flow rows between consecutive frames, in micrometres."""
         c, axes, f = self.config, self.config.axes, self.frame
-        scaled = self.physical(markers)
+        scaled = self.physical(self._first(markers, c.track_frames))
         pairs = checkpointed(tracking.gated_pairs(scaled, axes, c.gate, "stats", "hu", f))  # read for the sums and for the rows
         costs = tracking.pair_costs(pairs, c.gate, 4, 18 if c.depth else 6, f)
         return tracking.flow_table(tracking.best_matches(costs, c.most_cost, frame=f), scaled, axes, f)
@@ -291,7 +312,7 @@ class Engine:
 
     def reassign(self, matches: DataFrame, labels: DataFrame) -> DataFrame:
         """New labels (frame, id, label), carried over from each image's first frame by matched voxels."""
-        return tracking.reassign_chain(matches, labels, frame=self.frame)
+        return tracking.reassign_chain(matches, self._first(labels, self.config.reassign_frames), frame=self.frame)
 
     def hierarchy(self, voxels: DataFrame, skeleton: DataFrame, distances: DataFrame, fw: DataFrame, bw: DataFrame) -> dict[str, DataFrame]:
         """Tables of all levels: voxels, nodes, branches, organelles, image, and edges between them.
@@ -375,12 +396,10 @@ class Engine:
         return own.drop("distance").join(table, [*f, "node"], "left").withColumnRenamed("node", "label"), names, inside
 
     def _regions(self, voxels: DataFrame, level: str) -> DataFrame:
-        """t, label, <level>_area, .._extent, in 2D .._axis_length_maj, .._axis_length_min, .._solidity, and the centroid by axis."""
+        """t, label, <level>_area, .._extent, .._axis_length_maj, .._axis_length_min, .._solidity, and the centroid by axis."""
         c, axes, f = self.config, self.config.axes, self.frame
         rows = voxels.where(F.col(level) > 0).select(*f, F.col(level).alias("label"), *axes)
-        made = regions.geometry(rows, [*f, "label"], axes, c.spacing)
-        if not c.depth:
-            made = made.join(kernels.solidity(rows, [*f, "label"]), [*f, "label"])
+        made = regions.geometry(rows, [*f, "label"], axes, c.spacing).join(kernels.solidity(rows, [*f, "label"], axes), [*f, "label"])
         names = {"area": "area", "extent": "extent", "axis_major": "axis_length_maj", "axis_minor": "axis_length_min", "solidity": "solidity"}
         return made.withColumnsRenamed({k: f"{level}_{v}" for k, v in names.items()} | {f"centroid_{a}": a for a in axes})
 
@@ -391,6 +410,11 @@ class Engine:
         rows = table if t is None else table.where(F.col("t") == t)
         return stats.view(rows, features.column_for(table, feature, form), log, robust)
 
+    def save(self, tables: dict[str, DataFrame], store: StageStore, intermediate: bool = True) -> dict[str, DataFrame]:
+        """The tables of a run written as stage tables, partitioned by the frame's keys, and read back; without the intermediate ones only the features."""
+        stages = {name: stage for name, stage in STAGE_OF.items() if name in tables and (intermediate or stage in FEATURES)}
+        return {name: store.write(stage, tables[name], self.config.keys) for name, stage in stages.items()}
+
     def run(self, frames: DataFrame) -> dict[str, DataFrame]:
         """Every table of a run over raw frames (t, axes, v): filter, label, network, markers, track, reassign, hierarchy."""
         axes, c, f = self.config.axes, self.config, self.frame
@@ -406,7 +430,7 @@ class Engine:
         voxels = checkpointed(voxels)
         at = self.physical(voxels.select(*f, "id", *axes))
         fw, bw = (checkpointed(self.interpolate_flow(at, flow, forward)) for forward in (True, False))
-        out = {"vesselness": ves, "labels": labels, "skeleton": skeleton, "branches": near, "border": self.border(labels), "markers": markers, "flow": flow}
+        out = {"vesselness": ves, "labels": labels, "skeleton": skeleton, "border": self.border(labels), "markers": markers, "flow": flow}
         if c.reassign:
             out["matches"] = matches = checkpointed(self.matches(at, fw, bw))
             for level, column in (("organelle", "label"), ("branch", "branch")):

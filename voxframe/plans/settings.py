@@ -17,7 +17,7 @@ SETTINGS = (
     ("track_all_frames", True, None),
     ("subsample_voxels", True, None),
     ("skip_vox", 5, None),
-    ("preprocessing_num_t", None, None),
+    ("preprocessing_num_t", None, "filter_frames"),
     ("preprocessing_min_radius_um", 0.25, "least_radius"),
     ("preprocessing_max_radius_um", 1.0, "most_radius"),
     ("preprocessing_alpha_sq", 0.5, "alpha_sq"),
@@ -28,7 +28,7 @@ SETTINGS = (
     ("preprocessing_low_memory", False, None),
     ("preprocessing_max_chunk_voxels", 1_000_000, None),
     ("preprocessing_max_threshold_samples", 1_000_000, None),
-    ("segmentation_label_num_t", None, None),
+    ("segmentation_label_num_t", None, "label_frames"),
     ("segmentation_label_threshold", None, "threshold"),
     ("segmentation_label_otsu_thresh_intensity", False, "intensity_otsu"),
     ("segmentation_label_chunk_z", None, None),
@@ -39,13 +39,13 @@ SETTINGS = (
     ("segmentation_label_device", "auto", None),
     ("segmentation_label_low_memory", False, None),
     ("segmentation_label_max_chunk_voxels", 1_000_000, None),
-    ("segmentation_network_num_t", None, None),
+    ("segmentation_network_num_t", None, "network_frames"),
     ("segmentation_network_min_radius_um", 0.2, None),
     ("segmentation_network_max_radius_um", 1.0, None),
     ("segmentation_network_device", "auto", None),
     ("segmentation_network_low_memory", False, None),
     ("segmentation_network_max_chunk_voxels", 1_000_000, None),
-    ("mocap_num_t", None, None),
+    ("mocap_num_t", None, "marker_frames"),
     ("mocap_min_radius_um", 0.2, "least_marker_radius"),
     ("mocap_max_radius_um", 1.0, "most_marker_radius"),
     ("mocap_use_im", "distance", "peaks_from"),
@@ -55,7 +55,7 @@ SETTINGS = (
     ("mocap_device", "auto", None),
     ("mocap_low_memory", False, None),
     ("mocap_max_chunk_voxels", 1_000_000, None),
-    ("tracking_num_t", None, None),
+    ("tracking_num_t", None, "track_frames"),
     ("tracking_max_distance_um", 1.0, "most_speed"),
     ("tracking_device", "auto", None),
     ("tracking_mode", "auto", None),
@@ -63,7 +63,7 @@ SETTINGS = (
     ("tracking_max_dense_roi_voxels_cpu", 50_000_000, None),
     ("tracking_max_dense_roi_voxels_gpu", 20_000_000, None),
     ("tracking_low_memory", False, None),
-    ("reassign_num_t", None, None),
+    ("reassign_num_t", None, "reassign_frames"),
     ("reassign_store_running_matches", True, None),
     ("reassign_max_refine_iterations", 3, None),
     ("reassign_device", "auto", None),

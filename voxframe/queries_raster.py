@@ -333,7 +333,7 @@ def _round4(df: DataFrame, keep: list[str]) -> DataFrame:
 _HU = """hu AS (SELECT t, n20 + n02 AS h1, pow(n20 - n02, 2) + 4 * n11 * n11 AS h2, pow(n30 - 3 * n12, 2) + pow(3 * n21 - n03, 2) AS h3, pow(n30 + n12, 2) + pow(n21 + n03, 2) AS h4,
   (n30 - 3 * n12) * (n30 + n12) * (pow(n30 + n12, 2) - 3 * pow(n21 + n03, 2)) + (3 * n21 - n03) * (n21 + n03) * (3 * pow(n30 + n12, 2) - pow(n21 + n03, 2)) AS h5,
   (n20 - n02) * (pow(n30 + n12, 2) - pow(n21 + n03, 2)) + 4 * n11 * (n30 + n12) * (n21 + n03) AS h6 FROM nm)"""
-register("agg_27_log_hu", lambda s, sf: moments.log_hu_table(_roi(s, sf), ["t"], "y", "x", "v").select("t", *[F.round(F.col(f"h{i}") + 1e-9, 3).alias(f"h{i}") for i in (1, 2, 4)]), _with(RASTER, _POSV, _CENT, _NORM, _HU) + "SELECT t, " + ", ".join(f"round(CASE WHEN h{i} = 0 THEN 0 ELSE -sign(h{i}) * log10(greatest(abs(h{i}), 2.2250738585072014e-308)) END + 1e-9, 3) AS h{i}" for i in (1, 2, 4)) + " FROM hu")
+register("agg_27_log_hu", lambda s, sf: moments.log_hu_table(_roi(s, sf), ["t"], "y", "x", "v").select("t", *[F.round(F.col(f"h{i}") + 1e-9, 3).alias(f"h{i}") for i in range(1, 7)]), _with(RASTER, _POSV, _CENT, _NORM, _HU) + "SELECT t, " + ", ".join(f"round(CASE WHEN h{i} = 0 THEN 0 ELSE -sign(h{i}) * log10(greatest(abs(h{i}), 2.2250738585072014e-308)) END + 1e-9, 3) AS h{i}" for i in range(1, 7)) + " FROM hu")
 register(
     "agg_25_nonzero_stats",
     lambda s, sf: _r6(moments.nonzero_stats(_roi(s, sf), ["t"], "v"), "mean", "variance"),
@@ -509,6 +509,18 @@ register(
         "pb AS (SELECT a.t, a.y, a.x, a.v, a.v > 0 AND max(q.v) = a.v AS peak FROM bb a JOIN bb q ON a.t = q.t AND abs(a.y - q.y) <= 1 AND abs(a.x - q.x) <= 1 GROUP BY a.t, a.y, a.x, a.v)",
     ) + "SELECT pa.t, pa.y::int AS y, pa.x::int AS x FROM pa JOIN pb USING (t, y, x) WHERE pa.peak OR pb.peak AND (NOT pa.peak OR pb.v > pa.v)",
 )
+# each volume's three projections as regions of interest: six invariants each
+_VIEWS = (
+    "vo AS (SELECT t // 8 AS image, (t % 8)::int AS z, y, x, v FROM q)",
+    "pj AS (SELECT image, axis, a, b, max(v) AS v FROM (SELECT image, 'z' AS axis, y AS a, x AS b, v FROM vo UNION ALL SELECT image, 'y', z, x, v FROM vo UNION ALL SELECT image, 'x', z, y, v FROM vo) GROUP BY ALL)",
+    "q3 AS (SELECT image || axis AS t, a AS y, b AS x, v FROM pj)",
+    *[c.replace("FROM q ", "FROM q3 ").replace("SELECT q.t", "SELECT q3.t").replace("BY q.t", "BY q3.t") for c in (_CENT, _NORM, _HU)],
+)
+register(
+    "agg_28_projection_hu",
+    lambda s, sf: moments.log_hu_table(moments.projections(_volume(s, sf), ["image"], "v"), ["image", "axis"], "a", "b", "v").select(F.concat(F.col("image").cast("string"), "axis").alias("t"), *[F.round(F.col(f"h{i}") + 1e-9, 3).alias(f"h{i}") for i in range(1, 7)]),
+    _with(RASTER, _POSV, *_VIEWS) + "SELECT t, " + ", ".join(f"round(CASE WHEN h{i} = 0 THEN 0 ELSE -sign(h{i}) * log10(greatest(abs(h{i}), 2.2250738585072014e-308)) END + 1e-9, 3) AS h{i}" for i in range(1, 7)) + " FROM hu",
+)
 # thinning: a frame with a rim of zeros as a list of 100 cells; each recursion is a step, until two in turn take nothing
 _RING = [f"m[i {d:+d}]" for d in (-10, -9, 1, 11, 10, 9, -1, -11)]
 _TURNS = " + ".join(f"({a} < {b})::int" for a, b in zip(_RING, _RING[1:] + _RING[:1], strict=True))
@@ -550,6 +562,18 @@ def _eigen_volume(spark, sf):
     return h.select("image", "z", "y", "x", l1.alias("l1"), l2.alias("l2"), l3.alias("l3"))
 
 
+# slabs of bright cells of each volume as regions: second moments, and their eigenvalues as above
+_SLAB = (
+    "vo AS (SELECT t // 8 AS image, (t % 8)::int AS z, y, x, v FROM r)",
+    f"""h3 AS (SELECT image, y // 4 AS label, 0 AS z, var_pop(z) * 0.25 + 0.25 / 12 AS gzz, covar_pop(z, y) * 0.1 AS gzy, covar_pop(z, x) * 0.15 AS gzx,
+      var_pop(y) * 0.04 + 0.04 / 12 AS gyy, covar_pop(y, x) * 0.06 AS gyx, var_pop(x) * 0.09 + 0.09 / 12 AS gxx FROM vo WHERE v > {MASK} GROUP BY ALL)""",
+    *[c.replace("image, z, y, x", "image, label") for c in _HESS3[3:]],
+)
+register(
+    "agg_12_axis_lengths_3d",
+    lambda s, sf: _r6(regions.geometry(volume(s, sf).where(f"v > {MASK}").withColumn("label", F.floor(F.col("y") / F.lit(4))), ["image", "label"], ("z", "y", "x"), (0.5, 0.2, 0.3)).select("image", "label", "axis_major", "axis_minor"), "axis_major", "axis_minor"),
+    _with(RASTER, *_SLAB) + "SELECT image, label, round(sqrt(20 * l3) + 1e-9, 6) AS axis_major, round(sqrt(20 * greatest(l1, 0)) + 1e-9, 6) AS axis_minor FROM eg3",
+)
 register("krn_5_eigen_3d", lambda s, sf: _eigen_volume(s, sf).select("image", "z", "y", "x", *[F.round(F.abs(f"l{i}") + 1e-7, 5).alias(f"l{i}") for i in (1, 2, 3)]), _with(RASTER, *_HESS3) + "SELECT image, z, y, x, " + ", ".join(f"round(abs(l{i}) + 1e-7, 5) AS l{i}" for i in (1, 2, 3)) + " FROM eg3")
 _VES3 = "CASE WHEN l2 > 0 OR l3 > 0 THEN 0 ELSE (1 - exp(-pow(abs(l2) / (abs(l3) + 1e-12), 2) / 0.5)) * exp(-pow(abs(l2) / (sqrt(abs(l2 * l3)) + 1e-12), 2) / 0.5) * (1 - exp(-(l1 * l1 + l2 * l2 + l3 * l3) / 0.02)) END"
 register("krn_6_vesselness_3d", lambda s, sf: _eigen_volume(s, sf).select("image", "z", "y", "x", F.round(stencil.vesselness_3d(F.col("l1"), F.col("l2"), F.col("l3"), F.lit(2 * 0.1 * 0.1)) + 1e-7, 4).alias("vessel")), _with(RASTER, *_HESS3) + f"SELECT image, z, y, x, round({_VES3} + 1e-7, 4) AS vessel FROM eg3")

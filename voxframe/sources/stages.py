@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Stages of a run in order; the feature tables are its results and outlast the others.
 STAGES = ("voxels", "vesselness", "labels", "skeleton", "pixel_class", "branches", "distance", "border", "markers", "flow", "voxel_matches", "reassigned", "edges")
@@ -23,8 +24,10 @@ class StageStore:
             raise KeyError(f"unknown stage {stage!r}")
         return f"{self.root.rstrip('/')}/{stage}"
 
-    def write(self, stage: str, df: DataFrame) -> DataFrame:
-        parts = [c for c in ("image_id", "t") if c in df.columns]
+    def write(self, stage: str, df: DataFrame, keys: tuple[str, ...] = ("image_id", "t")) -> DataFrame:
+        parts = [c for c in keys if c in df.columns]
+        if parts:  # a frame's rows in four files at most, from as many tasks
+            df = df.repartition(*parts, F.pmod(F.xxhash64(*[c for c in df.columns if c not in parts and df.schema[c].dataType.typeName() != "map"]), F.lit(4)))
         df.write.mode("overwrite").partitionBy(*parts).parquet(self.path(stage))
         return self.read(stage)
 
