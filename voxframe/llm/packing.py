@@ -172,13 +172,15 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack(pieces: DataFrame, capacity: int = 4096, block_rows: int = 65_536) -> DataFrame:
     """pieces (with length between 1 and capacity) and sequence_id, offset.
 
-    Pieces are dealt at random, by a hash, into blocks of about block_rows pieces, and each block is packed on its
+    Pieces are dealt at random, by a hash of a number that each row of the written table has, into blocks of about block_rows pieces, so rows that are
+    repeated are spread like others. Each block is packed on its
     own: a task's memory is bounded by the block and the loss is the few bins each block leaves open.
     Columns of these names are replaced; an empty table packs into nothing.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    n = blocks_for(pieces.count(), block_rows)
-    dealt = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)))
+    numbered = written(pieces.withColumn("_block", F.monotonically_increasing_id()), "numbered-pieces")
+    n = blocks_for(numbered.count(), block_rows)
+    dealt = numbered.withColumn("_block", F.pmod(F.xxhash64("_block"), F.lit(n)))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -190,8 +192,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, block_rows: int = 65_536) -> D
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """token_pieces packed; the tokens are computed once and only their lengths and digests are kept.
+    """token_pieces packed; pack writes them, so tokens are computed once and only their lengths and digests are kept.
 
     Null and empty texts are one token, the end; repeated rows are packed each; an empty table packs into nothing.
     """
-    return pack(written(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
+    return pack(token_pieces(docs, tokenizer_path, capacity, end_id), capacity)
