@@ -76,27 +76,29 @@ def _bucket_of(key: Column, bounds: Column, count: int) -> Column:
 def with_next(docs: DataFrame, columns: list[str], per_block: int = 4_096) -> DataFrame:
     """docs and next_<c> for each column: the values of the next row by ascending doc_id, after the last the first.
 
-    Rows are dealt into ranges of ids of about per_block rows (more where that would be over MOST_RANGES ranges), whose bounds
-    come from a pass over the ids alone and are one constant of the plan; the first row of a range also goes to the range
-    before it. So texts are shuffled once and no task orders more than a range.
+    Rows are dealt into ranges of (id, hash of the text) of about per_block rows (more where that would be over MOST_RANGES ranges), whose bounds
+    come from a pass over these keys alone and are one constant of the plan; the first row of a range also goes to the range
+    before it. So texts are shuffled once and no task orders more than a range, however many rows have one id or none; only rows of one id
+    and one text stay together.
     Null ids come first; rows with one id follow each other by a hash of their text.
     """
-    docs = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)))
-    ids = docs.select("_key")
-    many = min(MOST_RANGES, blocks_for(ids.count(), per_block))
-    # one number a range comes to the driver, and goes into the plan as one string that Spark folds into an array
-    bounds = sorted(r["low"] for r in ids.repartitionByRange(many, "_key").groupBy(F.spark_partition_id()).agg(F.min("_key").alias("low")).collect()) or [_LEAST]
-    held = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    docs = docs.withColumn("_key", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64("text").alias("tie")))
+    keys = docs.select("_key")
+    many = min(MOST_RANGES, blocks_for(keys.count(), per_block))
+    # two numbers a range come to the driver, and go into the plan as one string that Spark folds into an array
+    bounds = sorted((r["low"]["id"], r["low"]["tie"]) for r in keys.repartitionByRange(many, "_key").groupBy(F.spark_partition_id()).agg(F.min("_key").alias("low")).collect()) or [(_LEAST, _LEAST)]
+    told = F.split(F.lit(",".join(f"{i} {t}" for i, t in bounds)), ",")
+    held = F.transform(told, lambda x: F.struct(F.split(x, " ")[0].cast("bigint").alias("id"), F.split(x, " ")[1].cast("bigint").alias("tie")))
     own = docs.withColumn("_range", _bucket_of(F.col("_key"), held, len(bounds)))
     first = F.col("_key") == F.get(held, F.col("_range"))
     place = lambda r, halo: F.struct(r.cast("int").alias("range"), F.lit(halo).alias("halo"))
     here = place(F.col("_range"), False)
     before = place(F.pmod(F.col("_range") - 1, F.lit(len(bounds))), True)
     placed = own.withColumn("_place", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here)))).drop("_range")
-    dealt = placed.select("*", F.col("_place.range").alias("_in"), F.col("_place.halo").alias("_halo"), F.xxhash64("text").alias("_tie")).drop("_place")
-    line = Window.partitionBy("_in").orderBy("_halo", "_key", "_tie")
+    dealt = placed.select("*", F.col("_place.range").alias("_in"), F.col("_place.halo").alias("_halo")).drop("_place")
+    line = Window.partitionBy("_in").orderBy("_halo", "_key")
     led = dealt.select("*", *[F.lead(c).over(line).alias(f"next_{c}") for c in columns])  # one window, one shuffle
-    return led.where("not _halo").drop("_in", "_halo", "_key", "_tie")
+    return led.where("not _halo").drop("_in", "_halo", "_key")
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
