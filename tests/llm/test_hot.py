@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxframe.llm import fingerprints, packing
@@ -42,3 +43,20 @@ def test_edited_texts_of_rows_without_ids(spark):
     out = fingerprints.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == 4 and {r["n_chars"] for r in out} == {10, 4, 2, 0}
     assert [r["edited_sha256"] for r in out if r["n_chars"] == 0] == [hashlib.sha256(b"").hexdigest()]
+
+
+def test_bitmaps_of_large_sets_bound_their_difference(spark):
+    from voxframe.llm import jaccard
+
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**63, 40_000, np.uint64))
+    rows, want = [], []
+    for n, m, both in ((1000, 1024, 900), (1020, 1030, 1000), (1024, 1025, 0), (4000, 4800, 3990), (4096, 4097, 3000), (4096, 5000, 10), (30_000, 36_000, 29_000), (33_000, 33_000, 5000), (33_000, 35_000, 32_900)):
+        a, b = base[:n], base[n - both : n - both + m]
+        same = len(np.intersect1d(a, b))
+        rows.append((len(rows), len(a), len(b), jaccard.parity_bits(a).tolist(), jaccard.parity_bits(b).tolist()))
+        want.append(5 * same >= 4 * (len(a) + len(b) - same))
+    df = spark.createDataFrame(rows, "i int, n1 int, n2 int, b1 array<long>, b2 array<long>")
+    got = [r["ok"] for r in df.select("i", jaccard.may_reach(F.col("n1"), F.col("n2"), F.col("b1"), F.col("b2")).alias("ok")).orderBy("i").collect()]
+    assert all(g for g, w in zip(got, want, strict=True) if w)  # no link is lost
+    assert [got[i] for i in (2, 5, 7)] == [False] * 3  # large sets of little in common are told apart

@@ -8,7 +8,7 @@
    those with its least head, as members of a large family of copies are then already connected.
 4. What is still unconnected within a cell is expanded to members and paired. So no link between two components is
    missed, and no pair is looked at whose ends are known to be connected.
-Pairs pass a bound on the symmetric difference (parity bitmaps) before their sets are compared exactly.
+Pairs pass a bound on the symmetric difference (parity bitmaps that grow with the set) before their sets are compared exactly.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from voxframe.llm.common import drop, slices, written
 SHINGLE = 5
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 4, 5
-BITMAP_WORDS = 32
+#: Words of a set's parity bitmap: two bits for each element, a power of two between these.
+BITMAP_WORDS, MOST_BITMAP_WORDS = 32, 1024
 #: A cell of at most so many groups gives all its pairs at once.
 SHORT_CELL = 6
 #: Cells of more members are cut into bands of sizes before their members are paired.
@@ -170,6 +171,15 @@ class PrefixOrder:
         return np.concatenate((first, s[np.lexsort((s, often))][: n - len(first)]))
 
 
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """One bit for each value of a hash of the elements: whether an odd number of them has it. The bitmap grows with the set, so that it still tells large sets apart."""
+    words = BITMAP_WORDS
+    while words * 32 < len(s) and words < MOST_BITMAP_WORDS:
+        words *= 2
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def document_sets(docs: DataFrame) -> DataFrame:
     """doc_id, key, n (set size), d1, d2 (digest of the set), prefix, bits of every row (doc_id, text)."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))  # MOST_FREQUENT pairs of numbers at most
@@ -184,8 +194,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 d1.append(int(_mix(s).sum().view(np.int64)))
                 d2.append(int(_mix(s ^ _MULTIPLY[0]).sum().view(np.int64)))
                 prefix.append(order.prefix(s).view(np.int64))
-                odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * BITMAP_WORDS), minlength=64 * BITMAP_WORDS) & 1
-                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                bits.append(parity_bits(s))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
                 names=["doc_id", "key", "n", "d1", "d2", "prefix", "bits"],
@@ -197,9 +206,13 @@ def document_sets(docs: DataFrame) -> DataFrame:
 def may_reach(n1: Column, n2: Column, bits1: Column, bits2: Column) -> Column:
     """False only where the sizes or the bitmaps prove the similarity too small.
 
-    Linked sets differ in at most (1 - t) / (1 + t) of n1 + n2 elements, and bitmaps differ in no more bits than that.
+    Linked sets differ in at most (1 - t) / (1 + t) of n1 + n2 elements, and bitmaps differ in no more bits than that. The bitmaps of sets of
+    such sizes are equally long, or one is twice as long: then its halves are laid over each other, which gives the shorter bitmap of the same set.
     """
-    differ = F.aggregate(F.zip_with(bits1, bits2, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, x: acc + x)
+    xor = lambda a, b: a.bitwiseXOR(b)
+    words = F.least(F.size(bits1), F.size(bits2))
+    short = lambda bits: F.when(F.size(bits) == 2 * words, F.zip_with(F.slice(bits, F.lit(1), words), F.slice(bits, words + 1, words), xor)).otherwise(bits)
+    differ = F.aggregate(F.zip_with(short(bits1), short(bits2), lambda a, b: F.bit_count(xor(a, b))), F.lit(0), lambda acc, x: acc + x)
     sizes = (F.least(n1, n2) * DENOMINATOR >= F.greatest(n1, n2) * NUMERATOR) & (n1 > 0)
     return sizes & (differ * (DENOMINATOR + NUMERATOR) <= (n1 + n2) * (DENOMINATOR - NUMERATOR))
 
@@ -335,7 +348,7 @@ def _across(mixed: DataFrame, facts: DataFrame) -> DataFrame:
     """
     large = F.col("members") > BANDED
     band = F.when(large, F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)))).otherwise(F.lit(0))
-    rows = written(mixed.withColumnRenamed("n", "members").join(facts, "c").withColumn("band", band).withColumn("large", large), "opened")
+    rows = written(mixed.withColumnRenamed("n", "members").join(_folded(facts), "c").withColumn("band", band).withColumn("large", large), "opened")
     x, y = (rows.select("token", "band", "large", *[F.col(k).alias(f"{k}{i}") for k in ("c", "root", "n", "bits")], F.col("major").alias(f"major{i}")) for i in (1, 2))
     beside = F.when(F.col("large"), F.array(*[F.col("band") + d for d in (-1, 0, 1)])).otherwise(F.array("band"))
     x = x.where("root1 != major1").withColumn("band", F.explode(beside)).drop("large")
@@ -343,13 +356,27 @@ def _across(mixed: DataFrame, facts: DataFrame) -> DataFrame:
     rows = x.join(y, ["token", "band"])
     rows = rows.where((F.col("root1") != F.col("root2")) & (F.col("is_major") | (F.col("c1") < F.col("c2"))))
     rows = rows.where(may_reach(F.col("n1"), F.col("n2"), F.col("bits1"), F.col("bits2")))
-    return rows.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
+    return _bounded(rows.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct(), facts)
+
+
+def _folded(facts: DataFrame) -> DataFrame:
+    """facts with bitmaps of BITMAP_WORDS words alone: the parts of a longer one are laid over each other."""
+    parts = F.sequence(F.lit(0), (F.size("bits") / BITMAP_WORDS).cast("int") - 1)
+    over = lambda i: F.aggregate(parts, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.get("bits", k * BITMAP_WORDS + i)))
+    return facts.withColumn("bits", F.when(F.size("bits") > BITMAP_WORDS, F.transform(F.sequence(F.lit(0), F.lit(BITMAP_WORDS - 1)), over)).otherwise(F.col("bits")))
 
 
 def _bounded(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    left, right = (facts.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(may_reach(F.col("na"), F.col("nb"), F.col("bitsa"), F.col("bitsb"))).select("a", "b")
+    """The pairs (a, b) that the bound allows: by short bitmaps all of them, by long ones those of large sets that are left."""
+
+    def met(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+        left, right = (facts.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in ("a", "b"))
+        both = pairs.join(left, "a").join(right, "b")
+        return both.where(may_reach(F.col("na"), F.col("nb"), F.col("bitsa"), F.col("bitsb"))).select("a", "b", "na")
+
+    large = F.col("na") > 32 * BITMAP_WORDS
+    first = written(met(pairs, _folded(facts)), "bounded")
+    return first.where(~large).select("a", "b").unionByName(met(first.where(large).select("a", "b"), facts).select("a", "b"))
 
 
 def _class_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, held: DataFrame | None) -> DataFrame:
