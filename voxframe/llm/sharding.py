@@ -39,14 +39,60 @@ def _quotas(demand: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[i
     return {k: n for k, n in allowed.items() if n > 0}
 
 
-def propagate(groups: DataFrame, targets: list[int]) -> DataFrame:
+def _links(state: DataFrame) -> float:
+    """Links within shards, as ordered pairs of members; a double, as a group of a third of 10**12 rows has 10**23 pairs."""
+    return state.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1))).first()[0] or 0.0
+
+
+def _moved(state: DataFrame, moves: DataFrame) -> DataFrame:
+    """state after moves (g, shard, to, m)."""
+    changes = moves.select("g", F.explode(F.array(F.struct("shard", (-F.col("m")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("m").alias("n")))).alias("c")).select("g", "c.shard", "c.n")
+    return written(state.unionByName(changes).groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "shard-state")
+
+
+def _united(cut: DataFrame, free: list[int], block: Column, turn: int) -> DataFrame:
+    """Moves (g, shard, to, m) that bring cut groups (g, shard, n, members) together in one shard each.
+
+    A group wishes for the shard that holds most of its members and can take the rest; without one, for any shard that can take it whole, by a hash. A
+    shard takes groups, in an order by hash, while they fit as a whole; rows without links make way for them.
+    """
+    rooms = F.array(*[F.lit(x) for x in free])
+    own = F.struct("n", F.xxhash64("g", "shard").alias("tie"), "shard")
+    fits = F.get(rooms, F.col("shard")) >= F.col("members") - F.col("n")
+    wish = cut.groupBy("g").agg(F.first("members").alias("members"), F.max(F.when(fits, own)).alias("own"))
+    others = F.filter(F.transform(rooms, lambda r, s: F.when(r >= F.col("members"), s)), lambda s: s.isNotNull())
+    any_one = F.when(F.size(others) > 0, F.get(others, F.pmod(F.xxhash64("g", F.lit(turn)), F.size(others)).cast("int")))
+    wish = wish.select("g", F.coalesce("own.shard", any_one).cast("int").alias("to"), (F.col("members") - F.coalesce("own.n", F.lit(0))).alias("need")).where("`to` is not null")
+    ranked = prefix_sums(wish, ["to"], block, [F.xxhash64("g", F.lit(turn)), F.col("g")], F.col("need"), "before")
+    taken = ranked.where(F.col("before") + F.col("need") <= F.get(rooms, F.col("to"))).select("g", "to")
+    return cut.join(taken, "g").where("shard != `to`").select("g", "shard", "to", F.col("n").alias("m"))
+
+
+def _drawn_together(cut: DataFrame, free: list[int], shards: int, block: Column) -> DataFrame:
+    """Moves (g, shard, to, m) of members from shards with fewer of their group to the one that holds most, preferably with room: swaps first, then room."""
+    room = F.get(F.array(*[F.lit(x > 0) for x in free]), F.col("shard"))
+    # a tie is broken by a hash of group and shard, so wishes go both ways between shards and can be swapped
+    own = F.struct("n", F.xxhash64("g", "shard").alias("tie"), "shard")
+    best = cut.groupBy("g").agg(F.max(F.when(room, own)).alias("open"), F.max(own).alias("most"))
+    goal = F.coalesce("open", "most")
+    wishes = cut.join(best, "g").withColumn("to", goal["shard"]).where("`to` != shard").where(own < goal)
+    wishes = written(wishes.select("g", "shard", "to", "n"), "shard-wishes")
+    demand = {(r["shard"], r["to"]): r["n"] for r in wishes.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}  # shards squared at most
+    allowed = _quotas(demand, free)
+    quota = F.create_map(*[F.lit(x) for (a, b), n in (allowed or {(0, 0): 0}).items() for x in (a * shards + b, n)])
+    ranked = prefix_sums(wishes, ["shard", "to"], block, [F.xxhash64("g", F.lit(1)), F.col("g")], F.col("n"), "before")
+    give = F.greatest(F.lit(0), F.least(F.col("n"), F.coalesce(F.try_element_at(quota, F.col("shard") * shards + F.col("to")), F.lit(0)) - F.col("before")))
+    return ranked.withColumn("m", give).where("m > 0").select("g", "shard", "to", "m")
+
+
+def propagate(groups: DataFrame, targets: list[int], trace: list[tuple[str, int]] | None = None) -> DataFrame:
     """(g, shard, n): how many members of each linked group every shard gets, at most targets[s] in shard s.
 
     groups: g, n. Members of a group are linked with one another and alike, so a group's counts by shard are its
-    state. All members start in one line, groups whole, and the shards are filled along it, so that only groups at a
-    shard's end, and those larger than a shard, are cut. In each round a group's members wish for the shard that holds most of
-    them and can take more; quotas bound what moves between any two shards, and who moves is decided by
-    running sums over blocks, the last one moving in part. Ends when nothing moves or a round leaves no more links whole.
+    state. All members start in one line of groups by hash, and the shards are filled along it, so groups at a shard's end start cut. In each round
+    the cut groups move to their neighbours' shards: as a whole where a shard can take the group, and when no shard can, by drawing members towards
+    the shard that holds most of them, within quotas between any two shards. Who moves is decided by running sums over blocks. A round that leaves no more
+    links whole is taken back and ends the propagation. `trace` is told each round's kind and rows moved.
     """
     shards = len(targets)
     counted = groups.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -62,44 +108,30 @@ def propagate(groups: DataFrame, targets: list[int]) -> DataFrame:
     inside = F.least(F.col("first") + F.col("n"), limit(1)) - F.greatest(F.col("first"), limit(0))
     state = dealt.select("g", "n", "first", each).select("g", F.col("shard").cast("int").alias("shard"), inside.alias("n"))
     state = written(state.where("n > 0"), "shard-state")
-    seen = None
+    whole, turn = _links(state), 0
     while True:
-        # links within shards, as pairs of members; doubles, as a group of a third of 10**12 rows has 10**23 pairs
-        whole = state.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1))).first()[0]
-        if seen is not None and whole <= seen:
-            break
-        seen = whole or 0.0
+        turn += 1
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
         free = [t - load.get(s, 0) for s, t in enumerate(targets)]
-        room = F.get(F.array(*[F.lit(x > 0) for x in free]), F.col("shard"))
-        # a tie is broken by a hash of group and shard, so wishes go both ways between shards and can be swapped
-        own = F.struct("n", F.xxhash64("g", "shard").alias("tie"), "shard")
-        best = state.groupBy("g").agg(
-            F.count("*").alias("parts"),
-            F.sum("n").alias("members"),
-            F.max(F.when(room, own)).alias("open"),
-            F.max(own).alias("most"),
-        )
-        # from fewer members to more, or all to a shard with room for the whole group
-        goal = F.coalesce("open", "most")
-        wishes = state.join(best.where("parts > 1"), "g").withColumn("to", goal["shard"])
-        space = F.get(F.array(*[F.lit(x) for x in free]), F.col("to"))
-        wishes = wishes.where("`to` != shard").where((own < goal) | (F.col("members") <= space))
-        wishes = written(wishes.select("g", "shard", "to", "n"), "shard-wishes")
-        demand = {(r["shard"], r["to"]): r["n"] for r in wishes.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}  # shards squared at most
-        allowed = _quotas(demand, free)
-        if not allowed:
-            drop(wishes)
+        cut = state.groupBy("g").agg(F.count("*").alias("parts"), F.sum("n").alias("members")).where("parts > 1").drop("parts")
+        cut = written(state.join(cut, "g"), "shard-cut")
+        kind, moves = "whole", written(_united(cut, free, block, turn), "shard-moves")
+        if moves.isEmpty():
+            kind, moves = "part", written(_drawn_together(cut, free, shards, block), "shard-moves")
+        drop(cut)
+        rows = moves.agg(F.sum("m")).first()[0] or 0
+        if not rows:
+            break
+        fresh = _moved(state, moves)
+        drop(moves)
+        now = _links(fresh)
+        if now <= whole:
+            drop(fresh)
             break
-        quota = F.create_map(*[F.lit(x) for (a, b), n in allowed.items() for x in (a * shards + b, n)])
-        ranked = prefix_sums(wishes, ["shard", "to"], block, [F.xxhash64("g", F.lit(1)), F.col("g")], F.col("n"), "before")
-        give = F.greatest(F.lit(0), F.least(F.col("n"), F.coalesce(F.try_element_at(quota, F.col("shard") * shards + F.col("to")), F.lit(0)) - F.col("before")))
-        moved = ranked.withColumn("m", give).where("m > 0")
-        changes = moved.select("g", F.explode(F.array(F.struct("shard", (-F.col("m")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("m").alias("n")))).alias("c")).select("g", "c.shard", "c.n")
-        fresh = written(state.unionByName(changes).groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "shard-state")
+        if trace is not None:
+            trace.append((kind, rows))
         drop(state)
-        drop(wishes)
-        state = fresh
+        state, whole = fresh, now
     return state
 
 
@@ -112,7 +144,7 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
     """
     empty = F.coalesce("text", F.lit(""))
     rows = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(empty) + 8).cast("long").alias("size"), F.crc32(empty.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(empty, 256)).alias("g")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(empty) + 8).cast("long").alias("size"), F.crc32(empty.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(empty, 256)).alias("g"), F.monotonically_increasing_id().alias("row")),
         "shard-rows",
     )
     total = rows.count()
@@ -134,8 +166,8 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
         joined = rows.join(parts, "g", "left")
 
     linked = joined.where("parts is not null").withColumn("blocks", F.ceil(F.col("members") / PER_BLOCK))
-    order = [F.col("doc_id"), F.col("size")]
-    linked = prefix_sums(linked, ["g"], F.pmod(F.xxhash64("doc_id"), F.col("blocks")), order, F.lit(1), "rank")
+    order = [F.col("doc_id"), F.col("row")]  # the number of a written row, so repeated ids are spread like others
+    linked = prefix_sums(linked, ["g"], F.pmod(F.xxhash64("row"), F.col("blocks")), order, F.lit(1), "rank")
     part = F.element_at(F.filter("parts", lambda p: (p["start"] <= F.col("rank")) & (F.col("rank") < p["start"] + p["n"])), 1)
     linked = linked.withColumn("part", part).select("doc_id", "size", "text_crc32", F.col("part.shard").alias("shard"), (F.col("part.offset") + F.col("rank") - F.col("part.start")).alias("slot"))
 
