@@ -5,10 +5,10 @@ from __future__ import annotations
 import itertools
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.plans.session import checkpointed
+from voxframe.plans.session import checkpointed, drop
 
 
 def _distance(axes: tuple[str, ...]) -> Column:
@@ -38,24 +38,50 @@ def nearest_within(left: DataFrame, right: DataFrame, on: list[str], axes: tuple
     return best.select(*on, F.col(f"l_{left_id}").alias(left_id), F.col("b.id").alias(f"nearest_{right_id}"), F.col("b.d").alias("distance"))
 
 
+def _pyramid(right: DataFrame, on: list[str], axes: tuple[str, ...], cell: float) -> tuple[DataFrame, list[DataFrame]]:
+    """right with its cells _c<axis>, counted from the least cell of its group, and the occupied cells of each level with the box of their points.
+
+    A cell of a level covers two cells of the level before along each axis; in the last level every group is one cell.
+    """
+    keys = [f"_c{a}" for a in axes]
+    placed = right.select("*", *[F.floor(F.col(a) / F.lit(cell)).cast("long").alias(k) for a, k in zip(axes, keys, strict=True)])
+    least = placed.groupBy(*on).agg(*[F.min(k).alias(f"_m{k}") for k in keys])
+    placed = checkpointed(placed.join(least, on).withColumns({k: F.col(k) - F.col(f"_m{k}") for k in keys}).drop(*[f"_m{k}" for k in keys]))
+    levels = [checkpointed(placed.groupBy(*on, *keys).agg(*[F.min(a).alias(f"_low_{a}") for a in axes], *[F.max(a).alias(f"_high_{a}") for a in axes]))]
+    while not levels[-1].groupBy(*on).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        up = levels[-1].withColumns({k: F.shiftright(k, 1) for k in keys})
+        levels.append(checkpointed(up.groupBy(*on, *keys).agg(*[F.min(f"_low_{a}").alias(f"_low_{a}") for a in axes], *[F.max(f"_high_{a}").alias(f"_high_{a}") for a in axes])))
+    return placed, levels
+
+
 def nearest_any(left: DataFrame, right: DataFrame, on: list[str], axes: tuple[str, ...], cell: float, left_id: str, right_id: str) -> DataFrame:
     """Each left row's nearest right row at whatever distance, the smaller id on a tie.
 
-    Rings of doubling radius: only rows still open go on, and in later rounds it is they that go to the neighbouring cells, so a
-    round costs what the open rows cost. Each round is written, so none is computed twice. Rows of groups without a right row drop out.
+    Rows with a right row within `cell` are done by one join. The others descend a pyramid of the right rows' cells: at each level a row meets the
+    halves of the cells it has kept, and keeps those whose box may be nearer than the farthest corner of the most promising one. So a row meets
+    the near side of a far crowd, never all of it. Each level is written; rows of groups without a right row drop out.
     """
     found = checkpointed(nearest_within(left, right, on, axes, cell, left_id, right_id, strict=False))
-    rest = left.join(right.select(*on).distinct(), on, "left_semi")
-    done, radius = found, cell
-    while True:
-        rest = checkpointed(rest.join(found.select(*on, left_id), [*on, left_id], "left_anti"))
-        if rest.isEmpty():
-            return done
-        radius *= 2
-        pairs = radius_join(right, rest, on, axes, radius)  # the second side is the one that is spread
-        best = pairs.groupBy(*on, F.col(f"r_{left_id}").alias(left_id)).agg(F.min(F.struct(F.round("distance", 9).alias("d"), F.col(f"l_{right_id}").alias("id"))).alias("b"))
-        found = checkpointed(best.select(*on, left_id, F.col("b.id").alias(f"nearest_{right_id}"), F.col("b.d").alias("distance")))
-        done = done.unionByName(found)
+    rest = left.join(right.select(*on).distinct(), on, "left_semi").join(found.select(*on, left_id), [*on, left_id], "left_anti")
+    rest = checkpointed(rest.select(*on, left_id, *[F.col(a).alias(f"l_{a}") for a in axes]))
+    if rest.isEmpty():
+        return found
+    keys = [f"_c{a}" for a in axes]
+    placed, levels = _pyramid(right.select(*on, right_id, *axes), on, axes, cell)
+    sides = [(F.col(f"l_{a}"), F.col(f"_low_{a}"), F.col(f"_high_{a}")) for a in axes]
+    square = lambda parts: F.sqrt(reduce(lambda p, q: p + q, [x * x for x in parts]))
+    at_least = square([F.greatest(low - x, x - high, F.lit(0.0)) for x, low, high in sides])
+    at_most = square([F.greatest(F.abs(x - low), F.abs(x - high)) for x, low, high in sides])
+    kept = rest.join(levels[-1].select(*on, *keys), on)
+    for level in reversed(levels[:-1]):
+        halves = level.withColumns({f"_p{k}": F.shiftright(k, 1) for k in keys})
+        met = kept.withColumnsRenamed({k: f"_p{k}" for k in keys}).join(halves, [*on, *[f"_p{k}" for k in keys]])
+        met = met.withColumn("_least", at_least).withColumn("_bar", F.min(at_most).over(Window.partitionBy(*on, left_id)))
+        before, kept = kept, checkpointed(met.where(F.col("_least") <= F.col("_bar") + 1e-8).select(*on, left_id, *[f"l_{a}" for a in axes], *keys))
+        drop(before)
+    ends = kept.join(placed.select(*on, *keys, F.col(right_id).alias("_id"), *[F.col(a).alias(f"r_{a}") for a in axes]), [*on, *keys])
+    best = ends.groupBy(*on, left_id).agg(F.min(F.struct(F.round(_distance(axes), 9).alias("d"), F.col("_id").alias("id"))).alias("b"))
+    return found.unionByName(best.select(*on, left_id, F.col("b.id").alias(f"nearest_{right_id}"), F.col("b.d").alias("distance")))
 
 
 def box_join(points: DataFrame, boxes: DataFrame, on: list[str], axes: tuple[str, ...], cell: int) -> DataFrame:
