@@ -1,9 +1,9 @@
-"""A Spark data source for baseline TIFF stacks, and a writer, both in plain Python and numpy.
+"""A Spark data source for TIFF stacks, and a writer, both in plain Python and numpy.
 
 spark.dataSource.register(TiffSource); spark.read.format("tiff_frames").load(path) gives one row a page: path, page,
-height, width, description, x_num, x_den, y_num, y_den, unit, data (row-major, little-endian), dtype. Each page is
-a partition of its own, so a long stack is read by many tasks. Strips, uncompressed or deflated; 8, 16, 32 bit
-integers and 32, 64 bit floats; either byte order.
+height, width, description, x_num, x_den, y_num, y_den, unit, data (row-major, little-endian), dtype. Pages are read by ranges, each a
+partition with the places of its directories, so a long stack is read by many tasks and a task reads no directory but its own. Classic and big files; strips and
+tiles; uncompressed, deflated or LZW, with or without horizontal differences; 8, 16, 32 bit integers and 32, 64 bit floats; either byte order.
 """
 
 from __future__ import annotations
@@ -20,71 +20,169 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, page int, height int, width int, description string, x_num long, x_den long, y_num long, y_den long, unit string, dtype string, data binary"
 #: Fixed values of the TIFF 6.0 format: bytes by field type, and units by code.
-SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 8: 2, 9: 4, 11: 4, 12: 8}
+SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 8: 2, 9: 4, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
 UNITS = {1: None, 2: "inch", 3: "centimeter"}
 WIDTH, HEIGHT, BITS, COMPRESSION, DESCRIPTION, OFFSETS, ROWS, COUNTS, X_RES, Y_RES, UNIT, FORMAT = 256, 257, 258, 259, 270, 273, 278, 279, 282, 283, 296, 339
+PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+PLAIN, LZW, DEFLATE = 1, 5, 8
+CLEAR, END = 256, 257
+#: Partitions of a file at most; one of fewer pages has a partition for each.
+MOST_PARTS = 4096
+
+
+def lzw_decode(data: bytes) -> bytes:
+    """Bytes of a TIFF LZW stream: codes of 9 to 12 bits, high bits first, wider one code before the table is full."""
+    out, table, last = [], [], b""
+    bits = held = at = 0
+    width = 9
+    while True:
+        while bits < width:
+            if at == len(data):
+                return b"".join(out)
+            held, bits, at = (held << 8 | data[at]) & 0xFFFFFFFF, bits + 8, at + 1
+        bits -= width
+        code = held >> bits & ((1 << width) - 1)
+        if code == END:
+            return b"".join(out)
+        if code == CLEAR:
+            table, width, last = [bytes([b]) for b in range(256)] + [b"", b""], 9, b""
+            continue
+        if not table:
+            raise ValueError("an LZW stream begins with a clear code")
+        entry = table[code] if code < len(table) else last + last[:1]
+        out.append(entry)
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+
+
+def lzw_encode(data: bytes) -> bytes:
+    out, held, bits = bytearray(), 0, 0
+
+    def put(code: int, width: int) -> None:
+        nonlocal held, bits
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits & 0xFF)
+        held &= (1 << bits) - 1
+
+    put(CLEAR, 9)
+    table, width, now = {bytes([b]): b for b in range(256)}, 9, b""
+    size = 258
+    for b in data:
+        more = now + bytes([b])
+        if more in table:
+            now = more
+            continue
+        put(table[now], width)
+        table[more], size = size, size + 1
+        width = min(12, max(9, size.bit_length()))
+        now = bytes([b])
+        if size >= 4094:
+            put(table[now], width)
+            put(CLEAR, width)
+            table, width, size, now = {bytes([b]): b for b in range(256)}, 9, 258, b""
+    if now:
+        put(table[now], width)
+        width = min(12, max(9, (size + 1).bit_length()))
+    put(END, width)
+    if bits:
+        out.append(held << (8 - bits) & 0xFF)
+    return bytes(out)
+
 
 
 class Tiff:
     def __init__(self, path: str):
         self.path = path
         with open(path, "rb") as f:
-            head = f.read(8)
+            head = f.read(16)
         self.order = {b"II": "<", b"MM": ">"}.get(head[:2])
-        if self.order is None or struct.unpack(self.order + "H", head[2:4])[0] != 42:
+        magic = struct.unpack(self.order + "H", head[2:4])[0] if self.order and len(head) >= 8 else None
+        if magic not in (42, 43):
             raise ValueError(f"{path} is no TIFF file")
-        self.first = struct.unpack(self.order + "I", head[4:8])[0]
+        self.big = magic == 43
+        self.first = struct.unpack(self.order + ("Q" if self.big else "I"), head[8:16] if self.big else head[4:8])[0]
 
-    def directories(self) -> list[dict]:
-        """Tag dictionaries of all pages; pixel data stay unread."""
+    def places(self) -> list[int]:
+        """Where the directories of all pages lie; only their links are read."""
         out, at = [], self.first
+        count, entry, link = ("Q", 20, "Q") if self.big else ("H", 12, "I")
         with open(self.path, "rb") as f:
             while at:
+                out.append(at)
                 f.seek(at)
-                n = struct.unpack(self.order + "H", f.read(2))[0]
-                entries = f.read(12 * n)
-                at = struct.unpack(self.order + "I", f.read(4))[0]
-                tags = {}
-                for k in range(n):
-                    tag, kind, count = struct.unpack(self.order + "HHI", entries[12 * k : 12 * k + 8])
-                    size = SIZES.get(kind, 1) * count
-                    raw = entries[12 * k + 8 : 12 * k + 12]
-                    if size > 4:
-                        f.seek(struct.unpack(self.order + "I", raw)[0])
-                        raw = f.read(size)
-                    tags[tag] = self._value(kind, count, raw[:size])
-                out.append(tags)
+                n = struct.unpack(self.order + count, f.read(struct.calcsize(count)))[0]
+                f.seek(entry * n, 1)
+                at = struct.unpack(self.order + link, f.read(struct.calcsize(link)))[0]
         return out
 
+    def directory(self, at: int) -> dict:
+        """Tags of the page whose directory lies there; pixel data stay unread."""
+        count, head, offset = ("Q", "HHQ", "Q") if self.big else ("H", "HHI", "I")
+        size_of_head, inline = struct.calcsize("=" + head), struct.calcsize(offset)
+        tags = {}
+        with open(self.path, "rb") as f:
+            f.seek(at)
+            n = struct.unpack(self.order + count, f.read(struct.calcsize(count)))[0]
+            entries = f.read((size_of_head + inline) * n)
+            for k in range(n):
+                raw = entries[k * (size_of_head + inline) : (k + 1) * (size_of_head + inline)]
+                tag, kind, values = struct.unpack(self.order + head, raw[:size_of_head])
+                size, raw = SIZES.get(kind, 1) * values, raw[size_of_head:]
+                if size > inline:
+                    f.seek(struct.unpack(self.order + offset, raw)[0])
+                    raw = f.read(size)
+                tags[tag] = self._value(kind, values, raw[:size])
+        return tags
+
+    def directories(self) -> list[dict]:
+        return [self.directory(at) for at in self.places()]
+
     def _value(self, kind: int, count: int, raw: bytes):
         if kind == 2:
             return raw.rstrip(b"\0").decode("utf-8", "replace")
         if kind == 5:
             return struct.unpack(f"{self.order}{2 * count}I", raw)
-        code = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}.get(kind)
+        code = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}.get(kind)
         return struct.unpack(f"{self.order}{count}{code}", raw) if code else raw
 
+    def _unpacked(self, raw: bytes, tags: dict) -> bytes:
+        method = tags.get(COMPRESSION, (PLAIN,))[0]
+        if method in (DEFLATE, 32946):
+            return zlib.decompress(raw)
+        if method == LZW:
+            return lzw_decode(raw)
+        if method != PLAIN:
+            raise ValueError(f"compression {method} of {self.path} is not supported")
+        return raw
+
     def page(self, tags: dict) -> np.ndarray:
         height, width, bits = tags[HEIGHT][0], tags[WIDTH][0], tags.get(BITS, (8,))[0]
-        kind = {1: "u", 2: "i", 3: "f"}[tags.get(FORMAT, (1,))[0]]
-        parts = []
+        dtype = np.dtype(f"{self.order}{ {1: 'u', 2: 'i', 3: 'f'}[tags.get(FORMAT, (1,))[0]] }{bits // 8}")
+        tiled = TILE_OFFSETS in tags
+        high, wide = (tags[TILE_HEIGHT][0], tags[TILE_WIDTH][0]) if tiled else (min(height, tags.get(ROWS, (height,))[0]), width)
+        across = -(-width // wide)
+        image = np.zeros((height, width), dtype.newbyteorder("<"))
         with open(self.path, "rb") as f:
-            for at, size in zip(tags[OFFSETS], tags[COUNTS], strict=True):
+            for k, (at, size) in enumerate(zip(tags[TILE_OFFSETS if tiled else OFFSETS], tags[TILE_COUNTS if tiled else COUNTS], strict=True)):
                 f.seek(at)
-                raw = f.read(size)
-                method = tags.get(COMPRESSION, (1,))[0]
-                if method in (8, 32946):
-                    raw = zlib.decompress(raw)
-                elif method != 1:
-                    raise ValueError(f"compression {method} of {self.path} is not supported")
-                parts.append(raw)
-        image = np.frombuffer(b"".join(parts), np.dtype(f"{self.order}{kind}{bits // 8}"))
-        return image[: height * width].reshape(height, width).astype(f"<{kind}{bits // 8}")
+                y, x = k // across * high, k % across * wide
+                rows = high if tiled else min(high, height - y)
+                part = np.frombuffer(self._unpacked(f.read(size), tags), dtype, rows * wide).reshape(rows, wide)
+                if tags.get(PREDICTOR, (1,))[0] == 2:
+                    part = np.cumsum(part, axis=1, dtype=dtype.newbyteorder("="))
+                image[y : y + high, x : x + wide] = part[: height - y, : width - x]
+        return image
+
 
+class _Pages(InputPartition):
+    """Pages first .. of a file, by the places of their directories."""
 
-class _Page(InputPartition):
-    def __init__(self, path: str, page: int):
-        self.path, self.page = path, page
+    def __init__(self, path: str, first: int, places: list[int]):
+        self.path, self.first, self.places = path, first, places
 
 
 class TiffReader(DataSourceReader):
@@ -97,15 +195,21 @@ class TiffReader(DataSourceReader):
         return sorted(glob.glob(self.root)) or [self.root]
 
     def partitions(self):
-        return [_Page(p, k) for p in self.files() for k in range(len(Tiff(p).directories()))]
+        out = []
+        for path in self.files():
+            places = Tiff(path).places()
+            each = max(1, -(-len(places) // MOST_PARTS))
+            out += [_Pages(path, k, places[k : k + each]) for k in range(0, len(places), each)]
+        return out
 
     def read(self, partition):
         tiff = Tiff(partition.path)
-        tags = tiff.directories()[partition.page]
-        image = tiff.page(tags)
-        x, y = tags.get(X_RES, (None, None)), tags.get(Y_RES, (None, None))
-        unit = UNITS.get(tags.get(UNIT, (2,))[0]) if UNIT in tags else None
-        yield (partition.path, partition.page, *image.shape, tags.get(DESCRIPTION), *x, *y, unit, image.dtype.str, image.tobytes())
+        for page, at in enumerate(partition.places, partition.first):
+            tags = tiff.directory(at)
+            image = tiff.page(tags)
+            x, y = tags.get(X_RES, (None, None)), tags.get(Y_RES, (None, None))
+            unit = UNITS.get(tags.get(UNIT, (2,))[0]) if UNIT in tags else None
+            yield (partition.path, page, *image.shape, tags.get(DESCRIPTION), *x, *y, unit, image.dtype.str, image.tobytes())
 
 
 class TiffSource(DataSource):
@@ -120,32 +224,48 @@ class TiffSource(DataSource):
         return TiffReader(self.options)
 
 
-def encode_tiff(pages: list[np.ndarray], description: str = "", resolution: tuple[tuple[int, int], tuple[int, int]] | None = None, unit: int | None = None) -> bytes:
-    """A little-endian stack, one uncompressed strip a page; resolution as (numerator, denominator) of X and Y."""
-    out = bytearray(b"II*\0\0\0\0\0")
-    link = 4
+def encode_tiff(
+    pages: list[np.ndarray], description: str = "", resolution: tuple[tuple[int, int], tuple[int, int]] | None = None, unit: int | None = None, big: bool = False, tile: int | None = None, compression: int = PLAIN, differences: bool = False
+) -> bytes:
+    """A little-endian stack, one strip a page or tiles of a size; resolution as (numerator, denominator) of X and Y."""
+    long, count, offset = (16, "Q", "Q") if big else (4, "H", "I")
+    out = bytearray(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0) if big else b"II*\0\0\0\0\0")
+    link = 8 if big else 4
+    pack = {PLAIN: bytes, DEFLATE: zlib.compress, LZW: lzw_encode}[compression]
+
+    def put(raw: bytes) -> int:
+        at = len(out)
+        out.extend(raw + b"\0" * (len(raw) % 2))
+        return at
+
     for image in pages:
-        image = np.ascontiguousarray(image)
-        data = image.astype(image.dtype.newbyteorder("<")).tobytes()
-        data_at = len(out)
-        out += data + b"\0" * (len(data) % 2)
+        image = np.ascontiguousarray(image).astype(image.dtype.newbyteorder("<"))
+        height, width = image.shape
+        if tile:
+            padded = np.pad(image, [(0, -n % tile) for n in image.shape])
+            parts = [padded[y : y + tile, x : x + tile] for y in range(0, height, tile) for x in range(0, width, tile)]
+        else:
+            parts = [image]
+        if differences:
+            parts = [np.diff(p, axis=1, prepend=np.zeros((len(p), 1), p.dtype)).astype(p.dtype) for p in parts]
+        packed = [pack(p.tobytes()) for p in parts]
+        at = [put(p) for p in packed]
+        fields = [(WIDTH, long, [width]), (HEIGHT, long, [height]), (BITS, 3, [image.dtype.itemsize * 8]), (COMPRESSION, 3, [compression]), (FORMAT, 3, [{"u": 1, "i": 2, "f": 3}[image.dtype.kind]])]
+        fields += [(TILE_WIDTH, long, [tile]), (TILE_HEIGHT, long, [tile]), (TILE_OFFSETS, long, at), (TILE_COUNTS, long, [len(p) for p in packed])] if tile else [(OFFSETS, long, at), (ROWS, long, [height]), (COUNTS, long, [len(p) for p in packed])]
+        fields += [(PREDICTOR, 3, [2])] * differences + ([(UNIT, 3, [unit])] if unit else [])
+        entries = []
+        for tag, kind, values in fields:
+            raw = struct.pack(f"<{len(values)}{ {3: 'H', 4: 'I', 16: 'Q'}[kind] }", *values)
+            entries.append((tag, kind, len(values), raw))
         text = description.encode() + b"\0"
-        text_at = len(out)
-        out += text + b"\0" * (len(text) % 2)
-        res_at = len(out)
-        if resolution:
-            out += struct.pack("<4I", *resolution[0], *resolution[1])
-        entries = [(WIDTH, 4, 1, image.shape[1]), (HEIGHT, 4, 1, image.shape[0]), (BITS, 3, 1, image.dtype.itemsize * 8), (COMPRESSION, 3, 1, 1), (OFFSETS, 4, 1, data_at), (ROWS, 4, 1, image.shape[0]), (COUNTS, 4, 1, len(data)), (FORMAT, 3, 1, {"u": 1, "i": 2, "f": 3}[image.dtype.kind])]
-        if len(text) > 4:
-            entries.append((DESCRIPTION, 2, len(text), text_at))
-        if resolution:
-            entries += [(X_RES, 5, 1, res_at), (Y_RES, 5, 1, res_at + 8)]
-        if unit:
-            entries.append((UNIT, 3, 1, unit))
-        struct.pack_into("<I", out, link, len(out))
-        out += struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in sorted(entries))
+        entries += [(DESCRIPTION, 2, len(text), text)] if description else []
+        entries += [(tag, 5, 1, struct.pack("<2I", *r)) for tag, r in zip((X_RES, Y_RES), resolution, strict=True)] if resolution else []
+        inline = struct.calcsize(offset)
+        written = [struct.pack(f"<HH{offset}", tag, kind, n) + (raw.ljust(inline, b"\0") if len(raw) <= inline else struct.pack("<" + offset, put(raw))) for tag, kind, n, raw in sorted(entries)]
+        struct.pack_into("<" + offset, out, link, len(out))
+        out += struct.pack("<" + count, len(written)) + b"".join(written)
         link = len(out)
-        out += b"\0\0\0\0"
+        out += b"\0" * inline
     return bytes(out)
 
 
