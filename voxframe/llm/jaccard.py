@@ -356,7 +356,8 @@ def _across(mixed: DataFrame, facts: DataFrame) -> DataFrame:
     rows = x.join(y, ["token", "band"])
     rows = rows.where((F.col("root1") != F.col("root2")) & (F.col("is_major") | (F.col("c1") < F.col("c2"))))
     rows = rows.where(may_reach(F.col("n1"), F.col("n2"), F.col("bits1"), F.col("bits2")))
-    return _bounded(rows.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct(), facts)
+    found = rows.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b"), F.when(F.col("c1") < F.col("c2"), F.col("n1")).otherwise(F.col("n2")).alias("na"))
+    return _by_long_bitmaps(found.distinct(), facts)
 
 
 def _folded(facts: DataFrame) -> DataFrame:
@@ -366,17 +367,22 @@ def _folded(facts: DataFrame) -> DataFrame:
     return facts.withColumn("bits", F.when(F.size("bits") > BITMAP_WORDS, F.transform(F.sequence(F.lit(0), F.lit(BITMAP_WORDS - 1)), over)).otherwise(F.col("bits")))
 
 
-def _bounded(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the bound allows: by short bitmaps all of them, by long ones those of large sets that are left."""
+def _met(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the bound by the facts' bitmaps allows, and na, the size of a's set."""
+    left, right = (facts.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.where(may_reach(F.col("na"), F.col("nb"), F.col("bitsa"), F.col("bitsb"))).select("a", "b", "na")
 
-    def met(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-        left, right = (facts.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in ("a", "b"))
-        both = pairs.join(left, "a").join(right, "b")
-        return both.where(may_reach(F.col("na"), F.col("nb"), F.col("bitsa"), F.col("bitsb"))).select("a", "b", "na")
 
+def _by_long_bitmaps(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (a, b, na), which short bitmaps allow, that long ones allow as well; only pairs of large sets have any and meet them."""
     large = F.col("na") > 32 * BITMAP_WORDS
-    first = written(met(pairs, _folded(facts)), "bounded")
-    return first.where(~large).select("a", "b").unionByName(met(first.where(large).select("a", "b"), facts).select("a", "b"))
+    held = written(pairs, "bounded")
+    return held.where(~large).select("a", "b").unionByName(_met(held.where(large).select("a", "b"), facts).select("a", "b"))
+
+
+def _bounded(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    return _by_long_bitmaps(_met(pairs, _folded(facts)), facts)
 
 
 def _class_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, held: DataFrame | None) -> DataFrame:
