@@ -60,13 +60,13 @@ def canonical_groups(docs: DataFrame) -> DataFrame:
     return found.where("n > 1").select("fingerprint", F.unhex(F.sha2("canon", 256)).alias("canon_sha256"), "group_id", "n")
 
 
-def _bucket_of(key: Column, bounds: Column, count: int) -> Column:
-    """Place of the last of `count` bounds <= key, 0 if there is none: a binary search in a constant array."""
+def _bucket_of(id_: Column, tie: Column, ids: Column, ties: Column, count: int) -> Column:
+    """Place of the last of `count` bounds (ids, ties) that aren't above (id, tie), 0 if there is none: a binary search in constant arrays."""
     steps = max(1, math.ceil(math.log2(count + 1)))
 
     def step(acc: Column, _: Column) -> Column:
         mid = F.floor((acc["lo"] + acc["hi"] + 1) / F.lit(2)).cast("int")
-        up = F.get(bounds, mid) <= key
+        up = (F.get(ids, mid) < id_) | ((F.get(ids, mid) == id_) & (F.get(ties, mid) <= tie))
         return F.when(acc["lo"] < acc["hi"], F.struct(F.when(up, mid).otherwise(acc["lo"]).alias("lo"), F.when(up, acc["hi"]).otherwise(mid - 1).alias("hi"))).otherwise(acc)
 
     start = F.struct(F.lit(0).alias("lo"), F.lit(count - 1).alias("hi"))
@@ -82,23 +82,23 @@ def with_next(docs: DataFrame, columns: list[str], per_block: int = 4_096) -> Da
     and one text stay together.
     Null ids come first; rows with one id follow each other by a hash of their text.
     """
-    docs = docs.withColumn("_key", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64("text").alias("tie")))
-    keys = docs.select("_key")
+    docs = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).withColumn("_tie", F.xxhash64("text"))
+    keys = docs.select("_key", "_tie")
     many = min(MOST_RANGES, blocks_for(keys.count(), per_block))
-    # two numbers a range come to the driver, and go into the plan as one string that Spark folds into an array
-    bounds = sorted((r["low"]["id"], r["low"]["tie"]) for r in keys.repartitionByRange(many, "_key").groupBy(F.spark_partition_id()).agg(F.min("_key").alias("low")).collect()) or [(_LEAST, _LEAST)]
-    told = F.split(F.lit(",".join(f"{i} {t}" for i, t in bounds)), ",")
-    held = F.transform(told, lambda x: F.struct(F.split(x, " ")[0].cast("bigint").alias("id"), F.split(x, " ")[1].cast("bigint").alias("tie")))
-    own = docs.withColumn("_range", _bucket_of(F.col("_key"), held, len(bounds)))
-    first = F.col("_key") == F.get(held, F.col("_range"))
+    # two numbers a range come to the driver, and go into the plan as two strings that Spark folds into arrays
+    lows = keys.repartitionByRange(many, "_key", "_tie").groupBy(F.spark_partition_id()).agg(F.min(F.struct("_key", "_tie")).alias("low")).collect()
+    bounds = sorted((r["low"]["_key"], r["low"]["_tie"]) for r in lows) or [(_LEAST, _LEAST)]
+    ids, ties = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in zip(*bounds, strict=True))
+    own = docs.withColumn("_range", _bucket_of(F.col("_key"), F.col("_tie"), ids, ties, len(bounds)))
+    first = (F.col("_key") == F.get(ids, F.col("_range"))) & (F.col("_tie") == F.get(ties, F.col("_range")))
     place = lambda r, halo: F.struct(r.cast("int").alias("range"), F.lit(halo).alias("halo"))
     here = place(F.col("_range"), False)
     before = place(F.pmod(F.col("_range") - 1, F.lit(len(bounds))), True)
     placed = own.withColumn("_place", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here)))).drop("_range")
     dealt = placed.select("*", F.col("_place.range").alias("_in"), F.col("_place.halo").alias("_halo")).drop("_place")
-    line = Window.partitionBy("_in").orderBy("_halo", "_key")
+    line = Window.partitionBy("_in").orderBy("_halo", "_key", "_tie")
     led = dealt.select("*", *[F.lead(c).over(line).alias(f"next_{c}") for c in columns])  # one window, one shuffle
-    return led.where("not _halo").drop("_in", "_halo", "_key")
+    return led.where("not _halo").drop("_in", "_halo", "_key", "_tie")
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
