@@ -97,3 +97,21 @@ def test_tiles_equal_whole_frames(spark, depth):
         assert table(a) == table(b)
     marks = whole.markers(labels, frames, ves)
     assert table(marks) == table(tiled.markers(labels, frames, ves)) and marks.count() > 0
+
+
+def test_stage_tables_are_partitioned_by_image_and_frame(spark, tmp_path):
+    from voxframe.sources.stages import StageStore
+
+    engine, store = Engine(replace(CONFIG, keys=("image_id", "t"))), StageStore(spark, f"file://{tmp_path}")
+    rows = spark.createDataFrame([(i, t, y, 1, 1) for i in range(2) for t in range(3) for y in range(5)], "image_id int, t int, y int, x int, label int")
+    saved = engine.save({"labels": rows, "image": rows.groupBy("image_id", "t").count()}, store)
+    assert sorted(p.name for p in (tmp_path / "labels" / "image_id=1").iterdir()) == ["t=0", "t=1", "t=2"]
+    assert table(saved["labels"]) == table(rows) and store.ready("features_image")
+    assert set(engine.save({"labels": rows, "image": rows.groupBy("image_id", "t").count()}, store, intermediate=False)) == {"image"}
+
+
+def test_verbs_take_the_frames_that_settings_name(spark):
+    config = Config.from_settings({"segmentation_label_num_t": 1, "tracking_num_t": 1, "reassign_num_t": 2}, height=4, width=4, threshold=0.5, least_object=1, smooth_mask=False)
+    frames = spark.createDataFrame([(t, 1, 1, 1.0) for t in range(3)], "t int, y int, x int, v double")
+    assert [r["t"] for r in Engine(config).label(frames).collect()] == [0]
+    assert (config.label_frames, config.track_frames, config.reassign_frames, config.filter_frames) == (1, 1, 2, None)

@@ -57,7 +57,7 @@ def checkpointed(df: DataFrame, by: str | None = None) -> DataFrame:
     """
     path = _new_path(df.sparkSession)
     if by:
-        df.repartition(by, F.pmod(F.xxhash64(*[c for c in df.columns if c != by]), F.lit(4))).write.partitionBy(by).parquet(path)
+        df.repartition(by, F.pmod(F.xxhash64(F.lit(0), *[c for c in df.columns if c != by]), F.lit(4))).write.partitionBy(by).parquet(path)
     else:
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

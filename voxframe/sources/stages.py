@@ -27,7 +27,7 @@ class StageStore:
     def write(self, stage: str, df: DataFrame, keys: tuple[str, ...] = ("image_id", "t")) -> DataFrame:
         parts = [c for c in keys if c in df.columns]
         if parts:  # a frame's rows in four files at most, from as many tasks
-            df = df.repartition(*parts, F.pmod(F.xxhash64(*[c for c in df.columns if c not in parts and df.schema[c].dataType.typeName() != "map"]), F.lit(4)))
+            df = df.repartition(*parts, F.pmod(F.xxhash64(F.lit(0), *[c for c in df.columns if c not in parts and df.schema[c].dataType.typeName() != "map"]), F.lit(4)))
         df.write.mode("overwrite").partitionBy(*parts).parquet(self.path(stage))
         return self.read(stage)
 
