@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from voxframe.operators import spatial
+from voxframe.operators import spatial, tracking
 
 
 def near(spark, left, right, cell, axes=("y", "x")):
@@ -48,3 +48,37 @@ def test_a_far_crowd_is_met_at_its_near_side(spark, monkeypatch):
     r = np.array([q for _, _, q in right])
     assert got == {(0, i): (int(((r - p) ** 2).sum(axis=1).argmin()), pytest.approx(float(np.sqrt(((r - p) ** 2).sum(axis=1).min())))) for _, i, p in left}
     assert max(df.count() for df in written) < 40 * 3000  # of 9,000,000 pairs
+
+
+@pytest.fixture
+def joined(monkeypatch):
+    """What the radius joins of a test return."""
+    made, join = [], spatial.radius_join
+    keep = lambda *a, **k: made.append(join(*a, **k)) or made[-1]
+    monkeypatch.setattr(spatial, "radius_join", keep)
+    monkeypatch.setattr(tracking, "radius_join", keep)
+    monkeypatch.setattr(spatial, "drop", lambda df: None)
+    return made
+
+
+def test_copies_of_points_are_searched_once(spark, joined):
+    rng = np.random.default_rng(4)
+    at = rng.uniform(0, 20, (30, 2))
+    points = [(0, 30 * k + i, p) for k in range(20) for i, p in enumerate(at)]
+    got, _ = near(spark, points, [(t, i + 5, p + 0.25) for t, i, p in points], 2.0)
+    assert got == plain(points, [(t, i + 5, p + 0.25) for t, i, p in points])
+    assert sum(df.count() for df in joined) < 30 * 30  # of 360,000 pairs of copies
+
+
+def test_crowds_are_searched_within_small_radii_first(spark, joined):
+    rng = np.random.default_rng(6)
+    left = [(0, i, p) for i, p in enumerate(rng.uniform(0, 10, (1500, 2)))]
+    right = [(0, i, p) for i, p in enumerate(rng.uniform(0, 10, (1500, 2)))]
+    assert near(spark, left, right, 4.0)[0] == plain(left, right)
+    assert sum(df.count() for df in joined) < 60 * 1500  # of more than 750,000 within the radius
+
+
+def test_the_spread_side_of_a_radius_join_is_not_broadcast(spark):
+    rows = spark.range(1000).selectExpr("0 as t", "id", "rand(1) * 9 as y", "rand(2) * 9 as x")
+    plan = spatial.radius_join(rows, rows, ["t"], ("y", "x"), 2.0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
