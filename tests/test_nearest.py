@@ -82,3 +82,19 @@ def test_the_spread_side_of_a_radius_join_is_not_broadcast(spark):
     rows = spark.range(1000).selectExpr("0 as t", "id", "rand(1) * 9 as y", "rand(2) * 9 as x")
     plan = spatial.radius_join(rows, rows, ["t"], ("y", "x"), 2.0)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_copies_of_a_seed_share_their_way(spark, joined):
+    flow = [(t, 0.5 * t + i * 9.0, 1.0, 0.5, 0.0, -1.0) for t in range(4) for i in range(3) for _ in range(10)]
+    flow = spark.createDataFrame(flow, "t int, y double, x double, dy double, dx double, cost double")
+    seeds = spark.createDataFrame([(3 * k + i, 0, i * 9.0, 1.0) for k in range(10) for i in range(3)], "id long, t int, y double, x double")
+    got = {(r["track_id"], r["t"]): (r["y"], r["x"]) for r in tracking.extend_tracks(seeds, flow, ("y", "x"), 2.0, 4).collect()}
+    assert got == {(3 * k + i, t): (i * 9.0 + 0.5 * t, 1.0) for k in range(10) for i in range(3) for t in range(5)}
+    assert sum(df.count() for df in joined) == 3 * 4  # of 1,200 pairs of copies
+
+
+def test_seeds_of_one_id_in_two_frames_keep_apart(spark):
+    flow = spark.createDataFrame([(t, float(t), 0.0, 1.0, 0.0, -1.0) for t in range(3)], "t int, y double, x double, dy double, dx double, cost double")
+    seeds = spark.createDataFrame([(7, 0, 0.0, 0.0), (7, 1, 40.0, 0.0)], "id long, t int, y double, x double")
+    got = sorted((r["t"], r["y"]) for r in tracking.extend_tracks(seeds, flow, ("y", "x"), 2.0, 2).collect())
+    assert got == [(0, 0.0), (1, 1.0), (1, 40.0), (2, 2.0)]
