@@ -75,3 +75,12 @@ def test_stream_carries_the_last_frame(spark, tmp_path):
     finally:
         q.stop()
     assert got == {(1, 0): (2, None), (1, 1): (1, -1), (2, 0): (0, None), (1, 2): (3, 2)}
+
+
+def test_tables_of_many_frames_have_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("voxframe.sources.stages.MOST_FOLDERS", 10)
+    store = StageStore(spark, str(tmp_path / "run"))
+    rows = spark.range(1200).selectExpr("cast(id % 300 as int) as t", "cast(id as int) as label")
+    saved = store.write("labels", rows)
+    assert sorted((r["t"], r["label"]) for r in saved.collect()) == sorted((r["t"], r["label"]) for r in rows.collect())
+    assert len(list((tmp_path / "run" / "labels").rglob("*.parquet"))) <= 8 and saved.where("t = 7").count() == 4

@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 #: Stages of a run in order; the feature tables are its results and outlast the others.
 STAGES = ("voxels", "vesselness", "labels", "skeleton", "pixel_class", "branches", "distance", "border", "markers", "flow", "voxel_matches", "reassigned", "edges")
 FEATURES = ("features_voxels", "features_nodes", "features_branches", "features_organelles", "features_image")
+#: Frames of a table that have folders of their own; tables of more are files of ranges of frames.
+MOST_FOLDERS = 1000
 
 
 @dataclass(frozen=True)
 class StageStore:
-    """Parquet tables of a run below one root, partitioned by image and frame where they have those columns."""
+    """Parquet tables of a run below one root, partitioned by image and frame where they have those columns.
+
+    Each frame has a folder, or, where there are more than MOST_FOLDERS of them, rows are dealt and sorted by frame: files then hold ranges of frames,
+    whose bounds tell a reader which of them it needs, and their number doesn't grow with the frames'.
+    """
 
     spark: SparkSession
     root: str
@@ -27,7 +33,11 @@ class StageStore:
     def write(self, stage: str, df: DataFrame, keys: tuple[str, ...] = ("image_id", "t")) -> DataFrame:
         parts = [c for c in keys if c in df.columns]
         if parts:  # a frame's rows in four files at most, from as many tasks
-            df = df.repartition(*parts, F.pmod(F.xxhash64(F.lit(0), *[c for c in df.columns if c not in parts and df.schema[c].dataType.typeName() != "map"]), F.lit(4)))
+            share = F.pmod(F.xxhash64(F.lit(0), *[c for c in df.columns if c not in parts and df.schema[c].dataType.typeName() != "map"]), F.lit(4))
+            if df.select(*parts).distinct().limit(MOST_FOLDERS + 1).count() > MOST_FOLDERS:
+                df, parts = df.select(*[c for c in df.columns if c not in parts], *parts).repartitionByRange(*parts, share).sortWithinPartitions(*parts), []
+            else:
+                df = df.repartition(*parts, share)
         df.write.mode("overwrite").partitionBy(*parts).parquet(self.path(stage))
         return self.read(stage)
 
