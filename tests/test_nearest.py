@@ -98,3 +98,13 @@ def test_seeds_of_one_id_in_two_frames_keep_apart(spark):
     seeds = spark.createDataFrame([(7, 0, 0.0, 0.0), (7, 1, 40.0, 0.0)], "id long, t int, y double, x double")
     got = sorted((r["t"], r["y"]) for r in tracking.extend_tracks(seeds, flow, ("y", "x"), 2.0, 2).collect())
     assert got == [(0, 0.0), (1, 1.0), (1, 40.0), (2, 2.0)]
+
+
+def test_boxes_count_the_points_that_copies_stand_for(spark, monkeypatch):
+    met, join = [], spatial.box_join
+    monkeypatch.setattr(spatial, "box_join", lambda *a: met.append(join(*a)) or met[-1])
+    points = spark.createDataFrame([(0, 20 * k + i, i * 1.0, 0.5) for k in range(30) for i in range(20)], "t int, id int, y double, x double")
+    boxes = points.selectExpr("t", "id as node", "y - 1 as low_y", "y + 1 as high_y", "x - 1 as low_x", "x + 1 as high_x")
+    got = {r["node"]: r["n"] for r in spatial.box_counts(points, boxes, ["t"], ("y", "x"), 8, "node").collect()}
+    assert got == {20 * k + i: 30 * (2 if i in (0, 19) else 3) for k in range(30) for i in range(20)}
+    assert met[0].count() == 58  # of 52,200 pairs of copies
