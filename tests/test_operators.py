@@ -173,3 +173,13 @@ def test_filters_reach_the_scan(spark):
 @pytest.mark.parametrize("column,want", [("intensity_mean", ("intensity", "mean")), ("x_std_dev", ("x", "std_dev")), ("area", ("area", "raw"))])
 def test_split_name(column, want):
     assert features.split_name(column) == want
+
+
+def test_quantiles_of_groups_are_exact_and_held_by_no_task(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 900), rng.integers(0, 200, 900), strict=True)] + [(7, 1.5), (8, None)]
+    found = stats.quantiles(spark.createDataFrame(rows, "g int, v double").repartition(5), ["g"], "v", {"a": 0.01, "b": 0.5, "c": 0.98})
+    got = {r["g"]: (r["n"], r["a"], r["b"], r["c"]) for r in found.collect()}
+    want = {g: [v for h, v in rows if h == g and v is not None] for g in (0, 1, 2, 7)}
+    assert got == {g: (len(v), *[pytest.approx(float(np.quantile(v, p))) for p in (0.01, 0.5, 0.98)]) for g, v in want.items()}
+    assert "percentile" not in found._jdf.queryExecution().toString().lower()

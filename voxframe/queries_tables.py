@@ -115,7 +115,14 @@ def _axes_order(spark, sf):
 register("prj_1_axes_order", _axes_order, _with(PARTS) + "SELECT image_id, (image_id % 7)::int AS t, CASE WHEN image_id % 2 = 1 THEN 0 END AS z, num::int AS y, unit AS x FROM m")
 register("prj_17_log_view", lambda s, sf: hierarchy(s, sf).where("structure > 0").select("id", tidy(F.log10("structure")).alias("v")), _with(HIERARCHY) + "SELECT id, round(log10(structure) + 1e-9, 6) AS v FROM h WHERE structure > 0")
 register("prj_18_nan_to_zero", lambda s, sf: hierarchy(s, sf).select("id", tidy(F.coalesce(scalar.ratio(F.lit(1.0), F.col("structure")), F.lit(0.0))).alias("v")), _with(HIERARCHY) + "SELECT id, round(CASE WHEN structure <> 0 THEN 1 / structure ELSE 0 END + 1e-9, 6) AS v FROM h")
-register("agg_36_percentiles", lambda s, sf: hierarchy(s, sf).groupBy("t").agg(*[F.round(F.percentile("intensity", p) + 1e-7, 4).alias(f"p{int(p * 100)}") for p in (0.01, 0.25, 0.75, 0.98)]), _with(HIERARCHY) + "SELECT t, " + ", ".join(f"round(quantile_cont(intensity, {p}) + 1e-7, 4) AS p{int(p * 100)}" for p in (0.01, 0.25, 0.75, 0.98)) + " FROM h GROUP BY t")
+register("agg_36_percentiles", lambda s, sf: _percentiles(s, sf), _with(HIERARCHY) + "SELECT t, " + ", ".join(f"round(quantile_cont(intensity, {p}) + 1e-7, 4) AS p{int(p * 100)}" for p in (0.01, 0.25, 0.75, 0.98)) + " FROM h GROUP BY t")
+
+
+def _percentiles(spark, sf):
+    found = stats.quantiles(hierarchy(spark, sf), ["t"], "intensity", {f"p{int(p * 100)}": p for p in (0.01, 0.25, 0.75, 0.98)})
+    return found.select("t", *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in found.columns if c.startswith("p")])
+
+
 _BY_T = " GROUP BY t"
 
 
