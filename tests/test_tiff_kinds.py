@@ -47,6 +47,17 @@ def test_partitions_are_ranges_of_pages(tmp_path, monkeypatch):
     assert [(r[1], int(np.frombuffer(r[-1], r[-2])[0])) for p in parts for r in reader.read(p)] == [(k, k) for k in range(40)]
 
 
+def test_small_files_share_a_partition(tmp_path):
+    for f in range(400):
+        (tmp_path / f"{f:03d}.tif").write_bytes(tiff.encode_tiff([np.full((2, 3), 10 * f + k, np.uint16) for k in range(3)]))
+    (tmp_path / "long.tif").write_bytes(tiff.encode_tiff([np.full((8, 9), k, np.uint16) for k in range(500)]))
+    reader = tiff.TiffReader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(parts) < 140
+    got = [(r[0][-8:-4].lstrip("/"), r[1], int(np.frombuffer(r[-1], r[-2])[0])) for p in parts for r in reader.read(p)]
+    assert sorted(got) == sorted([(f"{f:03d}", k, 10 * f + k) for f in range(400) for k in range(3)] + [("long", k, k) for k in range(500)])
+
+
 def test_other_files_and_compressions_are_refused(tmp_path):
     path = tmp_path / "no.tif"
     path.write_bytes(b"PK\3\4 no image")
