@@ -164,3 +164,15 @@ def test_prefixes_follow_the_order():
         count = dict(zip(token.tolist(), often.tolist()))
         want = sorted(s.tolist(), key=lambda x: (count.get(x, 0), x))[: jaccard.prefix_length(len(s))]
         assert order.prefix(s).tolist() == want
+
+
+def test_rare_grams_beyond_the_dictionary_keep_their_counts(spark, monkeypatch):
+    docs = spark.createDataFrame([("the nation and the others",), ("über naïve façade 東京都 the",), ("zyqx the",)], "text string")
+    whole = toxicity.fit_chars(docs)
+    counts, totals = dict(whole.counts), dict(whole.totals)
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", 7)
+    part = toxicity.fit_chars(docs)
+    assert {k: part.counts.get(k, 0) for k in counts} == counts
+    assert {k: part.totals.get(k, 0) for k in totals} == totals
+    assert len(part.counts) == 7 and part.counts.get("zzz", 0) == 0
+    assert part.log_prob(" zy", "q") == whole.log_prob(" zy", "q")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -13,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +30,7 @@ LEET = {
 #: Three or more single characters with up to three white space characters between each two.
 _SINGLES = re.compile(r"\s(\S(?:\s{1,3}\S){2,})(?!\S)")
 _ORDER = 3  # characters of history in the language model
-#: The character n-grams held for the language model, the commonest of the whole corpus; four Latin-letter languages have fewer.
+#: The commonest character n-grams of the language model are held in a dictionary, all others packed; four Latin-letter languages have fewer.
 MOST_GRAMS = 600_000
 
 
@@ -80,12 +82,12 @@ class CharModel:
         return {"packed": self.packed, "cache": {}}
 
     @cached_property
-    def counts(self) -> dict[str, int]:
-        return _dictionary(self.packed[0])
+    def counts(self) -> Counts:
+        return Counts(self.packed[0])
 
     @cached_property
-    def totals(self) -> dict[str, int]:
-        return _dictionary(self.packed[1])
+    def totals(self) -> Counts:
+        return Counts(self.packed[1])
 
     def log_prob(self, history: str, ch: str) -> float:
         """Of ch after the history: its last three characters, or all since the space before the word."""
@@ -102,8 +104,25 @@ class CharModel:
         return self.cache[key]
 
 
-def _dictionary(table: pa.Table) -> dict[str, int]:
-    return dict(zip(table[0].to_pylist(), table[1].to_pylist(), strict=True))
+class Counts(dict):
+    """Every count of a table (string, n): the MOST_GRAMS greatest in a dictionary, the rest as sorted columns that are searched."""
+
+    def __init__(self, table: pa.Table):
+        self.rest = self.numbers = None
+        if len(table) > MOST_GRAMS:
+            order = pc.sort_indices(table, [(table.column_names[1], "descending")])
+            rest = table.take(order[MOST_GRAMS:])
+            rest = rest.take(pc.sort_indices(rest[0])).combine_chunks()  # UTF-8 and Python strings have one order
+            self.rest, self.numbers = rest[0].chunk(0), rest[1].chunk(0)
+            table = table.take(order[:MOST_GRAMS])
+        super().__init__(zip(table[0].to_pylist(), table[1].to_pylist(), strict=True))
+
+    def get(self, name: str, default: int = 0) -> int:
+        n = super().get(name)
+        if n is None and self.rest is not None:
+            at = bisect_left(self.rest, name, key=pa.StringScalar.as_py)
+            n = self.numbers[at].as_py() if at < len(self.rest) and self.rest[at].as_py() == name else None
+        return default if n is None else n
 
 
 def _offers(run: str, i: int, swap: float, repeat: float, gap: float) -> list[tuple[str, float]]:
@@ -280,8 +299,8 @@ def copy_families(banded: list[list[int]]) -> list[int]:
 def fit_chars(docs: DataFrame) -> CharModel:
     """The character model of every word of letters in docs (text).
 
-    Tasks count words and hand on their n-grams whenever they hold many; to the driver come the MOST_GRAMS commonest
-    n-grams of the sums, and the full totals of their histories.
+    Tasks count words and hand on their n-grams whenever they hold many; the sums of all n-grams and of their histories are
+    packed columns of some 20 bytes an n-gram, which is how the driver hands them on.
     """
 
     def run(batches):
@@ -305,10 +324,8 @@ def fit_chars(docs: DataFrame) -> CharModel:
 
     raw = docs.select("text").where("text is not null").mapInArrow(run, "gram string, n long")
     grams = written(raw.groupBy("gram").agg(F.sum("n").alias("n")), "toxic-grams")
-    kept = grams.orderBy(F.desc("n"), "gram").limit(MOST_GRAMS) if grams.count() > MOST_GRAMS else grams
-    past = F.expr("substring(gram, 1, length(gram) - 1)").alias("past")
-    totals = grams.groupBy(past).agg(F.sum("n").alias("n")).join(kept.select(past).distinct(), "past", "left_semi")
-    model = CharModel(None, kept.toArrow().combine_chunks(), totals.toArrow().combine_chunks())
+    totals = grams.groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("past")).agg(F.sum("n").alias("n"))
+    model = CharModel(None, grams.toArrow().combine_chunks(), totals.toArrow().combine_chunks())
     drop(grams)
     return model
 
