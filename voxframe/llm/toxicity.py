@@ -82,12 +82,12 @@ class CharModel:
         return {"packed": self.packed, "cache": {}}
 
     @cached_property
-    def counts(self) -> Counts:
-        return Counts(self.packed[0])
+    def counts(self) -> dict[str, int]:
+        return counts_of(self.packed[0])
 
     @cached_property
-    def totals(self) -> Counts:
-        return Counts(self.packed[1])
+    def totals(self) -> dict[str, int]:
+        return counts_of(self.packed[1])
 
     def log_prob(self, history: str, ch: str) -> float:
         """Of ch after the history: its last three characters, or all since the space before the word."""
@@ -104,22 +104,28 @@ class CharModel:
         return self.cache[key]
 
 
+def _dictionary(table: pa.Table) -> dict[str, int]:
+    return dict(zip(table[0].to_pylist(), table[1].to_pylist(), strict=True))
+
+
+def counts_of(table: pa.Table) -> dict[str, int]:
+    """Every count of a table (string, n), found by get."""
+    return Counts(table) if len(table) > MOST_GRAMS else _dictionary(table)
+
+
 class Counts(dict):
-    """Every count of a table (string, n): the MOST_GRAMS greatest in a dictionary, the rest as sorted columns that are searched."""
+    """The MOST_GRAMS greatest counts in a dictionary, the rest as sorted columns that get searches."""
 
     def __init__(self, table: pa.Table):
-        self.rest = self.numbers = None
-        if len(table) > MOST_GRAMS:
-            order = pc.sort_indices(table, [(table.column_names[1], "descending")])
-            rest = table.take(order[MOST_GRAMS:])
-            rest = rest.take(pc.sort_indices(rest[0])).combine_chunks()  # UTF-8 and Python strings have one order
-            self.rest, self.numbers = rest[0].chunk(0), rest[1].chunk(0)
-            table = table.take(order[:MOST_GRAMS])
-        super().__init__(zip(table[0].to_pylist(), table[1].to_pylist(), strict=True))
+        order = pc.sort_indices(table, [(table.column_names[1], "descending")])
+        super().__init__(_dictionary(table.take(order[:MOST_GRAMS])))
+        rest = table.take(order[MOST_GRAMS:])
+        rest = rest.take(pc.sort_indices(rest[0])).combine_chunks()  # UTF-8 and Python strings have one order
+        self.rest, self.numbers = rest[0].chunk(0), rest[1].chunk(0)
 
     def get(self, name: str, default: int = 0) -> int:
         n = super().get(name)
-        if n is None and self.rest is not None:
+        if n is None:
             at = bisect_left(self.rest, name, key=pa.StringScalar.as_py)
             n = self.numbers[at].as_py() if at < len(self.rest) and self.rest[at].as_py() == name else None
         return default if n is None else n
