@@ -108,3 +108,24 @@ def test_boxes_count_the_points_that_copies_stand_for(spark, monkeypatch):
     got = {r["node"]: r["n"] for r in spatial.box_counts(points, boxes, ["t"], ("y", "x"), 8, "node").collect()}
     assert got == {20 * k + i: 30 * (2 if i in (0, 19) else 3) for k in range(30) for i in range(20)}
     assert met[0].count() == 58  # of 52,200 pairs of copies
+
+
+def test_flow_joins_places_and_stands_for_rows(spark, joined):
+    rng = np.random.default_rng(8)
+    at = {t: rng.uniform(0, 12, (20, 2)) for t in range(3)}
+    points = [(t, 20 * k + i, *map(float, p)) for t, own in at.items() for k in range(15) for i, p in enumerate(own)]
+    df = spark.createDataFrame([*points, (0, None, 1.0, 1.0)], "t int, id long, y double, x double")
+    flow = tracking.nearest_flow(df, ("y", "x"), 2.0, -3.0)
+    want = {}
+    for t in (0, 1):
+        for p in at[t]:
+            d, j = min((round(float(np.sqrt(((q - p) ** 2).sum())), 9), j) for j, q in enumerate(at[t + 1]))
+            if d < 2:
+                want[t, *p] = (*(at[t + 1][j] - p), pytest.approx(d - 3), 15)
+    assert {(r["t"], r["y"], r["x"]): (r["dy"], r["dx"], r["cost"], r["_copies"]) for r in flow.collect()} == want
+    assert sum(df.count() for df in joined) < 20 * 40  # of 180,000 pairs of copies
+    rows = flow.selectExpr("*", "explode(sequence(1, _copies)) AS k").drop("_copies", "k")
+    for forward in (True, False):
+        key = lambda r: (r["t"], r["id"], r["neighbours"], round(r["dy"], 9), round(r["dx"], 9))
+        by_place, by_row = ({key(r) for r in tracking.interpolate(df, f, ("y", "x"), 3.0, forward).collect()} for f in (flow, rows))
+        assert by_place == by_row
