@@ -176,3 +176,15 @@ def test_rare_grams_beyond_the_dictionary_keep_their_counts(spark, monkeypatch):
     assert {k: part.totals.get(k, 0) for k in totals} == totals
     assert len(part.counts) == 7 and part.counts.get("zzz", 0) == 0
     assert part.log_prob(" zy", "q") == whole.log_prob(" zy", "q")
+
+
+def test_the_language_model_learns_from_every_position(spark, monkeypatch):
+    from voxframe.llm import lm
+
+    made, keep = {}, lm.written
+    monkeypatch.setattr(lm, "written", lambda df, name: made.setdefault(name, keep(df, name)))
+    docs = spark.createDataFrame([(i, f"the cat {i} sat on mat {i % 7} and ran") for i in range(300)], "doc_id long, text string").repartition(3)
+    counts = keep(lm.corpus_counts(docs), "lm-counts")
+    monkeypatch.setattr(lm, "drop", lambda df: None)
+    lm.fit_lm(docs, counts)
+    assert made["lm-nets"].selectExpr("sum(n)").first()[0] == 300 * 10  # nine words and the end
