@@ -39,7 +39,7 @@ def test_radius_rows(spark, monkeypatch, radius, strict):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.select(got.columns).collect()))
 
 
-@pytest.mark.parametrize("name", ["jon_2_radius_join", "jon_3_radius_gate_strict", "jon_4_radius_gate_inclusive"])
+@pytest.mark.parametrize("name", ["jon_2_radius_join", "jon_3_radius_gate_strict", "jon_4_radius_gate_inclusive", "jon_20_feature_differences", "agg_31_best_matches"])
 def test_pairs_are_made_from_lists(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     join = max(i for i, line in enumerate(plan) if "Join Inner" in line and "_cy" in line)
