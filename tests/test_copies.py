@@ -39,7 +39,20 @@ def test_radius_rows(spark, monkeypatch, radius, strict):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.select(got.columns).collect()))
 
 
-@pytest.mark.parametrize("name", ["jon_2_radius_join", "jon_3_radius_gate_strict", "jon_4_radius_gate_inclusive", "jon_20_feature_differences", "agg_31_best_matches"])
+def test_box_rows(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "LIST", 3)
+    rng = np.random.default_rng(6)
+    left = rows(rng, 60, 0)
+    boxes = [(t, i, y, y + 1.4, x, x + 2.1) for t, i, y, x in rows(rng, 40, 100) if y is not None]
+    points = spark.createDataFrame(left, "t int, id long, y double, x double")
+    held = spark.createDataFrame(boxes, "t int, node long, low_y double, high_y double, low_x double, high_x double")
+    got = spatial.box_rows(points, held, ["t"], ("y", "x"), 2)
+    plain = spatial.box_join(points, held, ["t"], ("y", "x"), 2)
+    assert got.count() == plain.dropna().count() > 100
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.dropna().select(got.columns).collect()))
+
+
+@pytest.mark.parametrize("name", ["jon_2_radius_join", "jon_3_radius_gate_strict", "jon_4_radius_gate_inclusive", "jon_8_box_join", "jon_20_feature_differences", "agg_31_best_matches"])
 def test_pairs_are_made_from_lists(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     join = max(i for i, line in enumerate(plan) if "Join Inner" in line and "_cy" in line)
