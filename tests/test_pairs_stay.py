@@ -6,6 +6,7 @@ import random
 import pytest
 
 from voxframe.operators import tracking
+from voxframe.plans.session import checkpointed
 
 
 def shuffled_joins(df) -> list[str]:
@@ -43,3 +44,43 @@ def test_interpolation_adds_up_in_the_cell(spark):
         u = [v - min(w) + 1 for v in w]
         assert got[i]["neighbours"] == len(near)
         assert got[i]["dy"] == pytest.approx(sum(v * a[3] for v, (_, a) in zip(u, near, strict=True)) / sum(u))
+
+
+def test_candidates_of_places_are_those_of_rows(spark):
+    rng = random.Random(5)
+    at = [(t, rng.randrange(60) / 10, rng.randrange(60) / 10) for t in range(3) for _ in range(40)]
+    points = spark.createDataFrame([(t, 1000 * k + i, y, x) for k in range(3) for i, (t, y, x) in enumerate(at)], "t int, id long, y double, x double")
+    axes = ("y", "x")
+    places = tracking.point_places(points, axes)
+    flow = checkpointed(tracking.nearest_flow(places, axes, 2.0, -3.0))
+    fw, bw = [tracking.interpolate(points, flow, axes, 3.0, forward) for forward in (True, False)]
+    by_row = tracking.voxel_candidates(points, fw, bw, axes, 2.0)
+    by_place = tracking.place_candidates(places, flow, axes, 3.0, 2.0)
+    assert by_place.count() <= places.count()  # of three times as many rows
+    rows = lambda df: sorted((r["t"], r["prev"], r["next"], round(r["distance"], 6)) for r in df.collect())
+    assert rows(tracking.candidate_rows(points, by_place, axes)) == rows(by_row)
+    labels = points.selectExpr("t", "id", "y", "x", "cast(id % 4 AS int) AS label")
+    counts = labels.groupBy("t", *axes, "label").count().withColumnRenamed("count", "n")
+    spots = tracking.point_places(labels, axes, "label")
+    chain = tracking.place_chain(by_place, spots, counts, axes, 2)
+    ends = spots.selectExpr("t", "y", "x", "id AS spot").join(chain, ["t", *axes])
+    got = labels.join(ends, ["t", *axes]).selectExpr("t", "id", "CASE WHEN id = spot THEN spot_label WHEN label > 0 THEN other_label ELSE 0 END AS label")
+    want = tracking.reassign_chain(by_row, labels.select("t", "id", "label")).where("t > 0")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("t", "id", "label").collect()))
+
+
+@pytest.mark.parametrize("name", ["agg_2_voxel_to_node", "agg_35_node_dynamics"])
+def test_boxes_and_points_are_added_up_where_they_meet(spark, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    met = plan.count("Join ")
+    assert met == (1 if name == "agg_2_voxel_to_node" else 7)  # the boxes'; and two for each flow and one for its places: none by id
+
+
+def test_voting_queries_join_places_not_candidates(spark):
+    import __spark_entry__ as entry
+
+    for name, most in (("win_2_two_level_ranking", 0), ("jon_21_label_pair_counts", 0)):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("events.parquet") <= most  # rows are counted by place once, and written
