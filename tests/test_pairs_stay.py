@@ -84,3 +84,9 @@ def test_voting_queries_join_places_not_candidates(spark):
     for name, most in (("win_2_two_level_ranking", 0), ("jon_21_label_pair_counts", 0)):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("events.parquet") <= most  # rows are counted by place once, and written
+
+
+def test_costs_do_not_shuffle_pairs(spark):
+    gated = spark.createDataFrame([(t, p, q, 0.5, [float(p)], [float(q)]) for t in range(2) for p in range(5) for q in range(5)], "t int, pre long, post long, distance double, stat_diff array<double>, hu_diff array<double>")
+    plan = tracking.pair_costs(gated, 1.0, 1, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
